@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ownerloom.llm.packing import op7_packing
 from ownerloom.llm.sstable import op9_sorted_tables
+from ownerloom.llm.warc import OP5_SQL, op5_warc_records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_sorted_tables": op9_sorted_tables}
+    return {"op5_warc_records": op5_warc_records, "op7_packing": op7_packing, "op9_sorted_tables": op9_sorted_tables}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc_records": OP5_SQL}
