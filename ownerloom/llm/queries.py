@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ownerloom.llm.decontaminate import op4_decontamination
+from ownerloom.llm.langid import op8_language
 from ownerloom.llm.packing import op7_packing
+from ownerloom.llm.simhash import op3_simhash
 from ownerloom.llm.sstable import op9_sorted_tables
 from ownerloom.llm.warc import OP5_SQL, op5_warc_records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_warc_records": op5_warc_records, "op7_packing": op7_packing, "op9_sorted_tables": op9_sorted_tables}
+    return {
+        "op3_simhash": op3_simhash,
+        "op4_decontamination": op4_decontamination,
+        "op5_warc_records": op5_warc_records,
+        "op7_packing": op7_packing,
+        "op8_language": op8_language,
+        "op9_sorted_tables": op9_sorted_tables,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
