@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ownerloom.llm._common import fresh
+from ownerloom.llm._common import fresh, materialize
 
 #: Edits allowed for each 100 characters of an item.
 EDITS_PER_100 = 5
@@ -176,6 +176,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, edits_per_100: in
     key, gone = fresh(docs, "row_key"), "gone_key"
     keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")))
     bad = contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, edits_per_100).select(F.col("doc_id").alias(gone)).distinct()
+    bad = materialize(bad, "leaks")  # its size is known before the join is planned
     return keyed.join(bad, keyed[key] == bad[gone], "left_anti").drop(key)
 
 

@@ -6,24 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ownerloom.llm.compaction import op10_compaction
 from ownerloom.llm.decontaminate import op4_decontamination
 from ownerloom.llm.langid import op8_language
 from ownerloom.llm.packing import op7_packing
+from ownerloom.llm.quality import op2_quality
+from ownerloom.llm.rules import OP6_SQL, op6_quality_rules
 from ownerloom.llm.simhash import op3_simhash
 from ownerloom.llm.sstable import op9_sorted_tables
+from ownerloom.llm.urls import op1_url_filter
 from ownerloom.llm.warc import OP5_SQL, op5_warc_records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
+        "op2_quality": op2_quality,
         "op3_simhash": op3_simhash,
         "op4_decontamination": op4_decontamination,
         "op5_warc_records": op5_warc_records,
+        "op6_quality_rules": op6_quality_rules,
         "op7_packing": op7_packing,
         "op8_language": op8_language,
         "op9_sorted_tables": op9_sorted_tables,
+        "op10_compaction": op10_compaction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_records": OP5_SQL}
+    return {"op5_warc_records": OP5_SQL, "op6_quality_rules": OP6_SQL}

@@ -122,14 +122,49 @@ def links(distinct: DataFrame, segment: int = SEGMENT, cell_limit: int = CELL) -
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable)."""
-    prints = materialize(fingerprints(docs), "simhash-prints")
+    """doc_id, fp, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable) and
+    component (its smallest fingerprint)."""
+    return grouped(materialize(fingerprints(docs), "simhash-prints"))
+
+
+def grouped(prints: DataFrame) -> DataFrame:
+    """near_duplicates() of fingerprints() that are already a table."""
     first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     groups = connected_components(links(first))
     named = first.join(groups, first["fp"] == groups["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_print = named.join(least, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_print = named.join(least, "component").select("fp", "component_id", "component")
+    return prints.join(by_print, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (then the smallest fingerprint).
+
+    Rows that go are found by their ids and leave by an anti join, so texts are shuffled only where
+    those ids are too many to broadcast. Ids that several rows share are settled on their own, by
+    fingerprint. A component of null ids only keeps one row as well.
+    """
+    groups = materialize(grouped(materialize(fingerprints(docs), "simhash-prints")).select("doc_id", "fp", "component"), "simhash-groups")
+    stay = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp")).alias("s")).select("s.doc_id", "s.fp")
+    stay = materialize(stay, "simhash-stay")
+    shared = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("shared_id"))
+    shared = materialize(shared, "simhash-shared")
+    gone = groups.select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = gone.join(stay, gone["gone_id"].eqNullSafe(stay["doc_id"]), "left_anti")
+    gone = materialize(gone.unionByName(shared.select(F.col("shared_id").alias("gone_id"))).distinct(), "simhash-gone")
+    id_of = F.col("doc_id").cast("long")
+    out = docs.join(gone, id_of.eqNullSafe(F.col("gone_id")), "left_anti")
+    if shared.isEmpty():
+        return out
+    again = docs.join(shared, id_of.eqNullSafe(F.col("shared_id")), "left_semi").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("text"))
+    again = again.withColumn("fp", _print_of("text"))
+    again = again.join(stay.withColumnsRenamed({"doc_id": "stay_id", "fp": "stay_fp"}), F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("fp") == F.col("stay_fp")), "left_semi")
+    return out.unionByName(again.groupBy("doc_id", "fp").agg(F.first("row").alias("row")).select("row.*"))
+
+
+@F.arrow_udf("long")
+def _print_of(texts: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint(t) if t else 0 for t in texts.to_pylist()], "<u8").view("<i8"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
