@@ -226,10 +226,11 @@ def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.append(docs.where(second))
     version = store.compact_fully()
     store.vacuum()
-    shards = store.manifest(version).select("path", F.col("n_bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"), "tier")
-    rows = store.read(version).select(
-        F.col("_metadata.file_path").alias("path"), "doc_id", F.octet_length("text").cast("long").alias("text_bytes"), F.crc32(F.encode("text", "utf-8")).alias("text_crc32")
-    )
-    return rows.join(F.broadcast(shards), "path").select(
-        "doc_id", "text_bytes", "text_crc32", F.element_at(F.split("path", "/"), -1).alias("shard"), "shard_bytes", "shard_rows", "tier", F.lit(version).cast("long").alias("version")
-    )
+    # Spark and pyarrow write a local path's scheme in two ways, so a shard goes by its folder and file name.
+    shards = store.manifest(version).select(_shard_name("path"), F.col("n_bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"), "tier")
+    rows = store.read(version).select(_shard_name("_metadata.file_path"), "doc_id", F.octet_length("text").cast("long").alias("text_bytes"), F.crc32(F.encode("text", "utf-8")).alias("text_crc32"))
+    return rows.join(shards, "shard", "left").select("doc_id", "text_bytes", "text_crc32", "shard", "shard_bytes", "shard_rows", "tier", F.lit(version).cast("long").alias("version"))
+
+
+def _shard_name(path: str):
+    return F.substring_index(path, "/", -2).alias("shard")
