@@ -205,7 +205,7 @@ def validate_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VALIDATE_SQL = """WITH o AS (SELECT DISTINCT l_orderkey AS case_id, CASE WHEN l_partkey % 97 = 0 THEN '' ELSE 'o' || l_linenumber END AS owner_id, l_linenumber * 10 AS s, l_linenumber * 10 + CAST(l_quantity AS BIGINT) % 13 AS e, l_linenumber AS sl, l_linenumber + l_suppkey % 5 - 1 AS el FROM lineitem),
-f AS (SELECT *, count(*) OVER (PARTITION BY case_id, owner_id) AS n, max(e) OVER (PARTITION BY case_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o)
+f AS (SELECT *, count(*) OVER (PARTITION BY case_id, owner_id) AS n, max(e) OVER (PARTITION BY case_id ORDER BY s, e, owner_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o)
 SELECT case_id, owner_id, 'empty_id' AS violation FROM f WHERE owner_id = '' UNION ALL SELECT case_id, owner_id, 'duplicate_id' FROM f WHERE n > 1 UNION ALL SELECT case_id, owner_id, 'byte_range' FROM f WHERE s < 0 OR e <= s
 UNION ALL SELECT case_id, owner_id, 'overlap' FROM f WHERE reach > s UNION ALL SELECT case_id, owner_id, 'line_range' FROM f WHERE sl < 1 OR el < sl"""
 

@@ -206,7 +206,7 @@ def template_tokens(docs: DataFrame) -> DataFrame:
 
 def validate_owners(owners: DataFrame) -> DataFrame:
     """case_id, owner_id, violation: empty_id, duplicate_id, byte_range, overlap, line_range."""
-    w = Window.partitionBy("case_id").orderBy("start_byte", "end_byte")
+    w = Window.partitionBy("case_id").orderBy("start_byte", "end_byte", "owner_id")
     reach = F.max("end_byte").over(w.rowsBetween(Window.unboundedPreceding, -1))
     faults = {
         "empty_id": F.coalesce(F.col("owner_id").cast("string"), F.lit("")) == "",
