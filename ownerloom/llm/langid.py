@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ownerloom.llm._common import fresh, held_out, materialize, unit_hash
+from ownerloom.llm._common import fresh, held_out, unit_hash
 
 DIMENSIONS = 1024
 TRAIN_PER_LANGUAGE = 4_000

@@ -157,13 +157,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if shared.isEmpty():
         return out
     again = docs.join(shared, id_of.eqNullSafe(F.col("shared_id")), "left_semi").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("text"))
-    again = again.withColumn("fp", _print_of("text"))
+    again = again.withColumn("fp", F.arrow_udf(_prints, "long")("text"))
     again = again.join(stay.withColumnsRenamed({"doc_id": "stay_id", "fp": "stay_fp"}), F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("fp") == F.col("stay_fp")), "left_semi")
     return out.unionByName(again.groupBy("doc_id", "fp").agg(F.first("row").alias("row")).select("row.*"))
 
 
-@F.arrow_udf("long")
-def _print_of(texts: pa.Array) -> pa.Array:
+def _prints(texts: pa.Array) -> pa.Array:
     return pa.array(np.array([fingerprint(t) if t else 0 for t in texts.to_pylist()], "<u8").view("<i8"))
 
 
