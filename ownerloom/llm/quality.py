@@ -159,6 +159,17 @@ def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
     return out.select(*kept, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, model: RuleModel) -> DataFrame:
+    """Rows of docs whose score is 0.5 or more, with the columns of docs.
+
+    The optimizer would push the condition below the statistics and so count them anew for every rule;
+    a column that is not deterministic, and that the condition names, keeps it above them.
+    """
+    guard = fresh(docs, "row_guard")
+    rows = statistics(docs.select(F.struct("*").alias("row"), F.col("text"))).withColumn(guard, F.monotonically_increasing_id())
+    return rows.where((model.column() >= 0.5) & (F.col(guard) >= 0)).select("row.*")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: every document, whole texts."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
