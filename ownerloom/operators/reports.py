@@ -151,7 +151,7 @@ def assign_shards(cases: DataFrame, n: int, cost: str = "estimated_input_bytes")
             heapq.heappush(loads, (load + c, count + k, shard))
         return pd.DataFrame(out, columns=["repository", "shard"])
 
-    placed = repos.groupBy(F.lit(0)).applyInPandas(greedy, "repository string, shard int")
+    placed = repos.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(greedy, "repository string, shard int")
     told = filled.join(placed, "repository")
     return told.drop("c"), told.groupBy("shard").agg(F.count("*").alias("cases"), F.sum("c").alias("load"), F.countDistinct("repository").alias("repositories"))
 
