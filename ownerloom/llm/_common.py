@@ -32,6 +32,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of the session hold at most rows rows: with whole texts, the usual 10,000 are tens of
+    megabytes in the JVM and again in each Python worker. A smaller setting stays; results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def as_uri(path: str) -> str:
     """pyarrow wants a scheme; Spark's local paths may come without one."""
     return path if "://" in path else f"file://{path.removeprefix('file:')}"

@@ -16,6 +16,8 @@ import numpy as np
 WORDS_KEPT = 600_000
 #: Texts are encoded in groups of about so many characters.
 GROUP_CHARS = 4_000_000
+#: Words in a line, and lines in a call, when words are learned.
+LINE_WORDS, CALL_LINES = 2000, 16
 
 #: Where white space meets or ends a text, byte-level words depend on what is around them.
 _MEETING = re.compile(r"\s\s|\s\Z")
@@ -43,9 +45,8 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.leading_space = self.tokenizer.normalizer is None
         #: The end-of-text token parts words that are encoded in one call.
-        self.parting = Tokenizer.from_file(path)
         self.mark = "<|endoftext|>"
-        self.mark_id = self.parting.token_to_id(self.mark)
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.kept: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -77,12 +78,15 @@ class WordEncoder:
         new = [w for w in need if w not in kept]
         odd = [w for w in new if "<|" in w]
         plain = [w for w in new if "<|" not in w]
-        step = 2000
-        lines = [self.mark.join(map(self._shown, plain[i : i + step])) for i in range(0, len(plain), step)]
-        for k, e in enumerate(self.parting.encode_batch_fast(lines, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            packed, ends = ids.tobytes(), (np.flatnonzero(ids == self.mark_id) * 4).tolist()
-            kept.update(zip(plain[k * step :], map(packed.__getitem__, map(slice, [0, *(x + 4 for x in ends)], [*ends, len(packed)])), strict=False))
+        self.tokenizer.encode_special_tokens = False  # only here: the mark between words is a token
+        for call in range(0, len(plain), LINE_WORDS * CALL_LINES):
+            parted = [plain[i : i + LINE_WORDS] for i in range(call, min(call + LINE_WORDS * CALL_LINES, len(plain)), LINE_WORDS)]
+            lines = [self.mark.join(map(self._shown, part)) for part in parted]
+            for part, e in zip(parted, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                packed, ends = ids.tobytes(), (np.flatnonzero(ids == self.mark_id) * 4).tolist()
+                kept.update(zip(part, map(packed.__getitem__, map(slice, [0, *(x + 4 for x in ends)], [*ends, len(packed)])), strict=True))
+        self.tokenizer.encode_special_tokens = True
         kept.update(zip(odd, self._whole(list(map(self._shown, odd))), strict=True))
         kept.update([(word, kept[base] + kept[tail]) for word, base, tail in parts])
 

@@ -100,15 +100,6 @@ class Bundler:
         return out
 
 
-_bundlers: list[Bundler] = []
-
-
-def _bundler() -> Bundler:
-    if not _bundlers:
-        _bundlers.append(Bundler())
-    return _bundlers[0]
-
-
 def _groups(batches: Iterable[pa.RecordBatch], rows: int = 96) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -130,8 +121,9 @@ def fit_prototypes(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> d
 
     def bundle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        bundler = Bundler()
         for part in _groups(batches):
-            vectors = _bundler().bundles(part.column(1).to_pylist())
+            vectors = bundler.bundles(part.column(1).to_pylist())
             # Each text counts alike, however long it is.
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
             for lang, vector in zip(part.column(0).to_pylist(), vectors, strict=True):
@@ -156,12 +148,10 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], text_column: s
     units = np.array([prototypes[x] for x in langs], np.float32).reshape(len(langs), DIMENSIONS)
     units /= np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1e-9)
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
-    def judge(texts: pa.Array) -> pa.Array:
+    def judged(bundler: Bundler, texts: list[str | None]) -> pa.Array:
         names, scores = [], []
-        listed = texts.to_pylist()
-        for at in range(0, len(listed), 96):
-            vectors = _bundler().bundles(listed[at : at + 96])
+        for at in range(0, len(texts), 96):
+            vectors = bundler.bundles(texts[at : at + 96])
             norms = np.linalg.norm(vectors, axis=1)
             if not langs:
                 norms[:] = 0
@@ -173,6 +163,13 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], text_column: s
             scores += np.where(norms > 0, np.clip(cosines[np.arange(len(best)), best], 0, 1), 0).astype(float).tolist()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bundler = Bundler()  # one a task: its vectors do not stay in the worker for later stages
+        for texts in batches:
+            yield judged(bundler, texts.to_pylist())
+
+    each.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    judge = F.arrow_udf(each, "struct<lang_pred:string,score:double>")
     told = fresh(docs, "judged")
     out = docs.withColumn(told, judge(F.col(text_column).cast("string")))
     return out.select(*[c for c in docs.columns if c.lower() not in ("lang_pred", "score")], f"{told}.lang_pred", f"{told}.score")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ownerloom.llm._common import materialize
+from ownerloom.llm._common import materialize, small_batches
 from ownerloom.llm.encoding import encoder, vocabulary_path
 
 WINDOW = 2048
@@ -60,6 +60,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end
                     tails[tail] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, ENCODED)
 
 
