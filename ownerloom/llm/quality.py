@@ -7,7 +7,8 @@
    over the texts: no shuffle, no Python.
 
 Labels are learned from rows whose held_out() is false, about TRAIN_ROWS of them (a bound of the
-fit, chosen by a hash of the id). Labels, lang, source and doc_id are not inputs of a score.
+fit, chosen by a hash of the id). Labels, lang, source and doc_id are not inputs of a score. The same
+rows give the same model, however they are partitioned and in whatever order they come.
 
 Cases: a null text is an empty one and is scored like any other. With labels of one kind only every
 score is their mean (0 or 1); without labels it is 0.5. Null labels are not learned from. Null and
@@ -28,6 +29,10 @@ TREES = 12
 DEPTH = 3
 PENALTY = 0.002
 SEED = 17
+#: Partitions of the training rows; the forest samples each with a seed of its own.
+FIT_PARTITIONS = 6
+#: Decimals of a rule's weight: sums of doubles differ in their last digits with the order of tasks.
+WEIGHT_DECIMALS = 6
 
 STATISTICS = ("log_words", "mean_word", "distinct_share", "symbol_rate", "bang_rate", "bar_rate", "upper_share", "digit_share", "dup_line_share", "line_rate", "comma_rate", "stop_rate")
 
@@ -110,6 +115,11 @@ def tree_paths(trees: list, names: tuple[str, ...]) -> list[tuple[tuple[str, boo
     return sorted(found, key=lambda p: (len(p), p))
 
 
+def in_fixed_order(labelled: DataFrame) -> DataFrame:
+    """The rows dealt to partitions and sorted by their values alone; equal rows are alike, so ties do not matter."""
+    return labelled.repartition(FIT_PARTITIONS, "label", "stats").sortWithinPartitions("label", "stats")
+
+
 def fit_rules(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY) -> RuleModel:
     """labelled: stats (struct of STATISTICS) and label (0.0 or 1.0), of bounded size."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -118,11 +128,13 @@ def fit_rules(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, penal
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     if len(counts) < 2:
         return RuleModel(constant=next(iter(counts), 0.5))
+    labelled = in_fixed_order(labelled)
     flat = labelled.select("label", *[F.col(f"stats.{k}").alias(k) for k in STATISTICS])
     vectors = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(flat)
-    # Both kinds weigh alike, so that rules for the rarer kind are grown as well.
+    # Both kinds weigh alike, so that rules for the rarer kind are grown as well. Weights in 1/1024 have exact sums.
     total = sum(counts.values())
-    weight = F.when(F.col("label") == 1, F.lit(total / (2 * counts[1.0]))).otherwise(F.lit(total / (2 * counts[0.0])))
+    weights = {kind: round(1024 * total / (2 * n)) / 1024 for kind, n in counts.items()}
+    weight = F.when(F.col("label") == 1, F.lit(weights[1.0])).otherwise(F.lit(weights[0.0]))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=32, seed=SEED, weightCol="weight", featureSubsetStrategy="onethird").fit(vectors.withColumn("weight", weight))
     rules = tree_paths(forest.trees, STATISTICS)
     if not rules:
@@ -132,8 +144,8 @@ def fit_rules(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, penal
 
     marks = marks.select("label", array_to_vector("marks").alias("features"))
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60).fit(marks)
-    weights = lasso.coefficients.toArray().tolist()
-    return RuleModel(intercept=float(lasso.intercept), rules=[(r, w) for r, w in zip(rules, weights, strict=True) if w])
+    weights = [round(w, WEIGHT_DECIMALS) for w in lasso.coefficients.toArray().tolist()]
+    return RuleModel(intercept=round(float(lasso.intercept), WEIGHT_DECIMALS), rules=[(r, w) for r, w in zip(rules, weights, strict=True) if w])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: int = TRAIN_ROWS) -> DataFrame:

@@ -328,6 +328,8 @@ def test_quality_classifier(spark, odd, empty):
     assert set(out.columns) == {*odd.columns, "predicted"}
     assert all(0 <= r["score"] <= 1 for r in out.collect()) and out.count() == len(ODD)
     assert quality.scored(empty, model).count() == 0
+    turned = docs.orderBy(F.desc("doc_id")).repartition(7)
+    assert quality.fit_quality(turned, labels.repartition(3)) == model
     assert quality.fit_quality(docs, labels.where("quality = 1")).constant == 1.0
     assert quality.fit_quality(docs, labels.limit(0)).constant == 0.5
 
