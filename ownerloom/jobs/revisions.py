@@ -149,9 +149,15 @@ def render_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.render_conflicts(merging.three_way_classify(owners(spark, sf_dir)))
 
 
+def sequence_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Theirs against base; in theirs, orders with numbers divisible by 5 come first and backwards."""
+    theirs = revision(spark, sf_dir, "theirs").withColumn("pos", F.when(F.col("owner_id") % 5 == 0, -F.col("pos")).otherwise(F.col("pos")))
+    return merging.sequence_changes(revision(spark, sf_dir, "base"), theirs).select("case_id", "owner_id", "kind", "base_pos", "side_pos")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (three_way_classify, decision_summary, whole_source, merge_preconditions, owner_diff, directional_classify, owner_union, match_by_path, merge_comment_delta, merge_keyed_members, union_commutative_children, merge_archive_entries, structural_matches, merge_order, render_merged, render_conflicts)
+    for f in (three_way_classify, decision_summary, whole_source, merge_preconditions, owner_diff, directional_classify, owner_union, match_by_path, merge_comment_delta, merge_keyed_members, union_commutative_children, sequence_changes, merge_archive_entries, structural_matches, merge_order, render_merged, render_conflicts)
 }
 
 _SELECTED = "CASE decision WHEN 'select_ours' THEN 'ours' WHEN 'select_theirs' THEN 'theirs' END"
@@ -172,6 +178,11 @@ SELECT case_id, owner_id, row_number() OVER (PARTITION BY case_id ORDER BY r, p)
     "match_by_path": f"""WITH {OWNERS_CTE}, n AS (SELECT role, case_id, text AS path, pos, row_number() OVER (PARTITION BY role, case_id, text ORDER BY pos) AS occurrence FROM owners)
 SELECT coalesce(a.case_id, b.case_id) AS case_id, coalesce(a.path, b.path) AS path, coalesce(a.occurrence, b.occurrence) AS occurrence, a.pos AS template_pos, b.pos AS destination_pos
 FROM (SELECT * FROM n WHERE role = 'base') a FULL JOIN (SELECT * FROM n WHERE role = 'theirs') b ON a.case_id = b.case_id AND a.path = b.path AND a.occurrence = b.occurrence""",
+    "sequence_changes": f"""WITH {OWNERS_CTE}, b AS (SELECT * FROM owners WHERE role = 'base'), t AS (SELECT * EXCLUDE (pos), CASE WHEN owner_id % 5 = 0 THEN -pos ELSE pos END AS pos FROM owners WHERE role = 'theirs'),
+m AS (SELECT b.case_id, b.owner_id, b.pos AS base_pos, t.pos AS side_pos, b.text <> t.text AS changed FROM b JOIN t ON b.case_id = t.case_id AND b.owner_id = t.owner_id),
+n AS (SELECT *, lag(base_pos) OVER wb IS DISTINCT FROM lag(base_pos) OVER ws OR lead(base_pos) OVER wb IS DISTINCT FROM lead(base_pos) OVER ws AS moved FROM m WINDOW wb AS (PARTITION BY case_id ORDER BY base_pos), ws AS (PARTITION BY case_id ORDER BY side_pos))
+SELECT case_id, owner_id, 'modify' AS kind, base_pos, side_pos FROM n WHERE changed UNION ALL SELECT case_id, owner_id, 'move', base_pos, side_pos FROM n WHERE moved
+UNION ALL SELECT case_id, owner_id, 'delete', pos, NULL FROM b ANTI JOIN m USING (case_id, owner_id) UNION ALL SELECT case_id, owner_id, 'insert', NULL, pos FROM t ANTI JOIN m USING (case_id, owner_id)""",
     "merge_comment_delta": _COMMENT_SQL,
     "merge_keyed_members": _KEYED_SQL,
     "union_commutative_children": _UNION_SQL,

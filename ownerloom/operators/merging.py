@@ -318,6 +318,29 @@ def render_conflicts(decisions: DataFrame, marker_size: int = 7, labels: tuple[s
     return decisions.where("alternatives IS NOT NULL").select("case_id", "owner_id", block.alias("block"))
 
 
+def sequence_changes(base: DataFrame, side: DataFrame, identity: str = "owner_id") -> DataFrame:
+    """case_id, identity, occurrence, kind (insert, delete, modify, move), base_pos and side_pos of one side against base.
+
+    The n-th node of an identity is the n-th on the other side. A node moved if its neighbours among the nodes that
+    both sides have differ between the two orders; a node may be modified and moved. Places are distinct in a case."""
+    nth = Window.partitionBy("case_id", identity).orderBy("pos")
+    nodes = lambda df, name: df.select("case_id", identity, F.row_number().over(nth).alias("occurrence"), F.col("pos").alias(f"{name}_pos"), F.col("fingerprint").alias(f"{name}_hash"))
+    rows = nodes(base, "base").join(nodes(side, "side"), ["case_id", identity, "occurrence"], "full_outer")
+    rows = rows.withColumn("matched", F.col("base_pos").isNotNull() & F.col("side_pos").isNotNull())
+    as_base, as_side = (Window.partitionBy("case_id", "matched").orderBy(name) for name in ("base_pos", "side_pos"))
+    stayed = F.lit(True)
+    for step in (F.lag, F.lead):
+        stayed = stayed & step("base_pos").over(as_base).eqNullSafe(step("base_pos").over(as_side))
+    rows = rows.withColumn("stayed", stayed)
+    kinds = F.array(
+        F.when(F.col("base_pos").isNull(), "insert"),
+        F.when(F.col("side_pos").isNull(), "delete"),
+        F.when(F.col("matched") & ~F.col("base_hash").eqNullSafe(F.col("side_hash")), "modify"),
+        F.when(F.col("matched") & ~F.col("stayed"), "move"),
+    )
+    return rows.select("case_id", identity, "occurrence", F.explode(F.array_compact(kinds)).alias("kind"), "base_pos", "side_pos")
+
+
 def verify_byte_segments(segments: DataFrame) -> DataFrame:
     """segments (case_id, segment_id, src binary, src_start, src_end, out binary, out_start, out_end, sha256)
     -> case_id and the first error by place, null if all hold."""

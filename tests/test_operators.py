@@ -254,6 +254,17 @@ def test_lineage_and_deletions(spark):
     assert [r["chunk_id"] for r in ingest.authorize_deletions(requests, authorities, removed, prior).collect()] == ["b"]
 
 
+def test_sequence_changes(spark):
+    schema = "case_id int, owner_id string, fingerprint string, pos int"
+    side = lambda names: spark.createDataFrame([(1, n[0], n, i) for i, n in enumerate(names)], schema)
+    found = lambda a, b: {(r["owner_id"], r["kind"]) for r in merging.sequence_changes(side(a), side(b)).collect()}
+    assert found(["a", "b", "c"], ["a", "b", "c"]) == set()
+    assert found(["a", "b", "c"], ["a", "b2", "x"]) == {("b", "modify"), ("c", "delete"), ("x", "insert")}
+    assert found(["a", "b", "c", "d"], ["b", "a", "c", "d"]) == {("a", "move"), ("b", "move"), ("c", "move")}
+    assert found(["a"], ["x", "a"]) == {("x", "insert")}
+    assert found([], []) == set()
+
+
 def test_registered_names_have_sql_of_known_queries():
     import __spark_entry__ as entry
 
