@@ -21,7 +21,7 @@ not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,14 +137,18 @@ def grouped(prints: DataFrame) -> DataFrame:
     return prints.join(by_print, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups: DataFrame | None = None, prints: Callable[[pa.Array], pa.Array] | None = None) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (then the smallest fingerprint).
 
+    Other groups than those of fingerprints come as a table (doc_id, fp, component), with the function
+    that gives the fp of texts.
+
     Rows that go are found by their ids and leave by an anti join, so texts are shuffled only where
     those ids are too many to broadcast. Ids that several rows share are settled on their own, by
     fingerprint. A component of null ids only keeps one row as well.
     """
-    groups = materialize(grouped(materialize(fingerprints(docs), "simhash-prints")).select("doc_id", "fp", "component"), "simhash-groups")
+    if groups is None:
+        groups = materialize(grouped(materialize(fingerprints(docs), "simhash-prints")).select("doc_id", "fp", "component"), "simhash-groups")
     stay = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp")).alias("s")).select("s.doc_id", "s.fp")
     stay = materialize(stay, "simhash-stay")
     shared = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("shared_id"))
@@ -156,8 +160,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     out = docs.join(gone, id_of.eqNullSafe(F.col("gone_id")), "left_anti")
     if shared.isEmpty():
         return out
-    again = docs.join(shared, id_of.eqNullSafe(F.col("shared_id")), "left_semi").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("text"))
-    again = again.withColumn("fp", F.arrow_udf(_prints, "long")("text"))
+    again = docs.join(shared, id_of.eqNullSafe(F.col("shared_id")), "left_semi").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    again = again.withColumn("fp", F.arrow_udf(prints, "long")("text") if prints else F.arrow_udf(_prints, "long")(F.encode("text", "utf-8")))
     again = again.join(stay.withColumnsRenamed({"doc_id": "stay_id", "fp": "stay_fp"}), F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("fp") == F.col("stay_fp")), "left_semi")
     return out.unionByName(again.groupBy("doc_id", "fp").agg(F.first("row").alias("row")).select("row.*"))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ownerloom.llm import compaction, components, decontaminate, encoding, langid, packing, quality, rules, simhash, sstable, urls, warc
+from ownerloom.llm import compaction, components, decontaminate, encoding, langid, nearcopies, packing, quality, rules, simhash, sstable, urls, warc
 from ownerloom.llm._common import held_out, scratch
 
 SF = "/root/testdata/sf0.001"
@@ -398,6 +398,60 @@ def test_compaction_keeps_rows_and_versions(spark, odd, docs):
     assert store.vacuum() > 0 and key(store.read()) == key(everything)
 
 
+# -- near copies by five-word shingles ----------------------------------------------------------
+
+
+def _word_sets(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def _jaccard_groups(texts):
+    """Component of each text by all pairs of word sets: the first index that each reaches."""
+    found = [_word_sets(t) for t in texts]
+    root = list(range(len(found)))
+    for i, a in enumerate(found):
+        for j in range(i):
+            common = len(a & found[j])
+            if root[i] != root[j] and 9 * common >= 4 * (len(a) + len(found[j])):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("cell_limit", [24, 3])
+def test_near_copies_against_all_pairs(spark, cell_limit):
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect()]
+    line = "this common line of ten words stands in many texts "
+    for base in range(8):
+        words = rng.choice(vocabulary, 60 + 40 * base).tolist()
+        for copy in range(12):
+            changed = list(words)
+            for at in rng.integers(0, len(words), copy % 6 * (1 + base // 3)):
+                changed[at] = str(rng.choice(vocabulary))
+            texts.append((line if copy % 2 else "") + " ".join(changed))
+    texts += ["", None, " \n", "a b", "A  b", "a b c d", "a b c d e", "a b c d e f g h", "a b c d e f g h i"] + [line + f"x{i} y{i}" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = nearcopies.sets(docs, nearcopies.frequent_shingles(docs)).localCheckpoint()
+    found = {r["node"]: r["component"] for r in components.connected_components(nearcopies.links(prints, cell_limit=cell_limit, stars=1)).collect()}
+    names = {r["doc_id"]: found.get(r["fp"], r["fp"]) for r in prints.select("doc_id", "fp").collect()}
+    first: dict = {}
+    told = [first.setdefault(names[i], i) for i in range(len(texts))]
+    assert told == _jaccard_groups(texts) and 80 < len(set(told)) < len(texts) - 20
+
+
+def test_pipeline_drops_near_copies_of_many_bits(spark):
+    import corpus_pipeline
+
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id IN (2465, 5733)").collect()}
+    docs = spark.createDataFrame([(1, rows[2465]), (2, rows[5733]), (3, rows[2465]), (3, "some other text of more than five words"), (None, rows[5733])], "doc_id long, text string")
+    assert (_plain_print(rows[2465]) ^ _plain_print(rows[5733])).bit_count() == 5
+    kept = corpus_pipeline.unlike(spark, docs, SF)
+    assert sorted((r["doc_id"], len(r["text"])) for r in kept.collect()) == [(1, len(rows[2465])), (3, 39)]
+
+
 # -- pipeline ---------------------------------------------------------------------------------
 
 
