@@ -10,8 +10,9 @@ The benchmark goes to the workers in blocks of at most BLOCK_CHARS characters, o
 documents for each block, so what a worker holds does not grow with the benchmark. Documents are
 never shuffled.
 
-Cases: null and empty texts match nothing; neither do null items and items with fewer than MIN_CHARS
-characters after normalizing. Repeated items report each of their ids. Null and repeated doc_ids
+Cases: null and empty texts match nothing; neither do null items and items
+without a letter or digit. Items with fewer than MIN_CHARS characters after normalizing have no budget and
+must stand between word bounds (in scripts without spaces, anywhere). Repeated items report each of their ids. Null and repeated doc_ids
 keep their rows. Texts of any length are searched whole. An empty table gives no rows. Other columns
 are not read by contaminated() and stay as they are in remove_contaminated().
 """
@@ -29,11 +30,13 @@ from ownerloom.llm._common import fresh, materialize
 
 #: Edits allowed for each 100 characters of an item.
 EDITS_PER_100 = 5
-#: Shorter items are no evidence.
+#: Shorter items must stand unchanged, as whole words.
 MIN_CHARS = 30
 #: Normalized characters of benchmark text in one pass.
 BLOCK_CHARS = 4_000_000
 _GAPS = re.compile(r"[\W_]+")
+#: Thai, Lao, Tibetan, Myanmar, Khmer, kana and Chinese characters: words are not parted by spaces.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normalize(text: str) -> str:
@@ -44,6 +47,11 @@ def budget(n_chars: int, edits_per_100: int = EDITS_PER_100) -> int:
     return n_chars * edits_per_100 // 100
 
 
+def whole_words(text: str, begin: int, end: int) -> bool:
+    """Both ends of text[begin:end] are word bounds."""
+    return all(at in (0, len(text)) or " " in text[at - 1 : at + 1] or _UNSPACED.search(text[at - 1 : at + 1]) for at in (begin, end))
+
+
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     """edits + 1 pieces of nearly equal length that make up the item, with their places."""
     n = edits + 1
@@ -84,7 +92,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], edits_per_100: int):
         import ahocorasick
 
-        self.items = [(item_id, text, budget(len(text), edits_per_100)) for item_id, text in items]
+        self.items = [(item_id, text, budget(len(text), edits_per_100) if len(text) >= MIN_CHARS else 0) for item_id, text in items]
         self.search = ahocorasick.Automaton()
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, edits) in enumerate(self.items):
@@ -106,6 +114,10 @@ class Matcher:
                 begin = end + 1 - length - at
                 if k in best and best[k][0] == 0:
                     continue
+                if len(item) < MIN_CHARS:
+                    if whole_words(text, begin, end + 1):
+                        best[k] = (0, end + 1)
+                    continue
                 lo, hi = max(0, begin - edits), min(len(text), begin + len(item) + edits)
                 spans = tried.setdefault(k, [])
                 if any(a <= lo and hi <= b for a, b in spans[-4:]):
@@ -134,7 +146,7 @@ def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> It
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
     for item_id, text in rows.toLocalIterator():
         text = normalize(text)
-        if len(text) < MIN_CHARS:
+        if not text:
             continue
         block.append((item_id, text))
         chars += len(text)

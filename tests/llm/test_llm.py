@@ -274,6 +274,14 @@ def test_passages_within_budget(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_as_whole_words(spark):
+    rows = [(1, "So: who wrote Hamlet? Nobody."), (2, "who wrote hamlets"), (3, "who wrotte hamlet"), (4, "前中国的首都是哪里后"), (5, "Who wrote\nHAMLET"), (6, "xwho wrote hamlet who wrote hamlet"), (7, "and")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "中国的首都是哪里"), (3, "?!"), (4, "")], "item_id long, text string")
+    found = decontaminate.contaminated(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in found} == {(1, 1, 0), (4, 2, 0), (5, 1, 0), (6, 1, 0)}
+
+
 def test_matcher_finds_all_random_edits():
     rng = np.random.default_rng(8)
     letters = list("abcdefgh ")
