@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ownerloom.llm._common import fresh, held_out, unit_hash
@@ -31,6 +31,9 @@ TRAIN_PER_LANGUAGE = 4_000
 #: A worker keeps the vectors of at most so many trigrams and starts anew beyond that.
 TRIGRAMS_KEPT = 60_000
 UNKNOWN = "und"
+#: The share of training texts of a size that may lie below the floor, and how many texts a floor needs.
+FLOOR_QUANTILE = 0.001
+FLOOR_ROWS = 50
 
 _letters: dict[int, np.ndarray] = {}
 _table: list = []
@@ -106,17 +109,24 @@ def _groups(batches: Iterable[pa.RecordBatch], rows: int = 96) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def fit_prototypes(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> dict[str, list[float]]:
-    """Language -> prototype, from rows of docs (doc_id, text, lang) that are not held out."""
+def training_rows(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame | None:
+    """The bounded sample (doc_id, text, lang) that is learned from; None without a labelled row."""
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
-        return {}
+        return None
     share = F.lit(1.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    chosen = rows.where(unit_hash("doc_id", seed=8) < share)
+    return rows.where(unit_hash("doc_id", seed=8) < share)
+
+
+def fit_prototypes(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> dict[str, list[float]]:
+    """Language -> prototype, from rows of docs (doc_id, text, lang) that are not held out."""
+    chosen = training_rows(docs, per_language)
+    if chosen is None:
+        return {}
     schema = pa.schema([("lang", pa.string()), ("place", pa.int32()), ("value", pa.float64())])
 
     def bundle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +185,31 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], text_column: s
     return out.select(*[c for c in docs.columns if c.lower() not in ("lang_pred", "score")], f"{told}.lang_pred", f"{told}.score")
 
 
+def _size_class(text: Column) -> Column:
+    """The binary logarithm of a text's length, in whole numbers."""
+    return F.floor(F.log2(F.greatest(F.length(text), F.lit(1)))).cast("int")
+
+
+def fit_floors(docs: DataFrame, prototypes: dict[str, list[float]]) -> dict[int, float]:
+    """Size class -> the FLOOR_QUANTILE of the cosines that training texts of the class have with their own
+    language; classes with fewer than FLOOR_ROWS texts are left out. One row a class comes to the driver."""
+    chosen = training_rows(docs)
+    if chosen is None:
+        return {}
+    told = identify(chosen, prototypes).where("lang_pred = lang")
+    low = told.groupBy(_size_class(F.col("text")).alias("size")).agg(F.percentile_approx("score", FLOOR_QUANTILE, 100_000).alias("floor"), F.count("*").alias("n"))
+    return {r["size"]: r["floor"] for r in low.where(F.col("n") >= FLOOR_ROWS).collect()}
+
+
+def is_learned(floors: dict[int, float], text_column: str = "text") -> Column:
+    """True where score reaches the floor of the text's size class. A class without a floor takes that of the
+    next smaller class; texts smaller than all of them cannot be told and pass."""
+    size, floor = _size_class(F.col(text_column).cast("string")), F.lit(0.0)
+    for k in sorted(floors):
+        floor = F.when(size >= k, F.lit(floors[k])).otherwise(floor)
+    return F.col("score") >= floor
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: every document, whole texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -450,6 +450,21 @@ def test_near_copies_against_all_pairs(spark, cell_limit):
     assert told == _jaccard_groups(texts) and 80 < len(set(told)) < len(texts) - 20
 
 
+def test_pipeline_drops_languages_not_learned(spark):
+    import corpus_pipeline
+
+    others = {
+        -1: "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, ché la diritta via era smarrita. Ahi quanto a dir qual era è cosa dura esta selva selvaggia e aspra e forte che nel pensier rinova la paura! Tant' è amara che poco è più morte; ma per trattar del ben ch'i' vi trovai, dirò de l'altre cose ch'i' v'ho scorte. Io non so ben ridir com' i' v'intrai, tant' era pien di sonno a quel punto che la verace via abbandonai.",
+        -2: "Litwo! Ojczyzno moja! ty jesteś jak zdrowie. Ile cię trzeba cenić, ten tylko się dowie, kto cię stracił. Dziś piękność twą w całej ozdobie widzę i opisuję, bo tęsknię po tobie. Panno święta, co Jasnej bronisz Częstochowy i w Ostrej świecisz Bramie! Ty, co gród zamkowy nowogródzki ochraniasz z jego wiernym ludem! Jak mnie dziecko do zdrowia powróciłaś cudem.",
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 3000").select("doc_id", "text", "lang")
+    rows = [(k, t, None) for k, t in others.items()] + [(-3, "ok then", None), (-4, "123", None)]
+    given = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, given, SF).select("doc_id").collect()}
+    assert {k for k in kept if k < 0} == {-3}
+    assert len({k for k in kept if k >= 0}) >= 0.995 * docs.count()
+
+
 def test_pipeline_drops_near_copies_of_many_bits(spark):
     import corpus_pipeline
 
