@@ -61,7 +61,9 @@ def match_identities(template: DataFrame, destination: DataFrame) -> DataFrame:
 def structural_matches(before: DataFrame, after: DataFrame) -> DataFrame:
     """moved (one signature at another place), rename (one body under another signature) and ambiguous rows.
 
-    Nodes: case_id, signature, parent, pos, body_hash. A signature with more than one node on a side is ambiguous."""
+    Nodes: case_id, signature, parent, pos, body_hash. A signature with more than one node on a side is ambiguous,
+    and so is a gone signature whose body stands on both sides and more than once on one of them; before_candidates
+    and after_candidates count the nodes of that body (null in all other rows)."""
     a, b = before.alias("a"), after.alias("b")
     count = Window.partitionBy("case_id", "signature")
     many = lambda df: df.withColumn("n", F.count("*").over(count)).where("n > 1").select("case_id", "signature").distinct()
@@ -74,7 +76,11 @@ def structural_matches(before: DataFrame, after: DataFrame) -> DataFrame:
     once = lambda df: df.withColumn("n", F.count("*").over(Window.partitionBy("case_id", "body_hash"))).where("n = 1").drop("n")
     renamed = once(gone).alias("a").join(once(new).alias("b"), ["case_id", "body_hash"]).select("case_id", F.col("a.signature").alias("signature"), F.col("b.signature").alias("to_signature"), F.lit("rename").alias("kind"), F.levenshtein("a.signature", "b.signature").alias("distance"))
     told = ambiguous.select("case_id", "signature", F.lit(None).cast("string").alias("to_signature"), F.lit("ambiguous").alias("kind"), F.lit(0).alias("distance"))
-    return moved.unionByName(renamed).unionByName(told)
+    bodies = lambda df, n: df.groupBy("case_id", "body_hash").agg(F.count("*").alias(n))
+    many_bodies = bodies(gone, "before_candidates").join(bodies(new, "after_candidates"), ["case_id", "body_hash"]).where("before_candidates > 1 OR after_candidates > 1")
+    unsure = gone.select("case_id", "signature", "body_hash").distinct().join(many_bodies, ["case_id", "body_hash"]).join(ambiguous, ["case_id", "signature"], "left_anti")
+    unsure = unsure.select("case_id", "signature", F.lit(None).cast("string").alias("to_signature"), F.lit("ambiguous").alias("kind"), F.lit(0).alias("distance"), "before_candidates", "after_candidates")
+    return moved.unionByName(renamed).unionByName(told).unionByName(unsure, allowMissingColumns=True)
 
 
 def owner_diff(before: DataFrame, after: DataFrame) -> DataFrame:

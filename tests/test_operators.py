@@ -269,3 +269,11 @@ def test_registered_names_have_sql_of_known_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_structural_matches_reports_repeated_bodies(spark):
+    nodes = "case_id int, signature string, parent string, pos int, body_hash string"
+    before = spark.createDataFrame([(1, "a", "r", 0, "x"), (1, "b", "r", 1, "x"), (1, "c", "r", 2, "y"), (1, "d", "r", 3, "z"), (1, "e", "r", 4, "lone")], nodes)
+    after = spark.createDataFrame([(1, "p", "r", 0, "x"), (1, "q", "r", 1, "y"), (1, "s", "r", 2, "y"), (1, "t", "r", 3, "z")], nodes)
+    got = {(r["signature"], r["to_signature"], r["kind"], r["before_candidates"], r["after_candidates"]) for r in merging.structural_matches(before, after).collect()}
+    assert got == {("a", None, "ambiguous", 2, 1), ("b", None, "ambiguous", 2, 1), ("c", None, "ambiguous", 1, 2), ("d", "t", "rename", None, None)}
