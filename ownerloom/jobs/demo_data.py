@@ -15,7 +15,7 @@ OWNERS_SQL = """
 SELECT 'base' AS role, o_custkey AS case_id, o_orderkey AS owner_id, 'p' AS path, o_orderkey AS pos, concat(o_orderpriority, '|', o_orderstatus) AS text
 FROM orders WHERE o_orderkey % 13 <> 0
 UNION ALL
-SELECT 'ours', o_custkey, o_orderkey, 'p', o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN concat(o_orderpriority, '|', o_orderstatus, '|A') ELSE concat(o_orderpriority, '|', o_orderstatus) END
+SELECT 'ours', o_custkey, o_orderkey, CASE WHEN o_orderkey % 23 = 0 THEN 'q' ELSE 'p' END, o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN concat(o_orderpriority, '|', o_orderstatus, '|A') ELSE concat(o_orderpriority, '|', o_orderstatus) END
 FROM orders WHERE (o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0) OR (o_orderkey % 13 = 0 AND o_orderkey % 2 = 0)
 UNION ALL
 SELECT 'theirs', o_custkey, o_orderkey, 'p', o_orderkey,

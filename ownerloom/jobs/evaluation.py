@@ -59,26 +59,32 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     results = li.select(F.col("l_returnflag").alias("extension"), F.concat(F.lit("repo"), (F.col("l_suppkey") % 10).cast("string")).alias("repository"), F.when(F.col("l_linestatus") == "O", "completed").otherwise("failed").alias("status"), F.col("l_quantity").alias("seconds"), (F.col("l_partkey") % 3 == 0).alias("markers"), (F.col("l_partkey") % 2 == 0).alias("exact"))
-    out = reports.run_scorecard(results, exact_percentiles=True)
+    out = reports.run_scorecard(results)
     return out.select("dimension", "value", "cases", "applied", "clean", "exact", F.round("safety", 9).alias("safety"), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), F.round("throughput", 9).alias("throughput"))
 
 
 _SCORE_SQL = """WITH r AS (SELECT l_returnflag AS extension, 'repo' || l_suppkey % 10 AS repository, l_linestatus = 'O' AS a, l_quantity AS s, l_partkey % 3 = 0 AS m, l_partkey % 2 = 0 AS e FROM lineitem)
 SELECT CASE WHEN grouping(extension) = 0 THEN 'extension' WHEN grouping(repository) = 0 THEN 'repository' ELSE 'all' END AS dimension, coalesce(extension, repository, 'all') AS value, count(*) AS cases, count(*) FILTER (a) AS applied, count(*) FILTER (a AND NOT m) AS clean, count(*) FILTER (a AND NOT m AND e) AS exact,
-  round(count(*) FILTER (a AND NOT m AND e)::DOUBLE / nullif(count(*) FILTER (a AND NOT m), 0), 9) AS safety, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.95), 6) AS p95, round(count(*) / sum(s), 9) AS throughput
+  round(count(*) FILTER (a AND NOT m AND e)::DOUBLE / nullif(count(*) FILTER (a AND NOT m), 0), 9) AS safety, round(quantile_disc(s, 0.5), 6) AS p50, round(quantile_disc(s, 0.95), 6) AS p95, round(count(*) / sum(s), 9) AS throughput
 FROM r GROUP BY GROUPING SETS ((extension), (repository), ())"""
 
 
+#: Outcomes of the demo: one that no run has, one that the contract does not list, a false merge and both excluded ones.
+_OUTCOMES = ("clean_exact", "conflict", "false_auto_merge", "unsupported", "excluded_ambiguous", "surprise")
+
+
 def benchmark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    outcome = F.element_at(F.array(*[F.lit(o) for o in reports.OUTCOMES]), (F.col("l_partkey") % 5 + 1).cast("int"))
-    return reports.benchmark_summary(li.select((F.col("l_suppkey") % 4).alias("run_id"), outcome.alias("outcome"), (F.col("l_partkey") % 1000 == 1).alias("false_auto_merge")))
+    li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    outcome = F.when((F.col("l_suppkey") % 4 == 3) & (F.col("l_partkey") % 6 == 2), "conflict").otherwise(F.element_at(F.array(*[F.lit(o) for o in _OUTCOMES]), (F.col("l_partkey") % 6 + 1).cast("int")))
+    results = li.select((F.col("l_suppkey") % 4).alias("run_id"), F.col("l_partkey").alias("case_id"), outcome.alias("outcome"))
+    known = spark.createDataFrame([(o,) for o in (*_OUTCOMES[:-1], "error")], "outcome string")
+    return reports.benchmark_summary(results, known, part.select(F.col("p_partkey").alias("case_id"), (F.col("p_partkey") % 5 > 0).alias("score_eligible")))
 
 
-_BENCH_SQL = """WITH r AS (SELECT l_suppkey % 4 AS run_id, ['clean_exact', 'clean_differs', 'conflict', 'error', 'unsupported'][l_partkey % 5 + 1] AS outcome, l_partkey % 1000 = 1 AS f FROM lineitem),
-t AS (SELECT run_id, count(*) FILTER (outcome <> 'unsupported') AS eligible, count(*) FILTER (outcome = 'unsupported') AS excluded, count(*) FILTER (outcome <> 'unsupported' AND f) AS false_auto_merges FROM r GROUP BY 1),
-o AS (SELECT unnest(['clean_exact', 'clean_differs', 'conflict', 'error', 'unsupported', 'excluded_ambiguous']) AS outcome)
-SELECT t.run_id, o.outcome, count(r.run_id) AS n, t.eligible, t.excluded, t.false_auto_merges, CASE WHEN t.false_auto_merges = 0 THEN 'pass' ELSE 'fail' END AS safety FROM t CROSS JOIN o LEFT JOIN r ON r.run_id = t.run_id AND r.outcome = o.outcome GROUP BY ALL"""
+_BENCH_SQL = """WITH r AS (SELECT l_suppkey % 4 AS run_id, CASE WHEN l_suppkey % 4 = 3 AND l_partkey % 6 = 2 THEN 'conflict' ELSE ['clean_exact', 'conflict', 'false_auto_merge', 'unsupported', 'excluded_ambiguous', 'surprise'][l_partkey % 6 + 1] END AS outcome, coalesce(p_partkey % 5 > 0, false) AS ok FROM lineitem LEFT JOIN part ON p_partkey = l_partkey),
+t AS (SELECT run_id, count(*) FILTER (ok AND outcome NOT IN ('unsupported', 'excluded_ambiguous')) AS eligible, count(*) FILTER (outcome IN ('unsupported', 'excluded_ambiguous')) AS excluded, count(*) FILTER (ok AND outcome = 'false_auto_merge') AS false_auto_merges FROM r GROUP BY 1),
+o AS (SELECT unnest(['clean_exact', 'conflict', 'false_auto_merge', 'unsupported', 'excluded_ambiguous', 'error']) AS outcome, true AS known), g AS (SELECT run_id, outcome, known FROM t CROSS JOIN o UNION ALL SELECT DISTINCT run_id, outcome, false FROM r WHERE outcome NOT IN (SELECT outcome FROM o))
+SELECT g.run_id, g.outcome, g.known, count(r.run_id) AS n, t.eligible, t.excluded, t.false_auto_merges, CASE WHEN t.false_auto_merges = 0 THEN 'pass' ELSE 'fail' END AS safety FROM g JOIN t USING (run_id) LEFT JOIN r ON r.run_id = g.run_id AND r.outcome = g.outcome GROUP BY ALL"""
 
 
 def suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,14 +97,19 @@ _SUITE_SQL = """SELECT l_returnflag AS suite, count(*) AS total, count(*) FILTER
 
 
 def score_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = F.when(F.col("doc_id") % 3 == 0, F.concat(F.regexp_replace("text", "\n", " \n"), F.lit(" \n"))).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("\n=======\n"))).otherwise(F.col("text"))
+    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 6
+    out = (
+        F.when(k == 0, F.concat(F.regexp_replace("text", "\n", " \t\n"), F.lit(" \n"))).when(k == 1, F.concat("text", F.lit("\n=======\n"))).when(k == 2, F.concat("text", F.lit("\n\n")))
+        .when(k == 3, F.regexp_replace("text", "\n", "\r")).when(k == 4, F.concat(F.lit("\n"), "text")).otherwise(F.col("text"))
+    )
     return reports.score_agreement(docs.select(F.col("doc_id").alias("case_id"), F.col("text").alias("expected"), out.alias("output")))
 
 
-_AGREE_SQL = r"""WITH d AS (SELECT doc_id AS case_id, text AS e, CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), ' ' || chr(10)) || ' ' || chr(10) WHEN 1 THEN text || chr(10) || '=======' || chr(10) ELSE text END AS o FROM documents),
-t AS (SELECT *, regexp_replace(regexp_replace(o, '[ \t\r\f\x0B]+\n', chr(10), 'g'), '\s+$', '') AS no, regexp_replace(regexp_replace(e, '[ \t\r\f\x0B]+\n', chr(10), 'g'), '\s+$', '') AS ne FROM d)
-SELECT case_id, o = e AS exact, no = ne AS normalized, contains(o, '=======') OR contains(o, '<<<<<<<') AS markers, sha256(o) AS sha256 FROM t"""
+_LINES = "list_transform(string_split(CASE WHEN ends_with({u}, chr(10)) THEN left({u}, length({u}) - 1) ELSE {u} END, chr(10)), lambda x: rtrim(x, ' ' || chr(9) || chr(11) || chr(12)))"
+_AGREE_SQL = f"""WITH d AS (SELECT doc_id AS case_id, text AS e, CASE doc_id % 6 WHEN 0 THEN replace(text, chr(10), ' ' || chr(9) || chr(10)) || ' ' || chr(10) WHEN 1 THEN text || chr(10) || '=======' || chr(10) WHEN 2 THEN text || chr(10) || chr(10)
+  WHEN 3 THEN replace(text, chr(10), chr(13)) WHEN 4 THEN chr(10) || text ELSE text END AS o FROM documents),
+u AS (SELECT *, replace(replace(o, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS uo, replace(replace(e, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS ue FROM d)
+SELECT case_id, o = e AS exact, (o = '') = (e = '') AND {_LINES.format(u="uo")} = {_LINES.format(u="ue")} AS normalized, contains(o, '=======') OR contains(o, '<<<<<<<') AS markers, sha256(o) AS sha256 FROM u"""
 
 
 def pair_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,11 +150,11 @@ def is_rfc3339(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plan_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     k = F.col("page_id")
-    name = F.when(k % 10 == 0, ".kettle-jem.yml").when(k % 10 == 1, ".env.local").otherwise(F.concat(F.lit("d/"), k.cast("string"), F.when(k % 2 == 0, ".yml").otherwise(".md")))
+    name = F.when(k % 10 == 0, ".settings.yml").when(k % 10 == 1, ".env.local").otherwise(F.concat(F.lit("d/"), k.cast("string"), F.when(k % 2 == 0, ".yml").otherwise(".md")))
     templates = pages.select("page_id", F.concat(name, F.when(k % 3 == 0, ".no-osc.example").when(k % 3 == 1, ".example").otherwise("")).alias("template_source_path"))
     overrides = pages.where("page_id % 4 = 2").select(F.concat(F.lit("./d/"), k.cast("string"), F.lit(".yml")).alias("path"), F.lit("keep_destination").alias("strategy"), k.alias("override_order"))
     there = pages.where("page_id % 5 = 3").select(F.concat(F.lit("d/"), k.cast("string"), F.when(k % 2 == 0, ".yml").otherwise(".md")).alias("destination_path"))
-    out = paths.plan_template_execution(paths.plan_template_paths(templates, overrides), there)
+    out = paths.plan_template_execution(paths.plan_template_paths(templates, overrides, omitted=(".settings.yml",)), there)
     return out.select("page_id", "destination_path", "strategy", "action", "write_action", "execution_action", "ready")
 
 

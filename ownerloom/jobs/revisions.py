@@ -12,6 +12,7 @@ _BY_OWNER = f"""WITH {OWNERS_CTE},
 r AS (SELECT case_id, owner_id,
   max(fingerprint) FILTER (role = 'base') AS b, max(fingerprint) FILTER (role = 'ours') AS o, max(fingerprint) FILTER (role = 'theirs') AS t,
   max(text) FILTER (role = 'base') AS bt, max(text) FILTER (role = 'ours') AS ot, max(text) FILTER (role = 'theirs') AS tt,
+  max(path) FILTER (role = 'base') AS bpath, max(path) FILTER (role = 'ours') AS opath, max(path) FILTER (role = 'theirs') AS tpath,
   max(pos) FILTER (role = 'base') AS bp, max(pos) FILTER (role = 'ours') AS op, max(pos) FILTER (role = 'theirs') AS tp FROM owners GROUP BY ALL),
 d AS (SELECT *, CASE
   WHEN b IS NOT NULL AND o IS NOT NULL AND t IS NOT NULL THEN CASE WHEN o = t OR b = t THEN 'select_ours' WHEN b = o THEN 'select_theirs' ELSE 'conflict_edit_edit' END
@@ -36,7 +37,9 @@ def whole_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_preconditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = owners(spark, sf_dir)
+    """In theirs of every third case, orders with numbers divisible by 5 come first and backwards."""
+    turned = (F.col("role") == "theirs") & (F.col("case_id") % 3 == 0) & (F.col("owner_id") % 5 == 0)
+    rows = owners(spark, sf_dir).withColumn("pos", F.when(turned, -F.col("pos")).otherwise(F.col("pos")))
     return merging.merge_preconditions(rows, merging.three_way_classify(rows))
 
 
@@ -89,13 +92,14 @@ def union_commutative_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     nodes = part.select((k % 50).alias("case_id"), F.when(k % 50 < 40, "commutative").otherwise("ordered").alias("parent_policy"), F.when(k % 3 == 0, "base").when(k % 3 == 1, "left").otherwise("right").alias("side"), k.alias("pos"), k.cast("string").alias("node_id"), F.when(k % 4 != 0, F.col("p_name")).alias("signature"))
-    return merging.union_commutative_children(nodes).select("case_id", "node_id", F.col("rank").cast("long").alias("rank"))
+    return merging.union_commutative_children(nodes).select("case_id", "node_id", F.col("rank").cast("long").alias("rank"), "resolved")
 
 
 _UNION_SQL = """WITH n AS (SELECT p_partkey % 50 AS case_id, p_partkey AS pos, CAST(p_partkey AS VARCHAR) AS node_id, CASE WHEN p_partkey % 3 = 0 THEN 0 WHEN p_partkey % 3 = 1 THEN 1 ELSE 2 END AS side,
   CASE WHEN p_partkey % 4 <> 0 THEN p_name ELSE CAST(p_partkey AS VARCHAR) END AS k FROM part WHERE p_partkey % 50 < 40),
 f AS (SELECT case_id, node_id, side, pos FROM n QUALIFY row_number() OVER (PARTITION BY case_id, k ORDER BY side, pos) = 1)
-SELECT case_id, node_id, row_number() OVER (PARTITION BY case_id ORDER BY side, pos) - 1 AS rank FROM f"""
+SELECT case_id, node_id, row_number() OVER (PARTITION BY case_id ORDER BY side, pos) - 1 AS rank, true AS resolved FROM f
+UNION ALL SELECT DISTINCT p_partkey % 50, NULL, NULL, false FROM part WHERE p_partkey % 50 >= 40"""
 
 
 def merge_archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,10 +116,9 @@ def merge_archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ARCHIVE_SQL = """WITH e AS (SELECT p_partkey AS k, p_partkey % 10 AS case_id, (CASE WHEN k % 31 = 0 THEN '' ELSE 'a/' END) || k || (CASE WHEN k % 5 = 0 THEN '.json' WHEN k % 7 = 0 THEN '.MD' ELSE '.bin' END) AS normalized_path FROM part)
 SELECT case_id, normalized_path, operation, CASE WHEN operation = 'delegate' THEN family END AS nested_family, reason FROM (
   SELECT *, CASE WHEN reason IS NOT NULL THEN 'reject' WHEN k % 11 = 0 THEN 'add' WHEN k % 13 = 0 THEN 'delete' WHEN k % 2 <> 0 THEN 'preserve' WHEN family IS NOT NULL THEN 'delegate' ELSE 'rewrite' END AS operation FROM (
-    SELECT case_id, k, CASE WHEN k % 31 <> 0 THEN normalized_path ELSE normalized_path END AS normalized_path,
+    SELECT case_id, k, normalized_path,
       CASE WHEN k % 5 = 0 THEN 'json' WHEN k % 7 = 0 THEN 'markdown' END AS family,
       CASE WHEN k % 13 = 0 THEN NULL WHEN k % 31 = 0 THEN 'path_traversal' WHEN k % 41 = 0 THEN 'encrypted' END AS reason FROM e WHERE NOT (k % 11 = 0 AND k % 13 = 0)))"""
-_ARCHIVE_SQL = _ARCHIVE_SQL.replace("(CASE WHEN k % 31 = 0 THEN '' ELSE 'a/' END)", "(CASE WHEN k % 31 = 0 THEN '' ELSE 'a/' END)")
 
 
 def structural_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,16 +166,19 @@ QUERIES = {
 _SELECTED = "CASE decision WHEN 'select_ours' THEN 'ours' WHEN 'select_theirs' THEN 'theirs' END"
 SQL = {
     "three_way_classify": f"{_BY_OWNER} SELECT case_id, owner_id, decision, CASE WHEN decision = 'conflict_add_add' THEN 'add_add' WHEN decision LIKE 'conflict%' THEN 'edit_edit' END AS category, {_SELECTED} AS selected FROM d",
-    "decision_summary": f"{_BY_OWNER}, s AS (SELECT decision, coalesce({_SELECTED}, 'none') AS source FROM d) SELECT CASE WHEN grouping(decision) = 0 THEN 'decision' ELSE 'source' END AS dimension, coalesce(decision, source) AS value, count(*) AS n, bool_or(decision = 'unresolved') AS x FROM s GROUP BY GROUPING SETS ((decision), (source))".replace(", bool_or(decision = 'unresolved') AS x", ""),
+    "decision_summary": f"{_BY_OWNER}, s AS (SELECT decision, coalesce({_SELECTED}, 'none') AS source FROM d) SELECT CASE WHEN grouping(decision) = 0 THEN 'decision' ELSE 'source' END AS dimension, coalesce(decision, source) AS value, count(*) AS n FROM s GROUP BY GROUPING SETS ((decision), (source))",
     "whole_source": f"""WITH {OWNERS_CTE}, s AS (SELECT case_id, coalesce(string_agg(owner_id || ':' || fingerprint, ',' ORDER BY pos) FILTER (role = 'base'), '') AS b, coalesce(string_agg(owner_id || ':' || fingerprint, ',' ORDER BY pos) FILTER (role = 'ours'), '') AS o, coalesce(string_agg(owner_id || ':' || fingerprint, ',' ORDER BY pos) FILTER (role = 'theirs'), '') AS t FROM owners GROUP BY 1)
 SELECT case_id, CASE WHEN o = t OR b = t THEN 'ours' WHEN b = o THEN 'theirs' END AS whole_source FROM s""",
-    "merge_preconditions": f"""{_BY_OWNER}, s AS (SELECT case_id, string_agg(owner_id || ':' || b, ',' ORDER BY bp) FILTER (bp IS NOT NULL) AS bs, string_agg(owner_id || ':' || o, ',' ORDER BY op) FILTER (op IS NOT NULL) AS os, string_agg(owner_id || ':' || t, ',' ORDER BY tp) FILTER (tp IS NOT NULL) AS ts,
-  count(*) FILTER (decision LIKE 'conflict%') AS conflicts, count(*) FILTER (decision LIKE 'select%' AND op IS NULL) AS bo, count(*) FILTER (decision NOT LIKE 'select%' AND op IS NOT NULL) AS lo, count(*) FILTER (decision LIKE 'select%' AND tp IS NULL) AS bt_, count(*) FILTER (decision NOT LIKE 'select%' AND tp IS NOT NULL) AS lt FROM d GROUP BY 1)
-SELECT case_id, CASE WHEN os IS NOT DISTINCT FROM ts OR bs IS NOT DISTINCT FROM ts OR bs IS NOT DISTINCT FROM os THEN 'clean' WHEN conflicts > 0 THEN 'conflict' WHEN lo > 0 AND NOT (bt_ = 0 AND lt = 0) THEN 'error' ELSE 'clean' END AS outcome,
-  CASE WHEN os IS NOT DISTINCT FROM ts OR bs IS NOT DISTINCT FROM ts THEN 'whole_source_ours' WHEN bs IS NOT DISTINCT FROM os THEN 'whole_source_theirs' WHEN conflicts > 0 THEN 'owner_conflict' WHEN lo > 0 AND NOT (bt_ = 0 AND lt = 0) THEN 'membership' WHEN bo = 0 AND lo = 0 THEN 'ours' WHEN bt_ = 0 AND lt = 0 THEN 'theirs' ELSE 'ours_extended' END AS why FROM s""",
-    "owner_diff": f"""{_BY_OWNER}, c AS (SELECT case_id, owner_id, bp, op, CASE WHEN bp IS NULL THEN 'added' WHEN op IS NULL THEN 'deleted' WHEN bt <> ot THEN 'edited' END AS change FROM d WHERE bp IS NOT NULL OR op IS NOT NULL)
-SELECT case_id, owner_id, change, 'change-' || row_number() OVER (PARTITION BY case_id ORDER BY bp IS NULL, coalesce(bp, op)) AS change_id FROM c WHERE change IS NOT NULL""",
-    "directional_classify": f"{_BY_OWNER} SELECT case_id, owner_id, CASE WHEN tp IS NULL THEN 'retain_current_only' WHEN op IS NULL THEN 'add_incoming_only' WHEN ot = tt THEN 'retain_identical_current' ELSE 'prefer_current' END AS decision, CAST(NULL AS VARCHAR) AS error FROM d WHERE op IS NOT NULL OR tp IS NOT NULL",
+    "merge_preconditions": f"""{_BY_OWNER}, p AS (SELECT * REPLACE (CASE WHEN case_id % 3 = 0 AND owner_id % 5 = 0 THEN -tp ELSE tp END AS tp) FROM d),
+s AS (SELECT case_id, string_agg(owner_id || ':' || bp || ':' || b, ',' ORDER BY bp) FILTER (bp IS NOT NULL) AS bs, string_agg(owner_id || ':' || op || ':' || o, ',' ORDER BY op) FILTER (op IS NOT NULL) AS os, string_agg(owner_id || ':' || tp || ':' || t, ',' ORDER BY tp) FILTER (tp IS NOT NULL) AS ts,
+  string_agg(CAST(owner_id AS VARCHAR), ',' ORDER BY op) FILTER (bp + op + tp IS NOT NULL) IS DISTINCT FROM string_agg(CAST(owner_id AS VARCHAR), ',' ORDER BY tp) FILTER (bp + op + tp IS NOT NULL) AS turned,
+  count(*) FILTER (decision LIKE 'conflict%') AS conflicts, count(*) FILTER (decision LIKE 'select%' AND op IS NULL) AS bo, count(*) FILTER (decision NOT LIKE 'select%' AND op IS NOT NULL) AS lo, count(*) FILTER (decision LIKE 'select%' AND tp IS NULL) AS bt_, count(*) FILTER (decision NOT LIKE 'select%' AND tp IS NOT NULL) AS lt FROM p GROUP BY 1),
+w AS (SELECT case_id, CASE WHEN os IS NOT DISTINCT FROM ts OR bs IS NOT DISTINCT FROM ts THEN 'whole_source_ours' WHEN bs IS NOT DISTINCT FROM os THEN 'whole_source_theirs' WHEN conflicts > 0 THEN 'owner_conflict' WHEN lo > 0 AND NOT (bt_ = 0 AND lt = 0) THEN 'membership'
+  WHEN turned THEN 'owner_order' WHEN bo = 0 AND lo = 0 THEN 'ours' WHEN bt_ = 0 AND lt = 0 THEN 'theirs' ELSE 'ours_extended' END AS why FROM s)
+SELECT case_id, CASE why WHEN 'owner_conflict' THEN 'conflict' WHEN 'membership' THEN 'error' WHEN 'owner_order' THEN 'error' ELSE 'clean' END AS outcome, why FROM w""",
+    "owner_diff": f"""{_BY_OWNER}, c AS (SELECT case_id, owner_id, bp, op, bpath AS before_path, opath AS after_path, CASE WHEN bp IS NULL THEN 'added' WHEN op IS NULL THEN 'deleted' WHEN bt <> ot OR bpath <> opath THEN 'edited' END AS change FROM d WHERE bp IS NOT NULL OR op IS NOT NULL)
+SELECT case_id, owner_id, change, 'change-' || (row_number() OVER (PARTITION BY case_id ORDER BY bp IS NULL, coalesce(bp, op)) - 1) AS change_id, before_path, after_path FROM c WHERE change IS NOT NULL""",
+    "directional_classify": f"{_BY_OWNER} SELECT case_id, owner_id, CASE WHEN opath <> tpath THEN NULL WHEN tp IS NULL THEN 'retain_current_only' WHEN op IS NULL THEN 'add_incoming_only' WHEN ot = tt THEN 'retain_identical_current' ELSE 'prefer_current' END AS decision, CASE WHEN opath <> tpath THEN 'owner_path_changed' END AS error FROM d WHERE op IS NOT NULL OR tp IS NOT NULL",
     "owner_union": f"""WITH {OWNERS_CTE}, f AS (SELECT case_id, owner_id, min(CASE role WHEN 'base' THEN 0 WHEN 'ours' THEN 1 ELSE 2 END) AS r, arg_min(pos, CASE role WHEN 'base' THEN 0 WHEN 'ours' THEN 1 ELSE 2 END) AS p FROM owners GROUP BY ALL)
 SELECT case_id, owner_id, row_number() OVER (PARTITION BY case_id ORDER BY r, p) - 1 AS rank FROM f""",
     "match_by_path": f"""WITH {OWNERS_CTE}, n AS (SELECT role, case_id, text AS path, pos, row_number() OVER (PARTITION BY role, case_id, text ORDER BY pos) AS occurrence FROM owners)

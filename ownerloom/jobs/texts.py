@@ -33,7 +33,7 @@ u AS (SELECT doc_id, unnest(range(len(bs))) AS index, unnest(bs) AS b FROM b)
 SELECT doc_id, index, md5(b) AS digest, CAST(sum(strlen(b) + 2) OVER w - strlen(b) - 2 AS BIGINT) AS start, CAST(sum(strlen(b) + 2) OVER w - 2 AS BIGINT) AS "end" FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY index)"""
 
 
-def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jaccard_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("lang_b"), F.col("text").alias("text_b"))
     pairs = docs.join(other, "doc_id").where("lang = lang_b")
@@ -45,6 +45,20 @@ SELECT a.doc_id, CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE round(len(list_
 FROM t a JOIN t b ON b.doc_id = a.doc_id + 1 AND a.lang = b.lang"""
 
 
+def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against the next one, block by block."""
+    docs = _paragraphs(spark, sf_dir)
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("text_b"))
+    a, b = F.col("text"), F.col("text_b")
+    return docs.join(other, "doc_id").select("doc_id", F.round(scalars.text_similarity(a, b), 9).alias("score"), scalars.is_similar(a, b, 0.1).alias("similar"))
+
+
+_BLOCK_SIMILARITY_SQL = f"""WITH p AS (SELECT doc_id, replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) AS text FROM documents), b AS (SELECT doc_id, {_BLOCKS} AS bs FROM p),
+n AS (SELECT a.doc_id, greatest(len(a.bs), len(b.bs)) AS n, list_transform(list_zip(a.bs[1:least(len(a.bs), len(b.bs))], b.bs[1:least(len(a.bs), len(b.bs))]), lambda z: [list_distinct(string_split(z[1], ' ')), list_distinct(string_split(z[2], ' '))]) AS ws FROM b a JOIN b ON b.doc_id = a.doc_id + 1),
+s AS (SELECT doc_id, CASE WHEN n = 0 THEN 1.0 ELSE coalesce(list_sum(list_transform(ws, lambda w: len(list_intersect(w[1], w[2]))::DOUBLE / (len(w[1]) + len(w[2]) - len(list_intersect(w[1], w[2]))))), 0.0) / n END AS score FROM n)
+SELECT doc_id, round(score, 9) AS score, score >= 0.1 AS similar FROM s"""
+
+
 def refined_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     other = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.concat("p_type", F.lit(" "), F.col("p_name")).alias("b"))
@@ -123,36 +137,57 @@ _UNMANAGED_SQL = f"WITH {_BLANKED} SELECT doc_id, count(*) AS n_lines, sha256(st
 
 
 def conflict_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, errors = cutting.conflict_regions(_marked(spark, sf_dir))
-    out = good.select("doc_id", "start_line", "separator_line", "end_line", "base_line", F.lit(None).cast("string").alias("code")).unionByName(errors.select("doc_id", F.col("line").alias("start_line"), F.lit(None).cast("int").alias("separator_line"), F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("int").alias("base_line"), "code"))
-    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("start_line", "separator_line", "end_line", "base_line")], "code")
+    good, errors = cutting.conflict_regions(_marked(spark, sf_dir), max_regions=6)
+    out = good.unionByName(errors.select("doc_id", F.col("line").alias("start_line"), "code"), allowMissingColumns=True)
+    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in (*_REGION, "start_byte", "end_byte", *_RANGES)], "code")
 
 
-def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("line")
-    text = F.when(k % 8 == 2, "<<<<<<< ours").when((k % 8 == 4) & (F.col("doc_id") % 2 == 0), "||||||| base").when(k % 8 == 5, "=======").when(k % 8 == 7, ">>>>>>> theirs").otherwise(F.col("text"))
-    return lines(spark, sf_dir).withColumn("text", text)
+_REGION = ("start_line", "separator_line", "end_line", "base_line")
+_RANGES = ("ours_start", "ours_end", "base_start", "base_end", "theirs_start", "theirs_end")
 
 
-_REGIONS_SQL = f"""WITH {LINES_CTE}, n AS (SELECT doc_id, max(line) AS n FROM lines GROUP BY 1), u AS (SELECT doc_id, n, unnest(range(0, (n + 7) // 8)) AS k FROM n)
-SELECT doc_id, CAST(8 * k + 2 AS BIGINT) AS start_line, CAST(8 * k + 5 AS BIGINT) AS separator_line, CAST(8 * k + 7 AS BIGINT) AS end_line, CASE WHEN doc_id % 2 = 0 THEN CAST(8 * k + 4 AS BIGINT) END AS base_line, CAST(NULL AS VARCHAR) AS code
-FROM u WHERE n % 8 NOT IN (2, 3, 4, 5, 6) AND 8 * k + 7 <= n
-UNION ALL SELECT doc_id, CAST(n - n % 8 + CASE WHEN n % 8 IN (2, 3) THEN 2 WHEN n % 8 = 4 THEN CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 2 END ELSE 5 END AS BIGINT), NULL, NULL, NULL, 'invalid_markers' FROM n WHERE n % 8 IN (2, 3, 4, 5, 6)"""
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with marker lines in place of some; some are faulty, some only look like markers."""
+    k, d = F.col("line"), F.col("doc_id")
+    text = (
+        F.when((k == 1) & (d % 11 == 0), F.lit("\ufeff<<<<<<< first")).when((k == 3) & (d % 11 == 0), "=======").when((k == 4) & (d % 11 == 0), ">>>>>>>")
+        .when(k % 8 == 2, F.when(d % 11 != 0, "<<<<<<<\tours").otherwise("")).when((k % 8 == 4) & (d % 2 == 0), F.when(d % 11 != 0, "||||||| base").otherwise("|||||||x"))
+        .when((k % 8 == 5) & (d % 11 != 0), F.when(d % 13 == 0, "======= x").otherwise("=======")).when((k % 8 == 7) & (d % 11 != 0), ">>>>>>> theirs").otherwise(F.col("text"))
+    )
+    rows = lines(spark, sf_dir).withColumn("text", text)
+    docs = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x.text), "\n").alias("text"))
+    return cutting.doc_lines(docs)
+
+
+_REGIONS_SQL = f"""WITH {LINES_CTE}, m0 AS (SELECT doc_id, line, CASE WHEN line = 1 AND doc_id % 11 = 0 THEN chr(65279) || '<<<<<<< first' WHEN line = 3 AND doc_id % 11 = 0 THEN '=======' WHEN line = 4 AND doc_id % 11 = 0 THEN '>>>>>>>'
+  WHEN line % 8 = 2 THEN CASE WHEN doc_id % 11 <> 0 THEN '<<<<<<<' || chr(9) || 'ours' ELSE '' END WHEN line % 8 = 4 AND doc_id % 2 = 0 THEN CASE WHEN doc_id % 11 <> 0 THEN '||||||| base' ELSE '|||||||x' END
+  WHEN line % 8 = 5 AND doc_id % 11 <> 0 THEN CASE WHEN doc_id % 13 = 0 THEN '======= x' ELSE '=======' END WHEN line % 8 = 7 AND doc_id % 11 <> 0 THEN '>>>>>>> theirs' ELSE text END AS text FROM lines),
+z AS (SELECT doc_id, max(line) AS last FROM m0 GROUP BY 1), b AS (SELECT doc_id, line, text, sum(strlen(text) + 1) OVER (PARTITION BY doc_id ORDER BY line) - CASE WHEN line = last THEN 1 ELSE 0 END AS e, sum(strlen(text) + 1) OVER (PARTITION BY doc_id ORDER BY line) - strlen(text) - 1 AS s FROM m0 JOIN z USING (doc_id)),
+k AS (SELECT doc_id, line, CASE WHEN line = 1 AND starts_with(text, chr(65279)) THEN s + 3 ELSE s END AS s, e, regexp_extract(CASE WHEN line = 1 THEN ltrim(text, chr(65279)) ELSE text END, '^(?:(<)<<<<<<(?:[ \t].*)?|([|])[|][|][|][|][|][|](?:[ \t].*)?|(=)======|(>)>>>>>>(?:[ \t].*)?)$', 0)[1] AS c FROM b),
+w AS (SELECT *, lag(c) OVER v AS p, lead(c) OVER v AS n, sum(CASE WHEN c = '<' THEN 1 ELSE 0 END) OVER v - 1 AS r, max(CASE WHEN c = '<' THEN line END) OVER v AS opened FROM k WHERE c <> '' WINDOW v AS (PARTITION BY doc_id ORDER BY line)),
+f AS (SELECT *, CASE WHEN NOT (CASE c WHEN '<' THEN p IS NULL OR p = '>' WHEN '|' THEN coalesce(p = '<', false) WHEN '=' THEN coalesce(p IN ('<', '|'), false) ELSE coalesce(p = '=', false) END) THEN 'invalid_markers' WHEN c = '<' AND r >= 6 THEN 'region_limit' END AS code FROM w),
+x AS (SELECT doc_id, line AS place, line, code FROM f WHERE code IS NOT NULL UNION ALL SELECT doc_id, 2147483647, opened, 'invalid_markers' FROM f WHERE code IS NULL AND c <> '>' AND n IS NULL),
+er AS (SELECT doc_id, arg_min(line, place) AS line, arg_min(code, place) AS code FROM x GROUP BY 1),
+g AS (SELECT doc_id, r, max(line) FILTER (c = '<') AS start_line, max(line) FILTER (c = '=') AS separator_line, max(line) FILTER (c = '>') AS end_line, max(line) FILTER (c = '|') AS base_line, max(s) FILTER (c = '<') AS start_byte, max(e) FILTER (c = '>') AS end_byte,
+  max(e) FILTER (c = '<') AS ours_start, coalesce(max(s) FILTER (c = '|'), max(s) FILTER (c = '=')) AS ours_end, max(e) FILTER (c = '|') AS base_start, max(s) FILTER (c = '=') AS sep, max(e) FILTER (c = '=') AS theirs_start, max(s) FILTER (c = '>') AS theirs_end FROM f WHERE doc_id NOT IN (SELECT doc_id FROM er) GROUP BY ALL)
+SELECT doc_id, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("start_line", "separator_line", "end_line", "base_line", "start_byte", "end_byte", "ours_start", "ours_end", "base_start"))}, CAST(CASE WHEN base_line IS NOT NULL THEN sep END AS BIGINT) AS base_end, CAST(theirs_start AS BIGINT) AS theirs_start, CAST(theirs_end AS BIGINT) AS theirs_end, CAST(NULL AS VARCHAR) AS code FROM g
+UNION ALL SELECT doc_id, line, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, code FROM er"""
 
 
 def freeze_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("line")
-    text = F.when(k % 7 == 2, "# keep:freeze because").when((k % 7 == 4) & (F.col("doc_id") % 3 != 0), "  #  Keep:  UNFREEZE").otherwise(F.concat(F.lit("x"), F.col("text")))
-    blocks, bad = cutting.freeze_blocks(lines(spark, sf_dir).withColumn("text", text), "keep")
+    text = F.when(k % 7 == 2, "# ke.ep:freeze because").when((k % 7 == 4) & (F.col("doc_id") % 3 != 0), "  #  Ke.ep:  UNFREEZE").when(k % 7 == 5, "# keXep:freeze").otherwise(F.concat(F.lit("x"), F.col("text")))
+    blocks, bad = cutting.freeze_blocks(lines(spark, sf_dir).withColumn("text", text), "ke.ep")
     out = blocks.select("doc_id", "start_line", "end_line", "reason", F.lit(None).cast("string").alias("category")).unionByName(bad.select("doc_id", F.col("line").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("string").alias("reason"), "category"))
     return out.select("doc_id", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "reason", "category")
 
 
 _FREEZE_SQL = f"""WITH {LINES_CTE}, m AS (SELECT doc_id, line, CASE WHEN line % 7 = 2 THEN 'freeze' ELSE 'unfreeze' END AS a FROM lines WHERE line % 7 = 2 OR (line % 7 = 4 AND doc_id % 3 <> 0)),
-w AS (SELECT *, lag(a) OVER v AS p, lead(a) OVER v AS n, lead(line) OVER v AS e FROM m WINDOW v AS (PARTITION BY doc_id ORDER BY line)),
-c AS (SELECT *, CASE WHEN a = 'freeze' AND p = 'freeze' THEN 'nested_freeze_open' WHEN a = 'unfreeze' AND (p IS NULL OR p = 'unfreeze') THEN 'unmatched_freeze_close' WHEN a = 'freeze' AND n IS NULL THEN 'unclosed_freeze_open' END AS category FROM w)
-SELECT doc_id, line AS start_line, e AS end_line, 'because' AS reason, CAST(NULL AS VARCHAR) AS category FROM c WHERE a = 'freeze' AND doc_id NOT IN (SELECT doc_id FROM c WHERE category IS NOT NULL)
-UNION ALL SELECT doc_id, line, NULL, NULL, category FROM c WHERE category IS NOT NULL"""
+w AS (SELECT *, lag(a) OVER v AS p, lead(line) OVER v AS e FROM m WINDOW v AS (PARTITION BY doc_id ORDER BY line)), z AS (SELECT doc_id, coalesce(max(line) FILTER (a = 'unfreeze'), 0) AS closed FROM m GROUP BY 1),
+c AS (SELECT doc_id, line, CASE WHEN a = 'freeze' THEN 'nested_freeze_open' ELSE 'unmatched_freeze_close' END AS category FROM w WHERE (a = 'freeze' AND p = 'freeze') OR (a = 'unfreeze' AND (p IS NULL OR p = 'unfreeze'))
+  UNION ALL SELECT doc_id, min(line), 'unclosed_freeze_open' FROM m JOIN z USING (doc_id) WHERE line > closed GROUP BY 1)
+SELECT doc_id, line AS start_line, e AS end_line, 'because' AS reason, CAST(NULL AS VARCHAR) AS category FROM w WHERE a = 'freeze' AND doc_id NOT IN (SELECT doc_id FROM c)
+UNION ALL SELECT doc_id, line, NULL, NULL, category FROM c"""
 
 
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,14 +212,14 @@ UNION ALL SELECT conv_id, NULL, NULL, NULL, NULL, 'duplicate_heading' FROM bad""
 def json_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     doc = F.concat(F.lit('{"a/b":{"t":"'), "event_type", F.lit('"},"l":[1,'), (F.col("event_id") % 7).cast("string"), F.lit('],"p":'), "props", F.when(F.col("event_id") % 50 == 0, "").otherwise("}"))
-    return cutting.json_owners(events.select(F.col("event_id").alias("doc_id"), doc.alias("j")), "j").select("doc_id", "path", "kind", F.col("depth").cast("long").alias("depth"), "node", "value")
+    return cutting.json_owners(events.select(F.col("event_id").alias("doc_id"), doc.alias("j")), "j").select("doc_id", "path", "kind", "match_key", "parent", F.col("depth").cast("long").alias("depth"), "node", "value", "cut")
 
 
 _JSON_SQL = """WITH e AS (SELECT event_id AS doc_id, event_type AS t, replace(props, ' ', '') AS p, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, event_id % 50 = 0 AS bad FROM events)
-SELECT doc_id, '' AS path, 'parse_error' AS kind, 0::BIGINT AS depth, NULL AS node, NULL AS value FROM e WHERE bad
-UNION ALL SELECT doc_id, '/a~1b', 'member', 1, 'object', '{"t":"' || t || '"}' FROM e WHERE NOT bad UNION ALL SELECT doc_id, '/a~1b/t', 'member', 2, 'scalar', '"' || t || '"' FROM e WHERE NOT bad
-UNION ALL SELECT doc_id, '/l', 'member', 1, 'array', '[1,' || doc_id % 7 || ']' FROM e WHERE NOT bad UNION ALL SELECT doc_id, '/l/0', 'element', 2, 'scalar', '1' FROM e WHERE NOT bad UNION ALL SELECT doc_id, '/l/1', 'element', 2, 'scalar', CAST(doc_id % 7 AS VARCHAR) FROM e WHERE NOT bad
-UNION ALL SELECT doc_id, '/p', 'member', 1, 'object', p FROM e WHERE NOT bad UNION ALL SELECT doc_id, '/p/k', 'member', 2, 'scalar', k FROM e WHERE NOT bad"""
+SELECT doc_id, '' AS path, 'parse_error' AS kind, NULL AS match_key, NULL AS parent, 0::BIGINT AS depth, NULL AS node, NULL AS value, false AS cut FROM e WHERE bad
+UNION ALL SELECT doc_id, '/a~1b', 'member', 'a/b', '', 1, 'object', '{"t":"' || t || '"}', false FROM e WHERE NOT bad UNION ALL SELECT doc_id, '/a~1b/t', 'member', 't', '/a~1b', 2, 'scalar', '"' || t || '"', false FROM e WHERE NOT bad
+UNION ALL SELECT doc_id, '/l', 'member', 'l', '', 1, 'array', '[1,' || doc_id % 7 || ']', false FROM e WHERE NOT bad UNION ALL SELECT doc_id, '/l/0', 'element', '0', '/l', 2, 'scalar', '1', false FROM e WHERE NOT bad UNION ALL SELECT doc_id, '/l/1', 'element', '1', '/l', 2, 'scalar', CAST(doc_id % 7 AS VARCHAR), false FROM e WHERE NOT bad
+UNION ALL SELECT doc_id, '/p', 'member', 'p', '', 1, 'object', p, false FROM e WHERE NOT bad UNION ALL SELECT doc_id, '/p/k', 'member', 'k', '/p', 2, 'scalar', k, false FROM e WHERE NOT bad"""
 
 
 def json_equivalent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,25 +256,30 @@ def flag_oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layout_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("n_chars > 60").select(F.col("doc_id").alias("case_id"), "text")
-    own = docs.select("case_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select("case_id", F.concat(F.lit("o"), F.col("k").cast("string")).alias("owner_id"), (F.col("k") * 20 + 5).cast("long").alias("start_byte"), (F.col("k") * 20 + 15).cast("long").alias("end_byte"))
-    return cutting.layout_gaps(own, docs)
+    """Every third line of every document is an owner."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    own = cutting.doc_lines(docs).where("line % 3 = 2").select(F.col("doc_id").alias("case_id"), F.concat(F.lit("o"), F.col("line").cast("string")).alias("owner_id"), "start_byte", "end_byte")
+    return cutting.layout_gaps(own, docs.withColumnRenamed("doc_id", "case_id"))
 
 
-_GAPS_SQL = """WITH d AS (SELECT doc_id AS case_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents WHERE n_chars > 60),
-g AS (SELECT case_id, h, 0 AS s, 5 AS e, NULL AS before_owner, 'o0' AS after_owner FROM d UNION ALL SELECT case_id, h, 15, 25, 'o0', 'o1' FROM d UNION ALL SELECT case_id, h, 35, n, 'o1', NULL FROM d)
-SELECT case_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", before_owner, after_owner, coalesce(after_owner, before_owner) AS controller, sha256(unhex(substr(h, 2 * s + 1, 2 * (e - s)))) AS sha256 FROM g"""
+_GAPS_SQL = f"""WITH {LINES_CTE}, d AS (SELECT doc_id AS case_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents),
+b AS (SELECT doc_id AS case_id, line, sum(strlen(text) + 1) OVER v - strlen(text) - 1 AS s, sum(strlen(text) + 1) OVER v AS e FROM lines WINDOW v AS (PARTITION BY doc_id ORDER BY line)),
+o AS (SELECT b.case_id, 'o' || line AS owner_id, s, least(e, n) AS e, line FROM b JOIN d USING (case_id) WHERE line % 3 = 2 AND s < n),
+g AS (SELECT case_id, coalesce(lag(e) OVER v, 0) AS s, s AS e, lag(owner_id) OVER v AS before_owner, owner_id AS after_owner FROM o WINDOW v AS (PARTITION BY case_id ORDER BY line)
+  UNION ALL SELECT d.case_id, coalesce(max(o.e), 0), any_value(d.n), arg_max(o.owner_id, o.line), NULL FROM d LEFT JOIN o USING (case_id) GROUP BY 1)
+SELECT case_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", before_owner, after_owner, coalesce(after_owner, before_owner) AS controller, sha256(unhex(substr(h, CAST(2 * s + 1 AS BIGINT), CAST(2 * (e - s) AS BIGINT)))) AS sha256 FROM g JOIN d USING (case_id)"""
 
 
 QUERIES = {
     f.__name__: f
-    for f in (sample_hash_bucket, text_blocks, text_similarity, refined_similarity, slugify, classify_path, detect_language, blank_gaps, line_ownership, unmanaged_fingerprint, conflict_regions, freeze_blocks, markdown_sections, json_owners, json_equivalent, validate_owners, has_conflict_markers, flag_oversize, layout_gaps)
+    for f in (sample_hash_bucket, text_blocks, jaccard_similarity, text_similarity, refined_similarity, slugify, classify_path, detect_language, blank_gaps, line_ownership, unmanaged_fingerprint, conflict_regions, freeze_blocks, markdown_sections, json_owners, json_equivalent, validate_owners, has_conflict_markers, flag_oversize, layout_gaps)
 }
 
 SQL = {
     "sample_hash_bucket": "SELECT doc_id FROM documents WHERE CAST('0x' || right(sha256(CAST(doc_id AS VARCHAR)), 1) AS INT) % 16 = 3",
     "text_blocks": _TEXT_BLOCKS_SQL,
-    "text_similarity": _SIMILARITY_SQL,
+    "jaccard_similarity": _SIMILARITY_SQL,
+    "text_similarity": _BLOCK_SIMILARITY_SQL,
     "refined_similarity": _REFINED_SQL,
     "slugify": "SELECT page_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM pages)",
     "classify_path": _CLASSIFY_SQL,

@@ -38,11 +38,22 @@ def text_blocks(docs: DataFrame) -> DataFrame:
 
 
 def fence_state(lines: DataFrame) -> DataFrame:
-    """lines with is_fence and in_fence: a line of three or more backticks or tildes opens, the next closes."""
+    """lines with is_fence (opens or closes a fence) and in_fence (within one, its end included).
+
+    Three or more backticks or tildes open a fence; only a line of as many or more of the same sign, with nothing
+    after them, closes it. Which lines do is one state carried over a document's candidate lines (a list of numbers and
+    signs for each document, no texts)."""
+    sign = F.regexp_extract("text", r"^ {0,3}(`{3,}(?=[^`]*$)|~{3,})", 1)
+    candidates = lines.where(F.col("text").rlike(r"^ {0,3}(```|~~~)") & (sign != "")).select("doc_id", "line", F.substring(sign, 1, 1).alias("c"), F.length(sign).alias("n"), F.col("text").rlike(r"^ {0,3}(`+|~+)[ \t\r]*$").alias("bare"))
+    listed = candidates.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line", "c", "n", "bare"))).alias("marks"))
+    step = """aggregate(marks, named_struct('c', '', 'n', 0, 'hits', cast(array() AS array<int>)), (s, m) ->
+      CASE WHEN s.c = '' THEN named_struct('c', m.c, 'n', m.n, 'hits', array_append(s.hits, cast(m.line AS int)))
+           WHEN m.c = s.c AND m.n >= s.n AND m.bare THEN named_struct('c', '', 'n', 0, 'hits', array_append(s.hits, cast(m.line AS int))) ELSE s END, s -> s.hits)"""
+    hits = listed.select("doc_id", F.explode(F.expr(step)).alias("line"), F.lit(True).alias("hit"))
     w = Window.partitionBy("doc_id").orderBy("line")
-    is_fence = F.col("text").rlike(r"^ {0,3}(```|~~~)")
-    before = F.coalesce(F.sum(is_fence.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lines.withColumns({"is_fence": is_fence, "in_fence": before % 2 == 1})
+    rows = lines.join(hits, ["doc_id", "line"], "left").withColumn("is_fence", F.coalesce("hit", F.lit(False))).drop("hit")
+    before = F.coalesce(F.sum(F.col("is_fence").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("in_fence", before % 2 == 1)
 
 
 def markdown_sections(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,30 +143,44 @@ def freeze_blocks(lines: DataFrame, token: str, style: str = "hash_comment") ->
     """(blocks, diagnostics) of `token:freeze` ... `token:unfreeze` comments; any fault voids a document's blocks."""
     shapes = {"hash_comment": r"^#(.*)$", "c_style_line": r"^//(.*)$", "html_comment": r"^<!--(.*)-->$", "c_style_block": r"^/\*(.*)\*/$"}
     content = F.trim(F.regexp_extract(F.trim("text"), shapes[style], 1))
-    found = F.regexp_extract(F.lower(content), rf"^{token.lower()}:\s*(unfreeze|freeze)", 1)
-    marks = lines.withColumn("action", found).where("action <> ''").withColumn("reason", F.trim(F.regexp_replace(content, r"(?i)^[^:]*:\s*(unfreeze|freeze)", "")))
-    w = Window.partitionBy("doc_id").orderBy("line")
-    prev, nxt = F.lag("action").over(w), F.lead("action").over(w)
-    fault = (
-        F.when((F.col("action") == "freeze") & (prev == "freeze"), "nested_freeze_open")
-        .when((F.col("action") == "unfreeze") & (prev.isNull() | (prev == "unfreeze")), "unmatched_freeze_close")
-        .when((F.col("action") == "freeze") & nxt.isNull(), "unclosed_freeze_open")
-    )
-    rows = marks.withColumns({"category": fault, "end_line": F.lead("line").over(w)})
-    bad = rows.where("category IS NOT NULL").select("doc_id", "category", "line")
+    mark = r"^\Q" + token.lower().replace("\\E", r"\E\\E\Q") + r"\E:\s*"
+    found = F.regexp_extract(F.lower(content), mark + "(unfreeze|freeze)", 1)
+    marks = lines.withColumn("action", found).where("action <> ''").withColumn("reason", F.trim(F.regexp_replace(content, f"(?i){mark}(unfreeze|freeze)", "")))
+    w, whole = Window.partitionBy("doc_id").orderBy("line"), Window.partitionBy("doc_id")
+    prev = F.lag("action").over(w)
+    fault = F.when((F.col("action") == "freeze") & (prev == "freeze"), "nested_freeze_open").when((F.col("action") == "unfreeze") & (prev.isNull() | (prev == "unfreeze")), "unmatched_freeze_close")
+    closed = F.max(F.when(F.col("action") == "unfreeze", F.col("line"))).over(whole)
+    rows = marks.withColumns({"category": fault, "end_line": F.lead("line").over(w), "closed": closed})
+    # An open that no close follows is told at the line that opened it, also where others are nested in it.
+    unclosed = rows.where("line > coalesce(closed, 0)").groupBy("doc_id").agg(F.min("line").alias("line")).select("doc_id", F.lit("unclosed_freeze_open").alias("category"), "line")
+    bad = rows.where("category IS NOT NULL").select("doc_id", "category", "line").unionByName(unclosed)
     blocks = rows.where("action = 'freeze'").join(bad.select("doc_id").distinct(), "doc_id", "left_anti")
     return blocks.select("doc_id", F.col("line").alias("start_line"), "end_line", "reason"), bad
 
 
-def conflict_regions(lines: DataFrame, marker_size: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(regions, errors) of Git conflict markers; a document with nested, missing or misordered markers has
-    one error and no regions. Only marker lines reach the window."""
+def freeze_block_of_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """lines (doc_id, line) with start_line and end_line of the freeze block that holds them, null outside."""
+    owners = blocks.select("doc_id", F.concat_ws("-", "start_line", "end_line").alias("owner_id"), "start_line", "end_line")
+    rows = _with_owner(lines.select("doc_id", "line", F.lit(None).cast("string").alias("text")), owners)
+    part = lambda k: F.split("owner_id", "-")[k].cast("int")
+    return rows.select("doc_id", "line", part(0).alias("start_line"), part(1).alias("end_line"))
+
+
+def conflict_regions(lines: DataFrame, marker_size: int = 7, max_bytes: int = MAX_REVIEW_BYTES, max_regions: int = MAX_REVIEW_REGIONS) -> tuple[DataFrame, DataFrame]:
+    """(regions, errors) of Git conflict markers in lines of doc_lines(); only marker lines reach the window.
+
+    A region has its lines and the byte ranges of ours, base (null without) and theirs, without the markers. Nothing may
+    follow the signs of a separator; a space or tab may follow the others. A byte order mark before the first
+    marker belongs to the document. A document with nested, missing or misordered markers, too many bytes or too many
+    regions has one error (its first, with code and line) and no regions."""
     if not 1 <= marker_size <= 128:
         raise ValueError("marker size must be between 1 and 128")
-    bare = F.regexp_replace("text", "\r$", "")
-    shape = lambda c: bare.rlike(f"^{c}{{{marker_size}}}( .*)?$")
-    kind = F.when(shape("<"), "<").when(shape(r"\|"), "|").when(shape("="), "=").when(shape(">"), ">")
-    marks = lines.withColumn("kind", kind).where("kind IS NOT NULL")
+    bom = F.when((F.col("line") == 1) & F.startswith("text", F.lit("\ufeff")), 3).otherwise(0)
+    bare = F.regexp_replace(F.when(bom > 0, F.expr("substring(text, 2)")).otherwise(F.col("text")), "\r$", "")
+    shape = lambda c, rest=r"([ \t][\s\S]*)?": bare.rlike(f"^{c}{{{marker_size}}}{rest}$")
+    kind = F.when(shape("<"), "<").when(shape(r"\|"), "|").when(shape("=", ""), "=").when(shape(">"), ">")
+    large = lines.where(F.col("end_byte") > max_bytes).select("doc_id").distinct().select("doc_id", F.lit(None).cast("int").alias("line"), F.lit("input_limit").alias("code"))
+    marks = lines.withColumns({"kind": kind, "start_byte": F.col("start_byte") + bom}).where("kind IS NOT NULL").join(large.select("doc_id"), "doc_id", "left_anti")
     w = Window.partitionBy("doc_id").orderBy("line")
     prev = F.lag("kind").over(w)
     ok = (
@@ -163,32 +188,44 @@ def conflict_regions(lines: DataFrame, marker_size: int = 7) -> tuple[DataFrame,
         .when(F.col("kind") == "=", F.coalesce(prev.isin("<", "|"), F.lit(False))).otherwise(F.coalesce(prev == "=", F.lit(False)))
     )
     region = F.sum((F.col("kind") == "<").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    rows = marks.withColumns({"ok": ok, "open": (F.col("kind") != ">") & F.lead("kind").over(w).isNull(), "region": region})
-    errors = rows.where("NOT ok OR open OR region >= 10000").groupBy("doc_id").agg(F.min("line").alias("line")).withColumn("code", F.lit("invalid_markers"))
+    opened = F.last(F.when(F.col("kind") == "<", F.col("line")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = marks.withColumns({"ok": ok, "open": (F.col("kind") != ">") & F.lead("kind").over(w).isNull(), "region": region, "opened": opened})
+    # The first error in reading order; an open end is found last, and told at the line that opened it.
+    code = F.when(~F.col("ok"), "invalid_markers").when((F.col("kind") == "<") & (F.col("region") >= max_regions), "region_limit")
+    faults = rows.select("doc_id", F.when(code.isNotNull(), F.struct(F.col("line").alias("at"), F.col("line"), code.alias("code"))).when(F.col("open"), F.struct(F.lit(2147483647).alias("at"), F.col("opened").alias("line"), F.lit("invalid_markers").alias("code"))).alias("f"))
+    errors = faults.where("f IS NOT NULL").groupBy("doc_id").agg(F.min("f").alias("f")).select("doc_id", "f.line", "f.code").unionByName(large)
     at = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
     good = rows.join(errors.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id", "region").agg(
-        at("<", "line").alias("start_line"), at("=", "line").alias("separator_line"), at(">", "line").alias("end_line"), at("|", "line").alias("base_line")
-    )
+        at("<", "line").alias("start_line"), at("=", "line").alias("separator_line"), at(">", "line").alias("end_line"), at("|", "line").alias("base_line"),
+        at("<", "start_byte").alias("start_byte"), at(">", "end_byte").alias("end_byte"), at("<", "end_byte").alias("ours_start"), F.coalesce(at("|", "start_byte"), at("=", "start_byte")).alias("ours_end"),
+        at("|", "end_byte").alias("base_start"), F.when(at("|", "line").isNotNull(), at("=", "start_byte")).alias("base_end"), at("=", "end_byte").alias("theirs_start"), at(">", "start_byte").alias("theirs_end"),
+    )
     return good, errors
 
 
-def json_owners(docs: DataFrame, column: str, max_depth: int = 4) -> DataFrame:
-    """doc_id, path (JSON pointer), kind (member, element), depth, node (object, array, scalar) and value as JSON.
+def json_owners(docs: DataFrame, column: str, max_depth: int = 8) -> DataFrame:
+    """doc_id, path (JSON pointer), kind (member, element), match_key (the member's name, else the element's place), parent
+    (the path above), depth, node (object, array, scalar), value as JSON and cut.
 
-    Levels are unrolled one by one, each a lateral explode without a shuffle; documents that are no JSON
-    give one row with kind parse_error."""
+    Levels are unrolled one by one, each a lateral explode without a shuffle; documents that are no JSON give one row with
+    kind parse_error. Containers at the last level that are not empty have cut true: what is below them has no rows but
+    is whole in their value."""
     base = docs.select("doc_id", F.try_parse_json(F.col(column)).alias("v"))
     view = "{rows}"
     spark = docs.sparkSession
     level = base.where("v IS NOT NULL").select("doc_id", F.lit("").alias("path"), "v")
-    out = base.where("v IS NULL").select("doc_id", F.lit("").alias("path"), F.lit("parse_error").alias("kind"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("node"), F.lit(None).cast("string").alias("value"))
+    none = F.lit(None).cast("string")
+    out = base.where("v IS NULL").select("doc_id", F.lit("").alias("path"), F.lit("parse_error").alias("kind"), none.alias("match_key"), none.alias("parent"), F.lit(0).alias("depth"), none.alias("node"), none.alias("value"), F.lit(False).alias("cut"))
     for depth in range(1, max_depth + 1):
-        rows = spark.sql(f"SELECT doc_id, path, e.pos AS pos, e.key AS key, e.value AS v FROM {view}, LATERAL variant_explode(v) e", rows=level)
-        name = F.when(F.col("key").isNull(), F.col("pos").cast("string")).otherwise(F.replace(F.replace("key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
+        rows = spark.sql(f"SELECT doc_id, path AS parent, e.pos AS pos, e.key AS key, e.value AS v FROM {view}, LATERAL variant_explode(v) e", rows=level)
+        key = F.coalesce("key", F.col("pos").cast("string"))
+        name = F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
         kind = F.schema_of_variant("v")
         node = F.when(F.startswith(kind, F.lit("OBJECT")), "object").when(F.startswith(kind, F.lit("ARRAY")), "array").otherwise("scalar")
-        rows = rows.select("doc_id", F.concat("path", F.lit("/"), name).alias("path"), F.when(F.col("key").isNull(), "element").otherwise("member").alias("kind"), F.lit(depth).alias("depth"), node.alias("node"), "v")
-        out = out.unionByName(rows.select("doc_id", "path", "kind", "depth", "node", F.to_json("v").alias("value")))
+        value = F.to_json("v")
+        cut = (node != "scalar") & ~value.isin("{}", "[]") if depth == max_depth else F.lit(False)
+        rows = rows.select("doc_id", F.concat("parent", F.lit("/"), name).alias("path"), F.when(F.col("key").isNull(), "element").otherwise("member").alias("kind"), key.alias("match_key"), "parent", F.lit(depth).alias("depth"), node.alias("node"), value.alias("value"), cut.alias("cut"), "v")
+        out = out.unionByName(rows.drop("v"))
         level = rows.where("node <> 'scalar'").select("doc_id", "path", "v")
     return out
 

@@ -108,23 +108,39 @@ _OBSERVED = ("producer_id", "scope", "observation_id", "seq", "payload_digest",
 def accept_observations(observations: DataFrame) -> DataFrame:
     """A decision for each observation of a batch, in order of seq within its producer and scope.
 
-    The order within a scope is inherent (each decision depends on the head before it), so a scope is one group."""
+    The order within a scope is inherent (each decision depends on the head before it). A scope's rows stream through
+    one task in batches; what is held is the scope's state, not its rows."""
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _fold(Acceptance(), rows, key)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, Acceptance()
+        for batch in batches:
+            for found, rows in batch.groupby(list(SCOPE), sort=False, dropna=False):
+                if found != key:
+                    key, state = found, Acceptance()
+                yield _fold(state, rows, found)
 
-    return observations.select(*_OBSERVED).groupBy(*SCOPE).applyInPandas(fold, DECISION)
+    ordered = observations.select(*_OBSERVED).repartition(*SCOPE).sortWithinPartitions(*SCOPE, "seq", "observation_id", "payload_digest")
+    return ordered.mapInPandas(fold, DECISION)
 
 
-def accept_observation_stream(observations: DataFrame) -> DataFrame:
-    """The same fold over a stream, with the state kept per producer and scope."""
+def accept_observation_stream(observations: DataFrame, expire_after_ms: int | None = None) -> DataFrame:
+    """The same fold over a stream, with the state kept per producer and scope.
+
+    A scope's state grows with its observations. With expire_after_ms the state of a scope that has had none for so long
+    (processing time) is dropped; a later one of the scope then begins a new chain."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = state.get if state.exists else (None, {}, {}, {})
         folded = Acceptance(kept[0], *(dict(x or {}) for x in kept[1:]))
         rows = pd.concat(list(batches))
         out = _fold(folded, rows, key)
         state.update((folded.head, folded.seen, folded.decisions, folded.revisions))
+        if expire_after_ms is not None:
+            state.setTimeoutDuration(expire_after_ms)
         yield out
 
-    return observations.select(*_OBSERVED).groupBy(*SCOPE).applyInPandasWithState(fold, DECISION, STATE, "append", "NoTimeout")
+    timeout = "NoTimeout" if expire_after_ms is None else "ProcessingTimeTimeout"
+    return observations.select(*_OBSERVED).groupBy(*SCOPE).applyInPandasWithState(fold, DECISION, STATE, "append", timeout)

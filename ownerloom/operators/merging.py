@@ -30,12 +30,14 @@ def match_text_exact(template: DataFrame, destination: DataFrame) -> DataFrame:
 def match_identities(template: DataFrame, destination: DataFrame) -> DataFrame:
     """case_id, template_pos, destination_pos by identity: node rows have primary and aliases.
 
-    Primaries are matched first, by occurrence. What is left is matched greedily in template order over
-    primaries and aliases; that step sees one case's remainder at a time.
+    Primaries are matched first, by occurrence. What is left is matched greedily in template order: a node takes
+    the first of its signatures (primary, then aliases in order) that a free node has, and of those nodes the first. That
+    step sees one case's remainder at a time. A null primary is no signature.
     """
     flat = lambda df: df.withColumn("primary_key", F.to_json("primary"))
     t, d = flat(template), flat(destination)
-    first = match_by_path(t.select("case_id", "primary_key", "pos"), d.select("case_id", "primary_key", "pos"), "primary_key")
+    named = lambda df: df.where("primary_key IS NOT NULL").select("case_id", "primary_key", "pos")
+    first = match_by_path(named(t), named(d), "primary_key")
     sure = first.where("template_pos IS NOT NULL AND destination_pos IS NOT NULL").select("case_id", "template_pos", "destination_pos")
     left = lambda df, name: df.join(sure.select("case_id", F.col(name).alias("pos")), ["case_id", "pos"], "left_anti").select("case_id", "pos", "primary_key", F.transform("aliases", lambda a: F.to_json(a)).alias("aliases"))
 
@@ -43,15 +45,15 @@ def match_identities(template: DataFrame, destination: DataFrame) -> DataFrame:
         names: dict[str, list[int]] = {}
         b = b.sort_values("pos")
         for pos, primary, aliases in zip(b.pos, b.primary_key, b.aliases, strict=True):
-            for name in {primary, *(aliases if aliases is not None else ())}:
+            for name in {primary, *(aliases if aliases is not None else ())} - {None}:
                 names.setdefault(name, []).append(pos)
         used, rows = set(), []
         a = a.sort_values("pos")
         for pos, primary, aliases in zip(a.pos, a.primary_key, a.aliases, strict=True):
-            free = [p for name in (primary, *(aliases if aliases is not None else ())) for p in names.get(name, ()) if p not in used]
-            if free:
-                used.add(min(free))
-                rows.append((key[0], pos, min(free)))
+            free = next((p for name in (primary, *(aliases if aliases is not None else ())) for p in names.get(name, ()) if p not in used), None)
+            if free is not None:
+                used.add(free)
+                rows.append((key[0], pos, free))
         return pd.DataFrame(rows, columns=["case_id", "template_pos", "destination_pos"])
 
     rest = left(t, "template_pos").groupBy("case_id").cogroup(left(d, "destination_pos").groupBy("case_id")).applyInPandas(greedy, sure.schema)
@@ -84,13 +86,14 @@ def structural_matches(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def owner_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """case_id, owner_id, change (added, deleted, edited) and change_id: before order, then new owners in after order."""
+    """case_id, owner_id, change (added, deleted, edited), change_id (numbered from 0: before order, then new owners in
+    after order), before_path and after_path (null where a side has no such owner)."""
     side = lambda df, n: df.select("case_id", "owner_id", *[F.col(c).alias(f"{n}_{c}") for c in ("text", "path", "pos")])
     both = side(before, "a").join(side(after, "b"), ["case_id", "owner_id"], "full_outer")
     change = F.when(F.col("a_pos").isNull(), "added").when(F.col("b_pos").isNull(), "deleted").when(~F.col("a_text").eqNullSafe(F.col("b_text")) | ~F.col("a_path").eqNullSafe(F.col("b_path")), "edited")
     rows = both.withColumn("change", change).where("change IS NOT NULL")
     order = Window.partitionBy("case_id").orderBy(F.col("a_pos").isNull(), F.coalesce("a_pos", "b_pos"))
-    return rows.select("case_id", "owner_id", "change", F.concat(F.lit("change-"), F.row_number().over(order)).alias("change_id"))
+    return rows.select("case_id", "owner_id", "change", F.concat(F.lit("change-"), F.row_number().over(order) - 1).alias("change_id"), F.col("a_path").alias("before_path"), F.col("b_path").alias("after_path"))
 
 
 def directional_classify(incoming: DataFrame, current: DataFrame) -> DataFrame:
@@ -212,11 +215,14 @@ def merge_keyed_members(members: DataFrame) -> DataFrame:
 
 def union_commutative_children(nodes: DataFrame) -> DataFrame:
     """nodes (case_id, parent_policy, side base|left|right, pos, node_id, signature) -> the union by signature
-    (else node id) in first-seen order; cases without a commutative parent give no rows."""
+    (else node id) in first-seen order, resolved true; a case without a commutative parent gives one row with
+    resolved false and no node."""
     side = F.when(F.col("side") == "base", 0).when(F.col("side") == "left", 1).otherwise(2)
     key = F.when(F.coalesce("signature", F.lit("")) == "", F.col("node_id")).otherwise(F.col("signature"))
     first = nodes.where("parent_policy = 'commutative'").groupBy("case_id", key.alias("k")).agg(F.min(F.struct(side.alias("s"), "pos", "node_id")).alias("seen"))
-    return first.select("case_id", "seen.node_id", "k", (F.row_number().over(Window.partitionBy("case_id").orderBy("seen")) - 1).alias("rank"))
+    good = first.select("case_id", "seen.node_id", "k", (F.row_number().over(Window.partitionBy("case_id").orderBy("seen")) - 1).alias("rank"), F.lit(True).alias("resolved"))
+    refused = nodes.where("parent_policy IS DISTINCT FROM 'commutative'").select("case_id").distinct()
+    return good.unionByName(refused.withColumn("resolved", F.lit(False)), allowMissingColumns=True)
 
 
 def normalize_archive_path(path: Column) -> Column:

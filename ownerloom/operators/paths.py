@@ -10,6 +10,8 @@ from ownerloom.functions.scalars import hash_bucket
 MAX_FILE_BYTES = 8 * 1024 * 1024
 MARKER_SIZE = 7
 CASE_FILES = ("Base", "Left", "Right", "Expected")
+#: Other files of a case (fixed values).
+CASE_NOTES = ("file_name", "final_path", "source_url")
 
 #: What whole paths, base names and suffixes stand for, as file type, family and dialect.
 EXACT_PATHS = {".git-hooks/commit-msg": ("ruby", "ruby", "ruby"), ".git-hooks/prepare-commit-msg": ("bash", "bash", "bash")}
@@ -48,16 +50,17 @@ def sample_hash_bucket(df: DataFrame, id_column: str, modulus: int, bucket: int)
 
 
 def locate_case(paths: DataFrame, extensions: list[str], path: str = "path") -> DataFrame:
-    """paths with case_id, extension and file; rows that are no file of a case are dropped.
+    """paths with case_id, extension and file (Base, Left, Right, Expected or one of CASE_NOTES); rows that are no
+    file of a case are dropped.
 
-    A case file is ext/owner/repo/commit/hash/<Base|Left|Right|Expected>.ext, relative and without `..`.
-    """
-    parts = F.split(F.col(path), "/")
-    located = paths.withColumn("parts", parts).where((F.size("parts") == 6) & ~F.startswith(F.col(path), F.lit("/")) & ~F.array_contains("parts", ".."))
-    located = located.withColumn("extension", F.col("parts")[0]).where(F.col("extension").isin(extensions))
-    located = located.withColumn("file", F.regexp_extract(F.col("parts")[5], r"^(\w+)\.", 1)).where(F.col("file").isin(*CASE_FILES))
-    located = located.where(F.col("parts")[5] == F.concat_ws(".", "file", "extension"))
-    return located.withColumn("case_id", F.array_join(F.slice("parts", 1, 5), "/")).drop("parts")
+    A case file is [folders/]ext/owner/repo/commit/hash/<name>, relative and without `..`, where name is
+    <Base|Left|Right|Expected>.ext or one of CASE_NOTES; the case id begins at the extension."""
+    parts = F.filter(F.split(F.col(path), "/"), lambda x: ~x.isin("", "."))
+    located = paths.withColumn("parts", parts).where((F.size("parts") >= 6) & ~F.startswith(F.col(path), F.lit("/")) & ~F.array_contains("parts", ".."))
+    located = located.withColumn("parts", F.slice("parts", -6, 6)).withColumn("extension", F.get("parts", F.lit(0))).where(F.col("extension").isin(extensions))
+    name = F.get("parts", F.lit(5))
+    file = F.when(name.isin(*CASE_NOTES), name).when(F.array_contains(F.array(*[F.concat(F.lit(f"{f}."), "extension") for f in CASE_FILES]), name), F.substring_index(name, ".", 1))
+    return located.withColumn("file", file).where("file IS NOT NULL").withColumn("case_id", F.array_join(F.slice("parts", 1, 5), "/")).drop("parts")
 
 
 def flag_oversize(cases: DataFrame, columns: tuple[str, ...] = ("base", "left", "right", "expected"), max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
@@ -117,15 +120,15 @@ def logical_path(path: Column) -> Column:
     return F.regexp_replace(path, r"(\.no-osc)?\.example$", "")
 
 
-def plan_template_paths(templates: DataFrame, overrides: DataFrame, default: str = "merge", project: str | None = None) -> DataFrame:
+def plan_template_paths(templates: DataFrame, overrides: DataFrame, default: str = "merge", project: str | None = None, omitted: tuple[str, ...] = ()) -> DataFrame:
     """templates (template_source_path) with logical path, destination (null: omit), kind, strategy and action.
 
-    overrides: path, strategy, override_order; the first that matches wins, else the default.
+    omitted: logical paths that have no destination, such as a tool's own settings. overrides: path, strategy, override_order; the first that matches wins, else the default.
     """
     rows = templates.withColumn("logical_destination_path", logical_path(F.col("template_source_path")))
     logical = F.col("logical_destination_path")
     gem = F.lit(f"{project.strip()}.gemspec") if project and project.strip() else logical
-    destination = F.when(logical == ".kettle-jem.yml", F.lit(None)).when(logical == ".env.local", ".env.local.example").when(logical == "gem.gemspec", gem).otherwise(logical)
+    destination = F.when(logical.isin(*omitted), F.lit(None)).when(logical == ".env.local", ".env.local.example").when(logical == "gem.gemspec", gem).otherwise(logical)
     rows = rows.withColumns({"destination_path": destination, "kind": classify_path(logical), "key": F.regexp_replace(logical, r"^(\./)+", "")})
     first = Window.partitionBy("key").orderBy("override_order")
     chosen = overrides.select(F.regexp_replace("path", r"^(\./)+", "").alias("key"), "strategy", "override_order").withColumn("n", F.row_number().over(first)).where("n = 1").select("key", "strategy")

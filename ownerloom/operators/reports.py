@@ -6,9 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Outcomes that a benchmark run may have, in report order, and those that are not scored (fixed values).
-OUTCOMES = ("clean_exact", "clean_differs", "conflict", "error", "unsupported", "excluded_ambiguous")
+#: Outcomes that are not scored, and the one that is a false automatic merge (fixed values).
+FALSE_AUTO_MERGE = "false_auto_merge"
 EXCLUDED = ("unsupported", "excluded_ambiguous")
+#: Repositories that are placed one by one, and hash classes over which the others are summed.
+GREEDY_ROWS, DEALT = 200_000, 1024
 STATUS_RANK = {"experimental": 0, "available": 1, "recommended": 2}
 
 
@@ -43,22 +45,38 @@ def template_convergence(entries: DataFrame) -> DataFrame:
     return entries.groupBy("run_id").agg(F.bool_and(fine).alias("converged"))
 
 
-def benchmark_summary(results: DataFrame) -> DataFrame:
-    """results (run_id, outcome, false_auto_merge) -> a row per run and outcome, zero-filled, with the run's
-    eligible and excluded cases, eligible false auto-merges and the safety gate."""
-    eligible = ~F.col("outcome").isin(*EXCLUDED)
-    runs = results.groupBy("run_id").agg(
-        F.count_if(eligible).alias("eligible"), F.count_if(~eligible).alias("excluded"), F.count_if(eligible & F.col("false_auto_merge")).alias("false_auto_merges"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
-    )
-    rows = F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("n")) for o in OUTCOMES])
-    return runs.select("run_id", F.explode(rows).alias("r"), "eligible", "excluded", "false_auto_merges", F.when(F.col("false_auto_merges") == 0, "pass").otherwise("fail").alias("safety")).select("run_id", "r.outcome", "r.n", "eligible", "excluded", "false_auto_merges", "safety")
+def benchmark_summary(results: DataFrame, outcomes: DataFrame, cases: DataFrame) -> DataFrame:
+    """results (run_id, case_id, outcome), outcomes (outcome: what the contract knows), cases (case_id, score_eligible)
+    -> a row per run and outcome, zero-filled, with the run's eligible and excluded results, its eligible false automatic
+    merges and the safety gate. An outcome that the contract does not know has its row too, with known false.
+
+    A result counts as eligible if its case is and its outcome is scored. Counts are partial sums; of results only
+    run and outcome pairs reach the joins that fill in zeros."""
+    rows = results.join(cases.select("case_id", "score_eligible"), "case_id", "left")
+    excluded = F.col("outcome").isin(*EXCLUDED)
+    eligible = F.coalesce("score_eligible", F.lit(False)) & ~excluded
+    counts = rows.groupBy("run_id", "outcome").agg(F.count("*").alias("n"), F.count_if(eligible).alias("e"), F.count_if(excluded).alias("x"), F.count_if(eligible & (F.col("outcome") == FALSE_AUTO_MERGE)).alias("f"))
+    runs = counts.groupBy("run_id").agg(F.sum("e").alias("eligible"), F.sum("x").alias("excluded"), F.sum("f").alias("false_auto_merges"))
+    known = outcomes.select("outcome").distinct().withColumn("known", F.lit(True))
+    grid = runs.select("run_id").join(F.broadcast(known)).unionByName(counts.select("run_id", "outcome").join(known, "outcome", "left_anti").withColumn("known", F.lit(False)))
+    safety = F.when(F.col("false_auto_merges") == 0, "pass").otherwise("fail")
+    out = grid.join(counts.select("run_id", "outcome", "n"), ["run_id", "outcome"], "left").join(runs, "run_id")
+    return out.select("run_id", "outcome", "known", F.coalesce("n", F.lit(0)).alias("n"), "eligible", "excluded", "false_auto_merges", safety.alias("safety"))
+
+
+def normalized_lines(text: Column) -> Column:
+    """Lines without white space at their ends, each ended by a line feed; line feed, carriage return or both end a
+    line, and blank lines stay. An empty text stays empty."""
+    unix = F.regexp_replace(text, r"\r\n?", "\n")
+    whole = F.regexp_replace(unix, r"\n\z", "")
+    return F.when(text == "", "").otherwise(F.concat(F.regexp_replace(whole, r"[ \t\x0B\f]+(?=\n|\z)", ""), F.lit("\n")))
 
 
 def score_agreement(cases: DataFrame) -> DataFrame:
-    """cases (case_id, expected, output) with exact, normalized (line ends trimmed), markers and digest."""
-    trim = lambda c: F.regexp_replace(F.regexp_replace(c, r"[ \t\r\f\x0B]+(?=\n)", ""), r"\s+\z", "")
+    """cases (case_id, expected, output) with exact, normalized (equal lines but for white space at their ends),
+    markers and digest."""
     markers = F.contains("output", F.lit("<<<<<<<")) | F.contains("output", F.lit("======="))
-    return cases.select("case_id", (F.col("output") == F.col("expected")).alias("exact"), (trim(F.col("output")) == trim(F.col("expected"))).alias("normalized"), markers.alias("markers"), F.sha2("output", 256).alias("sha256"))
+    return cases.select("case_id", (F.col("output") == F.col("expected")).alias("exact"), (normalized_lines(F.col("output")) == normalized_lines(F.col("expected"))).alias("normalized"), markers.alias("markers"), F.sha2("output", 256).alias("sha256"))
 
 
 def run_scorecard(results: DataFrame, exact_percentiles: bool = False) -> DataFrame:
@@ -69,7 +87,7 @@ def run_scorecard(results: DataFrame, exact_percentiles: bool = False) -> DataFr
     clean = applied & ~F.col("markers")
     sets = results.groupingSets([["extension"], ["repository"], []], "extension", "repository").agg(
         F.count("*").alias("cases"), F.count_if(applied).alias("applied"), F.count_if(clean).alias("clean"), F.count_if(clean & F.col("exact")).alias("exact"),
-        pct(0.5).alias("p50"), pct(0.95).alias("p95"), F.sum("seconds").alias("seconds"), F.countDistinct("repository").alias("repositories"), F.grouping_id().alias("g"),
+        pct(0.5).alias("p50"), pct(0.95).alias("p95"), F.sum("seconds").alias("seconds"), F.grouping_id().alias("g"),
     )
     dimension = F.when(F.col("g") == 3, "all").when(F.col("extension").isNotNull(), "extension").otherwise("repository")
     return sets.select(dimension.alias("dimension"), F.coalesce("extension", "repository", F.lit("all")).alias("value"), "cases", "applied", "clean", "exact", F.try_divide(F.col("exact"), F.col("clean")).alias("safety"), "p50", "p95", F.try_divide(F.col("cases"), F.col("seconds")).alias("throughput"))
@@ -129,11 +147,14 @@ def select_cases(cases: DataFrame, profiles: DataFrame) -> DataFrame:
     return rows.select("case_id", F.array_join(reasons, ",").alias("skip_reasons"), (F.size(reasons) == 0).alias("selected"))
 
 
-def assign_shards(cases: DataFrame, n: int, cost: str = "estimated_input_bytes") -> tuple[DataFrame, DataFrame]:
+def assign_shards(cases: DataFrame, n: int, cost: str = "estimated_input_bytes", greedy_rows: int = GREEDY_ROWS) -> tuple[DataFrame, DataFrame]:
     """(cases with shard, loads): a repository stays together; the costliest goes first, to the shard with the
     least load (then the fewest cases, then the lowest number). A missing cost is the upper median.
 
-    Cases are summed to repositories on Spark; the greedy order is sequential and sees those sums only.
+    Cases are summed to repositories on Spark. The greedy order is sequential: it sees the sums of the greedy_rows
+    costliest repositories, in one task of that bound. The others, each no costlier than any of those, fill what the
+    shards have left up to their mean load, in order of a hash: sums by DEALT hash classes come first, so that
+    running sums are windows within a class. With no more than greedy_rows repositories it is all greedy.
     """
     # The upper median: at even counts the larger of the two in the middle, the lower one of the negated values.
     median = cases.agg(F.expr(f"-percentile_disc(0.5) WITHIN GROUP (ORDER BY -{cost})").alias("m"))
@@ -147,12 +168,26 @@ def assign_shards(cases: DataFrame, n: int, cost: str = "estimated_input_bytes")
         out = []
         for repo, c, k in rows.sort_values(["cost", "repository"], ascending=[False, True])[["repository", "cost", "n_cases"]].itertuples(index=False):
             load, count, shard = heapq.heappop(loads)
-            out.append((repo, shard))
+            out.append((repo, shard, c))
             heapq.heappush(loads, (load + c, count + k, shard))
-        return pd.DataFrame(out, columns=["repository", "shard"])
-
-    placed = repos.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(greedy, "repository string, shard int")
-    told = filled.join(placed, "repository")
+        return pd.DataFrame(out, columns=["repository", "shard", "cost"])
+
+    costliest = repos.orderBy(F.desc("cost"), "repository").limit(greedy_rows)
+    placed = costliest.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(greedy, "repository string, shard int, cost double")
+    shards = repos.sparkSession.range(n).select(F.col("id").cast("int").alias("shard"))
+    rest = repos.join(costliest.select("repository"), "repository", "left_anti").withColumn("class", F.pmod(F.xxhash64("repository"), F.lit(DEALT)))
+    # A shard takes the stretch of running costs that begins where those of the shards before it end.
+    taken = placed.groupBy("shard").agg(F.sum("cost").alias("load"))
+    total = repos.agg((F.sum("cost") / n).alias("mean"))
+    free = shards.join(taken, "shard", "left").join(F.broadcast(total)).select("shard", F.greatest(F.lit(0.0), F.col("mean") - F.coalesce("load", F.lit(0.0))).alias("free"))
+    upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # n rows
+    begins = free.select(F.struct(F.coalesce(F.sum("free").over(upto), F.lit(0.0)).alias("at"), F.col("shard")).alias("s")).agg(F.sort_array(F.collect_list("s")).alias("begins"))
+    before = Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)  # DEALT rows
+    classes = rest.groupBy("class").agg(F.sum("cost").alias("cost")).select("class", F.coalesce(F.sum("cost").over(before), F.lit(0.0)).alias("class_at"))
+    within = Window.partitionBy("class").orderBy("repository").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = rest.join(F.broadcast(classes), "class").withColumn("at", F.col("class_at") + F.coalesce(F.sum("cost").over(within), F.lit(0.0))).join(F.broadcast(begins))
+    dealt = dealt.select("repository", F.element_at(F.filter("begins", lambda b: b.at <= F.col("at")), -1).shard.alias("shard"))
+    told = filled.join(placed.select("repository", "shard").unionByName(dealt), "repository")
     return told.drop("c"), told.groupBy("shard").agg(F.count("*").alias("cases"), F.sum("c").alias("load"), F.countDistinct("repository").alias("repositories"))
 
 

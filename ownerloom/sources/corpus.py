@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ownerloom.operators.cutting import validate_owners
-from ownerloom.operators.paths import CASE_FILES, locate_case
+from ownerloom.operators.paths import CASE_FILES, CASE_NOTES, locate_case
 
 MANIFEST = "case_id string, repository string, extension string, path_name string, estimated_input_bytes long, shard int"
 
@@ -26,14 +26,16 @@ def write_file_tree(files: DataFrame, path: str) -> None:
 
 
 def read_case_corpus(files: DataFrame, extensions: list[str]) -> DataFrame:
-    """files (path, content) -> one row a case with base, left, right, expected; only cases with all four."""
+    """files (path, content) -> one row a case with base, left, right, expected; only cases with all four. path_name is what
+    final_path says, else file_name, else file.<extension>."""
     located = locate_case(files, extensions)
-    pivoted = located.groupBy("case_id", "extension").pivot("file", list(CASE_FILES)).agg(F.first("content"))
+    pivoted = located.groupBy("case_id", "extension").pivot("file", [*CASE_FILES, *CASE_NOTES]).agg(F.first("content"))
     whole = pivoted.where(" AND ".join(f"{c} IS NOT NULL" for c in CASE_FILES))
     parts = F.split("case_id", "/")
+    said = lambda c: F.regexp_replace(F.decode(c, "utf-8"), r"(?U)^\s+|\s+$", "")
     size = F.octet_length("Base") + F.octet_length("Left") + F.octet_length("Right")
     return whole.select(
-        "case_id", F.concat_ws("/", parts[1], parts[2]).alias("repository"), "extension", F.concat(F.lit("file."), "extension").alias("path_name"),
+        "case_id", F.concat_ws("/", parts[1], parts[2]).alias("repository"), "extension", F.coalesce(said("final_path"), said("file_name"), F.concat(F.lit("file."), "extension")).alias("path_name"),
         F.col("Base").alias("base"), F.col("Left").alias("left"), F.col("Right").alias("right"), F.col("Expected").alias("expected"), size.cast("long").alias("estimated_input_bytes"),
     )
 
@@ -55,13 +57,13 @@ def pending_cases(manifest: DataFrame, done: DataFrame) -> DataFrame:
 
 def repair_results(lines: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, legacy) of result lines (value: JSON): undecodable lines are dropped; a result is valid if it is
-    oversize or both its output artifacts (artifacts: path) exist."""
-    schema = "case_id string, status string, smorg_artifact string, git_artifact string"
+    oversize or both its output artifacts exist (artifacts: path; the line's own_artifact and other_artifact)."""
+    schema = "case_id string, status string, own_artifact string, other_artifact string"
     rows = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*").where("case_id IS NOT NULL")
     there = lambda n: artifacts.select(F.col("path").alias(f"{n}_artifact")).distinct().withColumn(n, F.lit(True))
-    joined = rows.join(there("smorg"), "smorg_artifact", "left").join(there("git"), "git_artifact", "left")
-    good = (F.col("status") == "oversize") | (F.coalesce("smorg", F.lit(False)) & F.coalesce("git", F.lit(False)))
-    out = joined.withColumn("valid", F.coalesce(good, F.lit(False))).drop("smorg", "git")
+    joined = rows.join(there("own"), "own_artifact", "left").join(there("other"), "other_artifact", "left")
+    good = (F.col("status") == "oversize") | (F.coalesce("own", F.lit(False)) & F.coalesce("other", F.lit(False)))
+    out = joined.withColumn("valid", F.coalesce(good, F.lit(False))).drop("own", "other")
     return out.where("valid").drop("valid"), out.where("NOT valid").drop("valid")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ownerloom.functions import scalars
-from ownerloom.operators import cutting, ingest, merging, paths, reports
+from ownerloom.operators import cutting, documents, ingest, merging, paths, reports
 from ownerloom.sources import corpus
 
 
@@ -65,7 +65,7 @@ def _lines(spark, text, doc=1):
 
 @pytest.mark.parametrize(
     ("text", "reason"),
-    [("# a\nx\n# b\ny", None), ("x\n# a", "text_before_first"), ("plain", "no_headings"), ("# a\n## b", "nested_headings"), ("# a\n# a", "duplicate_heading"), ("# a\ntitle\n===", "setext_heading"), ("# a\n```\n# no\n```", None)],
+    [("# a\nx\n# b\ny", None), ("x\n# a", "text_before_first"), ("plain", "no_headings"), ("# a\n## b", "nested_headings"), ("# a\n# a", "duplicate_heading"), ("# a\ntitle\n===", "setext_heading"), ("# a\n```\n# no\n```", None), ("# a\n```\n~~~\n# a\n```\n# b", None), ("# a\n````\n```\n# a\n`````\n# b", None), ("# a\n``` x`y\n# a", "duplicate_heading"), ("# a\n~~~\n~~~ x\n# a\n~~~", None)],
 )
 def test_markdown_sections(spark, text, reason):
     sections, rejected = cutting.markdown_sections(_lines(spark, text))
@@ -75,14 +75,53 @@ def test_markdown_sections(spark, text, reason):
         assert "\n".join(r["text"] for r in sections.orderBy("start_line").collect()) == text
 
 
+def _byte_lines(spark, text):
+    return cutting.doc_lines(spark.createDataFrame([(1, text)], "doc_id int, text string"))
+
+
 def test_conflict_regions(spark):
-    good, bad = cutting.conflict_regions(_lines(spark, "a\n<<<<<<< x\n1\n||||||| b\n2\n=======\n3\n>>>>>>> y\nz"))
-    assert [tuple(r) for r in good.select("start_line", "base_line", "separator_line", "end_line").collect()] == [(2, 4, 6, 8)] and not bad.count()
-    for text in ("<<<<<<<\n<<<<<<<\n=======\n>>>>>>>", "=======", "<<<<<<<\n=======", "<<<<<<<\n>>>>>>>", "<<<<<<<\n=======\n=======\n>>>>>>>"):
-        good, bad = cutting.conflict_regions(_lines(spark, text))
-        assert not good.count() and bad.count() == 1
+    text = "a\n<<<<<<< x\n1\n||||||| b\n2\n=======\n3\n>>>>>>> y\nz"
+    good, bad = cutting.conflict_regions(_byte_lines(spark, text))
+    row = good.first()
+    assert [row[c] for c in ("start_line", "base_line", "separator_line", "end_line")] == [2, 4, 6, 8] and not bad.count()
+    part = lambda a, b: text.encode()[row[a] : row[b]].decode()
+    assert [part("ours_start", "ours_end"), part("base_start", "base_end"), part("theirs_start", "theirs_end")] == ["1\n", "2\n", "3\n"]
+    assert part("start_byte", "end_byte") == text[2:-1]
+    for text, line in (("<<<<<<<\n<<<<<<<\n=======\n>>>>>>>", 2), ("=======", 1), ("<<<<<<<\n=======", 1), ("x\n<<<<<<<\n>>>>>>>", 3), ("<<<<<<<\n=======\n=======\n>>>>>>>", 3), ("<<<<<<<\n======= x\n>>>>>>>", 3)):
+        good, bad = cutting.conflict_regions(_byte_lines(spark, text))
+        assert not good.count() and [tuple(r) for r in bad.collect()] == [(1, line, "invalid_markers")], text
     with pytest.raises(ValueError, match="marker size"):
-        cutting.conflict_regions(_lines(spark, "a"), 0)
+        cutting.conflict_regions(_byte_lines(spark, "a"), 0)
+
+
+def test_conflict_marks_at_the_edges(spark):
+    text = "\ufeff<<<<<<<\tä\r\nä\r\n=======\r\n>>>>>>>"
+    row = cutting.conflict_regions(_byte_lines(spark, text))[0].first()
+    raw = text.encode()
+    assert row["start_byte"] == 3 and raw[row["ours_start"] : row["ours_end"]].decode() == "ä\r\n" and row["theirs_start"] == row["theirs_end"] and row["end_byte"] == len(raw)
+    assert cutting.conflict_regions(_byte_lines(spark, "<<<<<<<x\n=======x"))[0].count() == 0 and cutting.conflict_regions(_byte_lines(spark, "<<<<<<<x\n=======x"))[1].count() == 0
+    two = "<<<<<<<\n=======\n>>>>>>>\n" * 2
+    assert cutting.conflict_regions(_byte_lines(spark, two), max_regions=1)[1].first()["code"] == "region_limit"
+    assert cutting.conflict_regions(_byte_lines(spark, two), max_bytes=10)[1].first()["code"] == "input_limit"
+
+
+def test_freeze_blocks(spark):
+    found = lambda text, token="k.p": tuple({tuple(r)[1:] for r in df.collect()} for df in cutting.freeze_blocks(_lines(spark, text), token))
+    assert found("# k.p:freeze why\nx\n# K.P: Unfreeze") == ({(1, 3, "why")}, set())
+    assert found("# kxp:freeze\n# kxp:unfreeze") == (set(), set())
+    assert found("# k.p:freeze\n# k.p:freeze") == (set(), {("nested_freeze_open", 2), ("unclosed_freeze_open", 1)})
+    assert found("# k.p:unfreeze\n# k.p:freeze\n# k.p:unfreeze") == (set(), {("unmatched_freeze_close", 1)})
+    lines = _lines(spark, "# k.p:freeze\nx\n# k.p:unfreeze\ny")
+    rows = cutting.freeze_block_of_lines(lines, cutting.freeze_blocks(lines, "k.p")[0]).orderBy("line").collect()
+    assert [(r["start_line"], r["end_line"]) for r in rows] == [(1, 3)] * 3 + [(None, None)]
+
+
+def test_json_owners_tell_where_they_were_cut(spark):
+    docs = spark.createDataFrame([(1, '{"a":{"b/c":[1,{"d":2}]},"e":{}}')], "doc_id int, j string")
+    rows = {r["path"]: (r["match_key"], r["parent"], r["cut"]) for r in cutting.json_owners(docs, "j", 2).collect()}
+    assert rows == {"/a": ("a", "", False), "/a/b~1c": ("b/c", "/a", True), "/e": ("e", "", False)}
+    rows = {r["path"]: r["cut"] for r in cutting.json_owners(docs, "j").collect()}
+    assert rows["/a/b~1c/1/d"] is False and not any(rows.values())
 
 
 def test_edits(spark):
@@ -134,7 +173,7 @@ def test_rendered_conflicts_are_found_again(spark):
     rows = merging.render_conflicts(merging.three_way_classify(o)).collect()
     assert len(rows) == 2
     for r in rows:
-        good, bad = cutting.conflict_regions(_lines(spark, r["block"]))
+        good, bad = cutting.conflict_regions(_byte_lines(spark, r["block"]))
         assert good.count() == 1 and not bad.count()
 
 
@@ -143,6 +182,39 @@ def test_identities(spark):
     t = spark.createDataFrame([(1, 0, ["f"], [["g"]]), (1, 1, ["g"], []), (1, 2, ["h"], [["old"]])], node)
     d = spark.createDataFrame([(1, 0, ["g"], []), (1, 1, ["old"], []), (1, 2, ["f"], [])], node)
     assert {(r["template_pos"], r["destination_pos"]) for r in merging.match_identities(t, d).collect()} == {(0, 2), (1, 0), (2, 1)}
+    # The first signature with a free node wins over a later one whose node stands before it; null meets nothing.
+    t = spark.createDataFrame([(1, 0, ["p"], [["x"], ["y"]]), (1, 1, None, [])], node)
+    d = spark.createDataFrame([(1, 0, ["y"], []), (1, 1, ["x"], []), (1, 2, None, [])], node)
+    assert {(r["template_pos"], r["destination_pos"]) for r in merging.match_identities(t, d).collect()} == {(0, 1)}
+
+
+def test_owner_diff_numbers_from_zero(spark):
+    node = "case_id int, owner_id string, path string, pos int, text string"
+    before = spark.createDataFrame([(1, "a", "p", 0, "1"), (1, "b", "p", 1, "1"), (1, "c", "p", 2, "1"), (1, "d", "p", 3, "1")], node)
+    after = spark.createDataFrame([(1, "n", "p", 0, "1"), (1, "d", "q", 1, "1"), (1, "b", "p", 2, "2"), (1, "a", "p", 3, "1")], node)
+    rows = sorted(tuple(r)[1:] for r in merging.owner_diff(before, after).collect())
+    assert rows == [("b", "edited", "change-0", "p", "p"), ("c", "deleted", "change-1", "p", None), ("d", "edited", "change-2", "p", "q"), ("n", "added", "change-3", None, "p")]
+
+
+def test_refused_unions_stay(spark):
+    node = "case_id int, parent_policy string, side string, pos int, node_id string, signature string"
+    rows = spark.createDataFrame([(1, "commutative", "right", 0, "x", "s"), (1, "commutative", "base", 0, "y", "s"), (2, "ordered", "base", 0, "z", ""), (3, None, "base", 0, "w", "")], node)
+    assert sorted((r["case_id"], r["node_id"], r["resolved"]) for r in merging.union_commutative_children(rows).collect()) == [(1, "y", True), (2, None, False), (3, None, False)]
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [("a\n", "a", True), ("a\n\n", "a\n", False), ("a \t\nb", "a\r\nb\r\n", True), ("a\rb", "a\nb", True), ("", "\n", False), ("", "", True), ("\na", "a", False)])
+def test_agreement_of_lines(spark, a, b, same):
+    rows = reports.score_agreement(spark.createDataFrame([(1, a, b)], "case_id int, expected string, output string"))
+    assert rows.first()["normalized"] is same
+
+
+def test_benchmark_outcomes_come_from_the_contract(spark):
+    results = spark.createDataFrame([(1, 1, "clean"), (1, 2, "false_auto_merge"), (1, 3, "unsupported"), (1, 4, "odd")], "run_id int, case_id int, outcome string")
+    known = spark.createDataFrame([("clean",), ("false_auto_merge",), ("unsupported",), ("conflict",)], "outcome string")
+    cases = spark.createDataFrame([(1, True), (2, True), (3, True), (4, False)], "case_id int, score_eligible boolean")
+    rows = reports.benchmark_summary(results, known, cases).collect()
+    assert {(r["outcome"], r["known"], r["n"]) for r in rows} == {("clean", True, 1), ("false_auto_merge", True, 1), ("unsupported", True, 1), ("conflict", True, 0), ("odd", False, 1)}
+    assert {(r["eligible"], r["excluded"], r["false_auto_merges"], r["safety"]) for r in rows} == {(2, 1, 1, "fail")}
 
 
 @pytest.mark.parametrize(
@@ -173,7 +245,9 @@ def test_paths(spark):
     assert _one(spark, paths.classify_path(F.col("a")), a="./x/CITATION.cff").family == "yaml"
     assert _one(spark, paths.classify_path(F.col("a")), a=".env.local").dialect == "dotenv"
     rows = [("java/o/r/c/h/Base.java",), ("java/o/r/c/h/Base.py",), ("java/o/../c/h/Base.java",), ("/java/o/r/c/h/Base.java",), ("java/o/r/c/h/Other.java",)]
-    assert [r["case_id"] for r in paths.locate_case(spark.createDataFrame(rows, "path string"), ["java"]).collect()] == ["java/o/r/c/h"]
+    rows += [("x/./y//java/o/r/c/g/final_path",), ("java/o/r/c/h/deep/Base.java",), ("java/o/r/c/java",)]
+    found = paths.locate_case(spark.createDataFrame(rows, "path string"), ["java"]).collect()
+    assert sorted((r["case_id"], r["file"]) for r in found) == [("java/o/r/c/g", "final_path"), ("java/o/r/c/h", "Base")]
 
 
 def test_corpus_round_trip(spark, tmp_path):
@@ -182,13 +256,15 @@ def test_corpus_round_trip(spark, tmp_path):
             p = tmp_path / f"tree/java/own/repo/c/h{k}/{f}.java"
             p.parent.mkdir(parents=True, exist_ok=True)
             p.write_text(f * k)
+    (tmp_path / "tree/java/own/repo/c/h1/file_name").write_text("Other.java")
+    (tmp_path / "tree/java/own/repo/c/h1/final_path").write_text(" src/A.java\n")
     cases = corpus.read_case_corpus(corpus.read_file_tree(spark, str(tmp_path / "tree")), ["java"])
     row = cases.first()
-    assert cases.count() == 1 and row["repository"] == "own/repo" and row["estimated_input_bytes"] == 13 and bytes(row["expected"]) == b"Expected"
+    assert cases.count() == 1 and row["repository"] == "own/repo" and row["estimated_input_bytes"] == 13 and row["path_name"] == "src/A.java" and bytes(row["expected"]) == b"Expected"
     corpus.write_manifest(cases.withColumn("shard", F.lit(3)), str(tmp_path / "m"))
     assert corpus.read_manifest(spark, str(tmp_path / "m"), 3).count() == 1 and corpus.read_manifest(spark, str(tmp_path / "m"), 4).count() == 0
     assert corpus.pending_cases(cases, cases).count() == 0
-    lines = spark.createDataFrame([('{"case_id":"a","status":"oversize"}',), ("{bad",), ('{"case_id":"b","status":"completed","smorg_artifact":"x","git_artifact":"y"}',), ('{"case_id":"c","status":"completed","smorg_artifact":"x","git_artifact":"z"}',)], "value string")
+    lines = spark.createDataFrame([('{"case_id":"a","status":"oversize"}',), ("{bad",), ('{"case_id":"b","status":"completed","own_artifact":"x","other_artifact":"y"}',), ('{"case_id":"c","status":"completed","own_artifact":"x","other_artifact":"z"}',)], "value string")
     valid, legacy = corpus.repair_results(lines, spark.createDataFrame([("x",), ("y",)], "path string"))
     assert {r["case_id"] for r in valid.collect()} == {"a", "b"} and {r["case_id"] for r in legacy.collect()} == {"c"}
 
@@ -198,6 +274,11 @@ def test_shards_keep_repositories(spark):
     told, loads = reports.assign_shards(cases, 3)
     assert told.groupBy("repository").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
     assert told.count() == 50 and loads.count() == 3
+    # The others are dealt up to the mean: no shard is above it by more than one repository.
+    many = spark.createDataFrame([(k, f"r{k}", 10 + k % 90) for k in range(600)], "case_id int, repository string, estimated_input_bytes int")
+    told, loads = reports.assign_shards(many, 5, greedy_rows=20)
+    costs = [r["load"] for r in loads.collect()]
+    assert told.count() == 600 and len(costs) == 5 and max(costs) - sum(costs) / 5 <= 100
 
 
 OBSERVED = "producer_id string, scope string, observation_id string, seq long, payload_digest string, revision_ref string, expected_prior string, projection string"
@@ -277,3 +358,107 @@ def test_structural_matches_reports_repeated_bodies(spark):
     after = spark.createDataFrame([(1, "p", "r", 0, "x"), (1, "q", "r", 1, "y"), (1, "s", "r", 2, "y"), (1, "t", "r", 3, "z")], nodes)
     got = {(r["signature"], r["to_signature"], r["kind"], r["before_candidates"], r["after_candidates"]) for r in merging.structural_matches(before, after).collect()}
     assert got == {("a", None, "ambiguous", 2, 1), ("b", None, "ambiguous", 2, 1), ("c", None, "ambiguous", 1, 2), ("d", "t", "rename", None, None)}
+
+
+JSON3 = "doc_id int, base string, ours string, theirs string"
+
+
+@pytest.mark.parametrize(
+    ("base", "ours", "theirs", "outcome", "output", "conflicts"),
+    [
+        ('{"a":1}', '{"a":2}', '{"a":3}', "conflict", None, {("/a", "modify_modify")}),
+        ('{"a":1,"b":2}', '{"a":3,"b":2}', '{"a":1,"b":4}', "clean", '{"a":3,"b":4}', set()),
+        ('{"x":1}', '{"x":1}', '{"x":"é"}', "clean", '{"x":"é"}', set()),
+        ('{"a":1,"b":1}', '{"b":2}', '{"a":1,"b":1,"c":0}', "clean", '{"b":2,"c":0}', set()),
+        ('{"a":1,"b":1}', '{"a":1,"b":2}', '{"b":1}', "conflict", None, {("/a", "delete_requires_owner_edit")}),
+        ('{"a":1,"b":1}', '{"a":2,"b":1}', '{"b":3}', "conflict", None, {("/a", "ambiguous_owner_change")}),
+        ('{"a":[1]}', '{"a":[2]}', '{"a":[3]}', "conflict", None, {("/a", "atomic_array_edit")}),
+        ('{"a/b":{"c":1,"d":1}}', '{"a/b":{"c":2,"d":1}}', '{"a/b":{"c":1,"d":3}}', "clean", '{"a/b":{"c":2,"d":3}}', set()),
+        ('{"a":1,"a":2}', "{}", "{}", "error", None, set()),
+        ("{}", '{"n":1}', '{"n":2}', "conflict", None, {("/n", "ambiguous_owner_change")}),
+    ],
+)
+def test_json_three_way(spark, base, ours, theirs, outcome, output, conflicts):
+    rows = documents.merge_json_three_way(spark.createDataFrame([(1, base, ours, theirs)], JSON3))
+    told = documents.json_texts(rows).first()
+    assert (told["outcome"], told["output"]) == (outcome, output)
+    assert {(r["path"], r["category"]) for r in rows.where("kind = 'conflict'").collect()} == conflicts
+
+
+def test_json_laws_and_depth(spark):
+    b, x = '{"a":{"b":{"c":1}},"d":[1]}', '{"a":{"b":{"c":2}},"e":null}'
+    merged = lambda *v: documents.json_texts(documents.merge_json_three_way(spark.createDataFrame([(1, *v)], JSON3))).first()["output"]
+    canon = lambda v: spark.createDataFrame([(v,)], "v string").selectExpr("to_json(try_parse_json(v)) AS v").first()["v"]
+    assert merged(b, x, b) == merged(b, b, x) == merged(b, x, x) == canon(x)
+    deep = documents.merge_json_three_way(spark.createDataFrame([(1, b, x, '{"a":{"b":{"c":3}}}')], JSON3), max_depth=1)
+    assert ("/a", "cut") in {(r["path"], r["kind"]) for r in deep.collect()}
+
+
+def test_json_two_way(spark):
+    docs = spark.createDataFrame([(1, '{"a":{"x":1,"y":[1]},"b":2,"t":0}', '{"a":{"y":[2],"z":{}},"b":{}}'), (2, "[1]", '{"a":1}'), (3, "{}", "{}")], "doc_id int, t string, d string")
+    rows = documents.merge_mapping_two_way(docs, "t", "d")
+    assert {r["doc_id"]: r["output"] for r in documents.json_texts(rows).collect()} == {1: '{"a":{"x":1,"y":[2],"z":{}},"b":{},"t":0}', 2: '{"a":1}', 3: "{}"}
+
+
+def _blocks(spark, text, case=1):
+    rows = cutting.text_blocks(spark.createDataFrame([(case, text)], "doc_id int, text string"))
+    return rows.select(F.col("doc_id").alias("case_id"), "index", "normalized")
+
+
+def test_plain_text_merge(spark):
+    t, d = _blocks(spark, "Alpha\n\nBeta\n\nAlpha\n\nTemplate only"), _blocks(spark, "Beta\n\nAlpha revised\n\nAlpha\n\nDestination only")
+    assert documents.merge_text(t, d).first()["output"] == "Beta\n\nAlpha revised\n\nAlpha\n\nDestination only\n\nAlpha\n\nTemplate only"
+
+
+def test_text_matching_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9)))
+    t = [" ".join(word() for _ in range(rng.randrange(1, 9))) for _ in range(14)]
+    d = [x if k % 4 == 0 else "".join(c if rng.random() > 0.12 else rng.choice("abcde") for c in x) for k, x in enumerate(rng.sample(t, 12))]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    def score(a, b, i, j):
+        content, length = 1 - distance(a, b) / max(len(a), len(b)), min(len(a), len(b)) / max(len(a), len(b))
+        return 0.7 * content + 0.15 * length + 0.15 * (1 - abs(i / (len(t) - 1) - j / (len(d) - 1)))
+
+    used, want = set(), {}
+    for j, y in enumerate(d):
+        if (i := next((i for i, x in enumerate(t) if i not in used and x == y), None)) is not None:
+            used.add(i)
+            want[j] = i
+    for j, y in enumerate(d):
+        if j not in want:
+            best = max(((score(x, y, i, j), -i) for i, x in enumerate(t) if i not in used), default=(0, 0))
+            if best[0] >= 0.7:
+                used.add(-best[1])
+                want[j] = -best[1]
+    frame = lambda part: spark.createDataFrame([(1, k, x) for k, x in enumerate(part)], "case_id int, index int, normalized string")
+    got = {r["destination_index"]: r["template_index"] for r in documents.match_text(frame(t), frame(d)).collect()}
+    assert got == want and len(want) > 8
+
+
+@pytest.mark.parametrize(
+    ("base", "ours", "theirs", "why", "output"),
+    [
+        ("# a\n1\n# b\n1", "# a\n2\n# b\n1", "# a\n1\n# b\n1\n# c\n3", "merged", "# a\n2\n# b\n1\n# c\n3"),
+        ("# a\n1", "# a\n2", "# a\n3", "section", None),
+        ("# a\n1\n# b\n1", "# b\n1\n# a\n2", "# a\n1\n# b\n3", "order", None),
+        ("# a\n1\n# b\n1", "# a\n2", "# a\n1\n# b\n1\n# c\n1", "merged", "# a\n2\n# c\n1"),
+        ("# a\n1", "# a\n1", "# x\n1", "whole_source_theirs", "# x\n1"),
+        ("# a\n1", "text", "# x\n1", "no_headings", None),
+    ],
+)
+def test_markdown_three_way(spark, base, ours, theirs, why, output):
+    rows = [(1, role, k, t) for role, text in (("base", base), ("ours", ours), ("theirs", theirs)) for k, t in enumerate(text.split("\n"), 1)]
+    row = documents.merge_markdown_three_way(spark.createDataFrame(rows, "case_id int, role string, line int, text string")).first()
+    assert (row["why"], row["output"]) == (why, output)
