@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ownerloom.functions.scalars import is_rfc3339_utc
 from ownerloom.jobs.demo_data import table
-from ownerloom.operators import ingest, paths, reports
+from ownerloom.operators import cutting, ingest, paths, reports
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,9 +184,36 @@ def shard_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("repository").agg(F.min("shard").alias("shard"), F.max("shard").alias("shard_max"), F.count("*").alias("cases"))
 
 
+def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as templates with tokens: some valid, some not, some without a replacement."""
+    k = F.col("page_id")
+    text = F.concat(F.lit("{no} x {A|"), (k % 50).cast("string"), F.lit("} {B|C:D} {A|"), (k % 50).cast("string"), F.lit("} {e-f|g} {Z|q:"), (k % 7).cast("string"), F.lit(":w} {A|{B|C} end"))
+    return table(spark, sf_dir, "pages").select(k.alias("doc_id"), text.alias("text"), F.when(k % 9 == 0, "raw_copy").otherwise("merge").alias("strategy"), F.when(k % 8 != 0, F.concat(F.lit("d/"), k.cast("string"))).alias("destination_path"))
+
+
+def template_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting.template_tokens(_templates(spark, sf_dir)).select("doc_id", F.array_join("keys", ",").alias("keys"))
+
+
+_TOKENS_SQL = "SELECT page_id AS doc_id, 'A|' || page_id % 50 || ',B|C:D,Z|q:' || page_id % 7 || ':w' AS keys FROM pages"
+
+
+def resolve_template_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    known = pages.where("page_id < 50 AND page_id % 5 <> 0").select(F.concat(F.lit("A|"), F.col("page_id").cast("string")).alias("key"), F.concat(F.lit("a"), F.col("page_id").cast("string")).alias("replacement"))
+    known = known.unionByName(pages.where("page_id < 7 AND page_id <> 3").select(F.concat(F.lit("Z|q:"), F.col("page_id").cast("string"), F.lit(":w")).alias("key"), F.lit("{B|C:D}").alias("replacement")))
+    known = known.unionByName(pages.where("page_id = 1").select(F.lit("B|C:D").alias("key"), F.lit("").alias("replacement")))
+    return cutting.resolve_template_tokens(_templates(spark, sf_dir), known).select("doc_id", F.array_join("unresolved", ",").alias("unresolved"), "blocked", "text")
+
+
+_RESOLVE_SQL = """WITH t AS (SELECT page_id AS k, 'A|' || page_id % 50 AS a, 'Z|q:' || page_id % 7 || ':w' AS z, (page_id % 50) % 5 <> 0 AS has_a, page_id % 7 <> 3 AS has_z, page_id % 8 <> 0 AND page_id % 9 <> 0 AS needed FROM pages)
+SELECT k AS doc_id, concat_ws(',', CASE WHEN NOT has_a THEN a END, CASE WHEN NOT has_z THEN z END) AS unresolved, needed AND NOT (has_a AND has_z) AS blocked,
+  CASE WHEN NOT needed THEN '{no} x {' || a || '} {B|C:D} {' || a || '} {e-f|g} {' || z || '} {A|{B|C} end' WHEN has_a AND has_z THEN '{no} x a' || k % 50 || '  a' || k % 50 || ' {e-f|g} {B|C:D} {A|{B|C} end' END AS text FROM t"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (validate_inventory, inventory_delta, accept_observations, run_scorecard, benchmark_summary, suite_summary, score_agreement, pair_results, check_references, review_groups, is_rfc3339, plan_templates, resolve_attributes, shard_loads)
+    for f in (validate_inventory, inventory_delta, accept_observations, run_scorecard, benchmark_summary, suite_summary, score_agreement, pair_results, check_references, review_groups, is_rfc3339, plan_templates, resolve_attributes, shard_loads, template_tokens, resolve_template_tokens)
 }
 SQL = {
     "validate_inventory": _INVENTORY_SQL,
@@ -201,4 +228,6 @@ SQL = {
     "is_rfc3339": "SELECT event_id, event_id % 5 <> 0 AND event_id % 7 <> 0 AS valid FROM events",
     "plan_templates": _TEMPLATES_SQL,
     "resolve_attributes": _ATTRIBUTES_SQL,
+    "template_tokens": _TOKENS_SQL,
+    "resolve_template_tokens": _RESOLVE_SQL,
 }

@@ -158,9 +158,24 @@ def sequence_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.sequence_changes(revision(spark, sf_dir, "base"), theirs).select("case_id", "owner_id", "kind", "base_pos", "side_pos")
 
 
+def sequence_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tips of some cases turn owners around, in the same way or not."""
+    rows = owners(spark, sf_dir)
+    turn = lambda m, r: (F.col("role") == r) & (F.col("case_id") % m == 0) & (F.col("owner_id") % 5 == 0) | (F.col("role") == r) & (F.col("case_id") % 7 == 0) & (F.col("owner_id") % 3 == 0)
+    rows = rows.withColumn("pos", F.when(turn(2, "ours") | turn(3, "theirs"), -F.col("pos")).otherwise(F.col("pos")))
+    part = lambda role: rows.where(F.col("role") == role)
+    return merging.sequence_conflicts(part("base"), part("ours"), part("theirs")).select("case_id", "category", "owner_id", "base_pos")
+
+
+_ORDER_SQL = f"""{_BY_OWNER}, p AS (SELECT case_id, owner_id, bp, CASE WHEN (case_id % 2 = 0 AND owner_id % 5 = 0) OR (case_id % 7 = 0 AND owner_id % 3 = 0) THEN -op ELSE op END AS op, CASE WHEN (case_id % 3 = 0 AND owner_id % 5 = 0) OR (case_id % 7 = 0 AND owner_id % 3 = 0) THEN -tp ELSE tp END AS tp FROM d),
+l AS (SELECT case_id, list(bp ORDER BY op) FILTER (bp IS NOT NULL AND op IS NOT NULL) AS o, list(bp ORDER BY tp) FILTER (bp IS NOT NULL AND tp IS NOT NULL) AS t FROM p GROUP BY 1)
+SELECT case_id, CASE decision WHEN 'conflict_delete_modify' THEN 'delete_modify' WHEN 'conflict_edit_edit' THEN 'modify_modify' ELSE 'duplicate_insertion' END AS category, owner_id, bp AS base_pos FROM d WHERE decision LIKE 'conflict%'
+UNION ALL SELECT case_id, 'order', NULL, NULL FROM l WHERE o <> t AND o <> list_sort(o) AND t <> list_sort(t)"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (three_way_classify, decision_summary, whole_source, merge_preconditions, owner_diff, directional_classify, owner_union, match_by_path, merge_comment_delta, merge_keyed_members, union_commutative_children, sequence_changes, merge_archive_entries, structural_matches, merge_order, render_merged, render_conflicts)
+    for f in (three_way_classify, decision_summary, whole_source, merge_preconditions, owner_diff, directional_classify, owner_union, match_by_path, merge_comment_delta, merge_keyed_members, union_commutative_children, sequence_changes, sequence_conflicts, merge_archive_entries, structural_matches, merge_order, render_merged, render_conflicts)
 }
 
 _SELECTED = "CASE decision WHEN 'select_ours' THEN 'ours' WHEN 'select_theirs' THEN 'theirs' END"
@@ -189,6 +204,7 @@ m AS (SELECT b.case_id, b.owner_id, b.pos AS base_pos, t.pos AS side_pos, b.text
 n AS (SELECT *, lag(base_pos) OVER wb IS DISTINCT FROM lag(base_pos) OVER ws OR lead(base_pos) OVER wb IS DISTINCT FROM lead(base_pos) OVER ws AS moved FROM m WINDOW wb AS (PARTITION BY case_id ORDER BY base_pos), ws AS (PARTITION BY case_id ORDER BY side_pos))
 SELECT case_id, owner_id, 'modify' AS kind, base_pos, side_pos FROM n WHERE changed UNION ALL SELECT case_id, owner_id, 'move', base_pos, side_pos FROM n WHERE moved
 UNION ALL SELECT case_id, owner_id, 'delete', pos, NULL FROM b ANTI JOIN m USING (case_id, owner_id) UNION ALL SELECT case_id, owner_id, 'insert', NULL, pos FROM t ANTI JOIN m USING (case_id, owner_id)""",
+    "sequence_conflicts": _ORDER_SQL,
     "merge_comment_delta": _COMMENT_SQL,
     "merge_keyed_members": _KEYED_SQL,
     "union_commutative_children": _UNION_SQL,

@@ -6,6 +6,9 @@ lines matter (markers, headings), the others are filtered out before the window.
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,10 +238,60 @@ def json_equivalent(a: Column, b: Column) -> Column:
     return F.to_json(F.try_parse_json(a)) == F.to_json(F.try_parse_json(b))
 
 
-def template_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, keys: distinct `{A|B:C}`-like tokens of two or more parts in first-seen order."""
-    found = F.regexp_extract_all("text", F.lit(r"\{([A-Za-z0-9_]+(?:[|:][A-Za-z0-9_]+)+)\}"), 1)
-    return docs.select("doc_id", F.array_distinct(found).alias("keys"))
+@dataclass(frozen=True)
+class TokenShape:
+    """What a token looks like: pre, segments of one class of characters parted by separators (the last one again
+    where there are more), post. Fixed values by default."""
+
+    pre: str = "{"
+    post: str = "}"
+    separators: tuple[str, ...] = ("|", ":")
+    min_segments: int = 2
+    max_segments: int | None = None
+    segment: str = "[A-Za-z0-9_]"
+
+    def key_pattern(self) -> str:
+        """The pattern of a whole key."""
+        most, part = self.max_segments, f"{self.segment}+"
+        named = [re.escape(s) + part for s in self.separators[: None if most is None else max(0, most - 1)]]
+        more = max(0, (most or 0) - 1 - len(self.separators)) if most is not None else None
+        tail = f"(?:{re.escape(self.separators[-1])}{part})" + ("*" if more is None else f"{{0,{more}}}")
+        out = tail
+        for k in range(len(named) - 1, -1, -1):
+            # The first min_segments - 1 separators must be there.
+            out = f"(?:{named[k]}{out})" + ("" if k + 1 < self.min_segments else "?")
+        short = max(0, self.min_segments - 1 - len(named))
+        if short:
+            raise ValueError("min_segments beyond the listed separators are not supported")
+        return f"^{part}{out}$"
+
+
+def token_keys(text: Column, shape: TokenShape = TokenShape()) -> Column:  # noqa: B008
+    """Distinct keys of a text's tokens in first-seen order. A token runs from pre to the first post after it, and the
+    next is looked for behind it, whether its key is valid or not."""
+    found = F.regexp_extract_all(text, F.lit(f"(?s){re.escape(shape.pre)}(.*?){re.escape(shape.post)}"), 1)
+    return F.array_distinct(F.filter(found, lambda k: k.rlike(shape.key_pattern())))
+
+
+def template_tokens(docs: DataFrame, shape: TokenShape = TokenShape()) -> DataFrame:  # noqa: B008
+    """doc_id, keys: distinct tokens of docs (doc_id, text), in first-seen order."""
+    return docs.select("doc_id", token_keys(F.coalesce("text", F.lit("")), shape).alias("keys"))
+
+
+def resolve_template_tokens(docs: DataFrame, replacements: DataFrame, shape: TokenShape = TokenShape()) -> DataFrame:  # noqa: B008
+    """docs (doc_id, text, strategy, destination_path), replacements (key, replacement) -> doc_id, unresolved keys,
+    blocked, text: tokens replaced one key after the other, null where blocked.
+
+    Keys meet their replacements by an equi-join on the key. Kept destinations, raw copies and omitted entries (no
+    destination) need no replacement: their text stays."""
+    rows = docs.withColumn("keys", token_keys(F.coalesce("text", F.lit("")), shape))
+    wanted = rows.select("doc_id", F.explode("keys").alias("key")).join(replacements.dropDuplicates(["key"]), "key").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "replacement"))).alias("known"))
+    rows = rows.join(wanted, "doc_id", "left").withColumn("known", F.coalesce("known", F.create_map().cast("map<string,string>")))
+    unresolved = F.filter("keys", lambda k: ~F.map_contains_key("known", k))
+    needed = F.col("destination_path").isNotNull() & ~F.coalesce(F.col("strategy").isin("keep_destination", "raw_copy"), F.lit(False))
+    replaced = F.aggregate("keys", F.coalesce("text", F.lit("")), lambda s, k: F.when(F.map_contains_key("known", k), F.replace(s, F.concat(F.lit(shape.pre), k, F.lit(shape.post)), F.element_at("known", k))).otherwise(s))
+    blocked = needed & (F.size(unresolved) > 0)
+    return rows.select("doc_id", unresolved.alias("unresolved"), blocked.alias("blocked"), F.when(blocked, F.lit(None)).when(needed, replaced).otherwise(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def validate_owners(owners: DataFrame) -> DataFrame:

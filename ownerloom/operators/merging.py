@@ -353,6 +353,35 @@ def sequence_changes(base: DataFrame, side: DataFrame, identity: str = "owner_id
     return rows.select("case_id", identity, "occurrence", F.explode(F.array_compact(kinds)).alias("kind"), "base_pos", "side_pos")
 
 
+def sequence_conflicts(base: DataFrame, ours: DataFrame, theirs: DataFrame, identity: str = "owner_id") -> DataFrame:
+    """case_id, category, identity, occurrence and base_pos of what two sides of a sequence cannot both have.
+
+    delete_modify, modify_modify and duplicate_insertion are told by the n-th node of an identity in each revision. A case is
+    told once as order (identity null) if both sides turn base nodes around and not in the same way; orders
+    are compared by neighbours, without a list of a case's nodes."""
+    nth = Window.partitionBy("case_id", identity).orderBy("pos")
+    part = lambda df, role: df.select("case_id", identity, F.row_number().over(nth).alias("occurrence"), F.lit(role).alias("role"), "pos", F.col("fingerprint").alias("hash"))
+    rows = part(base, "b").unionByName(part(ours, "o")).unionByName(part(theirs, "t"))
+    of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c))).alias(f"{role}_{c}")
+    nodes = rows.groupBy("case_id", identity, "occurrence").agg(*[of(r, c) for r in "bot" for c in ("pos", "hash")])
+    b, o, t = (F.col(f"{r}_pos").isNotNull() for r in "bot")
+    bh, oh, th = (F.col(f"{r}_hash") for r in "bot")
+    category = (
+        F.when(b & ~o & t & (th != bh) | b & o & ~t & (oh != bh), "delete_modify").when(b & o & t & (oh != bh) & (th != bh) & (oh != th), "modify_modify").when(~b & o & t & (oh != th), "duplicate_insertion")
+    )
+    content = nodes.withColumn("category", category).where("category IS NOT NULL").select("case_id", "category", identity, "occurrence", F.col("b_pos").alias("base_pos"))
+
+    def before(role: str) -> DataFrame:
+        """The base place before each matched node in a side's order."""
+        return nodes.where(f"b_pos IS NOT NULL AND {role}_pos IS NOT NULL").select("case_id", "b_pos", F.lag("b_pos").over(Window.partitionBy("case_id").orderBy(f"{role}_pos")).alias(role), F.lit(True).alias(f"in_{role}"))
+
+    both = before("o").join(before("t"), ["case_id", "b_pos"], "full_outer")
+    turned = lambda role: F.coalesce(F.bool_or(F.col(role) > F.col("b_pos")), F.lit(False))
+    differ = F.bool_or(F.col("in_o").isNull() | F.col("in_t").isNull() | ~F.col("o").eqNullSafe(F.col("t")))
+    order = both.groupBy("case_id").agg((turned("o") & turned("t") & differ).alias("bad")).where("bad").select("case_id", F.lit("order").alias("category"))
+    return content.unionByName(order, allowMissingColumns=True)
+
+
 def verify_byte_segments(segments: DataFrame) -> DataFrame:
     """segments (case_id, segment_id, src binary, src_start, src_end, out binary, out_start, out_end, sha256)
     -> case_id and the first error by place, null if all hold."""

@@ -462,3 +462,29 @@ def test_markdown_three_way(spark, base, ours, theirs, why, output):
     rows = [(1, role, k, t) for role, text in (("base", base), ("ours", ours), ("theirs", theirs)) for k, t in enumerate(text.split("\n"), 1)]
     row = documents.merge_markdown_three_way(spark.createDataFrame(rows, "case_id int, role string, line int, text string")).first()
     assert (row["why"], row["output"]) == (why, output)
+
+
+@pytest.mark.parametrize(
+    ("text", "shape", "keys"),
+    [
+        ("{A|B:C} {A} {A|} {A|B|C} {A|B:C}", cutting.TokenShape(), ["A|B:C"]),
+        ("<<a.b>> <<a>> <<a.b.c>>", cutting.TokenShape("<<", ">>", (".",), 1, 2, "[a-z]"), ["a.b", "a"]),
+        ("{x {A|B} {C|D", cutting.TokenShape(), []),
+        ("{A|b} {A|b:c:d}", cutting.TokenShape(min_segments=3), ["A|b:c:d"]),
+        ("", cutting.TokenShape(), []),
+    ],
+)
+def test_token_keys(spark, text, shape, keys):
+    assert _one(spark, cutting.token_keys(F.col("a"), shape), a=text) == keys
+
+
+def test_sequence_conflicts(spark):
+    schema = "case_id int, owner_id string, fingerprint string, pos int"
+    side = lambda names: spark.createDataFrame([(1, n[0], n, i) for i, n in enumerate(names)], schema)
+    found = lambda b, o, t: {(r["category"], r["owner_id"]) for r in merging.sequence_conflicts(side(b), side(o), side(t)).collect()}
+    assert found(["a", "b"], ["a2", "b"], ["b"]) == {("delete_modify", "a")}
+    assert found(["a", "b"], ["a2", "b"], ["a3", "b"]) == {("modify_modify", "a")}
+    assert found(["a"], ["a", "x1"], ["a", "x2"]) == {("duplicate_insertion", "x")}
+    assert found(["a", "b", "c"], ["b", "a", "c"], ["a", "c", "b"]) == {("order", None)}
+    assert found(["a", "b", "c"], ["b", "a", "c"], ["b", "a", "c"]) == set()
+    assert found(["a", "b", "c"], ["b", "a", "c"], ["a", "b", "c"]) == set()
