@@ -71,7 +71,6 @@ def authorize_deletions(requests: DataFrame, authorities: DataFrame, removed: Da
 
 
 DECISION = "producer_id string, scope string, observation_id string, seq long, decision string, head string"
-STATE = "head string, seen map<string,string>, decisions map<string,string>, revisions map<string,string>"
 
 
 class Acceptance:
@@ -93,7 +92,7 @@ class Acceptance:
         return "accepted"
 
 
-def _fold(state: Acceptance, rows: pd.DataFrame, key: tuple) -> pd.DataFrame:
+def fold_rows(state: Acceptance, rows: pd.DataFrame, key: tuple) -> pd.DataFrame:
     none = lambda v: None if v is None or v != v else v
     out = []
     for r in rows.sort_values("seq", kind="stable").itertuples(index=False):
@@ -102,7 +101,7 @@ def _fold(state: Acceptance, rows: pd.DataFrame, key: tuple) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["producer_id", "scope", "observation_id", "seq", "decision", "head"])
 
 
-_OBSERVED = ("producer_id", "scope", "observation_id", "seq", "payload_digest", "revision_ref", "expected_prior", "projection")
+OBSERVED = ("producer_id", "scope", "observation_id", "seq", "payload_digest", "revision_ref", "expected_prior", "projection")
 
 
 def accept_observations(observations: DataFrame) -> DataFrame:
@@ -115,32 +114,10 @@ def accept_observations(observations: DataFrame) -> DataFrame:
         key, state = None, Acceptance()
         for batch in batches:
             for found, rows in batch.groupby(list(SCOPE), sort=False, dropna=False):
+                found = tuple(None if x is None or x != x else x for x in found)
                 if found != key:
                     key, state = found, Acceptance()
-                yield _fold(state, rows, found)
+                yield fold_rows(state, rows, found)
 
-    ordered = observations.select(*_OBSERVED).repartition(*SCOPE).sortWithinPartitions(*SCOPE, "seq", "observation_id", "payload_digest")
+    ordered = observations.select(*OBSERVED).repartition(*SCOPE).sortWithinPartitions(*SCOPE, "seq", "observation_id", "payload_digest")
     return ordered.mapInPandas(fold, DECISION)
-
-
-def accept_observation_stream(observations: DataFrame, expire_after_ms: int | None = None) -> DataFrame:
-    """The same fold over a stream, with the state kept per producer and scope.
-
-    A scope's state grows with its observations. With expire_after_ms the state of a scope that has had none for so long
-    (processing time) is dropped; a later one of the scope then begins a new chain."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = state.get if state.exists else (None, {}, {}, {})
-        folded = Acceptance(kept[0], *(dict(x or {}) for x in kept[1:]))
-        rows = pd.concat(list(batches))
-        out = _fold(folded, rows, key)
-        state.update((folded.head, folded.seen, folded.decisions, folded.revisions))
-        if expire_after_ms is not None:
-            state.setTimeoutDuration(expire_after_ms)
-        yield out
-
-    timeout = "NoTimeout" if expire_after_ms is None else "ProcessingTimeTimeout"
-    return observations.select(*_OBSERVED).groupBy(*SCOPE).applyInPandasWithState(fold, DECISION, STATE, "append", timeout)

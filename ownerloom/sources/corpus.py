@@ -67,20 +67,6 @@ def repair_results(lines: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, D
     return out.where("valid").drop("valid"), out.where("NOT valid").drop("valid")
 
 
-def incremental_merge(cases: DataFrame, merge: Callable[[DataFrame], DataFrame], results: str, checkpoint: str):
-    """Start a stream of cases whose results are written once: each batch takes only cases without a result."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        todo = batch.dropDuplicates(["case_id"])
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(results)
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            todo = pending_cases(todo, spark.read.parquet(results))
-        merge(todo).write.mode("append").parquet(results)
-
-    return cases.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 _analyzers: dict[str, Callable[[DataFrame], DataFrame]] = {}
 _handlers: dict[str, Callable[[DataFrame], DataFrame]] = {}
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ownerloom.functions import scalars
 from ownerloom.operators import cutting, documents, ingest, merging, paths, reports
 from ownerloom.sources import corpus
+from ownerloom.streaming import observations
 
 
 def _one(spark, column, **values):
@@ -293,7 +294,7 @@ def test_observations_in_batch_and_stream(spark, tmp_path):
     for k, part in enumerate((OBSERVATIONS[:3], OBSERVATIONS[3:5], OBSERVATIONS[5:])):
         spark.createDataFrame(part, OBSERVED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(OBSERVED).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = ingest.accept_observation_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query = observations.accept_observation_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {r["seq"]: r["decision"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == EXPECTED
 
@@ -301,7 +302,7 @@ def test_observations_in_batch_and_stream(spark, tmp_path):
 def test_incremental_merge_writes_once(spark, tmp_path):
     source, results, checkpoint = (str(tmp_path / x) for x in ("in", "out", "c"))
     spark.createDataFrame([("a", 1), ("b", 2)], "case_id string, v int").write.mode("append").json(source)
-    run = lambda: corpus.incremental_merge(spark.readStream.schema("case_id string, v int").json(source), lambda df: df, results, checkpoint).awaitTermination(120)
+    run = lambda: observations.incremental_merge(spark.readStream.schema("case_id string, v int").json(source), lambda df: df, results, checkpoint).awaitTermination(120)
     run()
     spark.createDataFrame([("b", 9), ("c", 3)], "case_id string, v int").write.mode("append").json(source)
     run()
