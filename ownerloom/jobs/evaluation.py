@@ -56,6 +56,24 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit("p").alias("producer_id"), "scope", ident.alias("observation_id"), "seq", ident.alias("payload_digest"), F.concat(F.lit("r"), "seq").alias("revision_ref"), prior.alias("expected_prior"), F.lit("x").alias("projection"))
 
 
+#: A payload of an event, in SQL that Spark and DuckDB both run: fields that are missing, unknown or wrong by the event's number.
+_PAYLOAD = """concat('{"producer":"p","scope":"s","observation_id":"', e, '","revision_ref":"r', e, '","source_revision_ref":null,"expected_prior_revision_ref":', CASE WHEN e % 6 = 0 THEN 'null' WHEN e % 6 = 1 THEN '"zz"' ELSE concat('"r', e - 1, '"') END,
+  ',"prior_inventory":[],"current_inventory":[],"added":[],"updated":[],"removed":[],"original":{},"normalized":{},"processing":{},"times":{},"scan":{},"deletion":{}', CASE WHEN e % 11 = 0 THEN '' ELSE ',"evidence_refs":[]' END, CASE WHEN e % 13 = 0 THEN ',"other":1' ELSE '' END,
+  CASE WHEN e % 5 = 0 THEN '' WHEN e % 5 = 1 THEN ',"revision_parents":[]' WHEN e % 5 = 2 THEN concat(',"revision_parents":["r', e - 1, '"]') WHEN e % 5 = 3 THEN concat(',"revision_parents":["q","r', e - 1, '"]') ELSE concat(',"revision_parents":["r', CASE WHEN e % 4 = 0 THEN e ELSE e - 1 END, '"]') END,
+  CASE WHEN e % 7 = 0 THEN ',"source_time_start":"2024-01-02T00:00:00Z"' WHEN e % 7 = 1 THEN ',"source_time_start":"2024-01-02T00:00:00Z","source_time_end":"2024-01-01T00:00:00Z"' WHEN e % 7 = 2 THEN ',"source_time_start":"2024-01-02T00:00:00Z","source_time_end":"2024-02-30T00:00:00Z"' WHEN e % 7 = 3 THEN ',"source_time_start":"2024-01-02T00:00:00Z","source_time_end":"2024-01-03T00:00:00Z"' ELSE '' END,
+  ',"extensions":', CASE WHEN e % 17 = 0 THEN '{' ELSE '{}' END, CASE WHEN e % 19 = 0 THEN ',"scan":1}' ELSE '}' END)"""
+
+
+def check_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("e")).withColumn("payload_json", F.expr(_PAYLOAD))
+    digest = F.when(F.col("e") % 23 == 0, "0").otherwise(F.sha2("payload_json", 256))
+    return ingest.check_envelope(rows.select(F.col("e").alias("observation_key"), F.when(F.col("e") % 29 == 0, "v0").otherwise("v1").alias("schema"), "payload_json", digest.alias("payload_digest")), "v1")
+
+
+_ENVELOPE_SQL = """SELECT event_id AS observation_key, CASE WHEN e % 29 = 0 THEN 'schema' WHEN e % 23 = 0 THEN 'payload_digest' WHEN e % 17 = 0 OR e % 19 = 0 THEN 'json' WHEN e % 7 = 0 THEN 'time' WHEN e % 13 = 0 OR e % 11 = 0 THEN 'fields'
+  WHEN e % 5 = 1 AND e % 6 <> 0 THEN 'ancestry' WHEN e % 5 IN (2, 3) AND e % 6 = 1 THEN 'ancestry' WHEN e % 5 = 4 AND (e % 4 = 0 OR e % 6 = 1) THEN 'ancestry' WHEN e % 7 IN (1, 2) THEN 'time' END AS code FROM (SELECT event_id, event_id AS e FROM events)"""
+
+
 def run_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     results = li.select(F.col("l_returnflag").alias("extension"), F.concat(F.lit("repo"), (F.col("l_suppkey") % 10).cast("string")).alias("repository"), F.when(F.col("l_linestatus") == "O", "completed").otherwise("failed").alias("status"), F.col("l_quantity").alias("seconds"), (F.col("l_partkey") % 3 == 0).alias("markers"), (F.col("l_partkey") % 2 == 0).alias("exact"))
@@ -213,11 +231,12 @@ SELECT k AS doc_id, concat_ws(',', CASE WHEN NOT has_a THEN a END, CASE WHEN NOT
 
 QUERIES = {
     f.__name__: f
-    for f in (validate_inventory, inventory_delta, accept_observations, run_scorecard, benchmark_summary, suite_summary, score_agreement, pair_results, check_references, review_groups, is_rfc3339, plan_templates, resolve_attributes, shard_loads, template_tokens, resolve_template_tokens)
+    for f in (validate_inventory, inventory_delta, check_envelope, accept_observations, run_scorecard, benchmark_summary, suite_summary, score_agreement, pair_results, check_references, review_groups, is_rfc3339, plan_templates, resolve_attributes, shard_loads, template_tokens, resolve_template_tokens)
 }
 SQL = {
     "validate_inventory": _INVENTORY_SQL,
     "inventory_delta": _DELTA_SQL,
+    "check_envelope": _ENVELOPE_SQL,
     "run_scorecard": _SCORE_SQL,
     "benchmark_summary": _BENCH_SQL,
     "suite_summary": _SUITE_SQL,

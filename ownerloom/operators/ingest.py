@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ownerloom.functions.scalars import is_rfc3339_utc
+
 SCOPE = ("producer_id", "scope")
 
 
@@ -37,6 +39,41 @@ def check_delta(declared: DataFrame, derived: DataFrame, keys: tuple[str, ...] =
     return rows.withColumn("code", code).where("code IS NOT NULL").select(*keys, "change", "code")
 
 
+#: Fields of an observation's payload (fixed values).
+REQUIRED_FIELDS = (
+    "producer", "scope", "observation_id", "revision_ref", "source_revision_ref", "expected_prior_revision_ref", "prior_inventory", "current_inventory", "added", "updated",
+    "removed", "original", "normalized", "processing", "times", "scan", "deletion", "evidence_refs", "extensions",
+)
+OPTIONAL_FIELDS = ("revision_parents", "source_time_start", "source_time_end", "embedding_contract", "lineage", "incorporation")
+
+
+def check_envelope(observations: DataFrame, schema: str, required: tuple[str, ...] = REQUIRED_FIELDS, optional: tuple[str, ...] = OPTIONAL_FIELDS) -> DataFrame:
+    """observations (observation_key, schema, payload_json, payload_digest) -> observation_key, code: the first fault in the order
+    schema, payload_digest, json (no JSON, or a name stands twice), time (one end of the source time only), fields (unknown,
+    missing, or no object), ancestry, time (an end is no UTC instant, or they are turned around); null if all holds.
+
+    Parents are distinct, not empty and not the revision itself. A first revision (no parents) expects no prior one; else an
+    expected prior revision is the revision itself or one of its parents. Columns of one row only; no shuffle."""
+    v = F.try_parse_json("payload_json")
+    rows = observations.withColumn("v", v).withColumn("is_object", F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False)))
+    rows = rows.withColumn("names", F.when(F.col("is_object"), F.expr("map_keys(cast(v AS map<string,variant>))")))
+    text = lambda c: F.when(F.expr(f"schema_of_variant(variant_get(v, '$.{c}', 'variant'))") == "STRING", F.expr(f"try_variant_get(v, '$.{c}', 'string')"))
+    parents = F.expr("try_variant_get(v, '$.revision_parents', 'array<string>')")
+    kind = F.expr("schema_of_variant(variant_get(v, '$.revision_parents', 'variant'))")
+    rows = rows.withColumns({"parents": parents, "kind": kind, "revision": text("revision_ref"), "expected": text("expected_prior_revision_ref"), "begins": text("source_time_start"), "ends": text("source_time_end")})
+    has = lambda c: F.array_contains("names", c)
+    known = F.array(*[F.lit(c) for c in (*required, *optional)])
+    odd_parents = ~F.coalesce(F.col("kind").isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False)) | F.exists("parents", lambda p: (p == "") | p.eqNullSafe(F.col("revision"))) | (F.size(F.array_distinct("parents")) < F.size("parents")) | F.col("revision").isNull()
+    broken = F.when(F.size("parents") == 0, F.col("expected").isNotNull()).otherwise(F.col("expected").isNotNull() & (F.col("expected") != F.col("revision")) & ~F.array_contains("parents", F.col("expected")))
+    code = (
+        F.when(~F.col("schema").eqNullSafe(F.lit(schema)), "schema").when(~F.sha2(F.encode("payload_json", "utf-8"), 256).eqNullSafe(F.col("payload_digest")), "payload_digest").when(F.col("v").isNull(), "json")
+        .when(~F.col("is_object"), "fields").when(has("source_time_start") != has("source_time_end"), "time").when(F.size(F.array_except("names", known)) > 0, "fields")
+        .when(F.size(F.array_except(F.array(*[F.lit(c) for c in required]), "names")) > 0, "fields").when(has("revision_parents") & F.coalesce(odd_parents | broken, F.lit(True)), "ancestry")
+        .when(has("source_time_start") & ~F.coalesce(is_rfc3339_utc(F.col("begins")) & is_rfc3339_utc(F.col("ends")) & (F.col("begins") <= F.col("ends")), F.lit(False)), "time")
+    )
+    return rows.select("observation_key", code.alias("code"))
+
+
 def check_lineage(assertions: DataFrame, prior: DataFrame, current: DataFrame) -> DataFrame:
     """assertions (scope, assertion_id, kind, prior_ids, current_ids, confidence) with the first error code, if any.
 

@@ -489,3 +489,23 @@ def test_sequence_conflicts(spark):
     assert found(["a", "b", "c"], ["b", "a", "c"], ["a", "c", "b"]) == {("order", None)}
     assert found(["a", "b", "c"], ["b", "a", "c"], ["b", "a", "c"]) == set()
     assert found(["a", "b", "c"], ["b", "a", "c"], ["a", "b", "c"]) == set()
+
+
+@pytest.mark.parametrize(
+    ("change", "code"),
+    [
+        ({}, None), ({"extra": 1}, "fields"), ({"scan": None}, None), ({"revision_parents": ["a", "a"]}, "ancestry"), ({"revision_parents": ["r"]}, "ancestry"), ({"revision_parents": [1]}, "ancestry"), ({"revision_parents": "a"}, "ancestry"),
+        ({"revision_parents": [], "expected_prior_revision_ref": "a"}, "ancestry"), ({"revision_parents": ["a", "b"], "expected_prior_revision_ref": "b"}, None), ({"revision_parents": ["a"], "expected_prior_revision_ref": "r"}, None),
+        ({"revision_parents": ["a"], "expected_prior_revision_ref": "c"}, "ancestry"), ({"source_time_start": "2024-01-01T00:00:00Z"}, "time"), ({"source_time_start": 1, "source_time_end": 2}, "time"),
+        ({"source_time_start": "2024-01-01T00:00:00Z", "source_time_end": "2024-01-01T00:00:00Z"}, None), ({"drop": "scan"}, "fields"), ({"raw": "[]"}, "fields"), ({"raw": '{"a":1,"a":2}'}, "json"), ({"raw": "x"}, "json"),
+    ],
+)
+def test_envelopes(spark, change, code):
+    import json
+
+    payload = dict.fromkeys(ingest.REQUIRED_FIELDS) | {"revision_ref": "r"} | {k: v for k, v in change.items() if k not in ("drop", "raw")}
+    payload.pop(change.get("drop"), None)
+    text = change.get("raw") or json.dumps(payload)
+    rows = spark.createDataFrame([(1, "v", text, hashlib.sha256(text.encode()).hexdigest()), (2, "v", text, "0"), (3, None, text, "0")], "observation_key int, schema string, payload_json string, payload_digest string")
+    got = {r["observation_key"]: r["code"] for r in ingest.check_envelope(rows, "v").collect()}
+    assert got == {1: code, 2: "payload_digest", 3: "schema"}
