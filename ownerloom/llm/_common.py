@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local tests), a fresh local one."""
+    """The folder in spark.checkpoint.dir. Where that is unset, local sessions (tests) get a fresh local one; on a
+    cluster that would be another folder on each machine, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -32,12 +37,47 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches of the session hold at most rows rows: with whole texts, the usual 10,000 are tens of
-    megabytes in the JVM and again in each Python worker. A smaller setting stays; results do not depend on it."""
+def materialize_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """The same as a table bucketed by key, so that a join on the key takes its rows as they lie. Spark knows buckets
+    from a catalog only; the table's name is gone again at once, its files stay."""
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    # A task that has one or two keys keeps their files open, and so its rows need not be sorted by bucket.
+    with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # noqa: B018  resolved while the name is there
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """While it holds, the session has the setting; what is run in it must be an action."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> contextlib.AbstractContextManager[None]:
+    """While it holds, Arrow batches of the session have at most rows rows: with whole texts, the usual 10,000 are
+    tens of megabytes in the JVM and again in each Python worker. A smaller setting stays; results do not depend on it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+    now = int(spark.conf.get(key))
+    return setting(spark, key, str(min(rows, now) if now > 0 else rows))
 
 
 def as_uri(path: str) -> str:

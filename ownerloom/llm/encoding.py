@@ -1,125 +1,188 @@
 """Token ids of whole texts by public tokenizers, with the ids of frequent words kept per worker.
 
-The tokenizers library does all encoding. What is kept is its own answer for one word: both
-vocabularies split at white space before they merge, so a text's ids are its words' ids in a row.
+The ids are those of the library's plain call on the whole text. Both vocabularies split at white
+space and between kinds of characters before they merge, so a text's ids are its words' ids in a row:
+the library's model merges each part of a word once, and the answer is kept for the next time the word is
+met. Texts that hold a special token's string, and words with characters whose class depends on
+the Unicode version, go through the library's whole call.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterable
+import struct
+from collections.abc import Callable
 
 import numpy as np
 
-#: A worker keeps ids of at most so many words and starts anew beyond that (memory bound, not a limit of results).
-WORDS_KEPT = 600_000
-#: Texts are encoded in groups of about so many characters.
-GROUP_CHARS = 4_000_000
-#: Words in a line, and lines in a call, when words are learned.
-LINE_WORDS, CALL_LINES = 2000, 16
-
-#: Where white space meets or ends a text, byte-level words depend on what is around them.
-_MEETING = re.compile(r"\s\s|\s\Z")
-
+#: A worker keeps the ids of about so many words and as many again that it met before those (memory bound, not a
+#: limit of results; one text's words come on top).
+WORDS_KEPT = 250000
+
+#: Unicode's white space, on which both vocabularies split (fixed values).
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: White space other than the space and the line feed.
+_OTHER = re.compile("[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: White space with the word after it; no part of a word reaches over the places between these.
+_SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_SEVERAL = re.compile(f"[{WHITE}]{{2}}")
+#: Beyond these characters the library itself classifies, composes and lowers.
+_FAR = re.compile("[^\\x00-\\x1b\\x20-\\x7f\\xa0-\\u024f]")
 #: ASCII signs but the apostrophe, which may stand within a word's part.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_MARKS = ("\n", "\r")
 
 _workers: dict[str, "WordEncoder"] = {}
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: printable Latin-1 as it
+    is, the other bytes counted up from 256."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class OddSpace(Exception):
+    """A text has white space that does not part its words one by one."""
+
+
+class Kept(dict):
+    """Ids by word: a word that is missing is learned, or moved over from the words kept before."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn, self.before = learn, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word) or self.learn(word)
+        self[word] = ids
+        return ids
+
+    def turn(self) -> None:
+        """Keep what was met since the last turn, so that rare words go and frequent ones stay."""
+        self.before = dict(self)
+        self.clear()
+
+
 class WordEncoder:
     """Encodes texts to packed little-endian unsigned 32-bit ids.
 
-    A vocabulary either keeps the space before a word as part of it (byte-level BPE) or drops
-    white space before it merges (word-end BPE). In the first kind a text in which two white
-    space characters meet, or that ends in one, is encoded as a whole.
+    A vocabulary either keeps the space before a word as part of it (byte-level BPE) or drops white space
+    before it merges (word-end BPE, lower case). Keys of kept words: in the first kind a key stands for
+    itself after a space, unless it begins with a line feed (it stands as it is) or a carriage return (it stands
+    as it is, without that). In the second kind a key stands for itself.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.leading_space = self.tokenizer.normalizer is None
-        #: The end-of-text token parts words that are encoded in one call.
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.kept: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _shown(self, key: str) -> str:
-        """The text that a key stands for: after a line break, first in its text (a mark), or after a space."""
-        if key[:1] == "\r":
-            return key[1:]
-        return key if key[:1] == "\n" or not self.leading_space else " " + key
-
-    def _learn(self, words: list[str]) -> None:
-        """Keep the ids of words. Letters and a run of ASCII signs after them never merge, so
-        such a word takes the ids of both parts; the parts are encoded many to a call."""
-        kept, parts, first = self.kept, [], "\r" if self.leading_space else ""
-        need: set[str] = set()
-        for word in words:
-            base = word.rstrip(_SIGNS)
-            letters = base[1:] if base[:1] in _MARKS else base
-            if base is not word and len(base) < len(word) and letters.isalpha():
-                tail = first + word[len(base) :]
-                if not self.leading_space and base.isascii():
-                    base = base.lower()
-                parts.append((word, base, tail))
-                need.add(base)
-                need.add(tail)
-            else:
-                need.add(word)
-        new = [w for w in need if w not in kept]
-        odd = [w for w in new if "<|" in w]
-        plain = [w for w in new if "<|" not in w]
-        self.tokenizer.encode_special_tokens = False  # only here: the mark between words is a token
-        for call in range(0, len(plain), LINE_WORDS * CALL_LINES):
-            parted = [plain[i : i + LINE_WORDS] for i in range(call, min(call + LINE_WORDS * CALL_LINES, len(plain)), LINE_WORDS)]
-            lines = [self.mark.join(map(self._shown, part)) for part in parted]
-            for part, e in zip(parted, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                packed, ends = ids.tobytes(), (np.flatnonzero(ids == self.mark_id) * 4).tolist()
-                kept.update(zip(part, map(packed.__getitem__, map(slice, [0, *(x + 4 for x in ends)], [*ends, len(packed)])), strict=True))
-        self.tokenizer.encode_special_tokens = True
-        kept.update(zip(odd, self._whole(list(map(self._shown, odd))), strict=True))
-        kept.update([(word, kept[base] + kept[tail]) for word, base, tail in parts])
-
-    def _words(self, text: str) -> list[str] | None:
-        """Keys of a text's words; None if it must be encoded as a whole."""
+        told = json.loads(self.tokenizer.to_str())
+        self.leading_space = told["normalizer"] is None
+        if self.leading_space:
+            import public_tokenizers
+
+            pattern = public_tokenizers.PATTERN
+        else:
+            pattern = told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.parts = regex.compile(pattern).findall
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in told["added_tokens"]) or r"(?!)", re.IGNORECASE)
+        self.merge = self.tokenizer.model.tokenize
+        self.alphabet = byte_alphabet()
+        self.space = self.alphabet[0x20]
+        self.packed = [struct.pack("<I", k) for k in range(self.tokenizer.get_vocab_size())]
+        self.odd = False
+        self.kept = Kept(self._learn_spaced if self.leading_space else self._learn_bare)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _bytes(self, part: str) -> str:
+        """A part in the vocabulary's letters for bytes."""
+        return part.encode().decode("latin-1").translate(self.alphabet)
+
+    def _merged(self, shown: str) -> bytes:
+        """The ids of one part, as the library's model merges it."""
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merge(shown)])
+
+    def _learn_spaced(self, word: str) -> bytes:
+        """The ids of a key of the first kind. Letters and a run of ASCII signs after them never merge, so such
+        a word takes the ids of both; other words are parted by the vocabulary's own pattern."""
+        if word.isascii():
+            if word.isalpha():
+                packed = self.packed
+                return b"".join([packed[t.id] for t in self.merge(self.space + word)])
+            near = True
+        else:
+            near = not _FAR.search(word)
+            if near and word.isalpha():
+                return self._merged(self.space + self._bytes(word))
+        base = word.rstrip(_SIGNS)
+        if near and base.isalpha():
+            return self.kept[base] + self.kept["\r" + word[len(base) :]]
+        mark = word[:1]
+        if not self.odd and (not word or word in ("\n", "\r") or mark == "\r" and word[1] == "\n" or _OTHER.search(word, mark == "\r")):
+            raise OddSpace
+        shown = word[1:] if mark == "\r" else word if mark == "\n" else " " + word
+        if not near:
+            return self._whole(shown)
+        parts = self.parts(shown)
+        if len(parts) == 1:
+            return self._merged(self._bytes(shown))
+        return b"".join([self.kept[p[1:]] if p[:1] == " " and p[1:].isalpha() else self.kept["\r" + p] for p in parts])
+
+    def _learn_bare(self, word: str) -> bytes:
+        """The same for a key of the second kind."""
+        ascii_ = word.isascii()
+        if not ascii_ and _FAR.search(word):
+            return self._whole(word)
+        lower = word.lower()
+        if lower.isalpha():
+            if lower != word:
+                return self.kept[lower]
+            packed = self.packed
+            return b"".join([packed[t.id] for t in self.merge(word if ascii_ else self._bytes(word))])
+        base = lower.rstrip(_SIGNS)
+        if base.isalpha():
+            return self.kept[base] + self.kept[lower[len(base) :]]
+        parts = self.parts(lower)
+        if len(parts) == 1:
+            return self._merged(self._bytes(parts[0]))
+        return b"".join(map(self.kept.__getitem__, parts))
+
+    def _segments(self, text: str) -> list[str]:
+        """Keys of a text whose white space is not one space or line feed between words."""
+        first, *rest = _SEGMENT.findall(text)
+        # A key without a carriage return has one space or line feed and then a word.
+        keys = ["\r" + s if s[0] not in " \n" or len(s) == 1 or _SEVERAL.match(s) else s[s[0] == " " :] for s in rest]
+        return ["\r" + first, *keys]
+
+    def encode(self, text: str | None) -> bytes:
+        """Packed ids of a text; an empty one has none."""
+        if not text:
+            return b""
+        if "<" in text and self.special.search(text):
+            return self._whole(text)
+        kept = self.kept
+        if len(kept) > WORDS_KEPT:
+            kept.turn()
         if not self.leading_space:
-            return text.replace("\n", " ").replace("\r", " ").split(" ")
-        if "\r" in text or _MEETING.search(text):
-            return None
-        return ("\r" + text.replace("\n", " \n")).split(" ")
-
-    def encode(self, texts: list[str]) -> Iterable[bytes]:
-        """Packed ids of each text, in order; empty texts give no ids."""
-        group: list[str] = []
-        chars = 0
-        for text in texts:
-            group.append(text)
-            chars += len(text)
-            if chars >= GROUP_CHARS:
-                yield from self._group(group)
-                group, chars = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        split = [self._words(t) if t else [] for t in texts]
-        seen: set[str] = set()
-        seen.update(*(w for w in split if w))
-        if len(self.kept) > WORDS_KEPT:
-            self.kept = {w: self.kept[w] for w in seen if w in self.kept}
-        if new := [w for w in seen if w not in self.kept]:
-            self._learn(new)
-        get = self.kept.__getitem__
-        return [self._whole([text])[0] if words is None else b"".join(map(get, words)) for text, words in zip(texts, split, strict=True)]
+            return b"".join(map(kept.__getitem__, _OTHER.sub(" ", text).replace("\n", " ").split(" ")))
+        if "\r" not in text:
+            words = text.replace("\n", " \n").split(" ")
+            words[0] = "\r" + words[0]
+            try:
+                return b"".join(map(kept.__getitem__, words))
+            except OddSpace:
+                pass
+        self.odd = True
+        packed = b"".join(map(kept.__getitem__, self._segments(text)))
+        self.odd = False
+        return packed
 
 
 def encoder(path: str) -> WordEncoder:

@@ -10,10 +10,12 @@
    full but the last. All this works on runs of equal lengths and so does not grow with the input.
 3. A tail's rank among those of its length gives its place in the plan. Ranks come from counts by
    task and length, summed before each task, so a length that a third of the documents share is
-   still ranked in every task on its own.
+   still ranked in every task on its own. The encoded documents are bucketed by task, and a task's
+   sums are one row of at most window numbers; they meet by shuffling the sums. Ids are neither
+   shuffled nor broadcast with anything that grows.
 
-Cases: null text is empty (only the end id). Null and repeated doc_ids are documents of their own.
-An empty table gives no rows. Other columns are not read.
+Cases: null text is empty (only the end id). Null and repeated doc_ids are documents of their own; texts of any
+length are encoded whole. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ownerloom.llm._common import materialize, small_batches
+from ownerloom.llm._common import materialize, materialize_by, small_batches
 from ownerloom.llm.encoding import encoder, vocabulary_path
 
 WINDOW = 2048
 ENCODED = "doc_id long, ids binary, n_tokens long, task long, full_rank long, tail_rank long"
+#: Rows and bytes of ids in one batch that a task gives out.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Buckets of encoded documents for each task that encodes; bucket numbers are hashes of task numbers.
+BUCKETS_A_TASK, MOST_BUCKETS = 4, 100_000
 #: Combinations of more than two lengths that are tried for each longest length.
 MIDDLES = 12
 SWEEPS = 400
@@ -47,20 +53,26 @@ def encode_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end
 
         task, enc, end = TaskContext.get().partitionId(), encoder(vocabulary_path(vocabulary)), np.array([end_id], "<u4").tobytes()
         fulls, tails = 0, [0] * window
+
+        def given(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                rows = []
-                for doc_id, packed in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    packed += end
-                    n = len(packed) // 4
-                    tail = n % window
-                    rows.append((doc_id, packed, n, task, fulls, tails[tail]))
-                    fulls += n // window
-                    tails[tail] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-    small_batches(docs.sparkSession)
+            rows, size = [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                packed = enc.encode(text.as_py()) + end
+                n = len(packed) // 4
+                tail = n % window
+                rows.append((doc_id, packed, n, task, fulls, tails[tail]))
+                fulls += n // window
+                tails[tail] += 1
+                size += len(packed)
+                if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                    yield given(rows)
+                    rows, size = [], 0
+            if rows:
+                yield given(rows)
+
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, ENCODED)
 
 
@@ -193,22 +205,25 @@ class Plan:
 
 def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, window: int = WINDOW) -> DataFrame:
     """One row a piece: doc_id, start, length, ids (packed binary), doc_tokens, sequence_id, offset."""
-    encoded = materialize(encode_documents(docs, vocabulary, end_id, window), "pack-ids")
-    per_doc = encoded.select("task", F.expr(f"n_tokens div {window}").alias("fulls"), F.expr(f"n_tokens % {window}").cast("int").alias("tail"))
-    counts = per_doc.groupBy("task", "tail").agg(F.sum("fulls").alias("fulls"), F.count("*").alias("n"))
+    spark, given = docs.sparkSession, encode_documents(docs, vocabulary, end_id, window)
+    buckets = min(MOST_BUCKETS, max(1, BUCKETS_A_TASK * given.rdd.getNumPartitions()))
+    with small_batches(spark):
+        encoded = materialize_by(given, "pack-ids", "task", buckets)
+    per_doc = encoded.select("task", F.expr(f"n_tokens div {window}").alias("fulls"), F.expr(f"cast(n_tokens % {window} as int)").alias("tail"))
+    # Slot 0 counts whole windows, the others tails of their length.
+    slots = F.expr("array(named_struct('slot', 0, 'k', fulls), named_struct('slot', tail, 'k', if(tail > 0, 1L, 0L)))")
+    counts = per_doc.select("task", F.inline(slots)).groupBy("task", "slot").agg(F.sum("k").alias("n"))
     counts = materialize(counts, "pack-counts")
-    histogram, n_full = np.zeros(window, np.int64), 0
-    for tail, fulls, n in counts.groupBy("tail").agg(F.sum("fulls"), F.sum("n")).collect():  # at most window rows
-        n_full += fulls
-        histogram[tail] = n if tail else 0
+    histogram = np.zeros(window, np.int64)
+    for slot, n in counts.groupBy("slot").agg(F.sum("n")).collect():  # at most window rows
+        histogram[slot] = n
+    n_full, histogram[0] = int(histogram[0]), 0
     plan = Plan(histogram, window)
     table, n_tail = plan.table(), plan.sequences
 
-    before = Window.partitionBy("tail").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    tail_base = counts.select("task", "tail", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("tail_base"))
-    by_task = counts.groupBy("task").agg(F.sum("fulls").alias("fulls"))
-    full_base = by_task.select("task", F.coalesce(F.sum("fulls").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("full_base"))
-    bases = tail_base.join(full_base, "task")
+    before = Window.partitionBy("slot").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("task", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = bases.repartition(buckets, "task").groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("slot", "base"))).alias("base"))
 
     @F.pandas_udf("array<struct<start:long,length:long,sequence_id:long,offset:long>>")
     def places(tails: pd.Series, ranks: pd.Series) -> pd.Series:
@@ -222,9 +237,12 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1
             out.append([{"start": p[1], "length": p[2], "sequence_id": n_full + p[3] + rank - p[0], "offset": p[4]} for p in found])
         return pd.Series(out)
 
-    placed = encoded.withColumn("tail", F.expr(f"cast(n_tokens % {window} as int)")).join(bases, ["task", "tail"])
-    placed = placed.withColumn("whole", F.expr(f"n_tokens div {window}")).withColumn("tails", places("tail", F.col("tail_base") + F.col("tail_rank")))
-    whole = F.expr(f"transform(if(whole > 0, sequence(0L, whole - 1), array()), j -> named_struct('start', j * {window}L, 'length', {window}L, 'sequence_id', full_base + full_rank + j, 'offset', 0L))")
+    # A task's sums are wide; each row takes its two numbers from them before it waits for Python.
+    tail = F.expr(f"cast(n_tokens % {window} as int)")
+    joined = encoded.join(bases.hint("shuffle_hash"), "task")
+    placed = joined.select("doc_id", "ids", "n_tokens", tail.alias("tail"), (F.expr("base")[tail] + F.col("tail_rank")).alias("tail_at"), (F.expr("base[0]") + F.col("full_rank")).alias("full_at"))
+    placed = placed.withColumn("whole", F.expr(f"n_tokens div {window}")).withColumn("tails", places("tail", "tail_at"))
+    whole = F.expr(f"transform(if(whole > 0, sequence(0L, whole - 1), array()), j -> named_struct('start', j * {window}L, 'length', {window}L, 'sequence_id', full_at + j, 'offset', 0L))")
     rest = F.expr(f"transform(tails, t -> named_struct('start', t.start + whole * {window}L, 'length', t.length, 'sequence_id', t.sequence_id, 'offset', t.offset))")
     pieces = placed.select("doc_id", "ids", F.col("n_tokens").alias("doc_tokens"), F.explode(F.concat(whole, rest)).alias("piece"))
     return pieces.select("doc_id", "piece.start", "piece.length", F.expr("substring(ids, cast(piece.start * 4 + 1 as int), cast(piece.length * 4 as int))").alias("ids"), "doc_tokens", "piece.sequence_id", "piece.offset")
