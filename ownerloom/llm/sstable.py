@@ -1,5 +1,9 @@
 """Token ids of documents in sorted-string-table files: one file a range of doc_id.
 
+Texts are shuffled once, by ranges of doc_id whose bounds come from a bounded sample of ids (KEY_SAMPLE;
+the bounds only balance the files). An id that fills more than one range, null too, is dealt over them by a hash
+of the text, so no file holds all of a repeated id's rows by need.
+
 File: data blocks, Bloom filter, sparse block index, footer. A block holds records in key order,
 each as (shared prefix length, rest of the key, value length, value), all but lengths raw; a block
 begins with a whole key. The index has each block's first key and place. The footer (fixed length)
@@ -7,9 +11,9 @@ has the places of filter and index, the numbers of records and ids, the id width
 A key is the doc_id as 9 bytes that sort like the numbers (null first). A value is the ids as
 little-endian unsigned integers of 2 bytes if the vocabulary allows, else 4.
 
-Cases: null text is empty (only the end id). Null doc_ids come first. Equal doc_ids are all kept,
-in order of their text, and a lookup gives them all. An empty table gives no file and no rows.
-Other columns are not read.
+Cases: null text is empty (only the end id). Null doc_ids come first. Equal doc_ids are all kept, in
+order of a hash of their texts (then of the texts), and a lookup gives them all. Texts of any length are encoded
+whole. An empty table gives no file and no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ownerloom.llm._common import file_system, scratch
+from ownerloom.llm._common import file_system, scratch, small_batches
 from ownerloom.llm.encoding import encoder, vocabulary_path
 
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QQQQQQB7x8s")  # filter at, index at, records, ids, filter bits, filter hashes, width, magic
 BLOCK_BYTES = 64 * 1024
 BLOOM_BITS = 10
-MANIFEST = "path string, first_key long, last_key long, has_null boolean, n_records long, n_ids long, n_bytes long"
+#: Ids that are sampled for each range, and at most, to find the ranges' bounds.
+SAMPLE_A_RANGE, KEY_SAMPLE = 100, 1_000_000
+MANIFEST = "path string, part int, first_key long, last_key long, has_null boolean, n_records long, n_ids long, n_bytes long"
 
 
 def key_bytes(doc_id: int | None) -> bytes:
@@ -181,8 +187,37 @@ class TableReader:
         return np.frombuffer(value, f"<u{self.width}").astype("<u4")
 
 
-def write_tables(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
-    """Encode docs (doc_id, text), append end_id to each, and write one file per range of doc_id.
+def key_bounds(ids: DataFrame, n: int) -> list[int | None]:
+    """n - 1 bounds of ranges of about equal numbers of rows, null first; an id with many rows may stand more than once."""
+    total = ids.count()
+    share = min(1.0, 2 * min(SAMPLE_A_RANGE * n, KEY_SAMPLE) / max(1, total))
+    sample = ids if share == 1.0 else ids.sample(share, seed=9)
+    found = sorted((r[0] for r in sample.limit(2 * KEY_SAMPLE).collect()), key=lambda x: (x is not None, x or 0))
+    return [found[len(found) * k // n] for k in range(1, n)] if found else []
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """rows (doc_id, text) with text_hash, in n partitions by ranges of (doc_id, text_hash)."""
+    bounds = key_bounds(rows.select("doc_id"), n)
+    nulls = sum(b is None for b in bounds)
+    known = np.array(bounds[nulls:], np.int64)
+
+    def place(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        empty = ids.is_null().to_numpy(zero_copy_only=False)
+        keys = ids.fill_null(0).to_numpy()
+        low = np.where(empty, 0, nulls + np.searchsorted(known, keys, "left"))
+        high = np.where(empty, nulls, nulls + np.searchsorted(known, keys, "right"))
+        share = (hashes.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
+        return pa.array(np.minimum(low + (share * (high - low + 1)).astype(np.int64), high).astype(np.int32))
+
+    place.__annotations__ = {"ids": pa.Array, "hashes": pa.Array, "return": pa.Array}
+    keyed = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.withColumn("part", F.arrow_udf(place, "int")("doc_id", "text_hash")).repartitionById(n, "part")
+
+
+def write_tables(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, files: int | None = None) -> DataFrame:
+    """Encode docs (doc_id, text), append end_id to each, and write one file per range of doc_id (files: how many;
+    by default as many as the input has partitions).
 
     Returns the manifest as a table that Spark has committed: only files of tasks that ended count,
     so a task that is run again leaves a stray file that nobody reads.
@@ -196,20 +231,22 @@ def write_tables(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.j
         enc = encoder(vocabulary_path(vocabulary))
         width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         kind, end = f"<u{width}", np.array([end_id], f"<u{width}").tobytes()
-        writer = stream = path = None
+        writer = stream = path = part = None
         first = last = None
         has_null = False
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             if not ids:
                 continue
             if writer is None:
-                path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.sst"
+                part = batch.column(2)[0].as_py()
+                path = f"{folder}/part-{part:06d}-{task.taskAttemptId()}.sst"
                 fs, inner = file_system(path)
                 fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                 stream = fs.open_output_stream(inner)
                 writer = TableWriter(stream, width)
-            for doc_id, packed in zip(ids, enc.encode(texts), strict=True):
+            for doc_id, text in zip(ids, texts, strict=True):
+                packed = enc.encode(text.as_py())
                 writer.add(key_bytes(doc_id), (np.frombuffer(packed, "<u4").astype(kind).tobytes() if width == 2 else packed) + end)
                 if doc_id is None:
                     has_null = True
@@ -219,20 +256,22 @@ def write_tables(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.j
             n_bytes = writer.close()
             stream.close()
             yield pa.RecordBatch.from_pylist(
-                [{"path": path, "first_key": first, "last_key": last, "has_null": has_null, "n_records": writer.records, "n_ids": writer.ids, "n_bytes": n_bytes}],
-                schema=pa.schema([("path", pa.string()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("has_null", pa.bool_()), ("n_records", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]),
+                [{"path": path, "part": part, "first_key": first, "last_key": last, "has_null": has_null, "n_records": writer.records, "n_ids": writer.ids, "n_bytes": n_bytes}],
+                schema=pa.schema([("path", pa.string()), ("part", pa.int32()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("has_null", pa.bool_()), ("n_records", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]),
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    manifest = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST)
-    manifest.write.parquet(f"{folder}/_manifest")
+    dealt = _dealt(rows, files or max(1, docs.rdd.getNumPartitions()))
+    manifest = dealt.sortWithinPartitions("doc_id", "text_hash", "text").select("doc_id", "text", "part").mapInArrow(write, MANIFEST)
+    with small_batches(spark):
+        manifest.write.parquet(f"{folder}/_manifest")
     return read_manifest(spark, folder)
 
 
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """The committed files with id_base: how many ids stand before each file (a sum over files, not rows)."""
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
-    before = Window.orderBy(F.col("has_null").desc(), F.col("first_key").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("id_base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
@@ -263,11 +302,24 @@ def scan_tables(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """Ids of the wanted doc_ids (column doc_id of keys): each key goes to the files whose range
-    may hold it, and there by filter and index to one block."""
-    files = manifest.select("path", "first_key", "last_key", "has_null")
-    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    hit = wanted.join(files, F.col("doc_id").between(F.col("first_key"), F.col("last_key")) | (F.col("doc_id").isNull() & F.col("has_null")))
+    """Ids of the wanted doc_ids (column doc_id of keys): each key goes to the files whose range may hold it,
+    and there by filter and index to one block. Workers get the files' names and ranges (one entry a file, no rows)."""
+    files = manifest.select("part", "path", "first_key", "last_key", "has_null").orderBy("part").collect()
+    with_null = [f["path"] for f in files if f["has_null"]]
+    ranged = [f for f in files if f["first_key"] is not None]
+    told = keys.sparkSession.sparkContext.broadcast(([f["path"] for f in ranged], np.array([f["first_key"] for f in ranged], np.int64), np.array([f["last_key"] for f in ranged], np.int64)))
+
+    def locate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, firsts, lasts = told.value
+        for batch in batches:
+            ids, where = [], []
+            for doc_id in batch.column(0).to_pylist():
+                # Ranges are in order and meet at most in their ends.
+                hit = with_null if doc_id is None else paths[int(np.searchsorted(lasts, doc_id, "left")) : int(np.searchsorted(firsts, doc_id, "right"))]
+                ids += [doc_id] * len(hit)
+                where += hit
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(where, pa.string())], names=["doc_id", "path"])
+
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +334,9 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
                 rows += [{"doc_id": doc_id, "ids": table.numbers(v).astype("i8")} for v in table.get(key_bytes(doc_id))]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return hit.select("doc_id", "path").repartition("path").sortWithinPartitions("path").mapInArrow(find, "doc_id long, ids array<long>")
+    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    hits = wanted.mapInArrow(locate, "doc_id long, path string")
+    return hits.repartition("path").sortWithinPartitions("path", "doc_id").mapInArrow(find, "doc_id long, ids array<long>")
 
 
 def op9_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
