@@ -1,14 +1,16 @@
 """WARC archives through a chunked record table.
 
-A payload travels as rows (record id, chunk number, bytes): the writer gets a record's chunks one
-after the other and never holds a whole payload, and the reader gives them back the same way, each
-chunk with the SHA-256 of the payload up to and with it. Equal payloads are written once: the record
-with the smallest id is the response, the others are revisit records that name it.
+At the scan a payload is cut into rows (record id, chunk number, bytes, the SHA-256 of the payload up to and
+with them), which are written as a table bucketed by task. Equal payloads are found by ids and
+digests alone: the record with the smallest id is the response, the others are revisit records that name it. What
+a task's records refer to is one row for each task and meets its chunks where they lie, so payloads
+are not shuffled. The writer gets a record's chunks one after the other and never holds a whole
+payload, and the reader gives them back the same way.
 
 File: one gzip member a record, WARC/1.1, in the shared folder. A file counts once Spark has
 committed its manifest row, so a task that is run again leaves a stray file that nobody reads.
 
-Cases: a null payload is empty. Payloads under MIN_REVISIT bytes, and records without an id, are
+Cases: a null payload is empty; one of any length is whole. Payloads under MIN_REVISIT bytes, and records without an id, are
 always responses. Repeated ids are all written; with equal payloads each of them is a response
 if that id is the smallest. An empty table gives no file and no rows. Other columns are
 not read.
@@ -24,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ownerloom.llm._common import file_system, materialize, scratch
+from ownerloom.llm._common import file_system, materialize_by, scratch, small_batches
 
 #: Bytes of a payload in one row.
 CHUNK_BYTES = 1 << 20
+#: Bytes of chunks in one batch that a task gives out.
+BATCH_BYTES = 4 << 20
 #: Payloads shorter than this are never revisits.
 MIN_REVISIT = 100
 MANIFEST = "path string, n_records long, n_bytes long"
@@ -38,31 +42,63 @@ CHUNKS_DDL = "record_id long, chunk int, last boolean, uri string, record_type s
 _DATE = "2026-01-01T00:00:00Z"
 
 
-def with_references(pages: DataFrame, id_column: str = "page_id", payload_column: str = "html", uri_column: str = "url") -> DataFrame:
-    """record_id, uri, payload (binary), payload_bytes, digest, refers_to.
+_CUT = pa.schema(
+    [("record_id", pa.int64()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("digest_so_far", pa.string()), ("chunk", pa.int32()), ("last", pa.bool_()), ("data", pa.binary()), ("task", pa.int64()), ("row", pa.int64())]
+)
+_CUT_DDL = "record_id long, uri string, payload_bytes long, digest string, digest_so_far string, chunk int, last boolean, data binary, task long, row long"
+#: Buckets of the chunk table for each task that cuts; bucket numbers are hashes of task numbers.
+BUCKETS_A_TASK, MOST_BUCKETS = 4, 100_000
 
-    Only ids and digests are shuffled to find equal payloads: copies are pre-aggregated to the
-    smallest id, and only the records that are not it come back, joined by id.
-    """
-    rows = pages.select(
-        F.col(id_column).cast("long").alias("record_id"),
-        F.col(uri_column).cast("string").alias("uri"),
-        F.coalesce(F.encode(F.col(payload_column).cast("string"), "utf-8"), F.lit(b"")).alias("payload"),
-    ).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    keys = materialize(rows.where((F.col("payload_bytes") >= MIN_REVISIT) & F.col("record_id").isNotNull()).select("record_id", "digest"), "warc-digests")
-    groups = keys.groupBy("digest").agg(F.min("record_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first_id")
-    # One row for each record that repeats another: its id, its digest and the response's id.
-    repeats = keys.join(groups, "digest").where(F.col("record_id") != F.col("first_id")).groupBy("record_id", "digest").agg(F.min("first_id").alias("first_id"))
-    joined = rows.join(repeats.withColumnRenamed("digest", "r_digest"), on=(rows["record_id"] == repeats["record_id"]) & (rows["digest"] == F.col("r_digest")), how="left").drop(repeats["record_id"])
-    return joined.select("record_id", "uri", "payload", "payload_bytes", "digest", F.col("first_id").alias("refers_to"))
 
+def cut_payloads(pages: DataFrame, id_column: str = "page_id", payload_column: str = "html", uri_column: str = "url", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Chunk rows of all payloads, a record's one after the other: record_id, uri, payload_bytes, digest (of the payload),
+    digest_so_far, chunk, last, data; task and row (within the task) name the record. In place over the scan."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def chunk_table(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """records of with_references() as chunk rows; a revisit has one chunk without data."""
-    n = F.when(F.col("refers_to").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk_bytes).cast("int")))
-    numbered = records.withColumn("n_chunks", n.cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-    data = F.when(F.col("refers_to").isNull(), F.expr(f"substring(payload, chunk * {chunk_bytes} + 1, {chunk_bytes})"))
-    return numbered.select("record_id", "uri", "payload_bytes", "digest", "refers_to", "chunk", (F.col("chunk") == F.col("n_chunks") - 1).alias("last"), data.alias("data"))
+        task, row = TaskContext.get().partitionId(), 0
+        rows, held = [], 0
+        for batch in batches:
+            for record_id, uri, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                view = memoryview(payload.as_buffer() or b"")
+                total, so_far = hashlib.sha256(), []
+                parts = [view[at : at + chunk_bytes] for at in range(0, max(1, len(view)), chunk_bytes)]
+                for part in parts:
+                    total.update(part)
+                    so_far.append(total.copy())
+                digest = total.hexdigest()
+                for k, part in enumerate(parts):
+                    rows.append((record_id, uri, len(view), digest, so_far[k].hexdigest(), k, k == len(parts) - 1, bytes(part), task, row))
+                    held += len(part) + 400
+                    if held >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CUT.types, strict=True)], schema=_CUT)
+                        rows, held = [], 0
+                row += 1
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CUT.types, strict=True)], schema=_CUT)
+
+    payload = F.coalesce(F.encode(F.col(payload_column).cast("string"), "utf-8"), F.lit(b""))
+    return pages.select(F.col(id_column).cast("long"), F.col(uri_column).cast("string"), payload).mapInArrow(cut, _CUT_DDL)
+
+
+def chunk_table(pages: DataFrame, id_column: str = "page_id", payload_column: str = "html", uri_column: str = "url", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """cut_payloads() as a table, with refers_to: the smallest record id of those with an equal payload, where that is
+    another record; null too for payloads under MIN_REVISIT bytes and records without an id."""
+    given = cut_payloads(pages, id_column, payload_column, uri_column, chunk_bytes)
+    buckets = min(MOST_BUCKETS, max(1, BUCKETS_A_TASK * given.rdd.getNumPartitions()))
+    with small_batches(pages.sparkSession):
+        chunks = materialize_by(given, "warc-chunks", "task", buckets)
+    keys = chunks.where(F.col("last") & (F.col("payload_bytes") >= MIN_REVISIT) & F.col("record_id").isNotNull()).select("record_id", "digest", "task", "row")
+    groups = keys.groupBy("digest").agg(F.min("record_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first_id")
+    # One entry for each record that repeats another, gathered by the task that has it.
+    repeats = keys.join(groups, "digest").where(F.col("record_id") != F.col("first_id"))
+    repeats = repeats.repartition(buckets, "task").groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("row", "first_id"))).alias("refers"))
+    joined = chunks.join(repeats.hint("shuffle_hash"), "task", "left").withColumn("refers_to", F.expr("refers[row]"))
+    # A revisit has its first chunk only, without data.
+    revisit = F.col("refers_to").isNotNull()
+    kept = joined.where(~revisit | (F.col("chunk") == 0))
+    return kept.select("record_id", "uri", "payload_bytes", "digest", "refers_to", "chunk", (F.col("last") | revisit).alias("last"), F.when(~revisit, F.col("data")).alias("data"))
 
 
 def _header(record_id, uri, payload_bytes, digest, refers_to) -> bytes:
@@ -189,7 +225,7 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data
                             row["data"] = None
                         rows.append(row)
                         held += len(row["data"] or b"") + 400
-                        if held >= 1 << 22:
+                        if held >= BATCH_BYTES:
                             yield pa.RecordBatch.from_pylist(rows, schema=CHUNKS)
                             rows, held = [], 0
                 if rows:
@@ -202,7 +238,7 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data
 def op5_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: pages to archives and back, one row a page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    manifest = write_archives(chunk_table(with_references(pages)), scratch(spark, "warc"))
+    manifest = write_archives(chunk_table(pages), scratch(spark, "warc"))
     records = read_archives(manifest, with_data=False).where("last")
     return records.select(F.col("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", F.col("uri").alias("target_uri"))
 
