@@ -12,7 +12,8 @@ rows give the same model, however they are partitioned and in whatever order the
 
 Cases: a null text is an empty one and is scored like any other. With labels of one kind only every
 score is their mean (0 or 1); without labels it is 0.5. Null labels are not learned from. Null and
-repeated doc_ids keep their rows. An empty table gives no rows. scored() keeps other columns.
+repeated doc_ids keep their rows; a text of any length is measured whole. An empty table gives no rows. scored()
+keeps other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ def _count(text: Column, signs: str) -> Column:
     return F.length(text) - F.length(rest)
 
 
-def statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with a struct column of STATISTICS, named `stats`; docs must not have that name."""
+def statistics(docs: DataFrame, text_column: str = "text", name: str = "stats") -> DataFrame:
+    """docs with a struct column of STATISTICS under a name that docs must not have."""
     text, words, lines = (fresh(docs, x) for x in ("q_text", "q_words", "q_lines"))
     rows = docs.withColumn(text, F.coalesce(F.col(text_column).cast("string"), F.lit("")))
     rows = rows.withColumn(words, F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), ""))
@@ -69,7 +70,7 @@ def statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "comma_rate": _count(F.col(text), ",") / n,
         "stop_rate": _count(F.col(text), ".") / n,
     }
-    return rows.withColumn("stats", F.struct(*[values[k].cast("double").alias(k) for k in STATISTICS])).drop(text, words, lines)
+    return rows.withColumn(name, F.struct(*[values[k].cast("double").alias(k) for k in STATISTICS])).drop(text, words, lines)
 
 
 @dataclass
@@ -116,8 +117,11 @@ def tree_paths(trees: list, names: tuple[str, ...]) -> list[tuple[tuple[str, boo
 
 
 def in_fixed_order(labelled: DataFrame) -> DataFrame:
-    """The rows dealt to partitions and sorted by their values alone; equal rows are alike, so ties do not matter."""
-    return labelled.repartition(FIT_PARTITIONS, "label", "stats").sortWithinPartitions("label", "stats")
+    """The rows dealt to partitions and sorted by their values alone. Equal rows are counted before they are
+    shuffled and dealt by their copy number, so that many copies do not meet in one task."""
+    counted = labelled.groupBy("label", "stats").agg(F.count("*").cast("int").alias("copies"))
+    rows = counted.select("label", "stats", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return rows.repartition(FIT_PARTITIONS, "label", "stats", "copy").sortWithinPartitions("label", "stats").drop("copy")
 
 
 def fit_rules(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY) -> RuleModel:
@@ -157,7 +161,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str = "quality", b
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The chosen labels are bounded by the sample; with more than a few repeats of an id Spark may still choose to shuffle.
     joined = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["label_id"]).select("text", "label")
-    return materialize(statistics(joined).select("stats", "label").coalesce(6), "quality-train")
+    # Joined and measured in as many tasks as the texts have; the bounded rows that are left go to few files.
+    return materialize(statistics(joined).select("stats", "label").repartition(FIT_PARTITIONS), "quality-train")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> RuleModel:
@@ -166,8 +171,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> RuleModel:
 
 def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
     """docs with score and predicted; columns of these names are replaced."""
-    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted", "stats")]
-    out = statistics(docs.select(*kept)).withColumn("score", model.column())
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    stats = fresh(docs, "stats")
+    out = statistics(docs.select(*kept), name=stats).withColumn("score", model.column(stats))
     return out.select(*kept, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
