@@ -9,14 +9,16 @@ longer host, then the rule's text). Up to COMPILED rules become one expression.
 url's host suffixes and path prefixes (only of lengths that rules have) are its keys, and each key
 meets at most one rule.
 
-The trees learn from urls with a label (allow or block), about TRAIN_ROWS of them, chosen by a hash of
+The trees learn from urls with a label (allow or block), about TRAIN_ROWS distinct ones, chosen by a hash of
 the url. The registered query takes the urls on which a rule speaks as labelled. A feature is the share of
-allowed urls among the training urls with the same last part of the host, smoothed; that table is as
-small as the training rows.
+allowed urls among the training urls with the same last part of the host, smoothed; a training url takes the share
+that the other FOLDS - 1 folds of urls have, so that its own label has no part in it (leaving out its label alone would
+tell it: the share is then lower for an allowed url). That table is as small as the training rows.
 
 Cases: null urls and urls without `://` have an empty host and path and no rule; the trees still judge
-them. With labels of one kind only that kind is the verdict, without labels it is allow. Null and
-repeated page_ids keep their rows. An empty table gives no rows. Other columns are not read.
+them. With labels of one kind only that kind is the verdict, without labels it is allow. A url with both labels
+is learned once with each. Null and repeated page_ids keep their rows. Urls of any length are judged whole. An empty
+table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +40,14 @@ RULES: tuple[tuple[str, str, str], ...] = (
 )
 COMPILED = 256
 TRAIN_ROWS = 20_000
+#: Files of the bounded training table.
+TRAIN_FILES = 4
+#: Folds of training urls, by a hash of the url, for their suffixes' shares.
+FOLDS = 5
+#: Weight of the prior in a suffix's share, in urls.
+PRIOR_URLS = 20
+#: Parts over which urls without a host are dealt where rules are joined.
+SALTS = 64
 TREES = 12
 DEPTH = 4
 SEED = 11
@@ -78,7 +88,11 @@ def with_rules(rows: DataFrame, rules=RULES, compiled: int = COMPILED) -> DataFr
     keyed = rows.select("host", "path").distinct().withColumn("parts", parts).withColumn("rule_host", F.explode(suffixes))
     keyed = keyed.withColumn("n", F.explode(F.filter(lengths, lambda n: n <= F.length("path")))).withColumn("rule_path", F.expr("substring(path, 1, n)"))
     best = keyed.join(table, ["rule_host", "rule_path"]).groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct("size", "host_size", F.lit(0))).alias("told"))
-    return rows.join(best, ["host", "path"], "left").select(*rows.columns, "told.rule", "told.rule_verdict")
+    # All urls without a host share one key; they are dealt over several, of which the rules have the first.
+    salt = F.when(F.col("host") == "", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0)
+    every = F.expr(f"explode(if(host = '', sequence(0L, {SALTS - 1}L), array(0L)))")
+    salted, best = rows.withColumn("salt", salt), best.withColumn("salt", every)
+    return salted.join(best, ["host", "path", "salt"], "left").select(*rows.columns, "told.rule", "told.rule_verdict")
 
 
 def _share(part: Column, of: Column) -> Column:
@@ -125,6 +139,13 @@ class UrlModel:
     suffixes: DataFrame | None = None
     prior: float = 0.5
     constant: str | None = None
+    #: Spark's own model, of which trees is the compiled form.
+    fitted: object | None = None
+
+    def with_shares(self, rows: DataFrame) -> DataFrame:
+        """rows (suffix) with suffix_share; hosts of an unknown suffix have the prior."""
+        joined = rows.join(F.broadcast(self.suffixes), "suffix", "left")
+        return joined.withColumn("suffix_share", F.coalesce("suffix_share", F.lit(self.prior)))
 
     def margin(self) -> Column:
         def node(n) -> Column:
@@ -142,8 +163,7 @@ class UrlModel:
         """rows (lexical features) with model_score (0..1, higher: allow) and model_verdict."""
         if self.constant is not None:
             return rows.withColumns({"model_score": F.lit(1.0 if self.constant == "allow" else 0.0), "model_verdict": F.lit(self.constant)})
-        joined = rows.join(F.broadcast(self.suffixes), "suffix", "left").withColumn("suffix_share", F.coalesce("suffix_share", F.lit(self.prior)))
-        scored = joined.withColumn("model_score", 1 / (1 + F.exp(-2 * self.margin())))
+        scored = self.with_shares(rows).withColumn("model_score", 1 / (1 + F.exp(-2 * self.margin())))
         return scored.withColumn("model_verdict", F.when(F.col("model_score") >= 0.5, "allow").otherwise("block"))
 
 
@@ -154,24 +174,41 @@ def _tree(node, names) -> tuple:
     return ("split", names[split.featureIndex()], split.threshold(), _tree(node.leftChild(), names), _tree(node.rightChild(), names))
 
 
+def training_urls(labelled: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
+    """Lexical features, suffix and label of about bound distinct labelled urls, as a small table."""
+    n = labelled.count()
+    chosen = labelled if n <= bound else labelled.where(unit_hash("url", seed=1) < bound / n)
+    rows = lexical(host_and_path(chosen.select("url", "label").distinct())).drop("host", "path")
+    return materialize(rows.repartition(TRAIN_FILES), "url-train")
+
+
 def fit_urls(labelled: DataFrame, bound: int = TRAIN_ROWS) -> UrlModel:
     """labelled: url and label (1.0 allow, 0.0 block)."""
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
 
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    rows = training_urls(labelled, bound)
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     if len(counts) < 2:
         return UrlModel([], constant="allow" if next(iter(counts), 1.0) else "block")
-    n = sum(counts.values())
-    chosen = labelled if n <= bound else labelled.where(unit_hash("url", seed=1) < bound / n)
-    rows = materialize(lexical(host_and_path(chosen.select("url", "label"))).drop("host", "path").coalesce(4), "url-train")
-    prior = counts[1.0] / n
-    suffixes = rows.groupBy("suffix").agg(((F.sum("label") + 20 * prior) / (F.count("*") + 20)).alias("suffix_share"))
-    suffixes = materialize(suffixes, "url-suffixes")
-    train = rows.join(F.broadcast(suffixes), "suffix").select("label", *FEATURES)
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(train)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, maxBins=32, checkpointInterval=-1).fit(vectors)
-    return UrlModel([(float(w), _tree(t._call_java("rootNode"), FEATURES)) for t, w in zip(model.trees, model.treeWeights, strict=True)], suffixes, prior)
+    prior = counts[1.0] / sum(counts.values())
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+    sums = materialize(rows.groupBy("suffix").agg(F.sum("label").alias("allowed"), F.count("*").alias("urls")), "url-suffixes")
+    folds = rows.groupBy("suffix", "fold").agg(F.sum("label").alias("fold_allowed"), F.count("*").alias("fold_urls"))
+    share = lambda allowed, urls: (allowed + PRIOR_URLS * prior) / (urls + PRIOR_URLS)
+    others = share(F.col("allowed") - F.col("fold_allowed"), F.col("urls") - F.col("fold_urls"))
+    # Both kinds weigh alike, so that the rarer one is told as well.
+    weight = F.when(F.col("label") == 1, 1 / (2 * prior)).otherwise(1 / (2 * (1 - prior)))
+    train = rows.join(F.broadcast(sums), "suffix").join(F.broadcast(folds), ["suffix", "fold"]).withColumns({"suffix_share": others, "weight": weight}).select("label", "weight", *FEATURES)
+    model = GBTClassifier(weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, maxBins=32, checkpointInterval=-1).fit(feature_vectors(train))
+    suffixes = sums.select("suffix", share(F.col("allowed"), F.col("urls")).alias("suffix_share"))
+    return UrlModel([(float(w), _tree(t._call_java("rootNode"), FEATURES)) for t, w in zip(model.trees, model.treeWeights, strict=True)], suffixes, prior, fitted=model)
+
+
+def feature_vectors(rows: DataFrame) -> DataFrame:
+    """rows with FEATURES as one vector column, as the trees take them."""
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
 
 def judged(pages: DataFrame, rules=RULES, model: UrlModel | None = None) -> DataFrame:
