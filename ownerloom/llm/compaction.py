@@ -10,8 +10,9 @@ A version is a manifest table (written and committed by Spark) and a pointer fil
 number, put in place by a rename that fails if the name is taken: readers see the old version or
 the new one, and of two writers one must try again. Files of lost attempts are in no manifest.
 
-Cases: rows are kept as they are, with all their columns, nulls and repeats; an empty arrival adds
-no shard but a version; one with other columns than the store's is refused.
+Cases: rows are kept as they are, with all their columns, nulls, repeats and texts of any length (a row group of the
+new file may then be larger than ROW_GROUP_BYTES by one batch); an empty arrival adds no shard but a version; one with
+other columns than the store's is refused. Shards of equal size are taken in order of their names.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from ownerloom.llm._common import file_system, scratch
 
 TARGET_BYTES = 128 << 20
-SMALLEST_BYTES = 1 << 20
+SMALLEST_BYTES = 4 << 20
 FANOUT = 4
+#: Arrivals in the registered query: more than fill a tier.
+ARRIVALS = 5
 #: Rows decoded at a time while merging, and bytes after which a row group of the new file ends.
 BATCH_ROWS = 1024
 ROW_GROUP_BYTES = 16 << 20
@@ -161,14 +164,13 @@ class ShardStore:
     def vacuum(self) -> int:
         """Delete shards of older versions that the latest no longer names; returns how many."""
         latest = self.version()
-        now = self.manifest(latest).select("path")
-        old = None
-        for v in range(1, latest):
-            part = self.manifest(v).select("path")
-            old = part if old is None else old.union(part)
-        if old is None:
+        if latest < 2:
             return 0
-        gone = [r["path"] for r in old.distinct().join(now, "path", "left_anti").collect()]  # names of files
+        # One read of the pointers and one of all manifests they name, however many versions there are.
+        pointers = self.spark.read.text(f"{self.root}/versions/*").select("value", F.element_at(F.split("_metadata.file_path", "/"), -1).cast("int").alias("version"))
+        tables = [r["value"] for r in pointers.where(F.col("version") < latest).collect()]
+        old = self.spark.read.schema(ENTRY).parquet(*tables).select("path").distinct()
+        gone = [r["path"] for r in old.join(self.manifest(latest).select("path"), "path", "left_anti").collect()]  # names of files
         for path in gone:
             where = self._path(path)
             where.getFileSystem(self._conf()).delete(where, False)
@@ -218,19 +220,19 @@ def fs_uri(path: str) -> str:
 
 
 def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registered query: documents in two arrivals, compacted, then every row as the last version has it."""
+    """The registered query: documents in ARRIVALS arrivals, compacted, then every row as the last version has it, and
+    whether it lies in a merged shard (all do where the whole table is smaller than a target file)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = ShardStore(spark, scratch(spark, "shards"))
-    second = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1, F.lit(False))
-    store.append(docs.where(~second))
-    store.append(docs.where(second))
+    arrival = F.coalesce(F.pmod(F.col("doc_id"), F.lit(ARRIVALS)), F.lit(0))
+    for k in range(ARRIVALS):
+        store.append(docs.where(arrival == k))
     version = store.compact_fully()
     store.vacuum()
-    # Spark and pyarrow write a local path's scheme in two ways, so a shard goes by its folder and file name.
-    shards = store.manifest(version).select(_shard_name("path"), F.col("n_bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"), "tier")
-    rows = store.read(version).select(_shard_name("_metadata.file_path"), "doc_id", F.octet_length("text").cast("long").alias("text_bytes"), F.crc32(F.encode("text", "utf-8")).alias("text_crc32"))
-    return rows.join(shards, "shard", "left").select("doc_id", "text_bytes", "text_crc32", "shard", "shard_bytes", "shard_rows", "tier", F.lit(version).cast("long").alias("version"))
+    rows = store.read(version)
+    merged = F.contains(F.col("_metadata.file_path"), F.lit("/shards/merged-"))
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("text_bytes"), F.md5(F.encode("text", "utf-8")).alias("text_md5"), merged.alias("merged"))
 
 
-def _shard_name(path: str):
-    return F.substring_index(path, "/", -2).alias("shard")
+#: Over tables smaller than a target file, where one pass merges every shard.
+OP10_SQL = "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS text_bytes, md5(text) AS text_md5, true AS merged FROM documents"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ownerloom.llm.compaction import op10_compaction
+from ownerloom.llm.compaction import OP10_SQL, op10_compaction
 from ownerloom.llm.decontaminate import op4_decontamination
 from ownerloom.llm.langid import op8_language
 from ownerloom.llm.packing import op7_packing
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_records": OP5_SQL, "op6_quality_rules": OP6_SQL}
+    return {"op5_warc_records": OP5_SQL, "op6_quality_rules": OP6_SQL, "op10_compaction": OP10_SQL}
