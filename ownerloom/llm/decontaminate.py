@@ -172,7 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits_per_100: int = EDI
             for batch in batches:
                 matcher = matcher or Matcher(told.value, edits_per_100)
                 hits = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for doc_id, text in zip(batch.column(0).to_pylist(), map(pa.StringScalar.as_py, batch.column(1)), strict=True):
                     if text:
                         hits += [(doc_id, matcher.items[k][0], d, end) for k, d, end, _ in matcher.find(text)]
                 if hits:

@@ -29,7 +29,7 @@ from ownerloom.llm._common import fresh, held_out, unit_hash
 DIMENSIONS = 1024
 TRAIN_PER_LANGUAGE = 4_000
 #: A worker keeps the vectors of at most so many trigrams and starts anew beyond that.
-TRIGRAMS_KEPT = 60_000
+TRIGRAMS_KEPT = 32_000
 UNKNOWN = "und"
 #: The share of training texts of a size that may lie below the floor, and how many texts a floor needs.
 FLOOR_QUANTILE = 0.001
@@ -73,7 +73,7 @@ class Bundler:
 
     def clear(self) -> None:
         self.rows: dict[int, int] = {}
-        self.matrix = np.empty((4096, DIMENSIONS), np.int8)
+        self.matrix = np.empty((2048, DIMENSIONS), np.int8)
 
     def places(self, keys: np.ndarray) -> np.ndarray:
         """Rows of the trigrams' vectors, which are bound here when first seen."""
@@ -158,10 +158,10 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], text_column: s
     units = np.array([prototypes[x] for x in langs], np.float32).reshape(len(langs), DIMENSIONS)
     units /= np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1e-9)
 
-    def judged(bundler: Bundler, texts: list[str | None]) -> pa.Array:
+    def judged(bundler: Bundler, texts: pa.Array) -> pa.Array:
         names, scores = [], []
         for at in range(0, len(texts), 96):
-            vectors = bundler.bundles(texts[at : at + 96])
+            vectors = bundler.bundles(texts.slice(at, 96).to_pylist())
             norms = np.linalg.norm(vectors, axis=1)
             if not langs:
                 norms[:] = 0
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], text_column: s
     def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bundler = Bundler()  # one a task: its vectors do not stay in the worker for later stages
         for texts in batches:
-            yield judged(bundler, texts.to_pylist())
+            yield judged(bundler, texts)
 
     each.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     judge = F.arrow_udf(each, "struct<lang_pred:string,score:double>")

@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) if t else 0 for t in batch.column(1).to_pylist()], "<u8").view("<i8")
+            fps = np.array([fingerprint(t) if t else 0 for t in map(pa.BinaryScalar.as_py, batch.column(1))], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("text"))
