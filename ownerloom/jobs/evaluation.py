@@ -202,6 +202,79 @@ def shard_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("repository").agg(F.min("shard").alias("shard"), F.max("shard").alias("shard_max"), F.count("*").alias("cases"))
 
 
+def check_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared changes of every second chunk against those that the inventories show."""
+    declared = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("chunk_id"), F.when(F.col("o_orderkey") % 3 == 0, "removed").otherwise("updated").alias("change"))
+    return ingest.check_delta(declared, inventory_delta(spark, sf_dir))
+
+
+_CHECK_DELTA_SQL = f"""WITH d AS ({_DELTA_SQL}), c AS (SELECT o_custkey AS scope, o_orderkey AS chunk_id, CASE WHEN o_orderkey % 3 = 0 THEN 'removed' ELSE 'updated' END AS change FROM orders WHERE o_orderkey % 2 = 0)
+SELECT c.scope, c.chunk_id, c.change, CASE WHEN d.change IS NULL THEN 'unchanged_or_unknown' ELSE 'wrong_change' END AS code FROM c LEFT JOIN d ON d.scope = c.scope AND d.chunk_id = c.chunk_id WHERE d.change IS DISTINCT FROM c.change"""
+
+
+def select_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as cases, regions as the profiles of their families."""
+    k, r = F.col("p_partkey"), F.col("r_regionkey").cast("string")
+    named = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    cases = table(spark, sf_dir, "part").select(k.alias("case_id"), named("f", k % 7).alias("family"), named("b", k % 3).alias("backend"), F.when(k % 4 > 0, named("d", k % 5)).alias("dialect"), F.array(named("p", k % 3), named("p", k % 4)).alias("policies"))
+    profiles = table(spark, sf_dir, "region").select(named("f", r).alias("family"), F.array(F.lit("b0"), named("b", r)).alias("known_backends"), F.array(F.lit("d0"), named("d", r)).alias("known_dialects"), F.array(F.lit("p0"), F.lit("p1"), named("p", r)).alias("known_policies"))
+    return reports.select_cases(cases, profiles)
+
+
+_SELECT_SQL = """WITH c AS (SELECT p_partkey AS k, p_partkey % 7 AS f, 'b' || p_partkey % 3 AS b, CASE WHEN p_partkey % 4 > 0 THEN 'd' || p_partkey % 5 END AS d, ['p' || p_partkey % 3, 'p' || p_partkey % 4] AS ps FROM part),
+m AS (SELECT k, concat_ws(',', CASE WHEN r_regionkey IS NULL OR b NOT IN ('b0', 'b' || r_regionkey) THEN 'backend' END, CASE WHEN d IS NOT NULL AND (r_regionkey IS NULL OR d NOT IN ('d0', 'd' || r_regionkey)) THEN 'dialect' END,
+  CASE WHEN r_regionkey IS NULL OR len(list_filter(ps, lambda x: x NOT IN ('p0', 'p1', 'p' || r_regionkey))) > 0 THEN 'policy' END) AS skip_reasons FROM c LEFT JOIN region ON r_regionkey = f)
+SELECT k AS case_id, skip_reasons, skip_reasons = '' AS selected FROM m"""
+
+
+def promotion_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as providers under the regions' policies, and whether they are available at least."""
+    k, r = F.col("s_suppkey"), F.col("r_regionkey")
+    metrics = table(spark, sf_dir, "supplier").select(k.alias("provider"), F.concat(F.lit("f"), (k % 6).cast("string")).alias("family"), (k % 10 > 0).alias("hard_gate_passed"), (k % 8).alias("fixtures"), (k % 7 > 0).alias("formatting_preserved"), (k % 4).alias("fallbacks"), (k % 5).alias("conflicts"), (k % 9 > 0).alias("parity"))
+    policy = table(spark, sf_dir, "region").select(F.concat(F.lit("f"), r.cast("string")).alias("family"), (r + 1).alias("min_fixtures"), r.alias("max_fallbacks"), (r + 1).alias("max_conflicts"))
+    return reports.promotion_status(metrics, policy).withColumn("enough", reports.meets_status(F.col("status"), F.lit("available")))
+
+
+_PROMOTION_SQL = """WITH m AS (SELECT s_suppkey AS k, s_suppkey % 6 AS f, r_regionkey AS r FROM supplier LEFT JOIN region ON r_regionkey = s_suppkey % 6),
+t AS (SELECT k, f, concat_ws(',', CASE WHEN k % 10 = 0 THEN 'hard_gate' END, CASE WHEN k % 8 < coalesce(r + 1, 1) THEN 'fixture_count' END, CASE WHEN k % 7 = 0 THEN 'formatting' END, CASE WHEN k % 4 > coalesce(r, 0) THEN 'fallbacks' END, CASE WHEN k % 5 > coalesce(r + 1, 0) THEN 'conflicts' END, CASE WHEN k % 9 = 0 THEN 'parity' END) AS reasons FROM m),
+s AS (SELECT *, CASE WHEN contains(reasons, 'hard_gate') OR contains(reasons, 'fixture_count') THEN 'experimental' WHEN reasons <> '' THEN 'available' ELSE 'recommended' END AS status FROM t)
+SELECT k AS provider, 'f' || f AS family, reasons, status, status <> 'experimental' AS enough FROM s"""
+
+
+def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = plan_templates(spark, sf_dir)
+    k = F.col("page_id")
+    execution = F.when(k % 12 == 5, "blocked").otherwise(F.col("execution_action"))
+    return rows.select((k % 5).alias("run_id"), execution.alias("execution_action"), "write_action", F.col("ready").alias("ready"), (F.col("ready") & (k % 2 == 0)).alias("written"), (k % 3 == 0).alias("differs"))
+
+
+def template_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _applied(spark, sf_dir)
+    return reports.template_report(rows).join(reports.template_convergence(rows), "run_id")
+
+
+_REPORT_SQL = f"""WITH p AS ({_TEMPLATES_SQL}), a AS (SELECT page_id % 5 AS run_id, CASE WHEN page_id % 12 = 5 THEN 'blocked' ELSE execution_action END AS x, write_action AS w, ready, ready AND page_id % 2 = 0 AS written, page_id % 3 = 0 AS differs FROM p)
+SELECT run_id, count(*) FILTER (w = 'create' AND written) AS created, count(*) FILTER (w = 'update' AND written) AS updated, count(*) FILTER (x = 'keep') AS kept, count(*) FILTER (x = 'blocked') AS blocked, count(*) FILTER (x = 'omit') AS omitted, count(*) FILTER (written) AS written,
+  bool_and(x <> 'blocked' AND NOT (ready AND differs)) AS converged FROM a GROUP BY 1"""
+
+
+def check_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assertions about the lines of orders: their chunks keep or swap their contents, or are not there."""
+    orders, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    k = F.col("o_orderkey")
+    chunks = li.where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("scope"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("chunk_id")).agg(F.min("l_partkey").cast("string").alias("content_hash"))
+    turned = F.when(F.col("chunk_id") == "c1", "c2").otherwise("c1")
+    current = chunks.withColumn("chunk_id", F.when(F.col("scope") % 2 == 0, turned).otherwise(F.col("chunk_id"))).withColumn("content_hash", F.when(F.col("scope") % 5 == 0, "new").otherwise(F.col("content_hash")))
+    kind = F.when(k % 11 == 0, "odd").when(k % 3 == 0, "split").otherwise("reorder")
+    rows = orders.select(k.alias("scope"), F.lit("a").alias("assertion_id"), kind.alias("kind"), F.when(k % 7 == 0, F.array(F.lit("c9"))).otherwise(F.array(F.lit("c1"), F.lit("c2"))).alias("prior_ids"), F.array(F.lit("c1"), F.lit("c2")).alias("current_ids"), F.when(k % 13 == 0, 1.5).otherwise(0.5).alias("confidence"))
+    return ingest.check_lineage(rows, chunks, current)
+
+
+_LINEAGE_SQL = """WITH c AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(min(l_partkey) AS VARCHAR) AS h FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL), s AS (SELECT k, count(*) AS n FROM c GROUP BY 1),
+o AS (SELECT DISTINCT o_orderkey AS k, coalesce(s.n, 0) AS n FROM orders LEFT JOIN s ON s.k = o_orderkey)
+SELECT k AS scope, 'a' AS assertion_id, CASE WHEN k % 11 = 0 THEN 'kind' WHEN k % 13 = 0 THEN 'confidence' WHEN k % 7 = 0 OR n < 2 THEN 'unknown_prior' WHEN k % 3 <> 0 AND k % 5 = 0 THEN 'reorder_changes_content' END AS code FROM o"""
+
+
 def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as templates with tokens: some valid, some not, some without a replacement."""
     k = F.col("page_id")
@@ -231,7 +304,7 @@ SELECT k AS doc_id, concat_ws(',', CASE WHEN NOT has_a THEN a END, CASE WHEN NOT
 
 QUERIES = {
     f.__name__: f
-    for f in (validate_inventory, inventory_delta, check_envelope, accept_observations, run_scorecard, benchmark_summary, suite_summary, score_agreement, pair_results, check_references, review_groups, is_rfc3339, plan_templates, resolve_attributes, shard_loads, template_tokens, resolve_template_tokens)
+    for f in (validate_inventory, inventory_delta, check_envelope, accept_observations, run_scorecard, benchmark_summary, suite_summary, score_agreement, pair_results, check_references, review_groups, is_rfc3339, plan_templates, resolve_attributes, shard_loads, check_delta, check_lineage, select_cases, promotion_status, template_report, template_tokens, resolve_template_tokens)
 }
 SQL = {
     "validate_inventory": _INVENTORY_SQL,
@@ -247,6 +320,11 @@ SQL = {
     "is_rfc3339": "SELECT event_id, event_id % 5 <> 0 AND event_id % 7 <> 0 AS valid FROM events",
     "plan_templates": _TEMPLATES_SQL,
     "resolve_attributes": _ATTRIBUTES_SQL,
+    "check_delta": _CHECK_DELTA_SQL,
+    "check_lineage": _LINEAGE_SQL,
+    "select_cases": _SELECT_SQL,
+    "promotion_status": _PROMOTION_SQL,
+    "template_report": _REPORT_SQL,
     "template_tokens": _TOKENS_SQL,
     "resolve_template_tokens": _RESOLVE_SQL,
 }

@@ -270,9 +270,25 @@ g AS (SELECT case_id, coalesce(lag(e) OVER v, 0) AS s, s AS e, lag(owner_id) OVE
 SELECT case_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", before_owner, after_owner, coalesce(after_owner, before_owner) AS controller, sha256(unhex(substr(h, CAST(2 * s + 1 AS BIGINT), CAST(2 * (e - s) AS BIGINT)))) AS sha256 FROM g JOIN d USING (case_id)"""
 
 
+def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second line of documents replaced; some documents have a second edit that overlaps, begins alike or lies beyond."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    second = cutting.doc_lines(docs).where("line = 2")
+    edit = lambda rows, a, b, text: rows.select("doc_id", a.alias("start_byte"), b.alias("end_byte"), F.lit(text).alias("replacement"))
+    a, b = F.col("start_byte"), F.col("end_byte")
+    edits = edit(second, a, b, "ä\n").unionByName(edit(second.where("doc_id % 5 = 1 AND end_byte > start_byte + 1"), b - 1, b, "x")).unionByName(edit(second.where("doc_id % 5 = 2"), a, b, "y")).unionByName(edit(second.where("doc_id % 5 = 3"), b, b + 1_000_000, "z"))
+    return cutting.apply_edits(docs, edits).select("doc_id", F.md5("text").alias("digest"), "error")
+
+
+_EDITS_SQL = f"""WITH {LINES_CTE}, n AS (SELECT doc_id, any_value(text) AS text, count(*) FILTER (line < m OR t <> '') AS n, max(t) FILTER (line = 2) AS t FROM (SELECT d.doc_id, d.text, l.line, l.text AS t, max(l.line) OVER (PARTITION BY d.doc_id) AS m FROM documents d JOIN lines l USING (doc_id)) GROUP BY 1),
+p AS (SELECT doc_id, text, n >= 2 AND text <> '' AS has, strlen(t) + CASE WHEN n > 2 OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS size, string_split(text, chr(10)) AS parts FROM n),
+e AS (SELECT *, CASE WHEN NOT has THEN NULL WHEN doc_id % 5 = 1 AND size > 1 THEN 'overlap' WHEN doc_id % 5 = 2 THEN 'equal_start' WHEN doc_id % 5 = 3 THEN 'range' END AS error FROM p)
+SELECT doc_id, CASE WHEN error IS NULL THEN md5(CASE WHEN has THEN parts[1] || chr(10) || 'ä' || chr(10) || array_to_string(parts[3:], chr(10)) ELSE text END) END AS digest, error FROM e"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (sample_hash_bucket, text_blocks, jaccard_similarity, text_similarity, refined_similarity, slugify, classify_path, detect_language, blank_gaps, line_ownership, unmanaged_fingerprint, conflict_regions, freeze_blocks, markdown_sections, json_owners, json_equivalent, validate_owners, has_conflict_markers, flag_oversize, layout_gaps)
+    for f in (sample_hash_bucket, text_blocks, jaccard_similarity, text_similarity, refined_similarity, slugify, classify_path, detect_language, blank_gaps, line_ownership, unmanaged_fingerprint, conflict_regions, freeze_blocks, markdown_sections, json_owners, json_equivalent, validate_owners, has_conflict_markers, flag_oversize, layout_gaps, apply_edits)
 }
 
 SQL = {
@@ -296,4 +312,5 @@ SQL = {
     "has_conflict_markers": "SELECT doc_id, doc_id % 5 = 0 OR contains(text, '=======') OR contains(text, '<<<<<<<') AS markers FROM documents",
     "flag_oversize": "SELECT doc_id, CASE WHEN strlen(text) > 4096 THEN 'oversize' ELSE 'pending' END AS status FROM documents",
     "layout_gaps": _GAPS_SQL,
+    "apply_edits": _EDITS_SQL,
 }
