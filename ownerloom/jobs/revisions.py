@@ -158,6 +158,17 @@ def sequence_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.sequence_changes(revision(spark, sf_dir, "base"), theirs).select("case_id", "owner_id", "kind", "base_pos", "side_pos")
 
 
+def merge_owner_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The owners that all revisions have, in the order that the tips agree on; in ours of every second case they stand backwards."""
+    rows = owners(spark, sf_dir).withColumn("pos", F.when((F.col("role") == "ours") & (F.col("case_id") % 2 == 0), -F.col("pos")).otherwise(F.col("pos")))
+    stable = rows.groupBy("case_id", "owner_id").agg(F.count("*").alias("n")).where("n = 3").select("case_id", "owner_id")
+    out = merging.merge_owner_order(rows.join(stable.select("case_id").distinct(), "case_id", "left_semi"), stable)
+    return out.select("case_id", "status", F.array_join("owner_ids", ",").alias("owner_ids"))
+
+
+_OWNER_ORDER_SQL = f"""{_BY_OWNER} SELECT case_id, 'ordered' AS status, string_agg(CAST(owner_id AS VARCHAR), ',' ORDER BY CASE WHEN case_id % 2 = 0 THEN -bp ELSE bp END) AS owner_ids FROM d WHERE bp + op + tp IS NOT NULL GROUP BY 1"""
+
+
 def sequence_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tips of some cases turn owners around, in the same way or not."""
     rows = owners(spark, sf_dir)
@@ -175,7 +186,7 @@ UNION ALL SELECT case_id, 'order', NULL, NULL FROM l WHERE o <> t AND o <> list_
 
 QUERIES = {
     f.__name__: f
-    for f in (three_way_classify, decision_summary, whole_source, merge_preconditions, owner_diff, directional_classify, owner_union, match_by_path, merge_comment_delta, merge_keyed_members, union_commutative_children, sequence_changes, sequence_conflicts, merge_archive_entries, structural_matches, merge_order, render_merged, render_conflicts)
+    for f in (three_way_classify, decision_summary, whole_source, merge_preconditions, owner_diff, directional_classify, owner_union, match_by_path, merge_comment_delta, merge_keyed_members, union_commutative_children, sequence_changes, sequence_conflicts, merge_archive_entries, structural_matches, merge_order, merge_owner_order, render_merged, render_conflicts)
 }
 
 _SELECTED = "CASE decision WHEN 'select_ours' THEN 'ours' WHEN 'select_theirs' THEN 'theirs' END"
@@ -205,6 +216,7 @@ n AS (SELECT *, lag(base_pos) OVER wb IS DISTINCT FROM lag(base_pos) OVER ws OR
 SELECT case_id, owner_id, 'modify' AS kind, base_pos, side_pos FROM n WHERE changed UNION ALL SELECT case_id, owner_id, 'move', base_pos, side_pos FROM n WHERE moved
 UNION ALL SELECT case_id, owner_id, 'delete', pos, NULL FROM b ANTI JOIN m USING (case_id, owner_id) UNION ALL SELECT case_id, owner_id, 'insert', NULL, pos FROM t ANTI JOIN m USING (case_id, owner_id)""",
     "sequence_conflicts": _ORDER_SQL,
+    "merge_owner_order": _OWNER_ORDER_SQL,
     "merge_comment_delta": _COMMENT_SQL,
     "merge_keyed_members": _KEYED_SQL,
     "union_commutative_children": _UNION_SQL,

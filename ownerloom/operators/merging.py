@@ -310,6 +310,80 @@ def merge_order(sequences: DataFrame, selected: DataFrame) -> DataFrame:
     return rows.groupBy("case_id").applyInPandas(order, f"case_id {kind}, status string, node_ids array<string>")
 
 
+def merge_owner_order(owners: DataFrame, selected: DataFrame) -> DataFrame:
+    """owners (case_id, role, pos, owner_id), selected (case_id, owner_id) -> case_id, status (ordered, cycle, unsupported)
+    and owner_ids.
+
+    Two owners that all revisions have keep base's order if both tips keep it, and else stand the other way round.
+    Other owners stand between the nearest such owners of their tip and next to their selected neighbours. Ties go to
+    base's order, then ours', then theirs'. Unsupported: an empty base or selection, an id that is empty or stands twice in a
+    revision, a selected owner that no tip has.
+
+    A case whose stable owners agree in order is a chain; only where a pair is turned are all pairs of that case's
+    stable owners compared. The order of one case is one document's and is found in one group."""
+    rows = owners.select("case_id", F.col("role").cast("string").alias("role"), F.col("pos").cast("long").alias("pos"), F.col("owner_id").cast("string").alias("owner_id")).unionByName(
+        selected.select("case_id", F.lit("selected").alias("role"), F.lit(0).cast("long").alias("pos"), F.col("owner_id").cast("string").alias("owner_id"))
+    )
+
+    def order(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        import heapq
+
+        answer = lambda status, ids: pd.DataFrame([(key[0], status, list(ids))], columns=["case_id", "status", "owner_ids"])
+        rows = rows.sort_values("pos", kind="stable")
+        lists = {r: part.owner_id.tolist() for r, part in rows.groupby("role")}
+        base, ours, theirs, wanted = (lists.get(r, []) for r in (*ROLES, "selected"))
+        if not base or not wanted or any(len(set(x)) < len(x) or "" in x for x in (base, ours, theirs, wanted)):
+            return answer("unsupported", [])
+        keep, in_ours, in_theirs = set(wanted), {x: k for k, x in enumerate(ours)}, {x: k for k, x in enumerate(theirs)}
+        if not keep <= in_ours.keys() | in_theirs.keys():
+            return answer("unsupported", [])
+        stable = [x for x in base if x in keep and x in in_ours and x in in_theirs]
+        fixed = set(stable)
+        after: dict[str, set] = {x: set() for x in keep}
+        straight = all(in_ours[x] < in_ours[y] and in_theirs[x] < in_theirs[y] for x, y in zip(stable, stable[1:], strict=False))
+        pairs = zip(stable, stable[1:], strict=False) if straight else ((x, y) for k, x in enumerate(stable) for y in stable[k + 1 :])
+        for x, y in pairs:
+            if in_ours[x] < in_ours[y] and in_theirs[x] < in_theirs[y]:
+                after[x].add(y)
+            else:
+                after[y].add(x)
+        for tip in (ours, theirs):
+            chosen = [x for x in tip if x in keep]
+            for x, y in zip(chosen, chosen[1:], strict=False):
+                if x not in fixed or y not in fixed:
+                    after[x].add(y)
+            for way in (1, -1):
+                near = None
+                for x in tip[::way]:
+                    if x in fixed:
+                        near = x
+                    elif x in keep and near is not None:
+                        (after[near] if way == 1 else after[x]).add(x if way == 1 else near)
+        rank: dict[str, tuple] = {}
+        for k, part in enumerate((base, ours, theirs)):
+            for n, x in enumerate(part):
+                rank.setdefault(x, (k, n))
+        before = dict.fromkeys(keep, 0)
+        for x, ys in after.items():
+            ys.discard(x)
+            for y in ys:
+                before[y] += 1
+        ready = [(rank[x], x) for x, n in before.items() if not n]
+        heapq.heapify(ready)
+        out = []
+        while ready:
+            _, x = heapq.heappop(ready)
+            out.append(x)
+            for y in after[x]:
+                before[y] -= 1
+                if not before[y]:
+                    heapq.heappush(ready, (rank[y], y))
+        return answer("ordered", out) if len(out) == len(keep) else answer("cycle", [])
+
+    kind = dict(rows.dtypes)["case_id"]
+    return rows.groupBy("case_id").applyInPandas(order, f"case_id {kind}, status string, owner_ids array<string>")
+
+
 def render_merged(owners: DataFrame, decisions: DataFrame, separator: str = "\n") -> DataFrame:
     """case_id, output and n_owners of cases without conflicts: ours' owners in ours' order with the selected
     text, then what theirs adds in theirs' order. One document is one row, as in the input."""

@@ -509,3 +509,24 @@ def test_envelopes(spark, change, code):
     rows = spark.createDataFrame([(1, "v", text, hashlib.sha256(text.encode()).hexdigest()), (2, "v", text, "0"), (3, None, text, "0")], "observation_key int, schema string, payload_json string, payload_digest string")
     got = {r["observation_key"]: r["code"] for r in ingest.check_envelope(rows, "v").collect()}
     assert got == {1: code, 2: "payload_digest", 3: "schema"}
+
+
+@pytest.mark.parametrize(
+    ("base", "ours", "theirs", "selected", "status", "ids"),
+    [
+        ("abc", "abc", "abc", "abc", "ordered", "abc"),
+        ("abc", "acb", "abc", "abc", "ordered", "acb"),
+        ("abc", "axbc", "abyc", "abcxy", "ordered", "axbyc"),
+        ("ab", "xab", "aby", "abxy", "ordered", "xaby"),
+        ("abc", "abc", "ac", "ac", "ordered", "ac"),
+        ("ab", "axyb", "ayxb", "abxy", "cycle", ""),
+        ("", "a", "a", "a", "unsupported", ""),
+        ("ab", "ab", "ab", "abz", "unsupported", ""),
+        ("aab", "ab", "ab", "ab", "unsupported", ""),
+    ],
+)
+def test_merge_owner_order(spark, base, ours, theirs, selected, status, ids):
+    owners = [(1, role, k, x) for role, part in (("base", base), ("ours", ours), ("theirs", theirs)) for k, x in enumerate(part)]
+    rows = merging.merge_owner_order(spark.createDataFrame(owners, "case_id int, role string, pos int, owner_id string"), spark.createDataFrame([(1, x) for x in selected], "case_id int, owner_id string"))
+    row = rows.first()
+    assert (row["status"], "".join(row["owner_ids"])) == (status, ids)
