@@ -212,6 +212,26 @@ _CHECK_DELTA_SQL = f"""WITH d AS ({_DELTA_SQL}), c AS (SELECT o_custkey AS scope
 SELECT c.scope, c.chunk_id, c.change, CASE WHEN d.change IS NULL THEN 'unchanged_or_unknown' ELSE 'wrong_change' END AS code FROM c LEFT JOIN d ON d.scope = c.scope AND d.chunk_id = c.chunk_id WHERE d.change IS DISTINCT FROM c.change"""
 
 
+def check_incorporation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision for each order about its first two lines; references, outcomes and evidence are wrong by its number."""
+    orders, li = table(spark, sf_dir, "orders").dropDuplicates(["o_orderkey"]), table(spark, sf_dir, "lineitem")
+    k = F.col("o_orderkey")
+    chunks = li.where("l_linenumber <= 2").select(F.col("l_orderkey").alias("scope"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("chunk_id"), F.col("l_linenumber").cast("long").alias("ordinal"))
+    ref = lambda n, o: F.struct(F.lit(f"c{n}").alias("chunk_id"), F.lit(o).cast("long").alias("ordinal"))
+    none = F.array().cast("array<struct<chunk_id:string,ordinal:bigint>>")
+    outcome = F.when(k % 7 == 0, "odd").when(k % 3 == 0, "ignored").otherwise("edited")
+    rows = orders.select(k.alias("scope"), F.lit("d").alias("decision_id"), F.when(k % 11 == 0, "").otherwise("a").alias("authority_ref"), F.when(k % 5 == 0, F.array(ref(1, 1), ref(2, 2))).otherwise(F.array(ref(1, 1))).alias("source_refs"), F.when(k % 4 == 0, none).when(k % 13 == 0, F.array(ref(1, 2))).otherwise(F.array(ref(1, 1))).alias("subject_refs"), outcome.alias("outcome"), F.when(k % 2 == 0, F.array(F.lit("e"))).otherwise(F.array(F.lit("f"))).alias("evidence_refs"))
+    rows = rows.unionByName(rows.where("scope % 17 = 0").withColumn("authority_ref", F.lit("b")))
+    evidence = orders.select(k.alias("scope"), F.lit("e").alias("evidence_ref"))
+    return ingest.check_incorporation(rows, evidence, chunks, chunks)
+
+
+_INCORPORATION_SQL = """WITH c AS (SELECT l_orderkey AS k, bool_or(l_linenumber = 1) AS one, bool_or(l_linenumber = 2) AS two FROM lineitem GROUP BY 1),
+o AS (SELECT DISTINCT o_orderkey AS k FROM orders), r AS (SELECT k, k % 11 = 0 AS e FROM o UNION ALL SELECT k, false FROM o WHERE k % 17 = 0)
+SELECT r.k AS scope, 'd' AS decision_id, CASE WHEN e THEN 'empty_field' WHEN r.k % 17 = 0 THEN 'duplicate_decision' WHEN r.k % 7 = 0 THEN 'outcome' WHEN NOT coalesce(one, false) OR (r.k % 5 = 0 AND NOT coalesce(two, false)) THEN 'unknown_source'
+  WHEN r.k % 4 <> 0 AND (r.k % 13 = 0 OR NOT coalesce(one, false)) THEN 'unknown_subject' WHEN r.k % 4 = 0 AND r.k % 3 <> 0 THEN 'no_subject' WHEN r.k % 2 <> 0 THEN 'unknown_evidence' END AS code FROM r LEFT JOIN c ON c.k = r.k"""
+
+
 def select_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as cases, regions as the profiles of their families."""
     k, r = F.col("p_partkey"), F.col("r_regionkey").cast("string")
@@ -304,7 +324,7 @@ SELECT k AS doc_id, concat_ws(',', CASE WHEN NOT has_a THEN a END, CASE WHEN NOT
 
 QUERIES = {
     f.__name__: f
-    for f in (validate_inventory, inventory_delta, check_envelope, accept_observations, run_scorecard, benchmark_summary, suite_summary, score_agreement, pair_results, check_references, review_groups, is_rfc3339, plan_templates, resolve_attributes, shard_loads, check_delta, check_lineage, select_cases, promotion_status, template_report, template_tokens, resolve_template_tokens)
+    for f in (validate_inventory, inventory_delta, check_envelope, accept_observations, run_scorecard, benchmark_summary, suite_summary, score_agreement, pair_results, check_references, review_groups, is_rfc3339, plan_templates, resolve_attributes, shard_loads, check_delta, check_lineage, check_incorporation, select_cases, promotion_status, template_report, template_tokens, resolve_template_tokens)
 }
 SQL = {
     "validate_inventory": _INVENTORY_SQL,
@@ -322,6 +342,7 @@ SQL = {
     "resolve_attributes": _ATTRIBUTES_SQL,
     "check_delta": _CHECK_DELTA_SQL,
     "check_lineage": _LINEAGE_SQL,
+    "check_incorporation": _INCORPORATION_SQL,
     "select_cases": _SELECT_SQL,
     "promotion_status": _PROMOTION_SQL,
     "template_report": _REPORT_SQL,

@@ -286,9 +286,48 @@ e AS (SELECT *, CASE WHEN NOT has THEN NULL WHEN doc_id % 5 = 1 AND size > 1 THE
 SELECT doc_id, CASE WHEN error IS NULL THEN md5(CASE WHEN has THEN parts[1] || chr(10) || 'ä' || chr(10) || array_to_string(parts[3:], chr(10)) ELSE text END) END AS digest, error FROM e"""
 
 
+def _fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of conversations' turns as documents: some fenced with a language, some in longer or unknown fences, one open at the end."""
+    k, t = F.col("conv_id"), F.col("turn")
+    info = F.element_at(F.array(*[F.lit(x) for x in ("json", "YML extra", "", "python", "rs")]), (t % 5 + 1).cast("int"))
+    parts = F.array(F.concat(F.when(t % 3 == 0, "~~~~").otherwise("```"), info), F.lit("```x"), F.concat(F.lit("body "), t.cast("string")), F.when(t % 3 == 0, "~~~~~").otherwise("```"), F.lit("between"))
+    rows = table(spark, sf_dir, "conversations").select(k.alias("doc_id"), t, F.posexplode(parts).alias("p", "text"))
+    from pyspark.sql import Window
+
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("turn", "p")).alias("line"), "text")
+
+
+def embedded_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cutting.embedded_surfaces(_fenced(spark, sf_dir))
+    return out.select("doc_id", "operation_id", "path", "language", "family", "dialect", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
+
+
+_FENCES = """f AS (SELECT conv_id AS doc_id, turn AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, ['json', 'YML', '', 'python', 'rs'][turn % 5 + 1] AS language FROM conversations),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY t) - 1 AS op, CASE language WHEN 'json' THEN 'json' WHEN 'YML' THEN 'yaml' ELSE 'rust' END AS family FROM f WHERE language IN ('json', 'YML', 'rs'))"""
+_SURFACES_SQL = f"""WITH {_FENCES} SELECT doc_id, 'markdown-fence-' || op AS operation_id, '/code_fence/' || n AS path, language, family, family AS dialect, 5 * n + 1 AS start_line, 5 * n + 4 AS end_line FROM s"""
+
+
+def apply_child_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of all known fences replaced; some documents have an output for a fence that is not there."""
+    lines_ = _fenced(spark, sf_dir)
+    operations = cutting.embedded_surfaces(lines_)
+    number = F.regexp_extract("operation_id", r"(\d+)$", 1).cast("int")
+    output = F.when(number % 3 == 0, "").when(number % 3 == 1, "new\nlines\n").otherwise(F.concat(F.lit("new "), "operation_id"))
+    outputs = operations.select("doc_id", number.alias("output_index"), "address", output.alias("output"))
+    stray = lines_.where("doc_id % 4 = 0").select("doc_id").distinct().select("doc_id", F.lit(999).alias("output_index"), F.lit("document[0] > fenced_code_block[/code_fence/999]").alias("address"), F.lit("x").alias("output"))
+    plan, errors = cutting.resolve_child_outputs(operations, outputs.unionByName(stray))
+    done = cutting.apply_child_outputs(lines_.join(errors.select("doc_id"), "doc_id", "left_anti"), plan)
+    return done.select("doc_id", F.md5("text").alias("digest"), F.lit(None).cast("string").alias("code")).unionByName(errors.select("doc_id", F.lit(None).cast("string").alias("digest"), "code"))
+
+
+_CHILD_SQL = f"""WITH {_FENCES}, b AS (SELECT f.doc_id, f.t, concat(CASE WHEN f.t % 3 = 0 THEN '~~~~' ELSE '```' END, CASE f.language WHEN 'YML' THEN 'YML extra' ELSE f.language END, chr(10),
+  CASE WHEN op IS NULL THEN concat('```x', chr(10), 'body ', f.t, chr(10)) WHEN op % 3 = 0 THEN '' WHEN op % 3 = 1 THEN concat('new', chr(10), 'lines', chr(10)) ELSE concat('new markdown-fence-', op, chr(10)) END, CASE WHEN f.t % 3 = 0 THEN '~~~~~' ELSE '```' END, chr(10), 'between') AS part FROM f LEFT JOIN s ON s.doc_id = f.doc_id AND s.t = f.t)
+SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN md5(string_agg(part, chr(10) ORDER BY t)) END AS digest, CASE WHEN doc_id % 4 = 0 THEN 'missing_surface' END AS code FROM b GROUP BY 1"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (sample_hash_bucket, text_blocks, jaccard_similarity, text_similarity, refined_similarity, slugify, classify_path, detect_language, blank_gaps, line_ownership, unmanaged_fingerprint, conflict_regions, freeze_blocks, markdown_sections, json_owners, json_equivalent, validate_owners, has_conflict_markers, flag_oversize, layout_gaps, apply_edits)
+    for f in (sample_hash_bucket, text_blocks, jaccard_similarity, text_similarity, refined_similarity, slugify, classify_path, detect_language, blank_gaps, line_ownership, unmanaged_fingerprint, conflict_regions, freeze_blocks, markdown_sections, json_owners, json_equivalent, validate_owners, has_conflict_markers, flag_oversize, layout_gaps, apply_edits, embedded_surfaces, apply_child_outputs)
 }
 
 SQL = {
@@ -313,4 +352,6 @@ SQL = {
     "flag_oversize": "SELECT doc_id, CASE WHEN strlen(text) > 4096 THEN 'oversize' ELSE 'pending' END AS status FROM documents",
     "layout_gaps": _GAPS_SQL,
     "apply_edits": _EDITS_SQL,
+    "embedded_surfaces": _SURFACES_SQL,
+    "apply_child_outputs": _CHILD_SQL,
 }

@@ -59,6 +59,56 @@ def fence_state(lines: DataFrame) -> DataFrame:
     return rows.withColumn("in_fence", before % 2 == 1)
 
 
+#: Info words of fenced code blocks, with the family and dialect they stand for.
+FENCE_FAMILIES = {
+    "ts": ("typescript", "typescript"), "typescript": ("typescript", "typescript"), "rust": ("rust", "rust"), "rs": ("rust", "rust"), "go": ("go", "go"), "json": ("json", "json"), "jsonc": ("json", "jsonc"),
+    "yaml": ("yaml", "yaml"), "yml": ("yaml", "yaml"), "toml": ("toml", "toml"),
+}
+
+
+def embedded_surfaces(lines: DataFrame) -> DataFrame:
+    """Fenced code blocks of lines whose info word stands for a family: doc_id, operation_id, address, path, language, family,
+    dialect, start_line and end_line of the fence (end_line null where nothing closes it).
+
+    Blocks are numbered from 0 among all of a document, operations among those with a family. Only fence lines reach the windows."""
+    marks = fence_state(lines).where("is_fence")
+    w = Window.partitionBy("doc_id").orderBy("line")
+    opened = marks.withColumn("end_line", F.lead("line").over(w)).where("NOT in_fence").withColumn("block", F.row_number().over(w) - 1)
+    word = F.lower(F.regexp_extract("text", r"^ {0,3}(?:`+|~+)[ \t]*([^ \t\r]*)", 1))
+    table = F.create_map(*[x for k, (f, d) in FENCE_FAMILIES.items() for x in (F.lit(k), F.struct(F.lit(f).alias("family"), F.lit(d).alias("dialect")))])
+    found = opened.withColumn("kind", table[word]).where("kind IS NOT NULL")
+    path = F.concat(F.lit("/code_fence/"), "block")
+    number = (F.row_number().over(w) - 1).cast("string")
+    language = F.regexp_extract("text", r"^ {0,3}(?:`+|~+)[ \t]*([^ \t\r]*)", 1)
+    return found.select("doc_id", F.concat(F.lit("markdown-fence-"), number).alias("operation_id"), F.concat(F.lit("document[0] > fenced_code_block["), path, F.lit("]")).alias("address"), path.alias("path"), language.alias("language"), "kind.family", "kind.dialect", F.col("line").alias("start_line"), "end_line")
+
+
+def resolve_child_outputs(operations: DataFrame, outputs: DataFrame, prefix: str = "request", default_family: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(plan, errors): outputs (doc_id, output_index, address, output) meet operations (doc_id, operation_id, address, family, ...) by
+    address. A document with an output of an unknown address has one error, that of the first, and no plan."""
+    known = operations.select("doc_id", "address")
+    missing = outputs.join(known, ["doc_id", "address"], "left_anti").groupBy("doc_id").agg(F.min_by("address", "output_index").alias("address"))
+    good = outputs.join(missing.select("doc_id"), "doc_id", "left_anti").join(operations, ["doc_id", "address"])
+    request = F.concat(F.lit(f"{prefix}:"), F.col("output_index").cast("string"))
+    plan = good.select("doc_id", request.alias("request_id"), "operation_id", "address", F.coalesce("family", F.lit(default_family)).alias("family"), "start_line", "end_line", "output")
+    return plan, missing.select("doc_id", "address", F.lit("missing_surface").alias("code"))
+
+
+def apply_child_outputs(lines: DataFrame, plan: DataFrame) -> DataFrame:
+    """doc_id and text: lines of documents with the bodies of planned fences replaced by their outputs, each ended by a line break
+    of the body's kind unless it is empty or has its own. Where a fence has several outputs, the last request counts."""
+    spans = plan.groupBy("doc_id", "start_line").agg(F.max_by("end_line", "request_id").alias("end_line"), F.max_by("output", "request_id").alias("output"))
+    owners = spans.select("doc_id", F.col("start_line").cast("string").alias("owner_id"), (F.col("start_line") + 1).alias("start_line"), (F.coalesce("end_line", F.lit(2147483647)) - 1).alias("end_line"))
+    rows = _with_owner(lines, owners)
+    crlf = rows.where("owner_id IS NOT NULL").groupBy("doc_id", F.col("owner_id").cast("int").alias("start_line")).agg(F.bool_or(F.endswith("text", F.lit("\r"))).alias("crlf"))
+    body = F.when((F.col("output") == "") | F.endswith("output", F.lit("\n")) | F.endswith("output", F.lit("\r")), F.col("output")).otherwise(F.concat("output", F.when(F.col("crlf"), F.lit("\r\n")).otherwise(F.lit("\n"))))
+    put = spans.join(crlf, ["doc_id", "start_line"], "left").withColumn("body", body)
+    # A body stands behind its opening line; the break after its last line is its own.
+    put = put.where("body <> ''").select("doc_id", F.col("start_line").alias("line"), F.lit(1).alias("k"), F.regexp_replace("body", r"\n\z", "").alias("text"))
+    kept = rows.where("owner_id IS NULL").select("doc_id", "line", F.lit(0).alias("k"), "text")
+    return kept.unionByName(put).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "k", "text"))), lambda x: x.text), "\n").alias("text"))
+
+
 def markdown_sections(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sections, rejected): doc_id, section_id, level, title, start_line, end_line, text; and doc_id, reason.
 

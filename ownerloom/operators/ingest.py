@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ownerloom.functions.scalars import is_rfc3339_utc
@@ -95,6 +95,36 @@ def check_lineage(assertions: DataFrame, prior: DataFrame, current: DataFrame) -
     return rows.select("scope", "assertion_id", code.alias("code"))
 
 
+def check_incorporation(records: DataFrame, evidence: DataFrame, prior: DataFrame, current: DataFrame) -> DataFrame:
+    """records (scope, decision_id, authority_ref, source_refs and subject_refs (arrays of chunk_id, ordinal), outcome, evidence_refs)
+    -> scope, decision_id, code: the first fault of empty_field, duplicate_decision, outcome, unknown_source, unknown_subject,
+    no_subject, unknown_evidence; null if all holds.
+
+    evidence: scope, evidence_ref. Sources must stand in the prior inventory, subjects in the current one (scope, chunk_id,
+    ordinal). References meet by equi-joins; a record is told apart by a number of its own, so repeated decisions stay apart."""
+    rows = records.withColumn("n", F.row_number().over(Window.partitionBy("scope", "decision_id").orderBy("authority_ref", "outcome"))).withColumn("copies", F.count("*").over(Window.partitionBy("scope", "decision_id")))
+    key = ["scope", "decision_id", "n"]
+
+    def unknown(refs: str, known: DataFrame, columns: list[str], name: str) -> DataFrame:
+        given = rows.select(*key, F.explode(refs).alias("ref"))
+        given = given.select(*key, *([F.col(f"ref.{c}").alias(c) for c in columns] if len(columns) > 1 else [F.col("ref").alias(columns[0])]))
+        there = known.select("scope", *columns).distinct().withColumn("there", F.lit(True))
+        return given.join(there, ["scope", *columns], "left").groupBy(*key).agg(F.bool_or(F.col("there").isNull()).alias(name))
+
+    out = rows
+    for found in (unknown("source_refs", prior, ["chunk_id", "ordinal"], "bad_source"), unknown("subject_refs", current, ["chunk_id", "ordinal"], "bad_subject"), unknown("evidence_refs", evidence, ["evidence_ref"], "bad_evidence")):
+        left, right = out.alias("l"), found.alias("r")
+        same = F.col("l.scope").eqNullSafe(F.col("r.scope")) & F.col("l.decision_id").eqNullSafe(F.col("r.decision_id")) & (F.col("l.n") == F.col("r.n"))
+        out = left.join(right, same, "left").select("l.*", f"r.{found.columns[-1]}")
+    empty = (F.coalesce("decision_id", F.lit("")) == "") | (F.coalesce("authority_ref", F.lit("")) == "")
+    code = (
+        F.when(empty, "empty_field").when(F.col("copies") > 1, "duplicate_decision").when(~F.coalesce(F.col("outcome").isin("accepted", "rejected", "edited", "ignored", "unknown"), F.lit(False)), "outcome")
+        .when(F.col("bad_source"), "unknown_source").when(F.col("bad_subject"), "unknown_subject").when(F.col("outcome").isin("accepted", "rejected", "edited") & (F.coalesce(F.size("subject_refs"), F.lit(0)) <= 0), "no_subject")
+        .when(F.col("bad_evidence"), "unknown_evidence")
+    )
+    return out.select("scope", "decision_id", code.alias("code"))
+
+
 def authorize_deletions(requests: DataFrame, authorities: DataFrame, removed: DataFrame, prior: DataFrame) -> DataFrame:
     """requests (producer_id, scope, mode, authority_ref, scan_complete) -> tombstones: scope, chunk_id, authority_ref.
 
