@@ -152,6 +152,22 @@ def render_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.render_conflicts(merging.three_way_classify(owners(spark, sf_dir)))
 
 
+def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = owners(spark, sf_dir)
+    return merging.merged_segments(rows, merging.three_way_classify(rows))
+
+
+def render_conflict_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, and how many regions are found in them again."""
+    from ownerloom.operators import cutting
+
+    rows = owners(spark, sf_dir)
+    docs = merging.render_conflict_documents(rows, merging.three_way_classify(rows))
+    lines = cutting.doc_lines(docs.select(F.col("case_id").alias("doc_id"), F.col("output").alias("text")))
+    found = cutting.conflict_regions(lines)[0].groupBy(F.col("doc_id").alias("case_id")).agg(F.count("*").alias("n_found"))
+    return docs.join(found, "case_id", "left").select("case_id", F.md5("output").alias("digest"), "n_conflicts", "n_found")
+
+
 def sequence_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Theirs against base; in theirs, orders with numbers divisible by 5 come first and backwards."""
     theirs = revision(spark, sf_dir, "theirs").withColumn("pos", F.when(F.col("owner_id") % 5 == 0, -F.col("pos")).otherwise(F.col("pos")))
@@ -186,7 +202,7 @@ UNION ALL SELECT case_id, 'order', NULL, NULL FROM l WHERE o <> t AND o <> list_
 
 QUERIES = {
     f.__name__: f
-    for f in (three_way_classify, decision_summary, whole_source, merge_preconditions, owner_diff, directional_classify, owner_union, match_by_path, merge_comment_delta, merge_keyed_members, union_commutative_children, sequence_changes, sequence_conflicts, merge_archive_entries, structural_matches, merge_order, merge_owner_order, render_merged, render_conflicts)
+    for f in (three_way_classify, decision_summary, whole_source, merge_preconditions, owner_diff, directional_classify, owner_union, match_by_path, merge_comment_delta, merge_keyed_members, union_commutative_children, sequence_changes, sequence_conflicts, merge_archive_entries, structural_matches, merge_order, merge_owner_order, render_merged, merged_segments, render_conflicts, render_conflict_documents)
 }
 
 _SELECTED = "CASE decision WHEN 'select_ours' THEN 'ours' WHEN 'select_theirs' THEN 'theirs' END"
@@ -215,6 +231,11 @@ m AS (SELECT b.case_id, b.owner_id, b.pos AS base_pos, t.pos AS side_pos, b.text
 n AS (SELECT *, lag(base_pos) OVER wb IS DISTINCT FROM lag(base_pos) OVER ws OR lead(base_pos) OVER wb IS DISTINCT FROM lead(base_pos) OVER ws AS moved FROM m WINDOW wb AS (PARTITION BY case_id ORDER BY base_pos), ws AS (PARTITION BY case_id ORDER BY side_pos))
 SELECT case_id, owner_id, 'modify' AS kind, base_pos, side_pos FROM n WHERE changed UNION ALL SELECT case_id, owner_id, 'move', base_pos, side_pos FROM n WHERE moved
 UNION ALL SELECT case_id, owner_id, 'delete', pos, NULL FROM b ANTI JOIN m USING (case_id, owner_id) UNION ALL SELECT case_id, owner_id, 'insert', NULL, pos FROM t ANTI JOIN m USING (case_id, owner_id)""",
+    "merged_segments": f"""{_BY_OWNER}, c AS (SELECT case_id, owner_id, CASE decision WHEN 'select_ours' THEN 'ours' ELSE 'theirs' END AS revision, CASE decision WHEN 'select_ours' THEN ot ELSE tt END AS x, op, tp FROM d WHERE decision LIKE 'select%' AND case_id NOT IN (SELECT case_id FROM d WHERE decision LIKE 'conflict%')),
+s AS (SELECT *, CAST(sum(strlen(x) + 1) OVER (PARTITION BY case_id ORDER BY op IS NULL, coalesce(op, tp)) AS BIGINT) AS e FROM c) SELECT case_id, owner_id AS segment_id, revision, e - strlen(x) - 1 AS out_start, e - 1 AS out_end, sha256(x) AS sha256 FROM s""",
+    "render_conflict_documents": f"""{_BY_OWNER}, k AS (SELECT *, decision LIKE 'conflict%' AS hit FROM d), p AS (SELECT case_id, hit, CASE WHEN op IS NOT NULL THEN 0 WHEN tp IS NOT NULL THEN 1 ELSE 2 END AS side, coalesce(op, tp, bp) AS pos,
+  CASE WHEN hit THEN '<<<<<<< ours' || chr(10) || coalesce(ot || chr(10), '') || '||||||| base' || chr(10) || coalesce(bt || chr(10), '') || '=======' || chr(10) || coalesce(tt || chr(10), '') || '>>>>>>> theirs' ELSE ot END AS x FROM k WHERE op IS NOT NULL OR hit)
+SELECT case_id, md5(string_agg(x, chr(10) ORDER BY side, pos) || chr(10)) AS digest, count(*) FILTER (hit) AS n_conflicts, count(*) FILTER (hit) AS n_found FROM p GROUP BY 1 HAVING bool_or(hit)""",
     "sequence_conflicts": _ORDER_SQL,
     "merge_owner_order": _OWNER_ORDER_SQL,
     "merge_comment_delta": _COMMENT_SQL,

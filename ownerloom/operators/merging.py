@@ -395,6 +395,32 @@ def render_merged(owners: DataFrame, decisions: DataFrame, separator: str = "\n"
     return rows.groupBy("case_id").agg(F.sort_array(F.collect_list(at)).alias("parts")).select("case_id", F.array_join(F.transform("parts", lambda p: p.text), separator).alias("output"), F.size("parts").cast("long").alias("n_owners"))
 
 
+def merged_segments(owners: DataFrame, decisions: DataFrame, separator: str = "\n") -> DataFrame:
+    """Evidence for render_merged(): case_id, segment_id (the owner), revision it was taken from, out_start and out_end (bytes
+    of the output) and sha256, in cases without conflicts. Separators lie between segments. A case's places are running sums
+    over a window of the case; no text is gathered."""
+    bad = decisions.where(F.startswith("decision", F.lit("conflict"))).select("case_id").distinct()
+    chosen = decisions.where("selected IS NOT NULL").join(bad, "case_id", "left_anti")
+    rows = chosen.join(owners.select("case_id", "owner_id", F.col("role").alias("selected"), "text"), ["case_id", "owner_id", "selected"])
+    w = Window.partitionBy("case_id").orderBy(F.col("ours_pos").isNull(), F.coalesce("ours_pos", "theirs_pos")).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.octet_length("text").cast("long")
+    start = F.coalesce(F.sum(size + len(separator.encode())).over(w), F.lit(0))
+    return rows.select("case_id", F.col("owner_id").alias("segment_id"), F.col("selected").alias("revision"), start.alias("out_start"), (start + size).alias("out_end"), F.sha2("text", 256).alias("sha256"))
+
+
+def render_conflict_documents(owners: DataFrame, decisions: DataFrame, marker_size: int = 7, labels: tuple[str, str, str] = ("ours", "base", "theirs")) -> DataFrame:
+    """case_id, output, n_conflicts of cases with conflicts: ours' owners in their order, each conflicting one in its block;
+    blocks that ours has no owner for stand at the end, in theirs' order, then base's. One document is one row, as in the input."""
+    blocks = render_conflicts(decisions, marker_size, labels).withColumn("block", F.regexp_replace("block", r"\n\z", ""))
+    hit = blocks.select("case_id").distinct()
+    ours = owners.where("role = 'ours'").join(hit, "case_id", "left_semi").select("case_id", "owner_id", "pos", "text")
+    laid = ours.join(blocks, ["case_id", "owner_id"], "left").select("case_id", F.lit(0).alias("side"), F.col("pos").cast("long").alias("pos"), F.coalesce("block", "text").alias("text"), F.col("block").isNotNull().alias("is_block"))
+    absent = decisions.where("ours_pos IS NULL").select("case_id", "owner_id", F.when(F.col("theirs_pos").isNotNull(), 1).otherwise(2).alias("side"), F.coalesce("theirs_pos", "base_pos").cast("long").alias("pos"))
+    added = blocks.join(absent, ["case_id", "owner_id"]).select("case_id", "side", "pos", F.col("block").alias("text"), F.lit(True).alias("is_block"))
+    rows = laid.unionByName(added).groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("side", "pos", "text"))).alias("parts"), F.count_if("is_block").alias("n_conflicts"))
+    return rows.select("case_id", F.concat(F.array_join(F.transform("parts", lambda p: p.text), "\n"), F.lit("\n")).alias("output"), "n_conflicts")
+
+
 def render_conflicts(decisions: DataFrame, marker_size: int = 7, labels: tuple[str, str, str] = ("ours", "base", "theirs")) -> DataFrame:
     """case_id, owner_id, block: each conflicting owner between the four markers; an absent side is empty."""
     region = lambda r: F.coalesce(F.filter("alternatives", lambda a: a.revision == r)[0].region, F.lit(""))

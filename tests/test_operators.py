@@ -178,6 +178,25 @@ def test_rendered_conflicts_are_found_again(spark):
         assert good.count() == 1 and not bad.count()
 
 
+def test_segments_of_a_merge_verify(spark):
+    o = _owners(spark, dict(a="1", b="zwei", c="3"), dict(b="zwei", a="ä9", c="3"), dict(a="1", b="zwei", d="neu"))
+    d = merging.three_way_classify(o)
+    output = merging.render_merged(o, d).first()["output"].encode()
+    found = merging.merged_segments(o, d).orderBy("out_start").collect()
+    assert [(r["segment_id"], r["revision"]) for r in found] == [("b", "ours"), ("a", "ours"), ("d", "theirs")]
+    assert all(hashlib.sha256(output[r["out_start"] : r["out_end"]]).hexdigest() == r["sha256"] for r in found)
+    # With the separators given to the segments before them, they cover the output.
+    rows = [(1, r["segment_id"], bytearray(output), r["out_start"], min(r["out_end"] + 1, len(output))) for r in found]
+    frame = spark.createDataFrame([(c, s, t, a, b, t, a, b, hashlib.sha256(t[a:b]).hexdigest()) for c, s, t, a, b in rows], "case_id int, segment_id string, src binary, src_start long, src_end long, out binary, out_start long, out_end long, sha256 string")
+    assert merging.verify_byte_segments(frame).first()["error"] is None
+
+
+def test_conflicts_laid_into_ours(spark):
+    o = _owners(spark, dict(a="1", b="1", c="1"), dict(c="1", a="2"), dict(a="3", b="2", c="1", e="5"))
+    row = merging.render_conflict_documents(o, merging.three_way_classify(o)).first()
+    assert row["n_conflicts"] == 2 and row["output"] == "1\n<<<<<<< ours\n2\n||||||| base\n1\n=======\n3\n>>>>>>> theirs\n<<<<<<< ours\n||||||| base\n1\n=======\n2\n>>>>>>> theirs\n"
+
+
 def test_identities(spark):
     node = "case_id int, pos int, primary array<string>, aliases array<array<string>>"
     t = spark.createDataFrame([(1, 0, ["f"], [["g"]]), (1, 1, ["g"], []), (1, 2, ["h"], [["old"]])], node)
