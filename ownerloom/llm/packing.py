@@ -24,7 +24,6 @@ import bisect
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -225,17 +224,21 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1
     bases = counts.select("task", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     bases = bases.repartition(buckets, "task").groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("slot", "base"))).alias("base"))
 
-    @F.pandas_udf("array<struct<start:long,length:long,sequence_id:long,offset:long>>")
-    def places(tails: pd.Series, ranks: pd.Series) -> pd.Series:
+    kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "length", "sequence_id", "offset")]))
+
+    def find(tails: pa.Array, ranks: pa.Array) -> pa.Array:
         out = []
-        for tail, rank in zip(tails.tolist(), ranks.tolist(), strict=True):
+        for tail, rank in zip(tails.to_pylist(), ranks.to_pylist(), strict=True):
             if not tail:
                 out.append([])
                 continue
             breaks, ranges = table[tail]
             found = ranges[int(np.searchsorted(breaks, rank, "right")) - 1]
             out.append([{"start": p[1], "length": p[2], "sequence_id": n_full + p[3] + rank - p[0], "offset": p[4]} for p in found])
-        return pd.Series(out)
+        return pa.array(out, kind)
+
+    find.__annotations__ = {"tails": pa.Array, "ranks": pa.Array, "return": pa.Array}
+    places = F.arrow_udf(find, "array<struct<start:long,length:long,sequence_id:long,offset:long>>")
 
     # A task's sums are wide; each row takes its two numbers from them before it waits for Python.
     tail = F.expr(f"cast(n_tokens % {window} as int)")
