@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ownerloom.llm.compaction import OP10_SQL, op10_compaction
+from ownerloom.llm.curriculum import OP12_SQL, op12_curriculum
 from ownerloom.llm.decontaminate import op4_decontamination
 from ownerloom.llm.langid import op8_language
+from ownerloom.llm.lexical import OP13_SQL, op13_ranked_search
 from ownerloom.llm.packing import op7_packing
 from ownerloom.llm.quality import op2_quality
 from ownerloom.llm.rules import OP6_SQL, op6_quality_rules
@@ -16,6 +18,7 @@ from ownerloom.llm.simhash import op3_simhash
 from ownerloom.llm.sstable import op9_sorted_tables
 from ownerloom.llm.urls import op1_url_filter
 from ownerloom.llm.warc import OP5_SQL, op5_warc_records
+from ownerloom.llm.whitening import op11_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,8 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_sorted_tables": op9_sorted_tables,
         "op10_compaction": op10_compaction,
+        "op11_whitening": op11_whitening,
+        "op12_curriculum": op12_curriculum,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_records": OP5_SQL, "op6_quality_rules": OP6_SQL, "op10_compaction": OP10_SQL}
+    return {"op5_warc_records": OP5_SQL, "op6_quality_rules": OP6_SQL, "op10_compaction": OP10_SQL, "op12_curriculum": OP12_SQL, "op13_ranked_search": OP13_SQL}
