@@ -113,7 +113,7 @@ def curriculum(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_passe
     named = targets.withColumnRenamed("source", "source_of")
     mixed = placed.join(named, F.col("source").eqNullSafe(F.col("source_of"))).drop("source_of")
     demand = F.floor(F.col("target") + 0.5)
-    start = F.col("begin") + F.col("pass") * F.col("source_size")
+    start = F.col("begin") + F.coalesce(F.col("pass"), F.lit(0)) * F.col("source_size")
     passes = F.array(*[F.struct(F.lit(k).alias("pass")) for k in range(most_passes)])
     words = lambda p: F.greatest(F.lit(0), F.least(F.col("size"), demand - F.col("begin") - p["pass"] * F.col("source_size")))
     taken = F.filter(passes, lambda p: words(p) > 0)
@@ -123,7 +123,7 @@ def curriculum(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_passe
     for k, schedule in enumerate(schedules):
         position = F.when(F.col("turn") % len(schedules) == k, due_time(share, schedule)).otherwise(position)
     each = each.withColumn("position", F.when(F.col("pass").isNotNull(), position))
-    ordered = running_totals(each, [F.col("position").asc_nulls_last(), F.col("turn"), F.col("start")], {"words": "first_word"})
+    ordered = running_totals(each, [F.col("position").asc_nulls_last(), F.col("turn"), F.col("start"), F.col("row")], {"words": "first_word"})
     first_word = F.when(F.col("pass").isNotNull(), F.col("first_word"))
     return ordered.select("row", "doc_id", "source", "size", "source_size", "target", "pass", "words", "position", first_word.alias("first_word"))
 
