@@ -1,11 +1,11 @@
 """WARC archives through a chunked record table.
 
 At the scan a payload is cut into rows (record id, chunk number, bytes, the SHA-256 of the payload up to and
-with them), which are written as a table bucketed by task. Equal payloads are found by ids and
-digests alone: the record with the smallest id is the response, the others are revisit records that name it. What
-a task's records refer to is one row for each task and meets its chunks where they lie, so payloads
-are not shuffled. The writer gets a record's chunks one after the other and never holds a whole
-payload, and the reader gives them back the same way.
+with them), which are written as a table: every task has its file, in which a record's chunks stand one after the other.
+Equal payloads are found by ids and digests alone: the record with the smallest id is the response, the others are
+revisit records that name it. What a file's records refer to is one row for each file, and the task that gets this
+row reads the file from the shared folder a few chunks at a time and writes the archive; so payloads are not shuffled, no plan can
+part a record's chunks, and no whole payload is held. The reader gives chunks back the same way.
 
 File: one gzip member a record, WARC/1.1, in the shared folder. A file counts once Spark has
 committed its manifest row, so a task that is run again leaves a stray file that nobody reads.
@@ -21,12 +21,13 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ownerloom.llm._common import file_system, materialize_by, scratch, small_batches
+from ownerloom.llm._common import discard, file_system, materialize, scratch, setting, small_batches
 
 #: Bytes of a payload in one row.
 CHUNK_BYTES = 1 << 20
@@ -43,22 +44,21 @@ _DATE = "2026-01-01T00:00:00Z"
 
 
 _CUT = pa.schema(
-    [("record_id", pa.int64()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("digest_so_far", pa.string()), ("chunk", pa.int32()), ("last", pa.bool_()), ("data", pa.binary()), ("task", pa.int64()), ("row", pa.int64())]
+    [("record_id", pa.int64()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("digest_so_far", pa.string()), ("chunk", pa.int32()), ("last", pa.bool_()), ("data", pa.binary()), ("row", pa.int64())]
 )
-_CUT_DDL = "record_id long, uri string, payload_bytes long, digest string, digest_so_far string, chunk int, last boolean, data binary, task long, row long"
-#: Buckets of the chunk table for each task that cuts; bucket numbers are hashes of task numbers.
-BUCKETS_A_TASK, MOST_BUCKETS = 4, 100_000
+_CUT_DDL = "record_id long, uri string, payload_bytes long, digest string, digest_so_far string, chunk int, last boolean, data binary, row long"
+#: Chunks that a writer reads at a time.
+READ_CHUNKS = 8
+#: Tasks of the writer for each core; a file is written by one task.
+FILES_A_CORE = 4
 
 
 def cut_payloads(pages: DataFrame, id_column: str = "page_id", payload_column: str = "html", uri_column: str = "url", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Chunk rows of all payloads, a record's one after the other: record_id, uri, payload_bytes, digest (of the payload),
-    digest_so_far, chunk, last, data; task and row (within the task) name the record. In place over the scan."""
+    digest_so_far, chunk, last, data; row (within the task) names the record. In place over the scan."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, row = TaskContext.get().partitionId(), 0
-        rows, held = [], 0
+        row, rows, held = 0, [], 0
         for batch in batches:
             for record_id, uri, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 view = memoryview(payload.as_buffer() or b"")
@@ -69,7 +69,7 @@ def cut_payloads(pages: DataFrame, id_column: str = "page_id", payload_column: s
                     so_far.append(total.copy())
                 digest = total.hexdigest()
                 for k, part in enumerate(parts):
-                    rows.append((record_id, uri, len(view), digest, so_far[k].hexdigest(), k, k == len(parts) - 1, bytes(part), task, row))
+                    rows.append((record_id, uri, len(view), digest, so_far[k].hexdigest(), k, k == len(parts) - 1, bytes(part), row))
                     held += len(part) + 400
                     if held >= BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CUT.types, strict=True)], schema=_CUT)
@@ -83,22 +83,20 @@ def cut_payloads(pages: DataFrame, id_column: str = "page_id", payload_column: s
 
 
 def chunk_table(pages: DataFrame, id_column: str = "page_id", payload_column: str = "html", uri_column: str = "url", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """cut_payloads() as a table, with refers_to: the smallest record id of those with an equal payload, where that is
-    another record; null too for payloads under MIN_REVISIT bytes and records without an id."""
-    given = cut_payloads(pages, id_column, payload_column, uri_column, chunk_bytes)
-    buckets = min(MOST_BUCKETS, max(1, BUCKETS_A_TASK * given.rdd.getNumPartitions()))
-    with small_batches(pages.sparkSession):
-        chunks = materialize_by(given, "warc-chunks", "task", buckets)
-    keys = chunks.where(F.col("last") & (F.col("payload_bytes") >= MIN_REVISIT) & F.col("record_id").isNotNull()).select("record_id", "digest", "task", "row")
+    """cut_payloads() as a table; each of its files holds whole records, numbered by row."""
+    spark = pages.sparkSession
+    with small_batches(spark), setting(spark, "spark.sql.files.maxRecordsPerFile", "0"):
+        return materialize(cut_payloads(pages, id_column, payload_column, uri_column, chunk_bytes), "warc-chunks")
+
+
+def first_records(chunks: DataFrame) -> DataFrame:
+    """file, refers_to: for each file of a chunk table a map from the row of a record to the smallest record id of
+    those with an equal payload, where that is another record. Payloads under MIN_REVISIT bytes and records
+    without an id refer to none; files may have no entry."""
+    keys = chunks.where(F.col("last") & (F.col("payload_bytes") >= MIN_REVISIT) & F.col("record_id").isNotNull()).select("record_id", "digest", F.input_file_name().alias("file"), "row")
     groups = keys.groupBy("digest").agg(F.min("record_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first_id")
-    # One entry for each record that repeats another, gathered by the task that has it.
     repeats = keys.join(groups, "digest").where(F.col("record_id") != F.col("first_id"))
-    repeats = repeats.repartition(buckets, "task").groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("row", "first_id"))).alias("refers"))
-    joined = chunks.join(repeats.hint("shuffle_hash"), "task", "left").withColumn("refers_to", F.expr("refers[row]"))
-    # A revisit has its first chunk only, without data.
-    revisit = F.col("refers_to").isNotNull()
-    kept = joined.where(~revisit | (F.col("chunk") == 0))
-    return kept.select("record_id", "uri", "payload_bytes", "digest", "refers_to", "chunk", (F.col("last") | revisit).alias("last"), F.when(~revisit, F.col("data")).alias("data"))
+    return repeats.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("row", "first_id"))).alias("refers_to"))
 
 
 def _header(record_id, uri, payload_bytes, digest, refers_to) -> bytes:
@@ -114,35 +112,43 @@ def _header(record_id, uri, payload_bytes, digest, refers_to) -> bytes:
 
 
 def write_archives(chunks: DataFrame, folder: str, level: int = 3) -> DataFrame:
-    """Write one archive per partition of chunk rows (a record's chunks stand together, in order); returns the manifest."""
+    """Write one archive for each file of a chunk table; returns the manifest."""
+    names = ["record_id", "uri", "payload_bytes", "digest", "row", "chunk", "last", "data"]
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
         from pyspark import TaskContext
 
-        task, stream, path, n_records, n_bytes, squeeze = TaskContext.get(), None, None, 0, 0, None
+        task, written = TaskContext.get(), 0
         for batch in batches:
-            for record_id, uri, payload_bytes, digest, refers_to, chunk, last, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if stream is None:
-                    path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
-                    fs, inner = file_system(path)
-                    fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-                    stream = fs.open_output_stream(inner, compression=None)
-                if chunk == 0:
-                    squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    n_bytes += stream.write(squeeze.compress(_header(record_id, uri, payload_bytes, digest, refers_to))) or 0
-                    n_records += 1
-                if data:
-                    stream.write(squeeze.compress(data))
-                if last:
-                    stream.write(squeeze.compress(b"\r\n\r\n") + squeeze.flush())
-        if stream is not None:
-            n_bytes = stream.tell()
-            stream.close()
-            yield pa.RecordBatch.from_pylist([{"path": path, "n_records": n_records, "n_bytes": n_bytes}], schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
-
-    columns = ["record_id", "uri", "payload_bytes", "digest", "refers_to", "chunk", "last", "data"]
-    chunks.select(*columns).mapInArrow(write, MANIFEST).write.parquet(f"{folder}/_manifest")
-    return chunks.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
+            for file, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                refers, n_records, squeeze = dict(refers or ()), 0, None
+                path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{written}.warc.gz"
+                written += 1
+                fs, inner = file_system(path)
+                fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                given, source = file_system(unquote(file))
+                with given.open_input_file(source) as handle, fs.open_output_stream(inner, compression=None) as stream:
+                    for part in pq.ParquetFile(handle, buffer_size=1 << 20, pre_buffer=False).iter_batches(READ_CHUNKS, columns=names):
+                        for record_id, uri, payload_bytes, digest, row, chunk, last, data in zip(*(part.column(c).to_pylist() for c in names), strict=True):
+                            refers_to = refers.get(row)
+                            if refers_to is not None and chunk:
+                                continue  # a revisit has no payload
+                            if chunk == 0:
+                                squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
+                                stream.write(squeeze.compress(_header(record_id, uri, payload_bytes, digest, refers_to)))
+                                n_records += 1
+                            if refers_to is None and data:
+                                stream.write(squeeze.compress(data))
+                            if last or refers_to is not None:
+                                stream.write(squeeze.compress(b"\r\n\r\n") + squeeze.flush())
+                    n_bytes = stream.tell()
+                yield pa.RecordBatch.from_pylist([{"path": path, "n_records": n_records, "n_bytes": n_bytes}], schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
+
+    spark = chunks.sparkSession
+    files = chunks.select(F.input_file_name().alias("file")).distinct().join(first_records(chunks), "file", "left")
+    files.repartition(FILES_A_CORE * spark.sparkContext.defaultParallelism).mapInArrow(write, MANIFEST).write.parquet(f"{folder}/_manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
 
 class _Members:
@@ -238,7 +244,9 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data
 def op5_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: pages to archives and back, one row a page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    manifest = write_archives(chunk_table(pages), scratch(spark, "warc"))
+    chunks = chunk_table(pages)
+    manifest = write_archives(chunks, scratch(spark, "warc"))
+    discard(chunks)  # the archives hold all of it
     records = read_archives(manifest, with_data=False).where("last")
     return records.select(F.col("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", F.col("uri").alias("target_uri"))
 

@@ -183,6 +183,30 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(warc.chunk_table(pages.limit(0)), scratch(spark, "w"))).count() == 0
 
 
+@pytest.mark.parametrize("repeats", [0, 3])
+def test_warc_records_stay_whole_in_small_splits(spark, tmp_path, repeats):
+    rng = np.random.default_rng(6)
+    bodies = ["".join(rng.choice(list("abcdefgh<> "), 120_000)) for _ in range(60)]
+    rows = [(k, f"http://h/{k}", t) for k, t in enumerate(bodies + bodies[:repeats])]
+    path = str(tmp_path / "pages")
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.option("parquet.block.size", 200_000).parquet(path)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "300000")
+        manifest = warc.write_archives(warc.chunk_table(spark.read.parquet(path), chunk_bytes=5_000), scratch(spark, "w"))
+        chunks = warc.read_archives(manifest, 50_000).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["last"] for r in chunks) == len(rows) == sum(r["n_records"] for r in manifest.collect())
+    assert sorted((r["record_id"], r["refers_to"]) for r in chunks if r["record_type"] == "revisit") == [(60 + k, k) for k in range(repeats)]
+    parts = {}
+    for r in sorted(chunks, key=lambda r: (r["record_id"], r["chunk"])):
+        parts[r["record_id"]] = parts.get(r["record_id"], b"") + r["data"]
+    assert all(parts[k].decode() == t for k, t in enumerate(bodies))
+
+
 # -- near-duplicates --------------------------------------------------------------------------
 
 
@@ -306,6 +330,25 @@ def test_short_items_as_whole_words(spark):
     assert {(r["doc_id"], r["item_id"], r["distance"]) for r in found} == {(1, 1, 0), (4, 2, 0), (5, 1, 0), (6, 1, 0)}
 
 
+def test_the_budget_alone_decides_how_items_of_any_length_are_found(spark):
+    item = "alpha beta gamma delta eps"  # 26 characters, one edit
+    rows = [(1, "x alpha beta gamma delto eps y"), (2, "x alpha beta gamma delta epsilon"), (3, "x alpha beta gamma dolto eps y"), (4, "ALPHA beta, gamma delta eps."), (5, "the cathedral"), (6, "a cat here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "cat")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found == {(1, 1): 1, (2, 1): 0, (4, 1): 0, (6, 2): 0}
+    anywhere = decontaminate.contaminated(docs, bench, exact_words=False).where("item_id = 2").collect()
+    assert sorted(r["doc_id"] for r in anywhere) == [5, 6]
+    for n in range(1, 120):
+        words = "".join(np.random.default_rng(n).choice(list("abcdefgh"), n))
+        edits = decontaminate.budget(n)
+        k = n // 2
+        changed = words[:k] + "z" * edits + words[k + edits :]
+        assert decontaminate.Matcher([(1, words)], decontaminate.EDITS_PER_100).find(f"q {changed} q")[0][1] <= edits
+        beyond = words[:k] + "z" * (edits + 1) + words[k + edits + 1 :]
+        assert not decontaminate.Matcher([(1, words)], decontaminate.EDITS_PER_100).find(f"q {beyond} q")
+
+
 def test_matcher_finds_all_random_edits():
     rng = np.random.default_rng(8)
     letters = list("abcdefgh ")
@@ -330,6 +373,29 @@ def test_matcher_finds_all_random_edits():
 # -- language, quality, urls, rules -----------------------------------------------------------
 
 
+def test_languages_are_learned_where_ids_are_null_or_repeat(spark, docs):
+    given = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
+    want = {r["lang"] for r in given.distinct().collect()}
+    for ids in ("CAST(NULL AS LONG)", "7L"):  # 7 is not held out
+        rows = given.select(F.expr(ids).alias("doc_id"), "text", "lang")
+        rows = rows.unionByName(rows).unionByName(rows.limit(1).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("k"))
+        learned = langid.training_rows(rows, per_language=20)
+        sizes = {r["lang"]: r["n"] for r in learned.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        assert set(sizes) == want and all(1 <= n <= 60 for n in sizes.values())
+        prototypes = langid.fit_prototypes(rows)
+        assert set(prototypes) == want
+        told = langid.identify(rows.limit(200), prototypes)
+        assert told.where("lang_pred = lang").count() > 0.95 * told.where(f"lang_pred <> '{langid.UNKNOWN}'").count()
+
+
+def test_quality_learns_from_a_bounded_sample_where_ids_repeat(spark):
+    texts = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("some words "), F.repeat(F.lit("and more "), F.col("id").cast("int") % 97), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(7, 1, 0)] * 50 + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.training_rows(texts, labels, bound=300)
+    assert 150 <= rows.count() <= 600
+    assert quality.training_rows(texts.limit(10), labels, bound=300).count() == 10
+
+
 def test_language(spark, docs, odd, empty):
     prototypes = langid.fit_prototypes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     rows = langid.identify(docs, prototypes).where(held_out()).select("lang", "lang_pred", "score").collect()
