@@ -11,8 +11,8 @@ documents for each block, so what a worker holds does not grow with the benchmar
 never shuffled.
 
 Cases: null and empty texts match nothing; neither do null items and items
-without a letter or digit. Items with fewer than MIN_CHARS characters after normalizing have no budget and
-must stand between word bounds (in scripts without spaces, anywhere). Repeated items report each of their ids. Null and repeated doc_ids
+without a letter or digit. An item too short for any edit must stand unchanged, by default between word bounds
+(in scripts without spaces, anywhere); its budget alone decides that. Repeated items report each of their ids. Null and repeated doc_ids
 keep their rows. Texts of any length are searched whole. An empty table gives no rows. Other columns
 are not read by contaminated() and stay as they are in remove_contaminated().
 """
@@ -30,8 +30,6 @@ from ownerloom.llm._common import fresh, materialize
 
 #: Edits allowed for each 100 characters of an item.
 EDITS_PER_100 = 5
-#: Shorter items must stand unchanged, as whole words.
-MIN_CHARS = 30
 #: Normalized characters of benchmark text in one pass.
 BLOCK_CHARS = 4_000_000
 _GAPS = re.compile(r"[\W_]+")
@@ -89,10 +87,11 @@ def myers(pattern: str, text: str, edits: int) -> tuple[int, int] | None:
 class Matcher:
     """Finds a block's items in texts; built once a task from the block."""
 
-    def __init__(self, items: list[tuple[int, str]], edits_per_100: int):
+    def __init__(self, items: list[tuple[int, str]], edits_per_100: int, exact_words: bool = True):
         import ahocorasick
 
-        self.items = [(item_id, text, budget(len(text), edits_per_100) if len(text) >= MIN_CHARS else 0) for item_id, text in items]
+        self.exact_words = exact_words
+        self.items = [(item_id, text, budget(len(text), edits_per_100)) for item_id, text in items]
         self.search = ahocorasick.Automaton()
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, edits) in enumerate(self.items):
@@ -114,8 +113,8 @@ class Matcher:
                 begin = end + 1 - length - at
                 if k in best and best[k][0] == 0:
                     continue
-                if len(item) < MIN_CHARS:
-                    if whole_words(text, begin, end + 1):
+                if not edits:
+                    if not self.exact_words or whole_words(text, begin, end + 1):
                         best[k] = (0, end + 1)
                     continue
                 lo, hi = max(0, begin - edits), min(len(text), begin + len(item) + edits)
@@ -157,9 +156,9 @@ def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> It
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, edits_per_100: int = EDITS_PER_100, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, edits_per_100: int = EDITS_PER_100, block_chars: int = BLOCK_CHARS, exact_words: bool = True) -> DataFrame:
     """doc_id, item_id, distance, end (of the match in the normalized text): one row for each document
-    and item that stands in it within the item's budget."""
+    and item that stands in it within the item's budget. exact_words: items without a budget must stand as whole words."""
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64()), ("match_end", pa.int64())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ddl = "doc_id long, item_id long, distance long, match_end long"
@@ -170,7 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits_per_100: int = EDI
         def search(batches: Iterable[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             matcher = None
             for batch in batches:
-                matcher = matcher or Matcher(told.value, edits_per_100)
+                matcher = matcher or Matcher(told.value, edits_per_100, exact_words)
                 hits = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), map(pa.StringScalar.as_py, batch.column(1)), strict=True):
                     if text:
