@@ -7,7 +7,7 @@ texts. A text goes to the prototype with the largest cosine. Words are lower-cas
 with a space on either side; other characters part words.
 
 Training texts: rows with a language whose held_out() is false, about TRAIN_PER_LANGUAGE of each
-language (chosen by a hash of the id; a bound of the fit, not of the prediction). Bundles are summed
+language (chosen by a hash of id and text, equal texts once; a bound of the fit, not of the prediction). Bundles are summed
 in Spark, and the driver gets one vector a language.
 
 Cases: null texts and texts without a letter are `und` with score 0; without any training row all
@@ -50,7 +50,7 @@ def letter_vector(code: int) -> np.ndarray:
 def _letter_table() -> np.ndarray:
     """Code point -> itself where it is a letter, else 0."""
     if not _table:
-        _table.append(np.array([c if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint32))
+        _table.append(np.fromiter((c if chr(c).isalpha() else 0 for c in range(0x110000)), np.uint32, 0x110000))
     return _table[0]
 
 
@@ -119,7 +119,7 @@ def training_rows(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Da
     share = F.lit(1.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    return rows.where(unit_hash("doc_id", seed=8) < share)
+    return rows.where(unit_hash("doc_id", "text", seed=8) < share).dropDuplicates(["lang", "text"])
 
 
 def fit_prototypes(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> dict[str, list[float]]:
