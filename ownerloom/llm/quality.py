@@ -153,14 +153,22 @@ def fit_rules(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, penal
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: int = TRAIN_ROWS) -> DataFrame:
-    """Statistics and label of about bound labelled documents that are not held out."""
+    """Statistics and label of about bound labelled documents that are not held out.
+
+    A repeated label counts once, so chosen labels are no more than the sample. Documents that repeat
+    an id would make the rows more than that: then they are thinned by a hash of id and text.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(target).cast("double").alias("label"))
-    known = known.where(F.col("label_id").isNotNull() & F.col("label").isin(0.0, 1.0) & ~held_out("label_id"))
+    known = known.where(F.col("label_id").isNotNull() & F.col("label").isin(0.0, 1.0) & ~held_out("label_id")).distinct()
     n = known.count()
     chosen = known if n <= bound else known.where(unit_hash("label_id", seed=2) < bound / n)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # The chosen labels are bounded by the sample; with more than a few repeats of an id Spark may still choose to shuffle.
-    joined = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["label_id"]).select("text", "label")
+    # The sample bounds what is broadcast.
+    joined = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["label_id"]).select("doc_id", "text", "label")
+    repeated = joined.count()
+    if repeated > 2 * bound:
+        joined = joined.where(unit_hash("doc_id", "text", seed=3) < bound / repeated)
+    joined = joined.select("text", "label")
     # Joined and measured in as many tasks as the texts have; the bounded rows that are left go to few files.
     return materialize(statistics(joined).select("stats", "label").repartition(FIT_PARTITIONS), "quality-train")
 
