@@ -19,7 +19,7 @@ import numpy as np
 
 #: A worker keeps the ids of about so many words and as many again that it met before those (memory bound, not a
 #: limit of results; one text's words come on top).
-WORDS_KEPT = 40_000
+WORDS_KEPT = 120_000
 
 #: Unicode's white space, on which both vocabularies split (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
