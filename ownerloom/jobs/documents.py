@@ -42,7 +42,8 @@ whole AS (SELECT q.e, side, concat('{{"a":', CASE side WHEN 'ours' THEN a_o ELSE
 s AS (SELECT m.*, CASE WHEN b IS NOT NULL AND o IS NOT NULL AND t IS NOT NULL THEN CASE WHEN o = t OR t = b THEN 'ours' WHEN o = b THEN 'theirs' WHEN n = 4 THEN 'atomic_array_edit' WHEN n = 3 THEN 'recurse' ELSE 'modify_modify' END
   WHEN o IS NULL AND t IS NULL THEN 'gone' WHEN b IS NULL THEN CASE WHEN t IS NULL THEN 'ours' WHEN o IS NULL THEN 'theirs' WHEN o = t THEN 'ours' ELSE 'ambiguous_owner_change' END
   WHEN o IS NULL THEN CASE WHEN b = t THEN 'gone' ELSE 'ambiguous_owner_change' END WHEN b = o THEN 'delete_requires_owner_edit' ELSE 'ambiguous_owner_change' END AS step FROM m JOIN q USING (e) WHERE side IS NULL),
-r AS (SELECT e, path, b, o, t, step FROM s WHERE step NOT IN ('gone', 'recurse') UNION ALL SELECT e, '/c/d', cb, co, ct, 'modify_modify' FROM s JOIN v USING (e) WHERE step = 'recurse' UNION ALL SELECT e, '/c/s', '0', '0', '0', 'ours' FROM s WHERE step = 'recurse'),
+r AS (SELECT e, path, b, o, t, step FROM s WHERE step NOT IN ('gone', 'recurse', 'atomic_array_edit')
+  UNION ALL SELECT e, '/l/0', '1', CASE WHEN k <> '2' THEN '2' END, CASE WHEN k <> '3' THEN '3' END, CASE WHEN k IN ('2', '3') THEN 'delete_modify' ELSE 'modify_modify' END FROM s JOIN ev USING (e) WHERE step = 'atomic_array_edit' UNION ALL SELECT e, '/c/d', cb, co, ct, 'modify_modify' FROM s JOIN v USING (e) WHERE step = 'recurse' UNION ALL SELECT e, '/c/s', '0', '0', '0', 'ours' FROM s WHERE step = 'recurse'),
 j AS (SELECT *, concat('{{', concat_ws(',', '"base":"' || b || '"', '"ours":"' || o || '"', '"theirs":"' || t || '"'), '}}') AS three FROM r)
 SELECT e AS doc_id, path, CASE WHEN step IN ('ours', 'theirs') THEN 'resolved' ELSE 'conflict' END AS kind, CASE WHEN step IN ('ours', 'theirs') THEN step END AS source, CASE WHEN step NOT IN ('ours', 'theirs') THEN step END AS category, md5(CASE step WHEN 'ours' THEN o WHEN 'theirs' THEN t ELSE three END) AS digest FROM j
 UNION ALL SELECT e, '', 'resolved', side, NULL, md5(value) FROM whole UNION ALL SELECT e, '', 'parse_error', NULL, NULL, NULL FROM ev WHERE e % 500 = 0"""
@@ -72,6 +73,52 @@ SELECT e AS doc_id, '/a' AS path, 'resolved' AS kind, 'destination' AS source, a
 UNION ALL SELECT e, '/b~1', 'resolved', CASE WHEN b_o IS NULL THEN 'template' ELSE 'destination' END, coalesce(b_o, b_t) FROM v WHERE b_o IS NOT NULL OR b_t IS NOT NULL UNION ALL SELECT e, '', 'parse_error', NULL, NULL FROM ev WHERE e % 500 = 0"""
 
 
+#: Elements of three revisions of a conversation's array: which turns each has, their text and place, in SQL that Spark and DuckDB both run.
+_ELEMENTS = {
+    "b": ("k % 7 <> 5", "x", "k"),
+    "o": ("NOT (k % 4 = 2 AND c % 5 = 0) AND (k % 7 <> 5 OR c % 3 = 1)", "CASE WHEN k % 3 = 0 AND c % 2 = 0 THEN concat(x, 'o') ELSE x END", "CASE WHEN c % 9 = 0 THEN -k ELSE k END"),
+    "t": ("NOT (k % 5 = 3 AND c % 4 = 0) AND (k % 7 <> 5 OR c % 3 <> 0)", "CASE WHEN k % 4 = 0 AND c % 2 = 0 OR k % 7 = 5 AND c % 2 = 1 THEN concat(x, 't') ELSE x END", "CASE WHEN c % 9 = 0 AND c % 2 = 0 THEN -k WHEN c % 9 = 0 AND k % 2 = 1 THEN k + 1000 ELSE k END"),
+}
+_ELEMENT = """concat('{"id":', k, ',"t":"', y, '"}')"""
+
+
+def json_array_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as arrays of objects with an id: what two tips of an array can not both have."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("c"), F.col("turn").alias("k"), F.md5("text").alias("x"))
+    whole = None
+    for side, (keep, text, place) in _ELEMENTS.items():
+        rows = turns.where(keep).select("c", F.expr(place).alias("place"), "k", F.expr(text).alias("y")).withColumn("e", F.expr(_ELEMENT))
+        texts = rows.groupBy("c").agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "e"))), lambda r: r.e), ","), F.lit("]")).alias(side))
+        whole = texts if whole is None else whole.join(texts, "c")
+    out = documents.array_conflicts(whole.select(F.col("c").alias("doc_id"), F.lit("/turns").alias("path"), "b", "o", "t"))
+    return out.select("doc_id", F.col("base_index").cast("long").alias("base_index"), "category", *[F.md5(s).alias(s) for s in ("b", "o", "t")])
+
+
+def _side_sql(side: str) -> str:
+    keep, text, place = _ELEMENTS[side]
+    return f"{side} AS (SELECT c, k, {_ELEMENT} AS e, row_number() OVER (PARTITION BY c ORDER BY place) - 1 AS i FROM (SELECT c, k, {text} AS y, {place} AS place FROM v WHERE {keep}))"
+
+
+def _aligned_sql(side: str) -> str:
+    """Base elements with those of a side: by id, and what is left by place."""
+    return f"""{side}1 AS (SELECT b.c, b.i AS bi, {side}.i AS si, {side}.e FROM b JOIN {side} ON {side}.c = b.c AND {side}.k = b.k),
+{side}2 AS (SELECT * FROM {side}1 UNION ALL SELECT b.c, b.i, {side}.i, {side}.e FROM b JOIN {side} ON {side}.c = b.c AND {side}.i = b.i WHERE NOT EXISTS (SELECT 1 FROM {side}1 m WHERE m.c = b.c AND m.bi = b.i) AND NOT EXISTS (SELECT 1 FROM {side}1 m WHERE m.c = b.c AND m.si = b.i)),
+{side}3 AS (SELECT * FROM {side} WHERE NOT EXISTS (SELECT 1 FROM {side}2 m WHERE m.c = {side}.c AND m.si = {side}.i))"""
+
+
+_ARRAYS_SQL = f"""WITH v AS (SELECT conv_id AS c, turn AS k, md5(text) AS x FROM conversations), {_side_sql("b")}, {_side_sql("o")}, {_side_sql("t")}, {_aligned_sql("o")}, {_aligned_sql("t")},
+has AS (SELECT c FROM b INTERSECT SELECT c FROM o INTERSECT SELECT c FROM t),
+n1 AS (SELECT o3.c, o3.i AS oi, t3.i AS ti, o3.e AS oe, t3.e AS te FROM o3 JOIN t3 ON o3.c = t3.c AND o3.k = t3.k),
+n2 AS (SELECT * FROM n1 UNION ALL SELECT o3.c, o3.i, t3.i, o3.e, t3.e FROM o3 JOIN t3 ON o3.c = t3.c AND o3.i = t3.i WHERE NOT EXISTS (SELECT 1 FROM n1 WHERE n1.c = o3.c AND n1.oi = o3.i) AND NOT EXISTS (SELECT 1 FROM n1 WHERE n1.c = t3.c AND n1.ti = t3.i)),
+rows AS (SELECT b.c, b.i, b.e AS b, o2.e AS o, t2.e AS t FROM b LEFT JOIN o2 ON o2.c = b.c AND o2.bi = b.i LEFT JOIN t2 ON t2.c = b.c AND t2.bi = b.i),
+content AS (SELECT c, i, CASE WHEN (o IS NULL AND t <> b) OR (t IS NULL AND o <> b) THEN 'delete_modify' WHEN o <> b AND t <> b AND o <> t THEN 'modify_modify' END AS category, b, o, t FROM rows),
+orders AS (SELECT c, list(bi ORDER BY si) AS l FROM o2 GROUP BY c), others AS (SELECT c, list(bi ORDER BY si) AS l FROM t2 GROUP BY c),
+whole AS (SELECT c, (SELECT '[' || string_agg(e, ',' ORDER BY i) || ']' FROM b WHERE b.c = h.c) AS b, (SELECT '[' || string_agg(e, ',' ORDER BY i) || ']' FROM o WHERE o.c = h.c) AS o, (SELECT '[' || string_agg(e, ',' ORDER BY i) || ']' FROM t WHERE t.c = h.c) AS t FROM has h),
+found AS (SELECT * FROM content WHERE category IS NOT NULL UNION ALL SELECT c, NULL, 'duplicate_insertion', NULL, oe, te FROM n2 WHERE oe <> te
+  UNION ALL SELECT c, NULL, 'order', b, o, t FROM orders p JOIN others q USING (c) JOIN whole USING (c) WHERE p.l <> q.l AND p.l <> list_sort(p.l) AND q.l <> list_sort(q.l))
+SELECT c AS doc_id, CAST(i AS BIGINT) AS base_index, category, md5(b) AS b, md5(o) AS o, md5(t) AS t FROM found JOIN has USING (c)"""
+
+
 def _block_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Blocks of every document; the destination has them turned around, some edited and some gone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\.\n", ".\n\n").alias("text"))
@@ -132,5 +179,5 @@ w AS (SELECT *, CASE WHEN nb = 0 OR no = 0 OR nt = 0 THEN 'missing' WHEN os = ts
 SELECT c AS case_id, CASE WHEN why IN ('order', 'section') THEN 'conflict' ELSE 'clean' END AS outcome, why, CASE why WHEN 'whole_source_ours' THEN md5(ot) WHEN 'whole_source_theirs' THEN md5(tt) WHEN 'merged' THEN md5(merged) END AS digest FROM w"""
 
 
-QUERIES = {f.__name__: f for f in (merge_json_three_way, merge_json_documents, merge_mapping_two_way, match_text, match_text_exact, merge_text, merge_markdown_three_way)}
-SQL = {"merge_json_three_way": _THREE_SQL, "merge_json_documents": _DOCUMENTS_SQL, "merge_mapping_two_way": _TWO_SQL, "match_text_exact": _EXACT_SQL, "merge_markdown_three_way": _MARKDOWN_SQL}
+QUERIES = {f.__name__: f for f in (merge_json_three_way, merge_json_documents, json_array_conflicts, merge_mapping_two_way, match_text, match_text_exact, merge_text, merge_markdown_three_way)}
+SQL = {"merge_json_three_way": _THREE_SQL, "merge_json_documents": _DOCUMENTS_SQL, "json_array_conflicts": _ARRAYS_SQL, "merge_mapping_two_way": _TWO_SQL, "match_text_exact": _EXACT_SQL, "merge_markdown_three_way": _MARKDOWN_SQL}

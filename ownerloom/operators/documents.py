@@ -1,18 +1,18 @@
 """Merges of whole documents: JSON by members, plain text by blocks, Markdown by sections.
 
 A document's revisions are columns of one row (JSON) or owners of one case (text, Markdown). JSON is walked level by
-level: a row that is not settled explodes into its members, a settled one goes through, so the whole walk is one pass
-over the rows without a shuffle.
+level without a shuffle: a row that is not settled explodes into its members, which make the next level.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ownerloom.functions import scalars
 from ownerloom.operators import cutting, merging
+from ownerloom.sources.scratch import written
 
 MAX_DEPTH = 8
 
@@ -24,23 +24,34 @@ def _walk(rows: DataFrame, sides: tuple[str, ...], keys_of: tuple[str, ...], jud
     """rows (doc_id, one JSON value a side) -> doc_id, path, step and each side as canonical text (null where absent).
 
     judge(texts, kinds) gives a value's step from the sides' texts and kinds; `recurse` goes on with the members that
-    the sides keys_of have. What still says recurse after max_depth levels comes out so."""
-    texts = {s: F.to_json(s) for s in sides}
+    the sides keys_of have. Each level is written once; only its open rows make the next, and the walk ends where none is
+    open. What still says recurse after max_depth levels comes out so."""
     kinds = {s: F.schema_of_variant(s) for s in sides}
-    step = judge(texts, kinds)
-    rows = rows.select("doc_id", F.lit("").alias("path"), *sides).withColumn("step", step)
-    for _ in range(max_depth):
-        members = lambda s: F.expr(f"map_keys(cast({s} AS map<string,variant>))")
-        keys = F.array_distinct(F.flatten(F.array(*[F.coalesce(members(s), F.array().cast("array<string>")) for s in keys_of])))
-        under = lambda k: F.concat("path", F.lit("/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
-        rows = rows.withColumn("keys", F.when(F.col("step") == "recurse", keys))
-        maps = {s: F.when(F.col("step") == "recurse", F.expr(f"cast({s} AS map<string,variant>)")) for s in sides}
-        rows = rows.withColumns({f"m_{s}": m for s, m in maps.items()})
-        below = F.transform("keys", lambda k: F.struct(under(k).alias("path"), *[F.col(f"m_{s}")[k].alias(s) for s in sides], F.lit(None).cast("string").alias("step")))
-        itself = F.array(F.struct("path", *sides, "step"))
-        rows = rows.select("doc_id", F.explode(F.coalesce(below, itself)).alias("x")).select("doc_id", "x.*")
-        rows = rows.withColumn("step", F.coalesce("step", step))
-    return rows.select("doc_id", "path", "step", *[texts[s].alias(s) for s in sides])
+
+    def judged(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({f"{s}_text": F.to_json(s) for s in sides})
+        step = judge({s: F.col(f"{s}_text") for s in sides}, kinds)
+        # An open row goes on with its values, a settled one with its texts.
+        rows = rows.withColumn("step", step)
+        open_ = F.col("step") == "recurse"
+        return rows.select("doc_id", "path", "step", *[F.when(open_, F.col(s)).alias(s) for s in sides], *[f"{s}_text" for s in sides])
+
+    level, done = judged(rows.select("doc_id", F.lit("").alias("path"), *sides)), None
+    for depth in range(max_depth + 1):
+        level = written(level, "json-level")
+        ended = level if depth == max_depth else level.where("step <> 'recurse'")
+        ended = ended.select("doc_id", "path", "step", *[F.col(f"{s}_text").alias(s) for s in sides])
+        done = ended if done is None else done.unionByName(ended)
+        rows = level.where("step = 'recurse'")
+        if depth == max_depth or rows.isEmpty():
+            return done
+        members = {s: F.expr(f"cast({s} AS map<string,variant>)") for s in sides}
+        rows = rows.select("doc_id", "path", *[members[s].alias(s) for s in sides])
+        keys = F.array_distinct(F.flatten(F.array(*[F.coalesce(F.map_keys(s), F.array().cast("array<string>")) for s in keys_of])))
+        rows = rows.select("*", F.explode(keys).alias("key"))
+        under = F.concat("path", F.lit("/"), F.replace(F.replace("key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
+        level = judged(rows.select("doc_id", under.alias("path"), *[F.col(s)[F.col("key")].alias(s) for s in sides]))
+    return done
 
 
 def _resolved(kind: Column, source: Column, category: Column, value: Column) -> list[Column]:
@@ -72,7 +83,8 @@ def merge_json_three_way(docs: DataFrame, base: str = "base", ours: str = "ours"
     each at the highest path at which it is settled; values are canonical JSON, in conflicts an object of the three.
 
     A value that both tips share, or that one of them left alone, is settled; three objects go on by the members of ours and
-    theirs; three arrays are an atomic_array_edit; else modify_modify. Of members: one that ours deleted and theirs left
+    theirs; three arrays have the conflicts of array_conflicts(), at the base's place for each element or at the array's
+    path, or are an atomic_array_edit if there is none; else modify_modify. Of members: one that ours deleted and theirs left
     alone goes; one that theirs deleted and ours left alone is delete_requires_owner_edit; another difference in
     who has it is ambiguous_owner_change. parse_error and cut as in merge_mapping_two_way."""
     sides = ("b", "o", "t")
@@ -91,15 +103,84 @@ def merge_json_three_way(docs: DataFrame, base: str = "base", ours: str = "ours"
         )
 
     walked = _walk(rows.where(~bad), sides, ("o", "t"), judge, max_depth).where("step <> 'gone'")
+    walked = _with_array_conflicts(walked)
     step = F.col("step")
     settled, cut = step.isin("ours", "theirs"), step == "recurse"
-    three = F.to_json(F.struct(F.col("b").alias("base"), F.col("o").alias("ours"), F.col("t").alias("theirs")))
-    value = F.when(step == "ours", F.col("o")).when(step == "theirs", F.col("t")).otherwise(three)
+    value = F.when(step == "ours", F.col("o")).when(step == "theirs", F.col("t")).otherwise(_three())
     out = walked.select(*_resolved(F.when(settled, "resolved").when(cut, "cut").otherwise("conflict"), F.when(settled, step), F.when(cut, "max_depth").when(~settled, step), value))
     none = F.lit(None).cast("string")
     return out.unionByName(rows.where(bad).withColumn("path", F.lit("")).select(*_resolved(F.lit("parse_error"), none, none, none)))
 
 
+def _three() -> Column:
+    """The texts of the three sides as one JSON object; absent ones are left out."""
+    return F.to_json(F.struct(F.col("b").alias("base"), F.col("o").alias("ours"), F.col("t").alias("theirs")))
+
+
+def _with_array_conflicts(walked: DataFrame) -> DataFrame:
+    """walked, each atomic_array_edit replaced by the conflicts within the array where there are any."""
+    arrays = walked.where("step = 'atomic_array_edit'").select("doc_id", "path", "b", "o", "t")
+    inner = written(array_conflicts(arrays).select("doc_id", F.col("path").alias("array_path"), "base_index", "category", "b", "o", "t"), "json-arrays")
+    place = F.when(F.col("base_index").isNull(), F.col("array_path")).otherwise(F.concat_ws("/", "array_path", F.col("base_index").cast("string")))
+    told = inner.select("doc_id", place.alias("path"), F.col("category").alias("step"), "b", "o", "t")
+    found = inner.select("doc_id", F.col("array_path").alias("path"), F.lit(True).alias("told")).distinct()
+    return walked.join(found, ["doc_id", "path"], "left").where("step <> 'atomic_array_edit' OR told IS NULL").select(*walked.columns).unionByName(told.select(*walked.columns))
+
+
+def array_nodes(arrays: DataFrame, side: str) -> DataFrame:
+    """case_id, pos, content, primary, aliases of the elements of one side of arrays (case_id and JSON texts).
+
+    An element's identity is the scalar `id` of an object, else its content; its content and its place are the aliases."""
+    rows = arrays.select("case_id", F.posexplode(F.expr(f"cast(parse_json({side}) AS array<variant>)")).alias("pos", "v"))
+    content, kind = F.to_json("v"), F.schema_of_variant("v")
+    rows = rows.select("case_id", "pos", F.coalesce(content, F.lit("null")).alias("content"), F.when(F.startswith(kind, F.lit("OBJECT")), F.expr("try_variant_get(v, '$.id')")).alias("id"))
+    id_kind = F.schema_of_variant("id")
+    scalar = F.when(id_kind == "VOID", "null").when(~(F.startswith(id_kind, F.lit("OBJECT")) | F.startswith(id_kind, F.lit("ARRAY"))), F.expr("try_variant_get(id, '$', 'string')"))
+    by_content = F.array(F.lit("content_identity"), F.trim("content"))
+    by_place = F.array(F.lit("json_array_position"), F.col("pos").cast("string"))
+    rows = rows.withColumn("name", scalar)
+    named = F.col("name").isNotNull()
+    return rows.select(
+        "case_id", "pos", "content", F.when(named, F.array(F.lit("json_object_id"), "name")).otherwise(by_content).alias("primary"), F.when(named, F.array(by_content, by_place)).otherwise(F.array(by_place)).alias("aliases")
+    )
+
+
+def array_conflicts(arrays: DataFrame) -> DataFrame:
+    """arrays (doc_id, path and the JSON texts b, o, t of three arrays) -> doc_id, path, base_index, category and the
+    alternatives b, o, t: what the tips of an array can not both have.
+
+    Elements of each tip are aligned with base's, and elements that are new in both with one another, by identity and then by
+    aliases. delete_modify and modify_modify are told of a base element, duplicate_insertion (base_index null) of a new
+    one; order (the whole arrays) where both tips turn base elements around, and not alike."""
+    cased = arrays.withColumn("case_id", F.to_json(F.struct("doc_id", "path")))
+    nodes = {s: written(array_nodes(cased, s), f"array-{s}") for s in ("b", "o", "t")}
+    to_base = {s: written(merging.match_identities(nodes["b"], nodes[s]).select("case_id", F.col("template_pos").alias("base_index"), F.col("destination_pos").alias(f"{s}_pos")), f"array-to-{s}") for s in ("o", "t")}
+    text = lambda s: nodes[s].select("case_id", F.col("pos").alias("base_index" if s == "b" else f"{s}_pos"), F.col("content").alias(s))
+    rows = text("b")
+    for s in ("o", "t"):
+        rows = rows.join(to_base[s].join(text(s), ["case_id", f"{s}_pos"]), ["case_id", "base_index"], "left")
+    b, o, t = (F.col(s) for s in ("b", "o", "t"))
+    category = F.when((o.isNull() & (t != b)) | (t.isNull() & (o != b)), "delete_modify").when((o != b) & (t != b) & (o != t), "modify_modify")
+    content = rows.select("case_id", "base_index", category.alias("category"), "b", "o", "t").where("category IS NOT NULL")
+
+    new = {s: nodes[s].join(to_base[s].select("case_id", F.col(f"{s}_pos").alias("pos")), ["case_id", "pos"], "left_anti") for s in ("o", "t")}
+    both = merging.match_identities(new["o"], new["t"]).select("case_id", F.col("template_pos").alias("o_pos"), F.col("destination_pos").alias("t_pos"))
+    none = lambda kind: F.lit(None).cast(kind)
+    twice = both.join(text("o"), ["case_id", "o_pos"]).join(text("t"), ["case_id", "t_pos"]).where("o <> t").select("case_id", none("int").alias("base_index"), F.lit("duplicate_insertion").alias("category"), none("string").alias("b"), "o", "t")
+
+    def before(s: str) -> DataFrame:
+        """The base place before each aligned element in a tip's order."""
+        return to_base[s].select("case_id", "base_index", F.lag("base_index").over(Window.partitionBy("case_id").orderBy(f"{s}_pos")).alias(s), F.lit(True).alias(f"in_{s}"))
+
+    orders = before("o").join(before("t"), ["case_id", "base_index"], "full_outer")
+    turned = lambda s: F.coalesce(F.bool_or(F.col(s) > F.col("base_index")), F.lit(False))
+    differ = F.bool_or(F.col("in_o").isNull() | F.col("in_t").isNull() | ~F.col("o").eqNullSafe(F.col("t")))
+    bad = orders.groupBy("case_id").agg((turned("o") & turned("t") & differ).alias("bad")).where("bad")
+    order = bad.join(cased, "case_id").select("case_id", none("int").alias("base_index"), F.lit("order").alias("category"), "b", "o", "t")
+    found = content.unionByName(twice).unionByName(order)
+    return found.join(cased.select("case_id", "doc_id", "path"), "case_id").select("doc_id", "path", "base_index", "category", "b", "o", "t")
+
+
 def json_texts(resolved: DataFrame) -> DataFrame:
     """RESOLVED rows -> doc_id, outcome (clean, conflict, error) and output, the merged JSON text of clean documents.
 

@@ -6,7 +6,10 @@ conditional aggregation over (case_id, owner_id), so a large case is spread over
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,26 @@ def match_text_exact(template: DataFrame, destination: DataFrame) -> DataFrame:
     return found.select("case_id", F.col("template_pos").alias("template_index"), F.col("destination_pos").alias("destination_index"))
 
 
+def _greedy_pairs(template: list[dict], destination: list[dict]) -> list[tuple[int, int]]:
+    """Nodes (pos, names) of both sides in order -> pairs: a node takes the first of its names that a free node has, and
+    of those nodes the first. Each place leaves a name's queue once."""
+    waiting: dict[str, deque[int]] = {}
+    for node in destination:
+        for name in dict.fromkeys(node["names"]):
+            waiting.setdefault(name, deque()).append(node["pos"])
+    used, pairs = set(), []
+    for node in template:
+        for name in node["names"]:
+            queue = waiting.get(name)
+            while queue and queue[0] in used:
+                queue.popleft()
+            if queue:
+                used.add(queue[0])
+                pairs.append((node["pos"], queue.popleft()))
+                break
+    return pairs
+
+
 def match_identities(template: DataFrame, destination: DataFrame) -> DataFrame:
     """case_id, template_pos, destination_pos by identity: node rows have primary and aliases.
 
@@ -41,22 +64,14 @@ def match_identities(template: DataFrame, destination: DataFrame) -> DataFrame:
     sure = first.where("template_pos IS NOT NULL AND destination_pos IS NOT NULL").select("case_id", "template_pos", "destination_pos")
     left = lambda df, name: df.join(sure.select("case_id", F.col(name).alias("pos")), ["case_id", "pos"], "left_anti").select("case_id", "pos", "primary_key", F.transform("aliases", lambda a: F.to_json(a)).alias("aliases"))
 
-    def greedy(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names: dict[str, list[int]] = {}
-        b = b.sort_values("pos")
-        for pos, primary, aliases in zip(b.pos, b.primary_key, b.aliases, strict=True):
-            for name in {primary, *(aliases if aliases is not None else ())} - {None}:
-                names.setdefault(name, []).append(pos)
-        used, rows = set(), []
-        a = a.sort_values("pos")
-        for pos, primary, aliases in zip(a.pos, a.primary_key, a.aliases, strict=True):
-            free = next((p for name in (primary, *(aliases if aliases is not None else ())) for p in names.get(name, ()) if p not in used), None)
-            if free is not None:
-                used.add(free)
-                rows.append((key[0], pos, free))
-        return pd.DataFrame(rows, columns=["case_id", "template_pos", "destination_pos"])
-
-    rest = left(t, "template_pos").groupBy("case_id").cogroup(left(d, "destination_pos").groupBy("case_id")).applyInPandas(greedy, sure.schema)
+    @F.arrow_udf("array<struct<template_pos:long,destination_pos:long>>")
+    def greedy(template: pa.Array, destination: pa.Array) -> pa.Array:
+        return pa.array([_greedy_pairs(t, d) for t, d in zip(template.to_pylist(), destination.to_pylist(), strict=True)], pa.list_(pa.struct([("template_pos", pa.int64()), ("destination_pos", pa.int64())])))
+
+    # A case whose other side has nothing left needs no step; many small cases share a batch.
+    listed = lambda df, name: df.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.array_compact(F.concat(F.array("primary_key"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("names")))).alias(name))
+    both = listed(left(t, "template_pos"), "a").join(listed(left(d, "destination_pos"), "b"), "case_id")
+    rest = both.select("case_id", F.explode(greedy("a", "b")).alias("m")).select("case_id", *[F.col(f"m.{c}").cast(sure.schema[c].dataType).alias(c) for c in ("template_pos", "destination_pos")])
     return sure.unionByName(rest)
 
 

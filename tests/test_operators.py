@@ -392,7 +392,16 @@ JSON3 = "doc_id int, base string, ours string, theirs string"
         ('{"a":1,"b":1}', '{"b":2}', '{"a":1,"b":1,"c":0}', "clean", '{"b":2,"c":0}', set()),
         ('{"a":1,"b":1}', '{"a":1,"b":2}', '{"b":1}', "conflict", None, {("/a", "delete_requires_owner_edit")}),
         ('{"a":1,"b":1}', '{"a":2,"b":1}', '{"b":3}', "conflict", None, {("/a", "ambiguous_owner_change")}),
-        ('{"a":[1]}', '{"a":[2]}', '{"a":[3]}', "conflict", None, {("/a", "atomic_array_edit")}),
+        ('{"a":[1]}', '{"a":[2]}', '{"a":[3]}', "conflict", None, {("/a/0", "modify_modify")}),  # aligned by place
+        ('{"a":[1,2]}', '{"a":[2]}', '{"a":[1,2,3]}', "conflict", None, {("/a", "atomic_array_edit")}),  # no element in conflict
+        ('{"a":[{"id":1,"v":1},{"id":2,"v":1}]}', '{"a":[{"id":2,"v":2}]}', '{"a":[{"id":1,"v":1},{"id":2,"v":3}]}', "conflict", None, {("/a/1", "modify_modify")}),
+        ('{"a":[{"id":1,"v":1},2]}', '{"a":[2]}', '{"a":[2,{"v":9,"id":1}]}', "conflict", None, {("/a/0", "delete_modify")}),
+        ('{"a":[1]}', '{"a":[1,{"id":"n","v":1}]}', '{"a":[{"id":"n","v":2},1]}', "conflict", None, {("/a", "duplicate_insertion")}),
+        ('{"a":[1,2,3]}', '{"a":[3,2,1]}', '{"a":[2,1,3]}', "conflict", None, {("/a", "order")}),
+        ('{"a":[1,2,3]}', '{"a":[3,2,1]}', '{"a":[3,2,1,4]}', "conflict", None, {("/a", "atomic_array_edit")}),  # turned alike
+        ('{"a":[{"id":null,"v":1},{"id":[1],"v":1}]}', '{"a":[{"id":null,"v":2},{"id":[1],"v":2}]}', '{"a":[{"id":null,"v":3},{"id":[1],"v":3}]}', "conflict", None, {("/a/0", "modify_modify"), ("/a/1", "modify_modify")}),
+        ('{"a":[]}', '{"a":[1]}', '{"a":[2]}', "conflict", None, {("/a", "duplicate_insertion")}),
+        ('{"a":{"b":[[1],null]}}', '{"a":{"b":[[2],null]}}', '{"a":{"b":[[3],null]}}', "conflict", None, {("/a/b/0", "modify_modify")}),
         ('{"a/b":{"c":1,"d":1}}', '{"a/b":{"c":2,"d":1}}', '{"a/b":{"c":1,"d":3}}', "clean", '{"a/b":{"c":2,"d":3}}', set()),
         ('{"a":1,"a":2}', "{}", "{}", "error", None, set()),
         ("{}", '{"n":1}', '{"n":2}', "conflict", None, {("/n", "ambiguous_owner_change")}),
