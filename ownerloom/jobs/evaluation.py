@@ -285,14 +285,50 @@ def check_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = li.where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("scope"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("chunk_id")).agg(F.min("l_partkey").cast("string").alias("content_hash"))
     turned = F.when(F.col("chunk_id") == "c1", "c2").otherwise("c1")
     current = chunks.withColumn("chunk_id", F.when(F.col("scope") % 2 == 0, turned).otherwise(F.col("chunk_id"))).withColumn("content_hash", F.when(F.col("scope") % 5 == 0, "new").otherwise(F.col("content_hash")))
-    kind = F.when(k % 11 == 0, "odd").when(k % 3 == 0, "split").otherwise("reorder")
-    rows = orders.select(k.alias("scope"), F.lit("a").alias("assertion_id"), kind.alias("kind"), F.when(k % 7 == 0, F.array(F.lit("c9"))).otherwise(F.array(F.lit("c1"), F.lit("c2"))).alias("prior_ids"), F.array(F.lit("c1"), F.lit("c2")).alias("current_ids"), F.when(k % 13 == 0, 1.5).otherwise(0.5).alias("confidence"))
+    chunks, current = chunks.withColumn("ordinal", F.lit(0).cast("long")), current.withColumn("ordinal", F.col("scope") % 2)
+    kind = F.element_at(F.array(*map(F.lit, ("merge", "rename", "reorder", "move", "copy", "split", "join", "reorder"))), (k % 8 + 1).cast("int"))
+    status = F.when(k % 17 == 0, "sure").when(k % 6 == 0, "ambiguous").otherwise("asserted")
+    refs = lambda *names, at: F.array(*[F.struct(F.lit(x).alias("chunk_id"), at.cast("long").alias("ordinal")) for x in names])
+    none = F.array().cast("array<struct<chunk_id:string,ordinal:bigint>>")
+    prior_refs = F.when(k % 7 == 0, refs("c9", at=F.lit(0))).when(k % 31 == 0, none).otherwise(refs("c1", "c2", at=F.lit(0)))
+    current_refs = F.when(k % 29 == 0, refs("", at=F.lit(0))).otherwise(refs("c1", "c2", at=F.when(k % 37 == 0, 5).otherwise(k % 2)))
+    basis = F.element_at(F.array(*map(F.lit, ("authored", "algorithmic", "unknown", "guess"))), F.when(k % 41 == 0, 4).otherwise(k % 3 + 1).cast("int"))
+    rows = orders.select(k.alias("scope"), F.lit("a").alias("assertion_id"), kind.alias("kind"), status.alias("status"), prior_refs.alias("prior_refs"), current_refs.alias("current_refs"), basis.alias("basis"), F.when((k % 3 == 0) | (k % 43 == 0), "A").alias("authority_ref"), F.when(k % 3 == 1, "diff").alias("algorithm_id"), F.when((k % 3 == 1) & (k % 47 != 0), "1").alias("algorithm_version"), F.when(k % 13 == 0, 1.5).when(k % 5 == 1, 0.5).alias("confidence"))
     return ingest.check_lineage(rows, chunks, current)
 
 
+def decide_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as observations of what was known and is left of their lines; two producers share each scope."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr(_DELETION_MODE).alias("mode")).distinct()
+    held = table(spark, sf_dir, "lineitem").select(k.alias("k"), F.concat(F.lit("c"), n).alias("chunk_id"), n.alias("n")).distinct().join(orders, "k")
+    keyed = lambda df, *more: df.select(F.concat(F.lit("p"), F.col("k") % 2).alias("producer_id"), F.expr("k div 8").alias("scope"), F.col("k").alias("observation_id"), *more)
+    chosen = held.where(_DELETION_TARGETS)
+    observations = keyed(orders, "mode", F.expr("CASE WHEN mode <> 'none' OR k % 50 = 3 THEN k END").alias("authority_ref"), F.expr("CASE WHEN k % 19 = 0 THEN 'partial' ELSE 'complete' END").alias("status"), F.expr("CASE WHEN k % 3 = 0 THEN 'f' END").alias("finalization_ref"))
+    authorities = orders.where("k % 21 <> 0").select(F.col("k").alias("authority_ref"), F.expr("concat('p', CASE WHEN k % 22 = 0 THEN 1 - k % 2 ELSE k % 2 END)").alias("producer_id"), F.expr("k div 8").alias("scope"), F.expr("CASE WHEN k % 26 = 0 THEN 'none' ELSE mode END").alias("mode"), F.expr("CASE WHEN k % 3 = 0 AND k % 27 <> 0 THEN 'f' END").alias("finalization_ref"))
+    granted = chosen.where("NOT (k % 17 = 0 AND n = 2)").select(F.col("k").alias("authority_ref"), "chunk_id")
+    decided = ingest.decide_deletions(observations, keyed(chosen, "chunk_id"), keyed(held.where(_DELETION_REMOVED), "chunk_id"), keyed(held, "chunk_id"), keyed(held.where(f"NOT ({_DELETION_REMOVED})"), "chunk_id"), authorities, granted)
+    dead = ingest.tombstones(decided, keyed(chosen, "chunk_id")).groupBy("observation_id").agg(F.count("*").alias("n_tombstones"))
+    return decided.join(dead, "observation_id", "left").select("producer_id", "scope", "observation_id", "n_targets", "code", F.coalesce("n_tombstones", F.lit(0)).alias("n_tombstones"))
+
+
+#: Modes, what an observation no longer has and what it wants deleted, in SQL that Spark and DuckDB both run.
+_DELETION_MODE = "CASE o_orderkey % 8 WHEN 0 THEN 'none' WHEN 1 THEN 'explicit_source' WHEN 2 THEN 'absence' WHEN 3 THEN 'none' WHEN 4 THEN 'explicit_source' WHEN 5 THEN 'absence' WHEN 6 THEN 'absence' ELSE 'odd' END"
+_DELETION_REMOVED = "(mode = 'explicit_source' AND NOT (k % 15 = 0 AND n = 1)) OR (mode <> 'explicit_source' AND n % 2 = 0)"
+_DELETION_TARGETS = "(mode = 'explicit_source' AND NOT (k % 14 = 0 AND n = 1)) OR (mode = 'absence' AND (n % 2 = 0 OR (k % 23 = 0 AND n = 1))) OR (mode = 'none' AND k % 25 = 0 AND n = 1)"
+_DELETIONS_SQL = f"""WITH o AS (SELECT DISTINCT o_orderkey AS k, {_DELETION_MODE} AS mode FROM orders), h AS (SELECT DISTINCT l_orderkey AS k, 'c' || l_linenumber AS c, l_linenumber AS n, mode FROM lineitem JOIN o ON o.k = l_orderkey),
+s AS (SELECT o.k, o.mode, coalesce(list_sort(list(c) FILTER ({_DELETION_TARGETS.replace("k %", "h.k %").replace("mode", "h.mode")})), []) AS t, coalesce(list_sort(list(c) FILTER ({_DELETION_REMOVED.replace("k %", "h.k %").replace("mode", "h.mode")})), []) AS r, coalesce(list_sort(list(c)), []) AS p,
+  coalesce(list_sort(list(c) FILTER (({_DELETION_TARGETS.replace("k %", "h.k %").replace("mode", "h.mode")}) AND NOT (h.k % 17 = 0 AND n = 2))), []) AS g FROM o LEFT JOIN h ON h.k = o.k GROUP BY o.k, o.mode),
+l AS (SELECT k, mode, list_filter(t, lambda x: x IS NOT NULL) AS t, list_filter(r, lambda x: x IS NOT NULL) AS r, list_filter(p, lambda x: x IS NOT NULL) AS p, list_filter(g, lambda x: x IS NOT NULL) AS g FROM s),
+d AS (SELECT *, CASE mode WHEN 'none' THEN CASE WHEN k % 50 = 3 OR len(t) > 0 THEN 'deletion' END WHEN 'absence' THEN CASE WHEN k % 19 = 0 OR t <> r THEN 'deletion' END WHEN 'explicit_source' THEN CASE WHEN r <> p OR t <> p THEN 'deletion' END ELSE 'deletion' END AS c1 FROM l),
+e AS (SELECT *, coalesce(c1, CASE WHEN mode <> 'none' AND (k % 21 = 0 OR k % 22 = 0 OR k % 26 = 0 OR k % 27 = 0 OR t <> g) THEN 'authority' END) AS code FROM d)
+SELECT 'p' || k % 2 AS producer_id, k // 8 AS scope, k AS observation_id, len(t) AS n_targets, code, CASE WHEN code IS NULL AND mode <> 'none' THEN len(t) ELSE 0 END AS n_tombstones FROM e"""
+
+
 _LINEAGE_SQL = """WITH c AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(min(l_partkey) AS VARCHAR) AS h FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL), s AS (SELECT k, count(*) AS n FROM c GROUP BY 1),
 o AS (SELECT DISTINCT o_orderkey AS k, coalesce(s.n, 0) AS n FROM orders LEFT JOIN s ON s.k = o_orderkey)
-SELECT k AS scope, 'a' AS assertion_id, CASE WHEN k % 11 = 0 THEN 'kind' WHEN k % 13 = 0 THEN 'confidence' WHEN k % 7 = 0 OR n < 2 THEN 'unknown_prior' WHEN k % 3 <> 0 AND k % 5 = 0 THEN 'reorder_changes_content' END AS code FROM o"""
+SELECT k AS scope, 'a' AS assertion_id, CASE WHEN k % 8 < 2 THEN 'kind' WHEN k % 17 = 0 THEN 'status' WHEN k % 29 = 0 THEN 'reference' WHEN k % 41 = 0 OR (k % 43 = 0 AND k % 3 <> 0) OR (k % 3 = 1 AND k % 47 = 0) THEN 'provenance' WHEN k % 13 = 0 THEN 'confidence'
+  WHEN k % 6 = 0 THEN NULL WHEN k % 31 = 0 AND k % 7 <> 0 THEN 'empty_side' WHEN k % 7 = 0 OR n < 2 THEN 'unknown_prior' WHEN k % 37 = 0 THEN 'unknown_current' WHEN k % 8 IN (2, 7) AND k % 5 = 0 THEN 'reorder_changes_content' END AS code FROM o"""
 
 
 def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +360,7 @@ SELECT k AS doc_id, concat_ws(',', CASE WHEN NOT has_a THEN a END, CASE WHEN NOT
 
 QUERIES = {
     f.__name__: f
-    for f in (validate_inventory, inventory_delta, check_envelope, accept_observations, run_scorecard, benchmark_summary, suite_summary, score_agreement, pair_results, check_references, review_groups, is_rfc3339, plan_templates, resolve_attributes, shard_loads, check_delta, check_lineage, check_incorporation, select_cases, promotion_status, template_report, template_tokens, resolve_template_tokens)
+    for f in (validate_inventory, inventory_delta, check_envelope, accept_observations, run_scorecard, benchmark_summary, suite_summary, score_agreement, pair_results, check_references, review_groups, is_rfc3339, plan_templates, resolve_attributes, shard_loads, check_delta, check_lineage, decide_deletions, check_incorporation, select_cases, promotion_status, template_report, template_tokens, resolve_template_tokens)
 }
 SQL = {
     "validate_inventory": _INVENTORY_SQL,
@@ -342,6 +378,7 @@ SQL = {
     "resolve_attributes": _ATTRIBUTES_SQL,
     "check_delta": _CHECK_DELTA_SQL,
     "check_lineage": _LINEAGE_SQL,
+    "decide_deletions": _DELETIONS_SQL,
     "check_incorporation": _INCORPORATION_SQL,
     "select_cases": _SELECT_SQL,
     "promotion_status": _PROMOTION_SQL,

@@ -90,14 +90,15 @@ def resolve_child_outputs(operations: DataFrame, outputs: DataFrame, prefix: str
     missing = outputs.join(known, ["doc_id", "address"], "left_anti").groupBy("doc_id").agg(F.min_by("address", "output_index").alias("address"))
     good = outputs.join(missing.select("doc_id"), "doc_id", "left_anti").join(operations, ["doc_id", "address"])
     request = F.concat(F.lit(f"{prefix}:"), F.col("output_index").cast("string"))
-    plan = good.select("doc_id", request.alias("request_id"), "operation_id", "address", F.coalesce("family", F.lit(default_family)).alias("family"), "start_line", "end_line", "output")
+    plan = good.select("doc_id", request.alias("request_id"), "output_index", "operation_id", "address", F.coalesce("family", F.lit(default_family)).alias("family"), "start_line", "end_line", "output")
     return plan, missing.select("doc_id", "address", F.lit("missing_surface").alias("code"))
 
 
 def apply_child_outputs(lines: DataFrame, plan: DataFrame) -> DataFrame:
     """doc_id and text: lines of documents with the bodies of planned fences replaced by their outputs, each ended by a line break
-    of the body's kind unless it is empty or has its own. Where a fence has several outputs, the last request counts."""
-    spans = plan.groupBy("doc_id", "start_line").agg(F.max_by("end_line", "request_id").alias("end_line"), F.max_by("output", "request_id").alias("output"))
+    of the body's kind unless it is empty or has its own. Where a fence has several outputs, the last one counts. lines with byte
+    places (doc_lines) keep the line break at a document's end."""
+    spans = plan.groupBy("doc_id", "start_line").agg(F.max_by("end_line", "output_index").alias("end_line"), F.max_by("output", "output_index").alias("output"))
     owners = spans.select("doc_id", F.col("start_line").cast("string").alias("owner_id"), (F.col("start_line") + 1).alias("start_line"), (F.coalesce("end_line", F.lit(2147483647)) - 1).alias("end_line"))
     rows = _with_owner(lines, owners)
     crlf = rows.where("owner_id IS NOT NULL").groupBy("doc_id", F.col("owner_id").cast("int").alias("start_line")).agg(F.bool_or(F.endswith("text", F.lit("\r"))).alias("crlf"))
@@ -106,7 +107,12 @@ def apply_child_outputs(lines: DataFrame, plan: DataFrame) -> DataFrame:
     # A body stands behind its opening line; the break after its last line is its own.
     put = put.where("body <> ''").select("doc_id", F.col("start_line").alias("line"), F.lit(1).alias("k"), F.regexp_replace("body", r"\n\z", "").alias("text"))
     kept = rows.where("owner_id IS NULL").select("doc_id", "line", F.lit(0).alias("k"), "text")
-    return kept.unionByName(put).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "k", "text"))), lambda x: x.text), "\n").alias("text"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "k", "text"))), lambda x: x.text), "\n")
+    out = kept.unionByName(put).groupBy("doc_id").agg(text.alias("text"))
+    if "end_byte" not in lines.columns:
+        return out
+    ended = lines.groupBy("doc_id").agg((F.max_by(F.col("end_byte") - F.col("start_byte") - F.octet_length("text"), "line") > 0).alias("ended"))
+    return out.join(ended, "doc_id", "left").select("doc_id", F.when(F.col("ended"), F.concat("text", F.lit("\n"))).otherwise(F.col("text")).alias("text"))
 
 
 def markdown_sections(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -370,14 +376,14 @@ def apply_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     n = F.octet_length("raw")
     boundary = lambda c: (F.col(c) < n) & (F.expr(f"conv(hex(substring(raw, cast({c} + 1 as int), 1)), 16, 10)").cast("int").between(128, 191))
     error = (
-        F.when((F.col("start_byte") < 0) | (F.col("end_byte") < F.col("start_byte")) | (F.col("end_byte") > n), "range")
+        F.when(F.col("start_byte").isNull() | F.col("end_byte").isNull() | (F.col("start_byte") < 0) | (F.col("end_byte") < F.col("start_byte")) | (F.col("end_byte") > n), "range")
         .when(boundary("start_byte") | boundary("end_byte"), "char_boundary")
         .when(F.coalesce(F.col("prev_start") == F.col("start_byte"), F.lit(False)), "equal_start")
         .when(F.col("prev_end") > F.col("start_byte"), "overlap")
     )
     kept = F.expr("substring(raw, cast(prev_end + 1 as int), cast(start_byte - prev_end as int))")
     rows = rows.withColumns({"error": error, "piece": F.concat(kept, F.encode("replacement", "utf-8"))})
-    done = rows.groupBy("doc_id").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("start_byte"))).alias("error"), F.max("end_byte").alias("reach"), F.sort_array(F.collect_list(F.struct("start_byte", "piece"))).alias("pieces"))
+    done = rows.groupBy("doc_id").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.coalesce("start_byte", F.lit(-1)))).alias("error"), F.max("end_byte").alias("reach"), F.sort_array(F.collect_list(F.struct("start_byte", "piece"))).alias("pieces"))
     out = docs.select("doc_id", F.encode("text", "utf-8").alias("raw")).join(done, "doc_id", "left")
     tail = F.expr("substring(raw, cast(reach + 1 as int), octet_length(raw))")
     joined = F.aggregate(F.transform("pieces", lambda p: p.piece), F.lit(b""), lambda s, p: F.concat(s, p))

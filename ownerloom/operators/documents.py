@@ -219,19 +219,25 @@ def match_text(template: DataFrame, destination: DataFrame, threshold: float = s
 
     Equal blocks are matched first, by occurrence. Of the rest, each destination block in its order takes the unused
     template block with the best score of threshold or more, the first of equals. A score can reach 0.7 only if one block
-    has at least 4/7 of the other's characters, so blocks meet by classes of length, and only those that reach the
-    threshold go on to the greedy step, which sees one case's."""
+    has at least 4/7 of the other's characters, so blocks meet by classes of length. Length and place say how many edits a pair may
+    have; counts of letters rule most pairs out, the edit distance is computed up to that bound, and only pairs that reach
+    the threshold go on to the greedy step, which sees one case's."""
     exact = merging.match_text_exact(template, destination).where("template_index IS NOT NULL AND destination_index IS NOT NULL")
     counts = lambda df, n: df.groupBy("case_id").agg(F.count("*").alias(n))
     left = lambda df, c: df.select("case_id", F.col("index").alias(c), F.col("normalized").alias(f"{c}_text")).join(exact.select("case_id", c), ["case_id", c], "left_anti")
     # Lengths within a factor of 7/4 fall in one class or the next.
     length_class = lambda c: F.floor(F.log(1.76, F.greatest(F.char_length(c), F.lit(1)).cast("double"))).cast("int")
-    t = left(template, "template_index").withColumn("size_class", F.explode(F.array(length_class("template_index_text"), length_class("template_index_text") + 1, length_class("template_index_text") - 1)))
-    d = left(destination, "destination_index").withColumn("size_class", length_class("destination_index_text"))
+    counted = lambda df, c, p: df.withColumns({f"{p}{k}": n for k, n in enumerate(scalars.letter_counts(F.col(f"{c}_text")))})
+    t = counted(left(template, "template_index"), "template_index", "a").withColumn("size_class", F.explode(F.array(length_class("template_index_text"), length_class("template_index_text") + 1, length_class("template_index_text") - 1)))
+    d = counted(left(destination, "destination_index"), "destination_index", "b").withColumn("size_class", length_class("destination_index_text"))
     pairs = t.join(d, ["case_id", "size_class"]).join(counts(template, "nt"), "case_id").join(counts(destination, "nd"), "case_id")
     short, long_ = (f(F.char_length("template_index_text"), F.char_length("destination_index_text")) for f in (F.least, F.greatest))
-    score = scalars.refined_similarity(F.col("template_index_text"), F.col("destination_index_text"), F.col("template_index"), F.col("destination_index"), F.col("nt"), F.col("nd"))
-    scored = pairs.where(7 * short >= 4 * long_).select("case_id", "template_index", "destination_index", score.alias("score")).where(F.col("score") >= threshold)
+    given = [F.col(c) for c in ("template_index_text", "destination_index_text", "template_index", "destination_index", "nt", "nd")]
+    near = pairs.where(7 * short >= 4 * long_).withColumn("most", scalars.refined_edits(*given, threshold))
+    signs = range(len(scalars.COUNTED) + 1)
+    near = near.where(scalars.edits_at_least([F.col(f"a{k}") for k in signs], [F.col(f"b{k}") for k in signs]) <= F.col("most"))
+    near = near.withColumn("edits", F.expr("levenshtein(template_index_text, destination_index_text, most)")).where("edits >= 0")
+    scored = near.select("case_id", "template_index", "destination_index", scalars.refined_similarity(*given, edits=F.col("edits")).alias("score")).where(F.col("score") >= threshold)
 
     def greedy(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []

@@ -74,23 +74,43 @@ def check_envelope(observations: DataFrame, schema: str, required: tuple[str, ..
     return rows.select("observation_key", code.alias("code"))
 
 
+#: What an assertion of lineage may say of itself.
+LINEAGE_KINDS = ("move", "copy", "split", "join", "reorder")
+LINEAGE_STATUS = ("asserted", "ambiguous", "unknown")
+
+
 def check_lineage(assertions: DataFrame, prior: DataFrame, current: DataFrame) -> DataFrame:
-    """assertions (scope, assertion_id, kind, prior_ids, current_ids, confidence) with the first error code, if any.
-
-    Kinds are split, merge, reorder, rename; confidence is 0 to 1; every id must stand in its inventory; a
-    reorder keeps the multiset of hashes."""
-    known = lambda df, refs: (
-        assertions.select("scope", "assertion_id", F.explode_outer(refs).alias("chunk_id")).where("chunk_id IS NOT NULL")
-        .join(df.select("scope", "chunk_id", "content_hash"), ["scope", "chunk_id"], "left")
-        .groupBy("scope", "assertion_id").agg(F.bool_or(F.col("content_hash").isNull()).alias("missing"), F.sort_array(F.collect_list("content_hash")).alias("hashes"))
+    """assertions -> scope, assertion_id, code: the first fault of kind, status, reference, provenance, confidence, empty_side, unknown_prior,
+    unknown_current, reorder_changes_content; null if all holds.
+
+    assertions: scope, assertion_id, kind, status, prior_refs and current_refs (arrays of chunk_id, ordinal), basis, authority_ref, algorithm_id,
+    algorithm_version, confidence. An authored assertion names an authority and no algorithm, an algorithmic one an algorithm and its version and no authority,
+    an unknown one neither; a confidence may be missing. Only what is asserted is held to the inventories (scope, chunk_id, ordinal,
+    content_hash): both sides name occurrences that stand there, and a reorder keeps the multiset of hashes."""
+    rows = assertions.withColumn("n", F.row_number().over(Window.partitionBy("scope", "assertion_id").orderBy("kind", "status")))
+    key = ["scope", "assertion_id", "n"]
+
+    def met(refs: str, inventory: DataFrame, name: str) -> DataFrame:
+        """Of each assertion: whether a reference is unknown, and the hashes of those that are known."""
+        given = rows.where("status = 'asserted'").select(*key, F.explode(refs).alias("ref")).select(*key, "ref.chunk_id", "ref.ordinal")
+        there = inventory.select("scope", "chunk_id", "ordinal", "content_hash").dropDuplicates(["scope", "chunk_id", "ordinal"]).withColumn("there", F.lit(True))
+        found = given.join(there, ["scope", "chunk_id", "ordinal"], "left").groupBy(*key)
+        return found.agg(F.bool_or(F.col("there").isNull()).alias(f"{name}_unknown"), F.sort_array(F.collect_list("content_hash")).alias(f"{name}_hashes"))
+
+    rows = rows.join(met("prior_refs", prior, "prior"), key, "left").join(met("current_refs", current, "current"), key, "left")
+    named = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    odd = lambda refs: F.col(refs).isNull() | F.exists(refs, lambda r: r.isNull() | (F.coalesce(r.chunk_id, F.lit("")) == "") | r.ordinal.isNull() | (r.ordinal < 0))
+    no_algorithm = F.col("algorithm_id").isNull() & F.col("algorithm_version").isNull()
+    sound = (
+        F.when(F.col("basis") == "authored", named("authority_ref") & no_algorithm).when(F.col("basis") == "algorithmic", F.col("authority_ref").isNull() & named("algorithm_id") & named("algorithm_version"))
+        .when(F.col("basis") == "unknown", F.col("authority_ref").isNull() & no_algorithm)
     )
-    p = known(prior, "prior_ids").withColumnsRenamed({"missing": "p_missing", "hashes": "p_hashes"})
-    c = known(current, "current_ids").withColumnsRenamed({"missing": "c_missing", "hashes": "c_hashes"})
-    rows = assertions.join(p, ["scope", "assertion_id"], "left").join(c, ["scope", "assertion_id"], "left")
+    asserted = F.col("status") == "asserted"
     code = (
-        F.when(~F.col("kind").isin("split", "merge", "reorder", "rename"), "kind").when(~F.col("confidence").between(0, 1), "confidence")
-        .when(F.coalesce("p_missing", F.lit(False)), "unknown_prior").when(F.coalesce("c_missing", F.lit(False)), "unknown_current")
-        .when((F.col("kind") == "reorder") & ~F.col("p_hashes").eqNullSafe(F.col("c_hashes")), "reorder_changes_content")
+        F.when(~F.coalesce(F.col("kind").isin(*LINEAGE_KINDS), F.lit(False)), "kind").when(~F.coalesce(F.col("status").isin(*LINEAGE_STATUS), F.lit(False)), "status").when(odd("prior_refs") | odd("current_refs"), "reference")
+        .when(~F.coalesce(sound, F.lit(False)), "provenance").when(F.isnan("confidence") | ~F.col("confidence").between(0, 1), "confidence")
+        .when(asserted & ((F.size("prior_refs") == 0) | (F.size("current_refs") == 0)), "empty_side").when(asserted & F.col("prior_unknown"), "unknown_prior").when(asserted & F.col("current_unknown"), "unknown_current")
+        .when(asserted & (F.col("kind") == "reorder") & ~F.col("prior_hashes").eqNullSafe(F.col("current_hashes")), "reorder_changes_content")
     )
     return rows.select("scope", "assertion_id", code.alias("code"))
 
@@ -125,15 +145,64 @@ def check_incorporation(records: DataFrame, evidence: DataFrame, prior: DataFram
     return out.select("scope", "decision_id", code.alias("code"))
 
 
+OBSERVATION = ("producer_id", "scope", "observation_id")
+
+
+def decide_deletions(observations: DataFrame, targets: DataFrame, removed: DataFrame, prior: DataFrame, current: DataFrame, authorities: DataFrame, authority_targets: DataFrame) -> DataFrame:
+    """Each observation's deletion, decided as a whole: producer_id, scope, observation_id, mode, authority_ref, n_targets, code (deletion,
+    authority, null if it holds).
+
+    observations: those keys, mode, authority_ref, status, finalization_ref. targets, removed, prior, current: the keys and chunk_id. authorities:
+    authority_ref, producer_id, scope, mode, finalization_ref; authority_targets: authority_ref, chunk_id.
+
+    none has neither authority nor targets. absence needs a complete scan, and its targets are just what was removed, all of it known before.
+    explicit_source needs an empty current inventory and targets all that was known. Both need an authority of the same producer, scope, mode and
+    finalization with just these targets. Sets are compared by one conditional aggregation over (observation, chunk), those of
+    authorities by counts and sums of two hashes; no list is made of a set."""
+    key = list(OBSERVATION)
+    chunk = F.coalesce(F.col("chunk_id"), F.lit(""))
+    part = lambda df, name: df.select(*key, chunk.alias("chunk_id"), F.lit(name).alias("of"))
+    rows = part(targets, "targets").unionByName(part(removed, "removed")).unionByName(part(prior, "prior")).unionByName(part(current, "current"))
+    sets = ("targets", "removed", "prior", "current")
+    each = rows.groupBy(*key, "chunk_id").agg(*[F.bool_or(F.col("of") == s).alias(s) for s in sets])
+    hashes = lambda test: [F.count_if(test).alias("n"), *[F.sum(F.when(test, F.xxhash64(F.col("chunk_id"), F.lit(k)).cast("decimal(38,0)"))).alias(f"h{k}") for k in (1, 2)]]
+    sums = each.groupBy(*key).agg(
+        *hashes(F.col("targets")), F.bool_or(F.col("targets") & (F.col("chunk_id") == "")).alias("unnamed"), F.bool_or(F.col("targets") != F.col("removed")).alias("not_removed"), F.bool_or(F.col("targets") & ~F.col("prior")).alias("not_prior"),
+        F.bool_or(F.col("targets") != F.col("prior")).alias("not_all"), F.bool_or("current").alias("has_current"),
+    )
+    granted = authority_targets.select("authority_ref", chunk.alias("chunk_id")).distinct().groupBy("authority_ref").agg(*hashes(F.lit(True)), F.bool_or(F.col("chunk_id") == "").alias("unnamed"))
+    granted = authorities.select("authority_ref", *[F.col(c).alias(f"a_{c}") for c in ("producer_id", "scope", "mode", "finalization_ref")]).join(granted.select("authority_ref", *[F.col(c).alias(f"a_{c}") for c in ("n", "h1", "h2", "unnamed")]), "authority_ref", "left").withColumn("known", F.lit(True))
+    out = observations.select(*key, "mode", "authority_ref", "status", "finalization_ref").join(sums, key, "left").join(granted, "authority_ref", "left")
+    yes, n = lambda c: F.coalesce(F.col(c), F.lit(False)), F.coalesce("n", F.lit(0))
+    fits = F.col("known").isNotNull() & ~yes("a_unnamed") & (F.coalesce("a_n", F.lit(0)) == n) & F.col("a_finalization_ref").eqNullSafe(F.col("finalization_ref"))
+    for c in ("producer_id", "scope", "mode"):
+        fits = fits & F.col(f"a_{c}").eqNullSafe(F.col(c))
+    fits = fits & ((n == 0) | (F.col("a_h1").eqNullSafe(F.col("h1")) & F.col("a_h2").eqNullSafe(F.col("h2"))))
+    mode = F.col("mode")
+    code = (
+        F.when(yes("unnamed") | ~F.coalesce(mode.isin("none", "absence", "explicit_source"), F.lit(False)), "deletion").when((mode == "none") & (F.col("authority_ref").isNotNull() | (n > 0)), "deletion")
+        .when((mode == "absence") & (~F.col("status").eqNullSafe(F.lit("complete")) | yes("not_removed") | yes("not_prior")), "deletion").when((mode == "explicit_source") & (yes("has_current") | yes("not_all")), "deletion").when((mode != "none") & ~fits, "authority")
+    )
+    return out.select(*key, "mode", "authority_ref", n.cast("long").alias("n_targets"), code.alias("code"))
+
+
+def tombstones(decisions: DataFrame, targets: DataFrame) -> DataFrame:
+    """producer_id, scope, observation_id, chunk_id, authority_ref: the targets of deletions of decide_deletions() that hold."""
+    good = decisions.where("code IS NULL AND mode <> 'none'").select(*OBSERVATION, "authority_ref")
+    return targets.select(*OBSERVATION, "chunk_id").distinct().join(good, list(OBSERVATION)).select(*OBSERVATION, "chunk_id", "authority_ref")
+
+
 def authorize_deletions(requests: DataFrame, authorities: DataFrame, removed: DataFrame, prior: DataFrame) -> DataFrame:
     """requests (producer_id, scope, mode, authority_ref, scan_complete) -> tombstones: scope, chunk_id, authority_ref.
 
     `absence` needs a complete scan and deletes what was removed; `explicit_source` deletes all of the prior
-    inventory; both need an authority of the same producer, scope and mode. `none` deletes nothing."""
+    inventory; both need an authority of the same producer, scope and mode. `none` deletes nothing. Inventories of several
+    producers carry producer_id, and a producer's authority reaches its own chunks alone; decide_deletions() looks at targets as well."""
     a = authorities.select("authority_ref", "producer_id", "scope", "mode")
     allowed = requests.join(a, ["authority_ref", "producer_id", "scope", "mode"], "left_semi")
-    gone = allowed.where("mode = 'absence' AND scan_complete").join(removed.select("scope", "chunk_id"), "scope")
-    all_ = allowed.where("mode = 'explicit_source'").join(prior.select("scope", "chunk_id"), "scope")
+    own = lambda df: [c for c in ("producer_id", "scope") if c in df.columns]
+    gone = allowed.where("mode = 'absence' AND scan_complete").join(removed.select(*own(removed), "chunk_id"), own(removed))
+    all_ = allowed.where("mode = 'explicit_source'").join(prior.select(*own(prior), "chunk_id"), own(prior))
     return gone.select("scope", "chunk_id", "authority_ref").unionByName(all_.select("scope", "chunk_id", "authority_ref"))
 
 

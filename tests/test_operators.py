@@ -341,9 +341,19 @@ def test_plugins(spark):
 def test_lineage_and_deletions(spark):
     inv = "scope string, chunk_id string, content_hash string"
     prior, current = spark.createDataFrame([("s", "a", "1"), ("s", "b", "2")], inv), spark.createDataFrame([("s", "a", "2"), ("s", "b", "1"), ("s", "c", "3")], inv)
-    rows = [("s", "1", "reorder", ["a", "b"], ["a", "b"], 1.0, None), ("s", "2", "reorder", ["a"], ["c"], 1.0, "reorder_changes_content"), ("s", "3", "split", ["z"], ["a"], 1.0, "unknown_prior"), ("s", "4", "odd", [], [], 0.5, "kind"), ("s", "5", "merge", ["a"], ["a"], 2.0, "confidence")]
-    got = {r["assertion_id"]: r["code"] for r in ingest.check_lineage(spark.createDataFrame([r[:6] for r in rows], "scope string, assertion_id string, kind string, prior_ids array<string>, current_ids array<string>, confidence double"), prior, current).collect()}
-    assert got == {r[1]: r[6] for r in rows}
+    prior, current = (df.withColumn("ordinal", F.lit(0).cast("long")) for df in (prior, current))
+    at = lambda *names, n=0: [(x, n) for x in names]
+    row = lambda kind="move", p=at("a"), c=at("a"), status="asserted", basis="authored", authority="A", algorithm=None, version=None, confidence=1.0: (kind, status, p, c, basis, authority, algorithm, version, confidence)
+    cases = [
+        (row("reorder", at("a", "b"), at("b", "a")), None), (row("reorder", at("a"), at("c")), "reorder_changes_content"), (row("reorder", at("a"), at("c"), status="ambiguous"), None), (row("split", at("z"), at("a")), "unknown_prior"),
+        (row("split", at("z"), at("a"), status="unknown"), None), (row("join", at("a"), at("a", n=1)), "unknown_current"), (row("copy", at("a", n=1)), "unknown_prior"), (row("move", []), "empty_side"), (row("move", [], status="unknown"), None),
+        (row("merge"), "kind"), (row("rename"), "kind"), (row(None), "kind"), (row(status="sure"), "status"), (row(p=at("")), "reference"), (row(c=[("a", -1)]), "reference"), (row(p=None), "reference"), (row(confidence=2.0), "confidence"),
+        (row(confidence=None), None), (row(confidence=float("nan")), "confidence"), (row(authority=None), "provenance"), (row(algorithm="x", version="1"), "provenance"), (row(basis="algorithmic"), "provenance"),
+        (row(basis="algorithmic", authority=None, algorithm="x", version="1"), None), (row(basis="algorithmic", authority=None, algorithm="x"), "provenance"), (row(basis="unknown", authority=None), None), (row(basis="unknown"), "provenance"), (row(basis="guess"), "provenance"),
+    ]
+    shape = "scope string, assertion_id string, kind string, status string, prior_refs array<struct<chunk_id:string,ordinal:bigint>>, current_refs array<struct<chunk_id:string,ordinal:bigint>>, basis string, authority_ref string, algorithm_id string, algorithm_version string, confidence double"
+    told = ingest.check_lineage(spark.createDataFrame([("s", str(k), *r) for k, (r, _) in enumerate(cases)], shape), prior, current)
+    assert {int(r["assertion_id"]): r["code"] for r in told.collect()} == dict(enumerate(c for _, c in cases))
     delta = ingest.inventory_delta(prior, current)
     assert {(r["chunk_id"], r["change"]) for r in delta.collect()} == {("a", "updated"), ("b", "updated"), ("c", "added")}
     declared = spark.createDataFrame([("s", "a", "updated"), ("s", "c", "removed"), ("s", "q", "added")], "scope string, chunk_id string, change string")
@@ -353,6 +363,43 @@ def test_lineage_and_deletions(spark):
     authorities = spark.createDataFrame([("A", "p", "s", "absence")], "authority_ref string, producer_id string, scope string, mode string")
     removed = spark.createDataFrame([("s", "b")], "scope string, chunk_id string")
     assert [r["chunk_id"] for r in ingest.authorize_deletions(requests, authorities, removed, prior).collect()] == ["b"]
+    shared = spark.createDataFrame([("p", "s", "b"), ("q", "s", "x")], "producer_id string, scope string, chunk_id string")
+    assert [r["chunk_id"] for r in ingest.authorize_deletions(requests, authorities, shared, prior).collect()] == ["b"]  # not q's
+
+
+def test_deletions_are_decided_as_a_whole(spark):
+    """Each case: mode, status, targets, removed, prior, current, its authority's (producer, scope, mode, finalization, targets), code."""
+    grant = lambda mode="absence", targets=("b",), producer="p", scope="s", final="f": (producer, scope, mode, final, targets)
+    cases = [
+        ("absence", "complete", "b", "b", "ab", "a", grant(), None), ("absence", "partial", "b", "b", "ab", "a", grant(), "deletion"), ("absence", "complete", "b", "bc", "abc", "a", grant(), "deletion"), ("absence", "complete", "bz", "bz", "ab", "a", grant(targets="bz"), "deletion"),
+        ("absence", "complete", "b", "b", "ab", "a", grant(targets="ab"), "authority"), ("absence", "complete", "b", "b", "ab", "a", grant(targets="c"), "authority"), ("absence", "complete", "b", "b", "ab", "a", grant(producer="q"), "authority"), ("absence", "complete", "b", "b", "ab", "a", grant(scope="r"), "authority"),
+        ("absence", "complete", "b", "b", "ab", "a", grant("explicit_source"), "authority"), ("absence", "complete", "b", "b", "ab", "a", grant(final=None), "authority"), ("absence", "complete", "b", "b", "ab", "a", None, "authority"), ("absence", "complete", "", "", "ab", "ab", grant(targets=""), None),
+        ("explicit_source", "partial", "ab", "ab", "ab", "", grant("explicit_source", "ab"), None), ("explicit_source", "complete", "ab", "a", "ab", "b", grant("explicit_source", "ab"), "deletion"), ("explicit_source", "complete", "a", "ab", "ab", "", grant("explicit_source", "a"), "deletion"),
+        ("none", "complete", "", "b", "ab", "a", None, None), ("none", "complete", "b", "b", "ab", "a", None, "deletion"), ("odd", "complete", "", "", "", "", None, "deletion"), (None, "complete", "", "", "", "", None, "deletion"),
+    ]
+    key = "producer_id string, scope string, observation_id int, "
+    each = lambda k: spark.createDataFrame([("p", "s", n, c) for n, case in enumerate(cases) for c in (*case[k], *case[k][:1])], key + "chunk_id string")  # noqa: E731  one of them twice
+    observations = spark.createDataFrame([("p", "s", n, c[0], f"A{n}" if c[0] not in ("none", None) else None, c[1], "f") for n, c in enumerate(cases)], key + "mode string, authority_ref string, status string, finalization_ref string")
+    authorities = spark.createDataFrame([(f"A{n}", *c[6][:4]) for n, c in enumerate(cases) if c[6]], "authority_ref string, producer_id string, scope string, mode string, finalization_ref string")
+    granted = spark.createDataFrame([(f"A{n}", x) for n, c in enumerate(cases) if c[6] for x in c[6][4]], "authority_ref string, chunk_id string")
+    decided = ingest.decide_deletions(observations, each(2), each(3), each(4), each(5), authorities, granted)
+    assert {r["observation_id"]: r["code"] for r in decided.collect()} == {n: c[7] for n, c in enumerate(cases)}
+    dead = {(r["observation_id"], r["chunk_id"], r["authority_ref"]) for r in ingest.tombstones(decided, each(2)).collect()}
+    assert dead == {(0, "b", "A0"), (12, "a", "A12"), (12, "b", "A12")}
+
+
+def test_child_outputs_by_number_and_edits_without_a_place(spark):
+    text = "".join(f"```go\n{k}\n```\n" for k in range(2)) + "end\n"
+    lines = cutting.doc_lines(spark.createDataFrame([(1, text), (2, text.rstrip("\n"))], "doc_id int, text string"))
+    operations = cutting.embedded_surfaces(lines)
+    address = "document[0] > fenced_code_block[/code_fence/1]"
+    outputs = spark.createDataFrame([(d, k, address, f"out {k}") for d in (1, 2) for k in (9, 10, 2)], "doc_id int, output_index int, address string, output string")
+    plan, errors = cutting.resolve_child_outputs(operations, outputs)
+    got = {r["doc_id"]: r["text"] for r in cutting.apply_child_outputs(lines, plan).collect()}
+    assert errors.count() == 0 and got[1] == "```go\n0\n```\n```go\nout 10\n```\nend\n" and got[2] == got[1].rstrip("\n")
+    docs = spark.createDataFrame([(1, "abc"), (2, "abc")], "doc_id int, text string")
+    edits = spark.createDataFrame([(1, None, 1, "x"), (2, 0, None, "x")], "doc_id int, start_byte long, end_byte long, replacement string")
+    assert [(r["text"], r["error"]) for r in cutting.apply_edits(docs, edits).collect()] == [(None, "range")] * 2
 
 
 def test_sequence_changes(spark):
