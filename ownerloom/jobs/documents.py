@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ownerloom.jobs.demo_data import table
 from ownerloom.jobs.texts import _BLOCKS
-from ownerloom.operators import cutting, documents
+from ownerloom.operators import cutting, documents, merging
 
 #: Members of three revisions of an event, in SQL that Spark and DuckDB both run; null where a revision has none.
 _MEMBERS = {
@@ -84,14 +84,26 @@ _ELEMENT = """concat('{"id":', k, ',"t":"', y, '"}')"""
 
 def json_array_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as arrays of objects with an id: what two tips of an array can not both have."""
+    out = documents.array_conflicts(_arrays(spark, sf_dir))
+    return out.select("doc_id", F.col("base_index").cast("long").alias("base_index"), "category", *[F.md5(s).alias(s) for s in ("b", "o", "t")])
+
+
+def match_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of base's and ours' arrays of each conversation, by id and then by aliases."""
+    arrays = _arrays(spark, sf_dir).withColumnRenamed("doc_id", "case_id")
+    out = merging.match_identities(documents.array_nodes(arrays, "b"), documents.array_nodes(arrays, "o"))
+    return out.select("case_id", *[F.col(c).cast("long").alias(c) for c in ("template_pos", "destination_pos")])
+
+
+def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, path and three revisions b, o, t of each conversation as a JSON array; conversations that have all three."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("c"), F.col("turn").alias("k"), F.md5("text").alias("x"))
     whole = None
     for side, (keep, text, place) in _ELEMENTS.items():
         rows = turns.where(keep).select("c", F.expr(place).alias("place"), "k", F.expr(text).alias("y")).withColumn("e", F.expr(_ELEMENT))
         texts = rows.groupBy("c").agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "e"))), lambda r: r.e), ","), F.lit("]")).alias(side))
         whole = texts if whole is None else whole.join(texts, "c")
-    out = documents.array_conflicts(whole.select(F.col("c").alias("doc_id"), F.lit("/turns").alias("path"), "b", "o", "t"))
-    return out.select("doc_id", F.col("base_index").cast("long").alias("base_index"), "category", *[F.md5(s).alias(s) for s in ("b", "o", "t")])
+    return whole.select(F.col("c").alias("doc_id"), F.lit("/turns").alias("path"), "b", "o", "t")
 
 
 def _side_sql(side: str) -> str:
@@ -106,6 +118,8 @@ def _aligned_sql(side: str) -> str:
 {side}3 AS (SELECT * FROM {side} WHERE NOT EXISTS (SELECT 1 FROM {side}2 m WHERE m.c = {side}.c AND m.si = {side}.i))"""
 
 
+_IDENTITIES_SQL = f"""WITH v AS (SELECT conv_id AS c, turn AS k, md5(text) AS x FROM conversations), {_side_sql("b")}, {_side_sql("o")}, {_side_sql("t")}, {_aligned_sql("o")}
+SELECT c AS case_id, bi AS template_pos, si AS destination_pos FROM o2 JOIN (SELECT c FROM b INTERSECT SELECT c FROM o INTERSECT SELECT c FROM t) USING (c)"""
 _ARRAYS_SQL = f"""WITH v AS (SELECT conv_id AS c, turn AS k, md5(text) AS x FROM conversations), {_side_sql("b")}, {_side_sql("o")}, {_side_sql("t")}, {_aligned_sql("o")}, {_aligned_sql("t")},
 has AS (SELECT c FROM b INTERSECT SELECT c FROM o INTERSECT SELECT c FROM t),
 n1 AS (SELECT o3.c, o3.i AS oi, t3.i AS ti, o3.e AS oe, t3.e AS te FROM o3 JOIN t3 ON o3.c = t3.c AND o3.k = t3.k),
@@ -179,5 +193,5 @@ w AS (SELECT *, CASE WHEN nb = 0 OR no = 0 OR nt = 0 THEN 'missing' WHEN os = ts
 SELECT c AS case_id, CASE WHEN why IN ('order', 'section') THEN 'conflict' ELSE 'clean' END AS outcome, why, CASE why WHEN 'whole_source_ours' THEN md5(ot) WHEN 'whole_source_theirs' THEN md5(tt) WHEN 'merged' THEN md5(merged) END AS digest FROM w"""
 
 
-QUERIES = {f.__name__: f for f in (merge_json_three_way, merge_json_documents, json_array_conflicts, merge_mapping_two_way, match_text, match_text_exact, merge_text, merge_markdown_three_way)}
-SQL = {"merge_json_three_way": _THREE_SQL, "merge_json_documents": _DOCUMENTS_SQL, "json_array_conflicts": _ARRAYS_SQL, "merge_mapping_two_way": _TWO_SQL, "match_text_exact": _EXACT_SQL, "merge_markdown_three_way": _MARKDOWN_SQL}
+QUERIES = {f.__name__: f for f in (merge_json_three_way, merge_json_documents, json_array_conflicts, match_identities, merge_mapping_two_way, match_text, match_text_exact, merge_text, merge_markdown_three_way)}
+SQL = {"merge_json_three_way": _THREE_SQL, "merge_json_documents": _DOCUMENTS_SQL, "json_array_conflicts": _ARRAYS_SQL, "match_identities": _IDENTITIES_SQL, "merge_mapping_two_way": _TWO_SQL, "match_text_exact": _EXACT_SQL, "merge_markdown_three_way": _MARKDOWN_SQL}

@@ -7,6 +7,7 @@ level without a shuffle: a row that is not settled explodes into its members, wh
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -239,19 +240,26 @@ def match_text(template: DataFrame, destination: DataFrame, threshold: float = s
     near = near.withColumn("edits", F.expr("levenshtein(template_index_text, destination_index_text, most)")).where("edits >= 0")
     scored = near.select("case_id", "template_index", "destination_index", scalars.refined_similarity(*given, edits=F.col("edits")).alias("score")).where(F.col("score") >= threshold)
 
-    def greedy(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        rows = rows.sort_values(["destination_index", "score", "template_index"], ascending=[True, False, True])
-        for index, part in rows.groupby("destination_index", sort=True):
-            for template_index, score in zip(part.template_index, part.score, strict=True):
-                if template_index not in used:
-                    used.add(template_index)
-                    out.append((key[0], template_index, index, "refined", score))
-                    break
-        return pd.DataFrame(out, columns=["case_id", "template_index", "destination_index", "phase", "score"])
-
-    kind = dict(template.dtypes)["case_id"]
-    refined = scored.groupBy("case_id").applyInPandas(greedy, f"case_id {kind}, template_index int, destination_index int, phase string, score double")
+    kind = pa.list_(pa.struct([("template_index", pa.int32()), ("destination_index", pa.int32()), ("score", pa.float64())]))
+
+    @F.arrow_udf("array<struct<template_index:int,destination_index:int,score:double>>")
+    def greedy(pairs: pa.Array) -> pa.Array:
+        """Of each case's pairs, by destination, falling score and template: the first free template of each destination."""
+        out = []
+        for found in pairs:
+            rows = found.values
+            used, done, chosen = set(), None, []
+            for d, score, t in zip(*(rows.field(k).to_pylist() for k in range(3)), strict=True):
+                if d != done and t not in used:
+                    used.add(t)
+                    done = d
+                    chosen.append({"template_index": t, "destination_index": d, "score": -score})
+            out.append(chosen)
+        return pa.array(out, kind)
+
+    # Many small cases share a batch; a case's pairs are in order before they are listed.
+    pairs = scored.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct(F.col("destination_index").cast("int").alias("d"), (-F.col("score")).alias("s"), F.col("template_index").cast("int").alias("t")))).alias("pairs"))
+    refined = pairs.select("case_id", F.inline(greedy("pairs"))).select("case_id", "template_index", "destination_index", F.lit("refined").alias("phase"), "score")
     return exact.select("case_id", "template_index", "destination_index", F.lit("exact").alias("phase"), F.lit(1.0).alias("score")).unionByName(refined)
 
 
