@@ -74,6 +74,63 @@ def check_envelope(observations: DataFrame, schema: str, required: tuple[str, ..
     return rows.select("observation_key", code.alias("code"))
 
 
+#: What an embedding contract consists of, the enumeration of a scope, what a scan may say of itself.
+EMBEDDING_FIELDS = ("owner", "model_ref", "model_revision", "dimensions", "normalization", "instruction_profile")
+ENUMERATION = "document-chunks"
+SCAN_STATUS = ("complete", "partial", "interrupted", "unknown")
+
+
+def check_context(observations: DataFrame, contexts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Payloads against the context that receives them -> observation_key, context_id, code: the first fault in the order embedding, producer,
+    scope, identity, fields (extensions), time (of processing), scan, scope (enumerated), evidence or scan (finalization), evidence; null
+    if all holds.
+
+    observations: observation_key, context_id, payload_json, which check_envelope() has passed. contexts: context_id, producer_id, scope_json; an
+    observation of an unknown context has the code scope, of a context that stands twice with other values as well. evidence: context_id,
+    evidence_ref. An embedding contract is optional; a scope has exactly the context's members. A complete scan needs a finalization that is
+    evidence there, any other has none. Null, missing and wrongly typed members are faults of their part.
+
+    Fields are cut from the payload in place. What is shuffled are references, one row each, against the evidence, and narrow rows;
+    repeated observations that are equal share one answer."""
+    at = lambda path: F.expr(f"variant_get(v, '$.{path}', 'variant')")
+    kind = lambda path: F.schema_of_variant(at(path))
+    text = lambda path: F.when(kind(path) == "STRING", F.expr(f"try_variant_get(v, '$.{path}', 'string')"))
+    is_object = lambda path: F.coalesce(F.startswith(kind(path), F.lit("OBJECT")), F.lit(False))
+    names = lambda path: F.map_keys(F.expr(f"try_variant_get(v, '$.{path}', 'map<string,variant>')"))
+    named = lambda path: F.coalesce(text(path) != "", F.lit(False))
+    none_or_named = lambda path: F.coalesce(kind(path) == "VOID", F.lit(False)) | named(path)
+    every = lambda test, paths: F.forall(F.array(*[test(p) for p in paths]), lambda x: x)
+
+    key = F.sha2(F.to_json(F.struct("observation_key", "context_id", "payload_json")), 256)
+    rows = observations.select("observation_key", "context_id", "payload_json").withColumn("k", key).withColumn("v", F.try_parse_json("payload_json"))
+    exact = is_object("embedding_contract") & (F.size(names("embedding_contract")) == len(EMBEDDING_FIELDS)) & (F.size(F.array_intersect(names("embedding_contract"), F.array(*[F.lit(c) for c in EMBEDDING_FIELDS]))) == len(EMBEDDING_FIELDS))
+    whole = F.coalesce((kind("embedding_contract.dimensions") == "BIGINT") & (F.expr("try_variant_get(v, '$.embedding_contract.dimensions', 'bigint')") > 0), F.lit(False))
+    embedding = exact & every(named, ("embedding_contract.owner", "embedding_contract.model_ref")) & every(none_or_named, [f"embedding_contract.{c}" for c in ("model_revision", "normalization", "instruction_profile")]) & (F.coalesce(kind("embedding_contract.dimensions") == "VOID", F.lit(False)) | whole)
+    times = F.expr("try_variant_get(v, '$.times', 'map<string,string>')")
+    odd_time = F.exists(F.map_entries(times), lambda e: ~((e["key"] == "source_at") & e["value"].isNull()) & ~F.coalesce(is_rfc3339_utc(e["value"]), F.lit(False)))
+    refs = F.expr("try_variant_get(v, '$.evidence_refs', 'array<string>')")
+    refs_are_texts = F.coalesce(kind("evidence_refs").isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False)) & ~F.exists(refs, lambda r: r.isNull() | (r == ""))
+    status, finalization, checkpoint = text("scan.status"), text("scan.finalization_ref"), text("scan.checkpoint_ref")
+    own = F.when(at("embedding_contract").isNotNull() & ~F.coalesce(embedding, F.lit(False)), "embedding").when(~is_object("producer"), "producer").when(~is_object("scope"), "scope").when(~every(named, [f"producer.{c}" for c in ("id", "version", "contract_ref")]), "producer").when(~every(named, [f"scope.{c}" for c in ("workspace_id", "source_id", "document_id", "enumeration")]) | (text("scope.enumeration") != ENUMERATION), "scope")
+    later = (
+        F.when(~named("observation_id") | ~named("revision_ref") | F.coalesce(text("source_revision_ref") == "", F.lit(False)) | F.coalesce(text("expected_prior_revision_ref") == "", F.lit(False)), "identity")
+        .when(~is_object("extensions") | F.exists(names("extensions"), lambda n: ~F.contains(n, F.lit(":"))), "fields").when(~is_object("times") | F.coalesce(odd_time, F.lit(False)), "time")
+        .when(~F.coalesce(status.isin(*SCAN_STATUS), F.lit(False)), "scan").when(~F.to_json(at("scan.enumerated_scope")).eqNullSafe(F.to_json(at("scope"))), "scope")
+        .when((status == "complete") & finalization.isNull(), "evidence").when((status != "complete") & finalization.isNotNull(), "scan").when(~refs_are_texts, "evidence")
+    )
+    narrow = rows.select("observation_key", "context_id", "k", F.coalesce(own, F.lit("")).alias("own"), F.coalesce(later, F.lit("")).alias("later"), text("producer.id").alias("p"), F.to_json(at("scope")).alias("s"), F.array_compact(F.array_append(F.array_append(F.coalesce(refs, F.array().cast("array<string>")), finalization), checkpoint)).alias("refs"))
+
+    there = evidence.select("context_id", "evidence_ref").distinct().withColumn("there", F.lit(True))
+    # explode_outer: a filter on the references would be pushed below the parsed payload and parse it for each of its uses.
+    given = narrow.select("k", "context_id", F.explode_outer(F.array_distinct("refs")).alias("evidence_ref"))
+    unknown = given.where("evidence_ref IS NOT NULL").join(there, ["context_id", "evidence_ref"], "left").where("there IS NULL").select("k").distinct().withColumn("unknown", F.lit(True))
+    told = contexts.select("context_id", "producer_id", F.to_json(F.try_parse_json("scope_json")).alias("told")).groupBy("context_id").agg(F.min("producer_id").alias("lo"), F.max("producer_id").alias("hi"), F.min("told").alias("told"), F.max("told").alias("told_hi"))
+    out = narrow.join(told, "context_id", "left").join(unknown, "k", "left")
+    fits = (F.col("lo") == F.col("hi")) & (F.col("told") == F.col("told_hi")) & (F.col("lo") == F.col("p")) & (F.col("told") == F.col("s"))
+    code = F.when(F.col("own") != "", F.col("own")).when(~F.coalesce(fits, F.lit(False)), "scope").when(F.col("later") != "", F.col("later")).when(F.col("unknown"), "evidence")
+    return out.select("observation_key", "context_id", code.alias("code"))
+
+
 #: What an assertion of lineage may say of itself.
 LINEAGE_KINDS = ("move", "copy", "split", "join", "reorder")
 LINEAGE_STATUS = ("asserted", "ambiguous", "unknown")
