@@ -78,6 +78,11 @@ def check_envelope(observations: DataFrame, schema: str, required: tuple[str, ..
 EMBEDDING_FIELDS = ("owner", "model_ref", "model_revision", "dimensions", "normalization", "instruction_profile")
 ENUMERATION = "document-chunks"
 SCAN_STATUS = ("complete", "partial", "interrupted", "unknown")
+#: Members of a payload that check_context() reads.
+MEMBERS = (
+    "producer", "producer.id", "producer.version", "producer.contract_ref", "scope", "scope.workspace_id", "scope.source_id", "scope.document_id", "scope.enumeration", "observation_id", "revision_ref", "source_revision_ref",
+    "expected_prior_revision_ref", "extensions", "times", "scan.status", "scan.enumerated_scope", "scan.finalization_ref", "scan.checkpoint_ref", "evidence_refs", "embedding_contract", *(f"embedding_contract.{c}" for c in EMBEDDING_FIELDS),
+)
 
 
 def check_context(observations: DataFrame, contexts: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -92,9 +97,7 @@ def check_context(observations: DataFrame, contexts: DataFrame, evidence: DataFr
 
     Fields are cut from the payload in place. What is shuffled are references, one row each, against the evidence, and narrow rows;
     repeated observations that are equal share one answer."""
-    at = lambda path: F.expr(f"variant_get(v, '$.{path}', 'variant')")
-    kind = lambda path: F.schema_of_variant(at(path))
-    text = lambda path: F.when(kind(path) == "STRING", F.expr(f"try_variant_get(v, '$.{path}', 'string')"))
+    at, kind, text = (lambda path, of=of: F.col(f"{of}_{path.replace('.', '_')}") for of in ("at", "kind", "text"))
     is_object = lambda path: F.coalesce(F.startswith(kind(path), F.lit("OBJECT")), F.lit(False))
     names = lambda path: F.map_keys(F.expr(f"try_variant_get(v, '$.{path}', 'map<string,variant>')"))
     named = lambda path: F.coalesce(text(path) != "", F.lit(False))
@@ -103,6 +106,10 @@ def check_context(observations: DataFrame, contexts: DataFrame, evidence: DataFr
 
     key = F.sha2(F.to_json(F.struct("observation_key", "context_id", "payload_json")), 256)
     rows = observations.select("observation_key", "context_id", "payload_json").withColumn("k", key).withColumn("v", F.try_parse_json("payload_json"))
+    # Each member is cut, typed and read once, as a column of its own.
+    column = lambda of, path: f"{of}_{path.replace('.', '_')}"
+    rows = rows.withColumns({column("at", p): F.expr(f"variant_get(v, '$.{p}', 'variant')") for p in MEMBERS}).withColumns({column("kind", p): F.schema_of_variant(at(p)) for p in MEMBERS})
+    rows = rows.withColumns({column("text", p): F.when(kind(p) == "STRING", F.expr(f"try_variant_get({column('at', p)}, '$', 'string')")) for p in MEMBERS})
     exact = is_object("embedding_contract") & (F.size(names("embedding_contract")) == len(EMBEDDING_FIELDS)) & (F.size(F.array_intersect(names("embedding_contract"), F.array(*[F.lit(c) for c in EMBEDDING_FIELDS]))) == len(EMBEDDING_FIELDS))
     whole = F.coalesce((kind("embedding_contract.dimensions") == "BIGINT") & (F.expr("try_variant_get(v, '$.embedding_contract.dimensions', 'bigint')") > 0), F.lit(False))
     embedding = exact & every(named, ("embedding_contract.owner", "embedding_contract.model_ref")) & every(none_or_named, [f"embedding_contract.{c}" for c in ("model_revision", "normalization", "instruction_profile")]) & (F.coalesce(kind("embedding_contract.dimensions") == "VOID", F.lit(False)) | whole)
