@@ -1,4 +1,4 @@
-"""Queries over observations and the contexts that receive them, and their SQL."""
+"""Queries over observations and the contexts that receive them, over the tables of benchmark runs, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ownerloom.jobs.demo_data import table
-from ownerloom.operators import ingest
+from ownerloom.operators import ingest, reports
 
 #: A payload of event e of user u, in SQL that Spark and DuckDB both run; each part is wrong for some numbers.
 _SCOPE = """concat('{"workspace_id":"w', u % 3, '","source_id":"s","document_id":"d', u, '","enumeration":"document-chunks"}')"""
@@ -54,5 +54,40 @@ SELECT e AS observation_key, u AS context_id, CASE
   WHEN status = 'complete' AND (fin IS NULL OR NOT list_contains(known, fin)) THEN 'evidence' WHEN status <> 'complete' AND fin IS NOT NULL THEN 'scan' WHEN cp IS NOT NULL AND NOT list_contains(known, cp) THEN 'evidence'
   WHEN NOT coalesce(json_type(j, '$.evidence_refs') = 'ARRAY', false) OR len(list_filter(refs, lambda r: json_type(r) <> 'VARCHAR' OR r ->> '$' = '' OR NOT list_contains(known, r ->> '$'))) > 0 THEN 'evidence' END AS code FROM p"""
 
-QUERIES = {"check_context": check_context}
-SQL = {"check_context": _CONTEXT_SQL}
+#: Benchmark tables of orders and line items, in SQL that Spark and DuckDB both run.
+_BENCHMARK = {
+    "cases": "SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 3 = 0 THEN 'metamorphic' ELSE 'merge' END AS operation, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey - 1 END AS parent_case_id FROM orders WHERE o_orderkey % 9 <> 1",
+    "runs": "SELECT DISTINCT p_partkey % 4 AS run_id FROM part",
+    "adapters": "SELECT DISTINCT p_partkey % 4 AS run_id, p_partkey % 12 AS adapter_id FROM part",
+    "selections": "SELECT l_suppkey % 4 AS run_id, l_orderkey AS case_id, CASE WHEN l_linenumber % 5 = 0 THEN 'excluded' ELSE 'selected' END AS side FROM lineitem",
+    "results": "SELECT l_suppkey % 5 AS run_id, l_orderkey * 10 + l_linenumber % 6 AS result_id, l_orderkey AS case_id, l_partkey % 12 AS adapter_id FROM lineitem WHERE l_orderkey % 8 <> 0",
+    "reported": "SELECT l_suppkey % 5 AS run_id, l_orderkey * 10 + l_linenumber % 6 AS result_id FROM lineitem WHERE l_partkey % 11 <> 0",
+}
+
+
+def check_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = {name: table(spark, sf_dir, name) for name in ("orders", "part", "lineitem")}
+
+    def run(sql: str) -> DataFrame:
+        name = sql.split("FROM ")[1].split()[0]
+        return spark.sql(sql.replace(f"FROM {name}", f"FROM {{{name}}}"), **{name: given[name]})
+
+    return reports.check_benchmark(*[run(sql) for sql in _BENCHMARK.values()])
+
+
+_BENCHMARK_SQL = f"""WITH {", ".join(f"{name} AS ({sql})" for name, sql in _BENCHMARK.items())},
+v AS (SELECT NULL AS run_id, case_id AS id, 'dangling_parent' AS violation, count(*) AS n FROM cases WHERE operation = 'metamorphic' AND (parent_case_id IS NULL OR parent_case_id NOT IN (SELECT case_id FROM cases)) GROUP BY case_id
+UNION ALL SELECT run_id, case_id, 'duplicate_' || side, count(*) FROM selections GROUP BY run_id, case_id, side HAVING count(*) > 1
+UNION ALL SELECT run_id, case_id, 'overlap', count(*) FROM selections GROUP BY run_id, case_id HAVING count(DISTINCT side) = 2
+UNION ALL SELECT run_id, case_id, 'dangling_selection', count(*) FROM selections WHERE case_id NOT IN (SELECT case_id FROM cases) GROUP BY run_id, case_id
+UNION ALL SELECT run_id, NULL, 'dangling_run', count(*) FROM results WHERE run_id NOT IN (SELECT run_id FROM runs) GROUP BY run_id
+UNION ALL SELECT run_id, adapter_id, 'dangling_adapter', count(*) FROM results WHERE (run_id, adapter_id) NOT IN (SELECT (run_id, adapter_id) FROM adapters) GROUP BY run_id, adapter_id
+UNION ALL SELECT run_id, case_id, 'dangling_result_case', count(*) FROM results WHERE case_id NOT IN (SELECT case_id FROM cases) GROUP BY run_id, case_id
+UNION ALL SELECT run_id, result_id, 'duplicate_result', count(*) FROM results GROUP BY run_id, result_id HAVING count(*) > 1
+UNION ALL SELECT run_id, result_id, 'duplicate_reported', count(*) FROM reported GROUP BY run_id, result_id HAVING count(*) > 1
+UNION ALL SELECT run_id, result_id, 'unreported', count(*) FROM results ANTI JOIN reported USING (run_id, result_id) GROUP BY run_id, result_id
+UNION ALL SELECT run_id, result_id, 'unknown_reported', count(*) FROM reported ANTI JOIN results USING (run_id, result_id) GROUP BY run_id, result_id)
+SELECT run_id::VARCHAR AS run_id, id::VARCHAR AS id, violation, n FROM v"""
+
+QUERIES = {"check_context": check_context, "check_benchmark": check_benchmark}
+SQL = {"check_context": _CONTEXT_SQL, "check_benchmark": _BENCHMARK_SQL}

@@ -135,6 +135,50 @@ def check_references(cases: DataFrame, results: DataFrame) -> DataFrame:
     return twice.unionByName(dangling).unionByName(missing)
 
 
+def check_benchmark(cases: DataFrame, runs: DataFrame, adapters: DataFrame, selections: DataFrame, results: DataFrame, reported: DataFrame) -> DataFrame:
+    """The references between tables of benchmark runs -> run_id, id, violation, n (rows at fault).
+
+    cases: case_id, operation, parent_case_id; runs: run_id; adapters: run_id, adapter_id; selections: run_id, case_id, side (selected or
+    excluded); results: run_id, result_id, case_id, adapter_id; reported: run_id, result_id.
+
+    A case that is metamorphic has a parent among the cases (dangling_parent). In a run no case is selected twice or excluded twice
+    (duplicate_selected, duplicate_excluded) or both (overlap), and both name cases (dangling_selection). Results name a run
+    (dangling_run, id null), one of its adapters (dangling_adapter) and a case (dangling_result_case). A run's report names each result
+    once and no other (duplicate_result, duplicate_reported, unreported, unknown_reported). A null reference is a dangling one.
+
+    Rows are counted by what they name before they meet it, so a run with most of the rows is one small row at the joins."""
+    text = lambda c: F.col(c).cast("string")
+    told = lambda df, name, run, id_, n: df.select(run.alias("run_id"), id_.alias("id"), F.lit(name).alias("violation"), n.cast("long").alias("n"))
+    none = F.lit(None).cast("string")
+
+    def lacking(named: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
+        return named.join(known.select(*columns).distinct(), columns, "left_anti")
+
+    def several(pairs: DataFrame, id_: str, tests: dict) -> DataFrame:
+        """A row for each violation that a counted pair shows; tests: name -> (condition, number of rows)."""
+        found = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(name).alias("violation"), n.cast("long").alias("n"))) for name, (test, n) in tests.items()]))
+        return pairs.select(text("run_id").alias("run_id"), text(id_).alias("id"), F.explode(found).alias("f")).select("run_id", "id", "f.violation", "f.n")
+
+    known = cases.select("case_id")
+    children = cases.where("operation = 'metamorphic'").select("case_id", F.col("parent_case_id").alias("parent"))
+    orphans = lacking(children, known.select(F.col("case_id").alias("parent")), ["parent"]).groupBy("case_id").agg(F.count("*").alias("n"))
+    side = lambda s: F.count_if(F.col("side") == s).alias(s)
+    chosen = selections.groupBy("run_id", "case_id").agg(side("selected"), side("excluded"), F.count("*").alias("n"))
+    s, x = F.col("selected"), F.col("excluded")
+    choices = several(chosen, "case_id", {"duplicate_selected": (s > 1, s), "duplicate_excluded": (x > 1, x), "overlap": ((s > 0) & (x > 0), s + x)})
+    both = results.select("run_id", "result_id", F.lit(1).alias("r"), F.lit(0).alias("p")).unionByName(reported.select("run_id", "result_id", F.lit(0).alias("r"), F.lit(1).alias("p")))
+    r, p = F.col("r"), F.col("p")
+    covered = several(both.groupBy("run_id", "result_id").agg(F.sum("r").alias("r"), F.sum("p").alias("p")), "result_id", {"duplicate_result": (r > 1, r), "duplicate_reported": (p > 1, p), "unreported": (p == 0, r), "unknown_reported": (r == 0, p)})
+    of_run = results.groupBy("run_id", "adapter_id").agg(F.count("*").alias("n"))
+    of_case = results.groupBy("run_id", "case_id").agg(F.count("*").alias("n"))
+    lost = lacking(of_run, runs, ["run_id"]).groupBy("run_id").agg(F.sum("n").alias("n"))
+    return (
+        told(orphans, "dangling_parent", none, text("case_id"), F.col("n")).unionByName(choices).unionByName(told(lacking(chosen, known, ["case_id"]), "dangling_selection", text("run_id"), text("case_id"), F.col("n")))
+        .unionByName(told(lost, "dangling_run", text("run_id"), none, F.col("n"))).unionByName(told(lacking(of_run, adapters, ["run_id", "adapter_id"]), "dangling_adapter", text("run_id"), text("adapter_id"), F.col("n")))
+        .unionByName(told(lacking(of_case, known, ["case_id"]), "dangling_result_case", text("run_id"), text("case_id"), F.col("n"))).unionByName(covered)
+    )
+
+
 def select_cases(cases: DataFrame, profiles: DataFrame) -> DataFrame:
     """cases (case_id, family, backend, dialect, policies) with messages why a family's profile cannot run them."""
     rows = cases.join(profiles, "family", "left")

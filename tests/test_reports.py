@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import json
 
-import pytest
-
-from ownerloom.operators import ingest
+from ownerloom.operators import ingest, reports
 
 SCOPE = {"workspace_id": "w", "source_id": "s", "document_id": "d", "enumeration": "document-chunks"}
 PAYLOAD = {
@@ -47,3 +45,32 @@ def test_context_odd_rows(spark):
     got = sorted((r["observation_key"] or "", r["code"] or "") for r in ingest.check_context(rows, *contexts(spark)).collect())
     assert got == [("", ""), ("", ""), ("", "evidence"), ("a", "scope"), ("b", "scope"), ("d", "scope"), ("e", "producer"), ("f", "producer")]
     assert ingest.check_context(rows.limit(0), *contexts(spark)).count() == 0
+
+
+def benchmark(spark, **rows):
+    schemas = {
+        "cases": "case_id string, operation string, parent_case_id string, run_id int", "runs": "run_id string", "adapters": "run_id string, adapter_id string", "selections": "run_id string, case_id string, side string",
+        "results": "run_id string, result_id string, case_id string, adapter_id string, n int", "reported": "run_id string, result_id string",
+    }
+    given = {name: spark.createDataFrame(rows.get(name, []), schema) for name, schema in schemas.items()}
+    return sorted((r["run_id"] or "", r["id"] or "", r["violation"], r["n"]) for r in reports.check_benchmark(**given).collect())
+
+
+def test_benchmark_references(spark):
+    """Each violation alone, null references, repeated rows, tables with further columns of clashing names; sound and empty tables."""
+    sound = {
+        "cases": [("a", "merge", None, 1), ("b", "metamorphic", "a", 1)], "runs": [("r",)], "adapters": [("r", "x")], "selections": [("r", "a", "selected"), ("r", "b", "excluded")],
+        "results": [("r", "1", "a", "x", 5)], "reported": [("r", "1")],
+    }
+    assert benchmark(spark) == []
+    assert benchmark(spark, **sound) == []
+    faulty = {
+        "cases": sound["cases"] + [("c", "metamorphic", None, 1), ("d", "metamorphic", "z", 1)], "runs": sound["runs"], "adapters": sound["adapters"],
+        "selections": sound["selections"] + [("r", "a", "selected"), ("r", "a", "excluded"), ("r", "z", "selected"), ("r", None, "excluded"), ("q", "b", "excluded"), ("q", "b", "excluded")],
+        "results": sound["results"] * 2 + [("r", "2", "a", "y", 5), ("s", "3", "z", "x", 5), ("r", "4", None, None, 5)], "reported": sound["reported"] + [("r", "2"), ("r", "2"), ("r", "9"), ("s", "3")],
+    }
+    assert benchmark(spark, **faulty) == sorted([
+        ("", "c", "dangling_parent", 1), ("", "d", "dangling_parent", 1), ("r", "a", "duplicate_selected", 2), ("r", "a", "overlap", 3), ("q", "b", "duplicate_excluded", 2), ("r", "z", "dangling_selection", 1),
+        ("r", "", "dangling_selection", 1), ("s", "", "dangling_run", 1), ("s", "x", "dangling_adapter", 1), ("r", "y", "dangling_adapter", 1), ("r", "", "dangling_adapter", 1), ("s", "z", "dangling_result_case", 1),
+        ("r", "", "dangling_result_case", 1), ("r", "1", "duplicate_result", 2), ("r", "2", "duplicate_reported", 2), ("r", "4", "unreported", 1), ("r", "9", "unknown_reported", 1),
+    ])
