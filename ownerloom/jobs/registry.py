@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that each offer QUERIES (name -> callable) and SQL (name -> text).
-MODULES: tuple[str, ...] = ("revisions", "texts", "evaluation", "documents", "comments", "acceptance")
+MODULES: tuple[str, ...] = ("revisions", "texts", "evaluation", "documents", "comments", "acceptance", "layout")
 
 
 def _gather(what: str) -> dict:
