@@ -42,14 +42,15 @@ def source_faults(sources: DataFrame, owners: DataFrame) -> DataFrame:
     return rows.withColumn("fault", fault).where("fault IS NOT NULL").groupBy(*_SOURCE).agg(F.min_by("fault", "nth").alias("fault"))
 
 
-def source_pieces(sources: DataFrame, owners: DataFrame) -> DataFrame:
+def source_pieces(sources: DataFrame, owners: DataFrame, faults: DataFrame | None = None) -> DataFrame:
     """Every source as a chain of pieces: case_id, role, pos (from 0), owner_id, fingerprint, gap_start, start_byte, end_byte, gap, text, the
     parts of the gap (rest, between, indent), line_rest, shares_line and torn. The last piece has the suffix as its gap and no owner.
 
     rest belongs to the line that the owner above ends on, indent to the line that this owner begins on, between is what lies on
     lines without an owner; line_rest is the rest of the owner's own last line. shares_line: two owners on one line. torn: a place within a
-    character. Sources with faults are left out; fingerprint is the digest of the text where owners bring none."""
-    good = sources.join(source_faults(sources, owners).select(*_SOURCE), _SOURCE, "left_anti")
+    character. Sources with faults (source_faults(), if not given) are left out; fingerprint is the digest of the text where owners bring none."""
+    faults = source_faults(sources, owners) if faults is None else faults
+    good = sources.join(faults.select(*_SOURCE), _SOURCE, "left_anti")
     size = good.select(*_SOURCE, F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
     printed = F.col("fingerprint").cast("string") if "fingerprint" in owners.columns else F.lit(None).cast("string")
     spans = owners.select(*_SOURCE, "owner_id", printed.alias("fingerprint"), F.col("start_byte").cast("long"), F.col("end_byte").cast("long"))
@@ -150,12 +151,13 @@ def merge_with_layout(sources: DataFrame, owners: DataFrame) -> tuple[DataFrame,
     segments of clean cases: case_id, ordinal (from 0), revision, owner_id (null: a gap or a whole source), src_start, src_end, out_start,
     out_end (bytes), sha256, text. Gaps come from the baseline, owners from the chosen revision, and what theirs adds to ours
     follows as whole lines in theirs' order. Empty pieces are no segments. Null texts count as empty."""
-    pieces = written(source_pieces(sources, owners), "pieces")
+    misfits = written(source_faults(sources, owners), "faults")
+    pieces = written(source_pieces(sources, owners, misfits), "pieces")
     torn = pieces.where("torn").select(*_SOURCE, F.lit("owner_range").alias("fault"))
     rank = F.when(F.col("role") == "base", 0).when(F.col("role") == "ours", 1).otherwise(2)
-    faults = source_faults(sources, owners).unionByName(torn).groupBy("case_id").agg(F.min_by("fault", rank).alias("fault"))
-    whole = _whole(sources)
-    open_cases = whole.where("NOT missing AND whole IS NULL").join(faults, "case_id", "left_anti").select("case_id")
+    faults = misfits.unionByName(torn).groupBy("case_id").agg(F.min_by("fault", rank).alias("fault"))
+    state = written(_whole(sources).join(faults, "case_id", "left"), "state")
+    open_cases = state.where("NOT missing AND fault IS NULL AND whole IS NULL").select("case_id")
     pieces_open = pieces.join(open_cases, "case_id", "left_semi")
     decisions = written(three_way_classify(pieces_open.where("owner_id IS NOT NULL").withColumn("path", F.lit(None).cast("string"))).drop("alternatives"), "decisions")
     member = written(_membership(decisions), "membership")
@@ -164,7 +166,7 @@ def merge_with_layout(sources: DataFrame, owners: DataFrame) -> tuple[DataFrame,
     plan = member.select("*", baseline.alias("baseline"), (~kept("ours") & ~kept("theirs")).alias("additions"))
     changed = plan.where("conflicts = 0 AND changed > 0 AND baseline IS NOT NULL")
     rendered = _render_faults(pieces_open, decisions, changed).withColumn("bad_render", F.lit(True))
-    judged = whole.join(faults, "case_id", "left").join(plan, "case_id", "left").join(_layout(pieces_open, decisions, member), "case_id", "left").join(rendered, "case_id", "left")
+    judged = state.join(plan, "case_id", "left").join(_layout(pieces_open, decisions, member), "case_id", "left").join(rendered, "case_id", "left")
     why = (
         F.when(F.col("missing"), "missing_revision").when(F.col("fault").isNotNull(), F.col("fault")).when(F.col("whole").isNotNull(), "whole_source").when(F.col("conflicts") > 0, "owner_conflict")
         .when(F.col("conflicts").isNull(), "layout").when(F.col("baseline").isNull(), "membership").when(F.col("out_of_order") > 0, "owner_order")
