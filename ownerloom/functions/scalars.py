@@ -62,30 +62,10 @@ def refined_similarity(a: Column, b: Column, index_a: Column, index_b: Column, t
     return CONTENT_WEIGHT * content + LENGTH_WEIGHT * length + POSITION_WEIGHT * position
 
 
-def refined_edits(a: Column, b: Column, index_a: Column, index_b: Column, total_a: Column, total_b: Column, threshold: float) -> Column:
-    """The edit distance up to which refined_similarity can reach the threshold, one more at most."""
-    length, position = _length_and_position(a, b, index_a, index_b, total_a, total_b)
-    least = (threshold - LENGTH_WEIGHT * length - POSITION_WEIGHT * position) / CONTENT_WEIGHT
-    return F.greatest(F.lit(0), F.floor(F.greatest(F.char_length(a), F.char_length(b)) * (1.0 - least)).cast("int") + 1)
-
-
-#: Letters that letter_counts() counts one by one (any choice is right; frequent ones tell texts apart best).
+#: Letters that are counted one by one to bound edit distances (any choice is right; frequent ones tell texts apart best).
 COUNTED = "etaoinshrl"
 
 
-def letter_counts(text: Column) -> list[Column]:
-    """How often each of the COUNTED letters stands in a text, and how many other characters."""
-    size = F.char_length(text)
-    each = [size - F.char_length(F.translate(text, c, "")) for c in COUNTED]
-    return [*each, F.char_length(F.translate(text, COUNTED, ""))]
-
-
-def edits_at_least(a: list[Column], b: list[Column]) -> Column:
-    """A lower bound of the edit distance from letter_counts() of both texts: an edit takes one sign and gives one."""
-    over = lambda x, y: sum((F.greatest(p - q, F.lit(0)) for p, q in zip(x, y, strict=True)), F.lit(0))
-    return F.greatest(over(a, b), over(b, a))
-
-
 def slugify(text: Column) -> Column:
     """Lower case, runs of other than ASCII letters and digits become one hyphen, none at the ends; `section` if nothing is left."""
     slug = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")

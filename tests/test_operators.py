@@ -523,6 +523,39 @@ def test_text_matching_against_all_pairs(spark):
     assert got == want and len(want) > 8
 
 
+def test_match_text_counts_edits_of_likely_pairs_only(monkeypatch):
+    """Edited blocks of one made-up language: any two are near enough in size and signs, few need their edits counted."""
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("etaoinshrl", k=5)) for _ in range(30)) for _ in range(80)]
+    side = lambda blocks: documents._Side([{"index": k, "text": x} for k, x in enumerate(blocks)], len(blocks))
+    calls, edits = [], documents._edits
+    monkeypatch.setattr(documents, "_edits", lambda *given: calls.append(1) or edits(*given))
+    got = documents._best_pairs(side(texts), side([f"New {x}" for x in reversed(texts)]), 0.7)
+    assert {(p["template_index"], p["destination_index"]) for p in got} == {(k, 79 - k) for k in range(80)}
+    assert len(calls) <= 1600  # of 3240 pairs of free blocks
+
+
+def test_edit_distance_up_to_a_bound():
+    import random
+
+    def whole(a, b):
+        above = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row = [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(row[-1] + 1, above[j + 1] + 1, above[j] + (x != y)))
+            above = row
+        return above[-1]
+
+    rng = random.Random(5)
+    for _ in range(2000):
+        a, b, most = "".join(rng.choices("abé", k=rng.randrange(12))), "".join(rng.choices("abé", k=rng.randrange(12))), rng.randrange(12)
+        found = whole(a, b)
+        assert documents._edits(a, b, most) == (found if found <= most else None)
+
+
 @pytest.mark.parametrize(
     ("base", "ours", "theirs", "why", "output"),
     [
