@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ownerloom.sources.scratch import written
+
 #: Outcomes that are not scored, and the one that is a false automatic merge (fixed values).
 FALSE_AUTO_MERGE = "false_auto_merge"
 EXCLUDED = ("unsupported", "excluded_ambiguous")
@@ -79,18 +81,39 @@ def score_agreement(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", (F.col("output") == F.col("expected")).alias("exact"), (normalized_lines(F.col("output")) == normalized_lines(F.col("expected"))).alias("normalized"), markers.alias("markers"), F.sha2("output", 256).alias("sha256"))
 
 
-def run_scorecard(results: DataFrame, exact_percentiles: bool = False) -> DataFrame:
+#: run_scorecard's percentile sketches err by a row in so many; the true value is looked for within ten such errors.
+SKETCH = 10_000
+
+
+def run_scorecard(results: DataFrame) -> DataFrame:
     """results (extension, repository, status, seconds, markers, exact) by extension, by repository and over all:
-    cases, applied, clean, exact, safety, p50, p95, throughput. One pass; percentiles are sketches unless asked."""
-    pct = (lambda p: F.percentile("seconds", F.lit(p))) if exact_percentiles else (lambda p: F.percentile_approx("seconds", p, 10_000))
+    cases, applied, clean, exact, safety, p50, p95, throughput.
+
+    p50 and p95 are exact: the least value that so large a part of the values does not exceed. Sketches say between which values
+    they lie; equal values are counted, and only those between are put in order (all of a group's, should its sketch be wrong)."""
     applied = F.col("status") == "completed"
     clean = applied & ~F.col("markers")
+    near = F.array(*[F.lit(min(1.0, h / 100 + side * 10 / SKETCH)) for h in (50, 95) for side in (-1, 1)])
+    key = lambda g: F.struct(g.alias("dimension"), "extension", "repository").alias("key")
+    dimension = lambda extension, repository: F.when(F.col("g") == extension, "extension").when(F.col("g") == repository, "repository").otherwise("all")
     sets = results.groupingSets([["extension"], ["repository"], []], "extension", "repository").agg(
         F.count("*").alias("cases"), F.count_if(applied).alias("applied"), F.count_if(clean).alias("clean"), F.count_if(clean & F.col("exact")).alias("exact"),
-        pct(0.5).alias("p50"), pct(0.95).alias("p95"), F.sum("seconds").alias("seconds"), F.grouping_id().alias("g"),
+        F.count("seconds").alias("timed"), F.percentile_approx("seconds", near, SKETCH).alias("near"), F.sum("seconds").alias("seconds"), F.grouping_id().alias("g"),
     )
-    dimension = F.when(F.col("g") == 3, "all").when(F.col("extension").isNotNull(), "extension").otherwise("repository")
-    return sets.select(dimension.alias("dimension"), F.coalesce("extension", "repository", F.lit("all")).alias("value"), "cases", "applied", "clean", "exact", F.try_divide(F.col("exact"), F.col("clean")).alias("safety"), "p50", "p95", F.try_divide(F.col("cases"), F.col("seconds")).alias("throughput"))
+    sets = written(sets.select(key(dimension(1, 2)), "*").drop("extension", "repository", "g"), "scorecard-sets")
+    counts = results.where("seconds IS NOT NULL").groupingSets([["extension", "seconds"], ["repository", "seconds"], ["seconds"]], "extension", "repository", "seconds").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    counts = written(counts.select(key(dimension(2, 4)), "seconds", "n"), "scorecard-counts")
+    ranges = F.inline(F.array(*[F.struct(F.lit(h).alias("hundredths"), F.col("near")[2 * k].alias("low"), F.col("near")[2 * k + 1].alias("high")) for k, h in enumerate((50, 95))]))
+    ranges = sets.select("key", "timed", ranges).withColumn("target", F.expr("(hundredths * timed + 99) div 100"))
+    upto = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    sums = counts.join(ranges, "key").groupBy("key", "hundredths", "low", "high", "target").agg(upto(F.col("seconds") < F.col("low")).alias("below"), upto(F.col("seconds") <= F.col("high")).alias("within"))
+    holds = F.expr("below < target AND target <= within")
+    sums = sums.select("key", "hundredths", "target", *[F.when(holds, F.col(c)).alias(c) for c in ("low", "high", "below")])
+    between = counts.join(sums, "key").where("low IS NULL OR seconds BETWEEN low AND high")
+    w = Window.partitionBy("key", "hundredths").orderBy("seconds").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = between.withColumn("reached", F.coalesce("below", F.lit(0)) + F.sum("n").over(w)).where("reached >= target")
+    found = reached.groupBy("key").agg(*[F.min(F.when(F.col("hundredths") == h, F.col("seconds"))).alias(f"p{h}") for h in (50, 95)])
+    return sets.join(found, "key", "left").select("key.dimension", F.coalesce("key.extension", "key.repository", F.lit("all")).alias("value"), "cases", "applied", "clean", "exact", F.try_divide(F.col("exact"), F.col("clean")).alias("safety"), "p50", "p95", F.try_divide(F.col("cases"), F.col("seconds")).alias("throughput"))
 
 
 def promotion_status(metrics: DataFrame, policy: DataFrame) -> DataFrame:

@@ -74,3 +74,13 @@ def test_benchmark_references(spark):
         ("r", "", "dangling_selection", 1), ("s", "", "dangling_run", 1), ("s", "x", "dangling_adapter", 1), ("r", "y", "dangling_adapter", 1), ("r", "", "dangling_adapter", 1), ("s", "z", "dangling_result_case", 1),
         ("r", "", "dangling_result_case", 1), ("r", "1", "duplicate_result", 2), ("r", "2", "duplicate_reported", 2), ("r", "4", "unreported", 1), ("r", "9", "unknown_reported", 1),
     ])
+
+
+def test_scorecard_percentiles_are_exact(spark):
+    """Values whose ranks a sketch can miss by a row: 50 % of them lie in the lower half to the row, and 95 % below the last step."""
+    n = 200_000
+    rows = spark.range(n).selectExpr("'e' AS extension", "concat('r', id % 2) AS repository", "'completed' AS status", f"CASE WHEN id < {n // 2} THEN 1D ELSE id + 0D END AS seconds", "false AS markers", "true AS exact")
+    rows = rows.unionByName(spark.sql("SELECT 'e' AS extension, 'r2' AS repository, 'failed' AS status, cast(null AS double) AS seconds, false AS markers, false AS exact"))
+    got = {(r["dimension"], r["value"]): (r["cases"], r["p50"], r["p95"]) for r in reports.run_scorecard(rows.repartition(8)).collect()}
+    p95 = float(n * 95 // 100 - 1)
+    assert got == {("all", "all"): (n + 1, 1.0, p95), ("extension", "e"): (n + 1, 1.0, p95), ("repository", "r0"): (n // 2, 1.0, p95 - 1), ("repository", "r1"): (n // 2, 1.0, p95), ("repository", "r2"): (1, None, None)}
