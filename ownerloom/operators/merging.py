@@ -6,9 +6,11 @@ conditional aggregation over (case_id, owner_id), so a large case is spread over
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
+from functools import cmp_to_key
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -274,55 +276,165 @@ def merge_archive_entries(entries: DataFrame) -> DataFrame:
     return rows.select("case_id", "normalized_path", operation.alias("operation"), F.when(operation == "delegate", family).alias("nested_family"), F.col("unsafe").alias("reason"))
 
 
+def _twice(ids: list[str]) -> list[str]:
+    return sorted(x for x, n in Counter(ids).items() if n > 1)
+
+
+def _node_order(chosen: list[str], sequences: list[list[str]]) -> dict:
+    """The answer of merge_order() for one case."""
+    import heapq
+
+    answer = lambda status, ids: {"status": status, "node_ids": ids}
+    keep, rank, after, before = set(chosen), {}, {}, dict.fromkeys(chosen, 0)
+    if len(keep) < len(chosen):
+        return answer("duplicate_selection", _twice(chosen))
+    for ids in sequences:
+        if len(set(ids)) < len(ids):
+            return answer("duplicate_identity", _twice(ids))
+        ids = [x for x in ids if x in keep]
+        for x in ids:
+            rank.setdefault(x, len(rank))
+        for a, b in zip(ids, ids[1:], strict=False):
+            if b not in after.setdefault(a, {}):
+                after[a][b] = True
+                before[b] += 1
+    for x in chosen:
+        rank.setdefault(x, len(rank))
+    ready = [(rank[x], x) for x, n in before.items() if not n]
+    heapq.heapify(ready)
+    out = []
+    while ready:
+        _, x = heapq.heappop(ready)
+        out.append(x)
+        for y in after.get(x, ()):
+            before[y] -= 1
+            if not before[y]:
+                heapq.heappush(ready, (rank[y], y))
+    if len(out) == len(chosen):
+        return answer("ordered", out)
+    return answer("incompatible_order", sorted((x for x, n in before.items() if n > 0), key=rank.__getitem__))
+
+
 def merge_order(sequences: DataFrame, selected: DataFrame) -> DataFrame:
     """sequences (case_id, sequence, pos, node_id), selected (case_id, pos, node_id) -> case_id, status
     (ordered, duplicate_selection, duplicate_identity, incompatible_order), node_ids.
 
     Neighbours in each sequence constrain the order; ties go to the node seen first. The order of one case
-    is one document's, so it is found in one group; the work there is linear but for the ready heap.
+    is one document's, so it is found in one row; the work there is linear but for the ready heap.
     """
-    rows = sequences.select("case_id", F.col("sequence").cast("int").alias("sequence"), F.col("pos").cast("long").alias("pos"), F.col("node_id").cast("string").alias("node_id")).unionByName(
-        selected.select("case_id", F.lit(None).cast("int").alias("sequence"), F.col("pos").cast("long").alias("pos"), F.col("node_id").cast("string").alias("node_id"))
-    )
+    rows = sequences.select("case_id", F.col("sequence").cast("int").alias("sequence"), "pos", "node_id").unionByName(selected.select("case_id", F.lit(None).cast("int").alias("sequence"), "pos", "node_id"))
+    node = F.struct("sequence", F.col("pos").cast("long").alias("pos"), F.col("node_id").cast("string").alias("id"))
+    listed = lambda test: F.sort_array(F.collect_list(F.when(test, node)))
+    cases = rows.groupBy("case_id").agg(listed(F.col("sequence").isNull()).alias("chosen"), listed(F.col("sequence").isNotNull()).alias("nodes"))
+
+    @F.arrow_udf("struct<status:string,node_ids:array<string>>")
+    def ordered(chosen: pa.Array, nodes: pa.Array) -> pa.Array:
+        cases = zip(chosen, nodes, strict=True)
+        return pa.array([_node_order([n["id"] for n in c.as_py()], [[n["id"] for n in part] for _, part in groupby(s.as_py(), itemgetter("sequence"))]) for c, s in cases], pa.struct([("status", pa.string()), ("node_ids", pa.list_(pa.string()))]))
+
+    # Many small cases share a batch.
+    return cases.select("case_id", ordered("chosen", "nodes").alias("o")).select("case_id", "o.status", "o.node_ids")
+
+
+def _straight_pairs(places: list[int]) -> int:
+    """How many pairs of distinct places from 0 on stand in their order."""
+    counts, pairs = [0] * (len(places) + 1), 0
+    for n, at in enumerate(places):
+        k = at
+        while k:
+            pairs += counts[k]
+            k &= k - 1
+        k = at + 1
+        while k <= len(places):
+            counts[k] += 1
+            k += k & -k
+    return pairs
 
-    def order(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        answer = lambda status, ids: pd.DataFrame([(key[0], status, list(ids))], columns=["case_id", "status", "node_ids"])
-        rows = rows.sort_values("pos", kind="stable")
-        chosen = rows[rows.sequence.isna()].node_id.tolist()
-        if len(set(chosen)) < len(chosen):
-            return answer("duplicate_selection", sorted({x for x in chosen if chosen.count(x) > 1}))
-        keep, rank, after, before = set(chosen), {}, {}, dict.fromkeys(chosen, 0)
-        for _, part in rows[rows.sequence.notna()].groupby("sequence", sort=True):
-            ids = part.node_id.tolist()
-            if len(set(ids)) < len(ids):
-                return answer("duplicate_identity", sorted({x for x in ids if ids.count(x) > 1}))
-            ids = [x for x in ids if x in keep]
-            for x in ids:
-                rank.setdefault(x, len(rank))
-            for a, b in zip(ids, ids[1:], strict=False):
-                if b not in after.setdefault(a, {}):
-                    after[a][b] = True
-                    before[b] += 1
-        for x in chosen:
-            rank.setdefault(x, len(rank))
-        ready = [(rank[x], x) for x, n in before.items() if not n]
-        heapq.heapify(ready)
-        out = []
-        while ready:
-            _, x = heapq.heappop(ready)
-            out.append(x)
-            for y in after.get(x, ()):
-                before[y] -= 1
-                if not before[y]:
-                    heapq.heappush(ready, (rank[y], y))
-        if len(out) == len(chosen):
-            return answer("ordered", out)
-        return answer("incompatible_order", sorted((x for x, n in before.items() if n > 0), key=rank.__getitem__))
-
-    kind = dict(rows.dtypes)["case_id"]
-    return rows.groupBy("case_id").applyInPandas(order, f"case_id {kind}, status string, node_ids array<string>")
+
+def _pairwise_order(stable: list[str], ours: dict[str, int], theirs: dict[str, int]) -> list[str] | None:
+    """The order of stable owners (in base's order) in which two keep base's order if both tips keep it, and else stand the other
+    way round; None if there is none, as the pairs go round in a cycle.
+
+    Sorting finds the only candidate. It holds if no pair is kept that a tip turned, and if as many are kept as both tips keep."""
+    base = {x: k for k, x in enumerate(stable)}
+    ours, theirs = ({x: k for k, x in enumerate(sorted(stable, key=tip.__getitem__))} for tip in (ours, theirs))
+
+    def compare(x: str, y: str) -> int:
+        x_above = base[x] < base[y]
+        kept = (ours[x] < ours[y]) == x_above and (theirs[x] < theirs[y]) == x_above
+        return -1 if kept == x_above else 1
+
+    out = sorted(stable, key=cmp_to_key(compare))
+    at = {x: k for k, x in enumerate(out)}
+    for tip in (ours, theirs):
+        # The largest place in the tip of those that stand above both in base and in the order.
+        most = [-1] * (len(stable) + 1)
+        for x in stable:
+            k = at[x]
+            while k:
+                if most[k] > tip[x]:
+                    return None
+                k &= k - 1
+            k = at[x] + 1
+            while k <= len(stable):
+                most[k] = max(most[k], tip[x])
+                k += k & -k
+    # Of three orders a pair stands alike in all, or in two of them only: so counts for two at a time tell how many all share.
+    n = len(stable) * (len(stable) - 1) // 2
+    by_ours = sorted(stable, key=ours.__getitem__)
+    alike = _straight_pairs([ours[x] for x in stable]) + _straight_pairs([theirs[x] for x in stable]) + _straight_pairs([theirs[x] for x in by_ours])
+    return out if _straight_pairs([at[x] for x in stable]) == (alike - n) // 2 else None
+
+
+def _owner_order(base: list[str], ours: list[str], theirs: list[str], wanted: list[str]) -> dict:
+    """The answer of merge_owner_order() for one case."""
+    import heapq
+
+    answer = lambda status, ids: {"status": status, "owner_ids": ids}
+    if not base or not wanted or any(len(set(x)) < len(x) or "" in x for x in (base, ours, theirs, wanted)):
+        return answer("unsupported", [])
+    keep, in_ours, in_theirs = set(wanted), {x: k for k, x in enumerate(ours)}, {x: k for k, x in enumerate(theirs)}
+    if not keep <= in_ours.keys() | in_theirs.keys():
+        return answer("unsupported", [])
+    stable = _pairwise_order([x for x in base if x in keep and x in in_ours and x in in_theirs], in_ours, in_theirs)
+    if stable is None:
+        return answer("cycle", [])
+    fixed = set(stable)
+    after: dict[str, set] = {x: set() for x in keep}
+    for x, y in zip(stable, stable[1:], strict=False):
+        after[x].add(y)
+    for tip in (ours, theirs):
+        chosen = [x for x in tip if x in keep]
+        for x, y in zip(chosen, chosen[1:], strict=False):
+            if x not in fixed or y not in fixed:
+                after[x].add(y)
+        for way in (1, -1):
+            near = None
+            for x in tip[::way]:
+                if x in fixed:
+                    near = x
+                elif x in keep and near is not None:
+                    (after[near] if way == 1 else after[x]).add(x if way == 1 else near)
+    rank: dict[str, tuple] = {}
+    for k, part in enumerate((base, ours, theirs)):
+        for n, x in enumerate(part):
+            rank.setdefault(x, (k, n))
+    before = dict.fromkeys(keep, 0)
+    for x, ys in after.items():
+        ys.discard(x)
+        for y in ys:
+            before[y] += 1
+    ready = [(rank[x], x) for x, n in before.items() if not n]
+    heapq.heapify(ready)
+    out = []
+    while ready:
+        _, x = heapq.heappop(ready)
+        out.append(x)
+        for y in after[x]:
+            before[y] -= 1
+            if not before[y]:
+                heapq.heappush(ready, (rank[y], y))
+    return answer("ordered", out) if len(out) == len(keep) else answer("cycle", [])
 
 
 def merge_owner_order(owners: DataFrame, selected: DataFrame) -> DataFrame:
@@ -334,69 +446,19 @@ def merge_owner_order(owners: DataFrame, selected: DataFrame) -> DataFrame:
     base's order, then ours', then theirs'. Unsupported: an empty base or selection, an id that is empty or stands twice in a
     revision, a selected owner that no tip has.
 
-    A case whose stable owners agree in order is a chain; only where a pair is turned are all pairs of that case's
-    stable owners compared. The order of one case is one document's and is found in one group."""
-    rows = owners.select("case_id", F.col("role").cast("string").alias("role"), F.col("pos").cast("long").alias("pos"), F.col("owner_id").cast("string").alias("owner_id")).unionByName(
-        selected.select("case_id", F.lit("selected").alias("role"), F.lit(0).cast("long").alias("pos"), F.col("owner_id").cast("string").alias("owner_id"))
-    )
+    The order of the stable owners is sorted and checked by counts of pairs, see _pairwise_order(); no pairs are listed. The order of one
+    case is one document's and is found in one row."""
+    node = F.struct(F.col("pos").cast("long").alias("pos"), F.col("owner_id").cast("string").alias("id"))
+    rows = owners.select("case_id", F.col("role").cast("string").alias("role"), node.alias("node")).unionByName(selected.select("case_id", F.lit("selected").alias("role"), F.struct(F.lit(0).cast("long").alias("pos"), F.col("owner_id").cast("string").alias("id")).alias("node")))
+    of = lambda role: F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.col("node")))), lambda n: n.id)
+    cases = rows.groupBy("case_id").agg(*[of(r).alias(r) for r in (*ROLES, "selected")])
 
-    def order(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        answer = lambda status, ids: pd.DataFrame([(key[0], status, list(ids))], columns=["case_id", "status", "owner_ids"])
-        rows = rows.sort_values("pos", kind="stable")
-        lists = {r: part.owner_id.tolist() for r, part in rows.groupby("role")}
-        base, ours, theirs, wanted = (lists.get(r, []) for r in (*ROLES, "selected"))
-        if not base or not wanted or any(len(set(x)) < len(x) or "" in x for x in (base, ours, theirs, wanted)):
-            return answer("unsupported", [])
-        keep, in_ours, in_theirs = set(wanted), {x: k for k, x in enumerate(ours)}, {x: k for k, x in enumerate(theirs)}
-        if not keep <= in_ours.keys() | in_theirs.keys():
-            return answer("unsupported", [])
-        stable = [x for x in base if x in keep and x in in_ours and x in in_theirs]
-        fixed = set(stable)
-        after: dict[str, set] = {x: set() for x in keep}
-        straight = all(in_ours[x] < in_ours[y] and in_theirs[x] < in_theirs[y] for x, y in zip(stable, stable[1:], strict=False))
-        pairs = zip(stable, stable[1:], strict=False) if straight else ((x, y) for k, x in enumerate(stable) for y in stable[k + 1 :])
-        for x, y in pairs:
-            if in_ours[x] < in_ours[y] and in_theirs[x] < in_theirs[y]:
-                after[x].add(y)
-            else:
-                after[y].add(x)
-        for tip in (ours, theirs):
-            chosen = [x for x in tip if x in keep]
-            for x, y in zip(chosen, chosen[1:], strict=False):
-                if x not in fixed or y not in fixed:
-                    after[x].add(y)
-            for way in (1, -1):
-                near = None
-                for x in tip[::way]:
-                    if x in fixed:
-                        near = x
-                    elif x in keep and near is not None:
-                        (after[near] if way == 1 else after[x]).add(x if way == 1 else near)
-        rank: dict[str, tuple] = {}
-        for k, part in enumerate((base, ours, theirs)):
-            for n, x in enumerate(part):
-                rank.setdefault(x, (k, n))
-        before = dict.fromkeys(keep, 0)
-        for x, ys in after.items():
-            ys.discard(x)
-            for y in ys:
-                before[y] += 1
-        ready = [(rank[x], x) for x, n in before.items() if not n]
-        heapq.heapify(ready)
-        out = []
-        while ready:
-            _, x = heapq.heappop(ready)
-            out.append(x)
-            for y in after[x]:
-                before[y] -= 1
-                if not before[y]:
-                    heapq.heappush(ready, (rank[y], y))
-        return answer("ordered", out) if len(out) == len(keep) else answer("cycle", [])
-
-    kind = dict(rows.dtypes)["case_id"]
-    return rows.groupBy("case_id").applyInPandas(order, f"case_id {kind}, status string, owner_ids array<string>")
+    @F.arrow_udf("struct<status:string,owner_ids:array<string>>")
+    def ordered(base: pa.Array, ours: pa.Array, theirs: pa.Array, selected: pa.Array) -> pa.Array:
+        return pa.array([_owner_order(*[x.as_py() for x in lists]) for lists in zip(base, ours, theirs, selected, strict=True)], pa.struct([("status", pa.string()), ("owner_ids", pa.list_(pa.string()))]))
+
+    # Many small cases share a batch.
+    return cases.select("case_id", ordered(*ROLES, "selected").alias("o")).select("case_id", "o.status", "o.owner_ids")
 
 
 def render_merged(owners: DataFrame, decisions: DataFrame, separator: str = "\n") -> DataFrame:

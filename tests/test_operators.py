@@ -638,3 +638,35 @@ def test_merge_owner_order(spark, base, ours, theirs, selected, status, ids):
     rows = merging.merge_owner_order(spark.createDataFrame(owners, "case_id int, role string, pos int, owner_id string"), spark.createDataFrame([(1, x) for x in selected], "case_id int, owner_id string"))
     row = rows.first()
     assert (row["status"], "".join(row["owner_ids"])) == (status, ids)
+
+
+def test_pairwise_order_against_all_pairs():
+    """The order of a tournament of pairs, or none, as found by comparing all pairs."""
+    import random
+
+    rng, seen = random.Random(9), set()
+    for _ in range(3000):
+        base, tips = list("abcdef")[: rng.randrange(7)], []
+        for _ in range(2):
+            tip = base[:: rng.choice((1, 1, -1))]
+            for _ in range(rng.randrange(3) if base else 0):
+                tip.insert(rng.randrange(len(tip)), tip.pop(rng.randrange(len(tip))))
+            tips.append({x: k for k, x in enumerate(tip)})
+        wins = dict.fromkeys(base, 0)
+        for k, x in enumerate(base):
+            for y in base[k + 1 :]:
+                wins[x if all(t[x] < t[y] for t in tips) else y] += 1
+        want = sorted(base, key=wins.__getitem__, reverse=True) if sorted(wins.values()) == list(range(len(base))) else None
+        assert merging._pairwise_order(base, *tips) == want
+        seen.add(want is None)
+    assert seen == {True, False}
+
+
+def test_orders_of_large_cases_list_no_pairs():
+    """A case of 20,000 owners that a tip turned around, and 20,000 nodes that were selected twice."""
+    import time
+
+    ids, began = [str(k) for k in range(20_000)], time.process_time()
+    assert merging._owner_order(ids, ids[::-1], ids, ids) == {"status": "ordered", "owner_ids": ids[::-1]}
+    assert merging._node_order(ids * 2, [])["status"] == "duplicate_selection"
+    assert time.process_time() - began < 15
