@@ -29,12 +29,23 @@ def normalized_blocks(text: Column) -> Column:
     return F.filter(blocks, lambda b: b != "")
 
 
+def text_words(text: Column) -> Column:
+    """The distinct words of each of a text's blocks."""
+    return F.transform(normalized_blocks(text), _tokens)
+
+
+def words_similarity(left: Column, right: Column) -> Column:
+    """text_similarity of two texts' text_words(), which should be columns: each is read more than once."""
+    total = F.greatest(F.size(left), F.size(right))
+    # Sizes stand beside one another, so that words are compared once.
+    sizes = F.zip_with(left, right, lambda x, y: F.struct((F.size(x) + F.size(y)).alias("n"), F.size(F.array_intersect(x, y)).alias("common")))
+    scores = F.transform(sizes, lambda s: F.when(s.n.isNull() | (s.n < 0), F.lit(0.0)).when(s.n == 0, F.lit(1.0)).otherwise(s.common / (s.n - s.common)))
+    return F.when(total == 0, F.lit(1.0)).otherwise(F.aggregate(scores, F.lit(0.0), lambda s, v: s + v) / total)
+
+
 def text_similarity(a: Column, b: Column) -> Column:
     """Mean Jaccard similarity of the blocks at equal places; a missing block counts 0, two empty texts 1."""
-    left, right = normalized_blocks(a), normalized_blocks(b)
-    total = F.greatest(F.size(left), F.size(right))
-    pairs = F.zip_with(left, right, lambda x, y: F.when(x.isNull() | y.isNull(), F.lit(0.0)).otherwise(jaccard_similarity(x, y)))
-    return F.when(total == 0, F.lit(1.0)).otherwise(F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v) / total)
+    return words_similarity(text_words(a), text_words(b))
 
 
 def is_similar(a: Column, b: Column, threshold: float) -> Column:

@@ -49,8 +49,10 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against the next one, block by block."""
     docs = _paragraphs(spark, sf_dir)
     other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("text_b"))
-    a, b = F.col("text"), F.col("text_b")
-    return docs.join(other, "doc_id").select("doc_id", F.round(scalars.text_similarity(a, b), 9).alias("score"), scalars.is_similar(a, b, 0.1).alias("similar"))
+    # Blocks, words and scores are made once each.
+    words = docs.join(other, "doc_id").select("doc_id", scalars.text_words(F.col("text")).alias("a"), scalars.text_words(F.col("text_b")).alias("b"))
+    scored = words.select("doc_id", scalars.words_similarity(F.col("a"), F.col("b")).alias("score"))
+    return scored.select("doc_id", F.round("score", 9).alias("score"), (F.col("score") >= 0.1).alias("similar"))
 
 
 _BLOCK_SIMILARITY_SQL = f"""WITH p AS (SELECT doc_id, replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) AS text FROM documents), b AS (SELECT doc_id, {_BLOCKS} AS bs FROM p),
