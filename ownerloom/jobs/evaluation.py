@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ownerloom.functions.scalars import is_rfc3339_utc
 from ownerloom.jobs.demo_data import table
 from ownerloom.operators import cutting, ingest, paths, reports
+from ownerloom.sources.scratch import written
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,13 +302,16 @@ def decide_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as observations of what was known and is left of their lines; two producers share each scope."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr(_DELETION_MODE).alias("mode")).distinct()
-    held = table(spark, sf_dir, "lineitem").select(k.alias("k"), F.concat(F.lit("c"), n).alias("chunk_id"), n.alias("n")).distinct().join(orders, "k")
+    orders = written(orders, "deletion-orders")
+    # Six sets are made of it, and the decisions are read twice.
+    held = written(table(spark, sf_dir, "lineitem").select(k.alias("k"), F.concat(F.lit("c"), n).alias("chunk_id"), n.alias("n")).distinct().join(orders, "k"), "deletion-lines")
     keyed = lambda df, *more: df.select(F.concat(F.lit("p"), F.col("k") % 2).alias("producer_id"), F.expr("k div 8").alias("scope"), F.col("k").alias("observation_id"), *more)
     chosen = held.where(_DELETION_TARGETS)
     observations = keyed(orders, "mode", F.expr("CASE WHEN mode <> 'none' OR k % 50 = 3 THEN k END").alias("authority_ref"), F.expr("CASE WHEN k % 19 = 0 THEN 'partial' ELSE 'complete' END").alias("status"), F.expr("CASE WHEN k % 3 = 0 THEN 'f' END").alias("finalization_ref"))
     authorities = orders.where("k % 21 <> 0").select(F.col("k").alias("authority_ref"), F.expr("concat('p', CASE WHEN k % 22 = 0 THEN 1 - k % 2 ELSE k % 2 END)").alias("producer_id"), F.expr("k div 8").alias("scope"), F.expr("CASE WHEN k % 26 = 0 THEN 'none' ELSE mode END").alias("mode"), F.expr("CASE WHEN k % 3 = 0 AND k % 27 <> 0 THEN 'f' END").alias("finalization_ref"))
     granted = chosen.where("NOT (k % 17 = 0 AND n = 2)").select(F.col("k").alias("authority_ref"), "chunk_id")
     decided = ingest.decide_deletions(observations, keyed(chosen, "chunk_id"), keyed(held.where(_DELETION_REMOVED), "chunk_id"), keyed(held, "chunk_id"), keyed(held.where(f"NOT ({_DELETION_REMOVED})"), "chunk_id"), authorities, granted)
+    decided = written(decided, "deletions")
     dead = ingest.tombstones(decided, keyed(chosen, "chunk_id")).groupBy("observation_id").agg(F.count("*").alias("n_tombstones"))
     return decided.join(dead, "observation_id", "left").select("producer_id", "scope", "observation_id", "n_targets", "code", F.coalesce("n_tombstones", F.lit(0)).alias("n_tombstones"))
 

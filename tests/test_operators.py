@@ -670,3 +670,24 @@ def test_orders_of_large_cases_list_no_pairs():
     assert merging._owner_order(ids, ids[::-1], ids, ids) == {"status": "ordered", "owner_ids": ids[::-1]}
     assert merging._node_order(ids * 2, [])["status"] == "duplicate_selection"
     assert time.process_time() - began < 15
+
+
+def test_text_similarity_query_cuts_each_text_once(spark, tmp_path):
+    """Blocks of a text are cut in one place of the plan for each side of a pair."""
+    from ownerloom.jobs import texts
+
+    spark.createDataFrame([(k, f"a b c {k}.\nd e") for k in range(4)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = texts.text_similarity(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 4  # blocks and words of two sides
+    assert [r["score"] for r in df.orderBy("doc_id").collect()] == [0.8] * 3
+
+
+def test_deletion_query_joins_lines_once(spark, tmp_path):
+    """What is known of orders' lines is one written table, read by all sets and by both uses of the decisions."""
+    from ownerloom.jobs import evaluation
+
+    spark.range(40).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(120).selectExpr("id div 3 AS l_orderkey", "cast(id % 3 + 1 AS int) AS l_linenumber").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = evaluation.decide_deletions(spark, str(tmp_path))
+    assert not [f for f in df.inputFiles() if f"{tmp_path}/lineitem.parquet" in f] and df.count() == 40
