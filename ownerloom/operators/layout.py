@@ -214,27 +214,34 @@ def verify_segments(sources: DataFrame, outputs: DataFrame, segments: DataFrame)
 
     The first error by place of the output, null where all hold: duplicate_id (an ordinal twice), empty_range, gap (does not begin
     where the one above ends), length (the last does not end with the output, or there is none for an output with bytes), range (beyond the source or
-    output, or no such source), bytes (source and output differ) or digest. Sources and outputs are each cut in one pass."""
-    size = lambda df, name: df.select("case_id", *[c for c in df.columns if c == "role"], F.octet_length("text").cast("long").alias(name))
-    made = outputs.select("case_id", F.coalesce("output", F.lit("")).alias("text"))
-    given = sources.select(*_SOURCE, F.coalesce("text", F.lit("")).alias("text"))
-    rows = segments.select("case_id", F.col("revision").alias("role"), "ordinal", *[F.col(c).cast("long").alias(c) for c in ("src_start", "src_end", "out_start", "out_end")], "sha256")
-    rows = rows.join(size(given, "src_size"), _SOURCE, "left").join(size(made, "out_size"), "case_id", "left")
-    inside = lambda s, e, n: F.coalesce((F.col(s) >= 0) & (F.col(s) <= F.col(e)) & (F.col(e) <= F.col(n)), F.lit(False))
+    output, or no such source), bytes (source and output differ) or digest. Sources and outputs are cut beside the list of a case's segments."""
+    raw = lambda column: F.encode(F.coalesce(column, F.lit("")), "utf-8")
+    given = sources.groupBy("case_id").agg(F.collect_list(F.struct("role", raw("text").alias("raw"))).alias("given"))
+    made = outputs.select("case_id", raw("output").alias("made"))
+    segment = F.struct(F.col("revision").alias("role"), "ordinal", *[F.col(c).cast("long").alias(c) for c in ("src_start", "src_end", "out_start", "out_end")], "sha256")
+    listed = segments.groupBy("case_id").agg(F.collect_list(segment).alias("rs"))
+
+    def cut(whole: Column, start: Column, end: Column) -> Column:
+        """The bytes of a range, null where it does not lie in whole."""
+        inside = (start >= 0) & (start <= end) & (end <= F.octet_length(whole))
+        return F.when(inside, F.substring(whole, (start + 1).cast("int"), (end - start).cast("int")))
+
+    source = lambda r: F.get(F.filter("given", lambda g: g.role == r.role), 0).raw
+    pieces = F.transform("rs", lambda r: F.struct(r.alias("r"), cut(source(r), r.src_start, r.src_end).alias("src"), cut(F.col("made"), r.out_start, r.out_end).alias("out")))
+    # A case's texts, segments and places all lie by case: each is shuffled once at most.
+    both = listed.join(given, "case_id", "left").join(made, "case_id", "left")
+    rows = both.select("case_id", F.octet_length("made").cast("long").alias("out_size"), F.explode(pieces).alias("p")).select("case_id", "out_size", "p.r.*", "p.src", "p.out")
     w = Window.partitionBy("case_id").orderBy("out_start", "ordinal")
     rows = rows.withColumns({
-        "fits": inside("src_start", "src_end", "src_size") & inside("out_start", "out_end", "out_size"), "copies": F.count("*").over(Window.partitionBy("case_id", "ordinal")),
+        "fits": F.col("src").isNotNull() & F.col("out").isNotNull(), "copies": F.count("*").over(Window.partitionBy("case_id", "ordinal")),
         "above": F.coalesce(F.lag("out_end").over(w), F.lit(0).cast("long")), "is_last": F.lead("ordinal").over(w).isNull(),
     })
-    cut = cut_ranges(given, rows.where("fits"), _SOURCE, {"src": ("src_start", "src_end")})
-    cut = cut_ranges(made, cut, ["case_id"], {"out": ("out_start", "out_end")})
-    rows = cut.unionByName(rows.where("NOT fits"), allowMissingColumns=True)
     error = _first(
         (F.col("copies") > 1, "duplicate_id"), (F.col("out_end") <= F.col("out_start"), "empty_range"), (F.col("above") != F.col("out_start"), "gap"), (F.col("is_last") & (F.col("out_end") != F.col("out_size")), "length"),
         (~F.col("fits"), "range"), (F.col("src") != F.col("out"), "bytes"), (~F.sha2("out", 256).eqNullSafe(F.col("sha256")), "digest"),
     )
     told = rows.withColumn("error", error).groupBy("case_id").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.struct("out_start", "ordinal"))).alias("error"), F.lit(True).alias("any"))
-    told = size(made, "n").join(told, "case_id", "full_outer")
+    told = made.select("case_id", F.octet_length("made").alias("n")).join(told, "case_id", "full_outer")
     return told.select("case_id", F.when(F.col("any").isNull() & (F.col("n") > 0), "length").otherwise(F.col("error")).alias("error"))
 
 

@@ -1,5 +1,6 @@
 """Merges that keep the bytes between owners: known cases, a plain walk over lines, odd rows and faults of segments."""
 
+import hashlib
 import random
 
 from ownerloom.operators import layout
@@ -244,3 +245,15 @@ def test_equal_to_a_walk_over_lines(spark):
     assert told == {c: verdict for c, (verdict, _) in expected.items()}
     assert outputs == {c: out for c, (_, out) in expected.items() if out is not None}
     assert len({why for _, why in told.values()}) >= 8
+
+
+def test_check_of_segments_deals_them_once(spark):
+    """Texts and segments of a case meet in one shuffle of each, and once more for what outputs have no segment."""
+    sources = spark.createDataFrame([(1, "ours", "ab")], "case_id int, role string, text string")
+    outputs = spark.createDataFrame([(1, "ab")], "case_id int, output string")
+    rows = spark.createDataFrame([(1, 0, "ours", 0, 2, 0, 2, hashlib.sha256(b"ab").hexdigest())], "case_id int, ordinal int, revision string, src_start int, src_end int, out_start int, out_end int, sha256 string")
+    told = layout.verify_segments(sources, outputs, rows)
+    assert told.collect()[0]["error"] is None
+    plan = told._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning(case_id") <= 5
+    assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(case_id")
