@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import json
 import tempfile
 import uuid
@@ -80,6 +81,29 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> contextlib.AbstractC
     return setting(spark, key, str(min(rows, now) if now > 0 else rows))
 
 
+_worker_keeps: dict[str, dict] = {}
+
+
+def worker_keeps(operator: str) -> dict:
+    """What an operator keeps in this Python worker between tasks. Workers serve all stages of a session, so what another
+    operator has kept goes when this one asks, and its memory goes back to the system."""
+    others = [name for name in _worker_keeps if name != operator]
+    for name in others:
+        del _worker_keeps[name]
+    if others:
+        give_back()
+    return _worker_keeps.setdefault(operator, {})
+
+
+def give_back() -> None:
+    """Free memory of this process goes back to the system: that of Arrow's pool, and of the C library where it can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def as_uri(path: str) -> str:
     """pyarrow wants a scheme; Spark's local paths may come without one."""
     return path if "://" in path else f"file://{path.removeprefix('file:')}"

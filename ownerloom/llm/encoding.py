@@ -17,6 +17,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from ownerloom.llm._common import worker_keeps
+
 #: A worker keeps the ids of about so many words and as many again that it met before those (memory bound, not a
 #: limit of results; one text's words come on top).
 WORDS_KEPT = 120_000
@@ -33,9 +35,6 @@ _FAR = re.compile("[^\\x00-\\x1b\\x20-\\x7f\\xa0-\\u024f]")
 #: ASCII signs but the apostrophe, which may stand within a word's part.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-_workers: dict[str, "WordEncoder"] = {}
-
-
 def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary: printable Latin-1 as it
     is, the other bytes counted up from 256."""
@@ -186,10 +185,11 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for a vocabulary file."""
-    if path not in _workers:
-        _workers[path] = WordEncoder(path)
-    return _workers[path]
+    """The worker's encoder for a vocabulary file; it goes when another operator uses the worker."""
+    kept = worker_keeps("encoding")
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 def vocabulary_path(name: str) -> str:

@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ownerloom.llm._common import fresh, held_out, unit_hash
+from ownerloom.llm._common import fresh, give_back, held_out, unit_hash, worker_keeps
 
 DIMENSIONS = 1024
 TRAIN_PER_LANGUAGE = 4_000
 #: A worker keeps the vectors of at most so many trigrams and starts anew beyond that.
 TRIGRAMS_KEPT = 32_000
+#: Trigrams' vectors are added up so many at a time, and room is made for so many at a time (memory, not results).
+TRIGRAMS_AT_ONCE = 1024
 UNKNOWN = "und"
 #: The share of training texts of a size that may lie below the floor, and how many texts a floor needs.
 FLOOR_QUANTILE = 0.001
@@ -73,7 +75,7 @@ class Bundler:
 
     def clear(self) -> None:
         self.rows: dict[int, int] = {}
-        self.matrix = np.empty((2048, DIMENSIONS), np.int8)
+        self.matrix = np.empty((2 * TRIGRAMS_AT_ONCE, DIMENSIONS), np.int8)
 
     def places(self, keys: np.ndarray) -> np.ndarray:
         """Rows of the trigrams' vectors, which are bound here when first seen."""
@@ -82,7 +84,7 @@ class Bundler:
             a, b, c = key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF
             row = len(self.rows)
             if row == len(self.matrix):
-                self.matrix = np.concatenate((self.matrix, np.empty_like(self.matrix)))
+                self.matrix = np.concatenate((self.matrix, np.empty((max(TRIGRAMS_AT_ONCE, row // 4), DIMENSIONS), np.int8)))
             self.matrix[row] = np.roll(letter_vector(a), 2) * np.roll(letter_vector(b), 1) * letter_vector(c)
             self.rows[key] = row
         return np.fromiter(map(self.rows.__getitem__, listed), np.int64, len(listed))
@@ -98,8 +100,8 @@ class Bundler:
         weights[np.repeat(np.arange(len(texts)), sizes), place] = np.concatenate([n for _, n in found])
         out = np.zeros((len(texts), DIMENSIONS), np.float32)
         rows = self.places(keys)
-        for at in range(0, len(keys), 4096):
-            out += weights[:, at : at + 4096] @ self.matrix[rows[at : at + 4096]].astype(np.float32)
+        for at in range(0, len(keys), TRIGRAMS_AT_ONCE):
+            out += weights[:, at : at + TRIGRAMS_AT_ONCE] @ self.matrix[rows[at : at + TRIGRAMS_AT_ONCE]].astype(np.float32)
         return out
 
 
@@ -130,6 +132,7 @@ def fit_prototypes(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> d
     schema = pa.schema([("lang", pa.string()), ("place", pa.int32()), ("value", pa.float64())])
 
     def bundle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("langid")  # nothing; what packing kept in the worker goes
         sums: dict[str, np.ndarray] = {}
         bundler = Bundler()
         for part in _groups(batches):
@@ -174,9 +177,12 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], text_column: s
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_keeps("langid")
         bundler = Bundler()  # one a task: its vectors do not stay in the worker for later stages
         for texts in batches:
             yield judged(bundler, texts)
+        bundler.clear()
+        give_back()
 
     each.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     judge = F.arrow_udf(each, "struct<lang_pred:string,score:double>")

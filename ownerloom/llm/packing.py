@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ownerloom.llm._common import materialize, materialize_by, small_batches
+from ownerloom.llm._common import give_back, materialize, materialize_by, small_batches, worker_keeps
 from ownerloom.llm.encoding import encoder, vocabulary_path
 
 WINDOW = 2048
@@ -71,6 +71,8 @@ def encode_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end
                     rows, size = [], 0
             if rows:
                 yield given(rows)
+            rows = batch = None
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, ENCODED)
 
@@ -227,6 +229,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1
     kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "length", "sequence_id", "offset")]))
 
     def find(tails: pa.Array, ranks: pa.Array) -> pa.Array:
+        worker_keeps("places")  # nothing; all documents are encoded, so the encoder goes
         out = []
         for tail, rank in zip(tails.to_pylist(), ranks.to_pylist(), strict=True):
             if not tail:

@@ -661,3 +661,28 @@ def test_pipeline_takes_odd_rows(spark):
     assert kept.where("text IS NULL OR text = ''").count() == 0
     pieces = dict(corpus_pipeline.STAGES)["packing"](spark, kept, sf)
     assert pieces.agg(F.sum("length")).first()[0] == pieces.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_worker_keeps_one_operators_memory_at_a_time():
+    from ownerloom.llm import _common, encoding
+
+    path = encoding.vocabulary_path("word_bpe_49k.json")
+    first = encoding.encoder(path)
+    assert encoding.encoder(path) is first
+    # What a task of the language stage runs, in the worker that packing used before.
+    _common.worker_keeps("langid")
+    assert list(_common._worker_keeps) == ["langid"]
+    assert encoding.encoder(path) is not first
+
+
+def test_bundler_makes_room_in_steps():
+    import numpy as np
+
+    from ownerloom.llm import langid
+
+    bundler = langid.Bundler()
+    text = "".join(chr(0x4E00 + k) for k in range(9000))
+    (vector,) = bundler.bundles([text])
+    assert len(bundler.rows) == 9000 and len(bundler.matrix) < 1.3 * 9000 + 2 * langid.TRIGRAMS_AT_ONCE
+    keys, n = langid.trigrams(text)
+    assert np.array_equal(vector, (n[:, None] * bundler.matrix[bundler.places(keys)].astype(np.int64)).sum(axis=0))
