@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ownerloom.sources.scratch import spread
+
 ROLES = ("base", "ours", "theirs")
 
 
@@ -223,8 +225,10 @@ def merge_keyed_members(members: DataFrame) -> DataFrame:
     keys = m.groupBy("case_id", "key").agg(F.min("at").alias("first"), F.max_by("value", "at").alias("value"), last_left.alias("l"), right(F.min).alias("r_min"), right(F.max).alias("r_max"))
     # Any right edit that differs from left's last value, or from an earlier right edit, is a clash once left has the key.
     keys = keys.withColumn("clash", F.coalesce(F.col("l").isNotNull() & ((F.col("r_min") != F.col("l")) | (F.col("r_max") != F.col("l"))), F.lit(False)))
-    by_case = Window.partitionBy("case_id")
-    rows = keys.withColumn("bad", F.max("clash").over(by_case)).withColumn("rank", F.row_number().over(by_case.orderBy("first")) - 1)
+    # One sort serves both windows.
+    by_case = Window.partitionBy("case_id").orderBy("first")
+    whole = by_case.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = spread(keys, members.count(), "case_id").withColumns({"bad": F.max("clash").over(whole), "rank": F.row_number().over(by_case) - 1})
     good = rows.where(~F.col("bad")).select("case_id", "key", "value", "rank", F.lit(True).alias("resolved"))
     bad = rows.where(F.col("bad") & (F.col("rank") == 0)).select("case_id", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"), F.lit(0).alias("rank"), F.lit(False).alias("resolved"))
     return good.unionByName(bad)

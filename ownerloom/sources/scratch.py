@@ -24,6 +24,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a partition that windows and sorts hold at once in one task.
+ROWS_A_TASK = 250_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys, one partition for each ROWS_A_TASK of about rows rows, so that a task's memory does not grow with the input.
+
+    Spark would join partitions up to a size in packed bytes, and rows that pack well take many times that in a window's sort."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)), *keys)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of written() that no later plan reads."""
     for df in tables:

@@ -691,3 +691,14 @@ def test_deletion_query_joins_lines_once(spark, tmp_path):
     spark.range(120).selectExpr("id div 3 AS l_orderkey", "cast(id % 3 + 1 AS int) AS l_linenumber").write.parquet(str(tmp_path / "lineitem.parquet"))
     df = evaluation.decide_deletions(spark, str(tmp_path))
     assert not [f for f in df.inputFiles() if f"{tmp_path}/lineitem.parquet" in f] and df.count() == 40
+
+
+def test_keyed_members_have_a_bounded_number_of_rows_a_task(spark, monkeypatch):
+    from ownerloom.operators import merging
+    from ownerloom.sources import scratch
+
+    monkeypatch.setattr(scratch, "ROWS_A_TASK", 10)
+    members = spark.range(400).selectExpr("id div 4 AS case_id", "if(id % 4 < 2, 'base', 'left') AS side", "id % 4 AS pos", "cast(id % 2 as string) AS key", "cast(id % 4 as string) AS value")
+    rows = merging.merge_keyed_members(members)
+    assert rows.rdd.getNumPartitions() >= 40
+    assert {(r.key, r.value, r["rank"], r.resolved) for r in rows.collect()} == {("0", "2", 0, True), ("1", "3", 1, True)} and rows.count() == 200
