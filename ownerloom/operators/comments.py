@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ownerloom.sources.scratch import written
+from ownerloom.sources.scratch import spread, written
 
 POLICIES = ("preceding_owner", "following_owner")
 ATTACHED = ("leading", "inline", "trailing")
@@ -27,8 +27,8 @@ def _or_null(df: DataFrame, name: str, kind: str, default=None) -> Column:
     return F.coalesce(F.col(name).cast(kind), F.lit(default).cast(kind)) if name in df.columns else F.lit(default).cast(kind)
 
 
-def _placed(lines: DataFrame, owners: DataFrame, comments: DataFrame) -> DataFrame:
-    """Every comment with what lies around it.
+def _placed(lines: DataFrame, owners: DataFrame, comments: DataFrame, n: int) -> DataFrame:
+    """Every comment with what lies around it, dealt by document for about n rows.
 
     filled and blanks: how many lines up to it are blank or an owner-scoped full-line comment, and how many are blank; two
     such lines touch if their distance is that of their filled. before: the last owner that ends above; opened: the last that begins
@@ -44,6 +44,7 @@ def _placed(lines: DataFrame, owners: DataFrame, comments: DataFrame) -> DataFra
     rows = rows.unionByName(shape(owners, F.col("end_line"), 2, "end", owner=True))
     rows = rows.unionByName(shape(lines.where(is_blank()), F.col("line"), 1, "blank"))
     rows = rows.unionByName(shape(comments, F.col("line"), 1, "comment", full=F.col("full_line"), indent=_or_null(comments, "indent", "int"), root=_or_null(comments, "root_scope", "boolean", False), prefix=_or_null(comments, "structural_prefix", "boolean", False)))
+    rows = spread(rows, n, "doc_id")
     up = Window.partitionBy("doc_id").orderBy("line", "k").rowsBetween(Window.unboundedPreceding, 0)
     down, whole = Window.partitionBy("doc_id").orderBy("line", "k").rowsBetween(0, Window.unboundedFollowing), Window.partitionBy("doc_id")
     is_ = lambda mark: F.col("mark") == mark
@@ -77,7 +78,9 @@ def attach_comments(lines: DataFrame, owners: DataFrame, comments: DataFrame, po
     if policy not in POLICIES:
         raise ValueError(f"unknown attachment policy {policy!r}")
     preceding = policy == "preceding_owner"
-    rows = _placed(lines, owners, comments)
+    # A line gives a blank or a comment, or an owner's start and end.
+    n = 2 * lines.count()
+    rows = _placed(lines, owners, comments, n)
     inline = rows.where(~F.col("full_line") & ~F.col("root_scope") & (F.col("opened.end_line") >= F.col("line")))
     full = rows.where("full_line")
 
@@ -117,7 +120,7 @@ def attach_comments(lines: DataFrame, owners: DataFrame, comments: DataFrame, po
     owner = F.when(F.col("trailing"), F.col("before.owner_id")).when(F.col("leading"), F.col("after.owner_id"))
     parts = full.select("doc_id", kind.alias("kind"), owner.alias("owner_id"), F.when(F.col("rest"), F.col("group")).alias("group"), "line", "floats")
     parts = parts.unionByName(inline.select("doc_id", F.lit("inline").alias("kind"), F.col("opened.owner_id").alias("owner_id"), F.lit(None).cast("long").alias("group"), "line", F.lit(False).alias("floats")))
-    regions = parts.groupBy("doc_id", "kind", "owner_id", "group").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.count("*").alias("n_comments"), F.bool_or("floats").alias("floating"))
+    regions = spread(parts, n, "doc_id").groupBy("doc_id", "kind", "owner_id", "group").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.count("*").alias("n_comments"), F.bool_or("floats").alias("floating"))
     orphan = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("start_line")) - 1
     key = F.when(F.col("owner_id").isNotNull(), F.concat_ws(":", F.lit("comment"), "owner_id", "kind")).when(F.col("kind") == "orphan", F.concat(F.lit("root:orphan:"), orphan)).otherwise(F.concat(F.lit("root:"), "kind"))
     name = F.concat(F.lit("comment-region:"), "kind", F.lit(":"), "start_line", F.lit("-"), "end_line")
@@ -203,7 +206,7 @@ def line_dispositions(lines: DataFrame, owners: DataFrame, regions: DataFrame, g
     inside = F.col("r.owner_id").isNull() & (F.count("own").over(whole) == F.count("*").over(whole)) & (F.min("own").over(whole) == F.max("own").over(whole))
     per_line = covered.withColumn("inside", F.coalesce(inside, F.lit(False))).groupBy("doc_id", "line").agg(F.sort_array(F.collect_list(F.struct("r.start_line", "r.region_id", "r.kind", "r.owner_id", "r.selection_key", "inside"))).alias("rs"))
     in_gap = each(gaps).groupBy("doc_id", "line").agg(F.count("*").alias("n_gaps"), F.first(F.struct("gap_id", "selection_key", "controller")).alias("g"))
-    rows = lines.select("doc_id", "line", is_blank().alias("blank")).join(of_line, ["doc_id", "line"], "left").join(per_line, ["doc_id", "line"], "left").join(in_gap, ["doc_id", "line"], "left")
+    rows = spread(lines.select("doc_id", "line", is_blank().alias("blank")), lines.count(), "doc_id", "line").join(of_line, ["doc_id", "line"], "left").join(per_line, ["doc_id", "line"], "left").join(in_gap, ["doc_id", "line"], "left")
 
     outer = F.filter("rs", lambda r: ~r.inside)
     kinds = F.array_distinct(F.transform(outer, lambda r: r.kind))

@@ -205,3 +205,15 @@ def test_unknown_policy_and_documents_without_comments(spark):
     assert comments.attach_comments(lines, owners, notes).count() == 0
     bare = comments.attach_comments(lines, owners.drop("indent"), spark.createDataFrame([(1, 2, True)], "doc_id int, line int, full_line boolean"))
     assert bare.select("kind", "owner_id", F.col("selection_key")).collect() == [("trailing", "alpha", "comment:alpha:trailing")]
+
+
+def test_a_task_has_a_bounded_number_of_rows_however_well_they_pack(spark, monkeypatch):
+    from ownerloom.sources import scratch
+
+    monkeypatch.setattr(scratch, "ROWS_A_TASK", 10)
+    lines = spark.range(400).selectExpr("id div 4 AS doc_id", "cast(id % 4 + 1 as int) AS line", "if(id % 4 = 0, ' ', 'x') AS text")
+    owners = lines.where("line = 4").selectExpr("doc_id", "'o' AS owner_id", "line AS start_line", "line AS end_line")
+    notes = lines.where("line IN (2, 3)").selectExpr("doc_id", "line", "true AS full_line")
+    regions = comments.attach_comments(lines, owners, notes)
+    assert regions.rdd.getNumPartitions() >= 80
+    assert {(r.kind, r.start_line, r.end_line) for r in regions.collect()} == {("leading", 2, 3)} and regions.count() == 100
