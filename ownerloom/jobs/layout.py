@@ -48,10 +48,13 @@ def _revisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(sources, owners) of all customers with orders."""
     rows = spark.sql(PIECES_SQL.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
     rows = spark.sql("WITH " + _PLACED.format(size="octet_length").replace("FROM pieces0", "FROM {rows}") + " SELECT * FROM n2", rows=rows)
-    parts = rows.groupBy("case_id", "role").agg(F.sort_array(F.collect_list(F.struct("pos", "gap", "text"))).alias("ps"))
-    sources = parts.select("case_id", "role", F.array_join(F.transform("ps", lambda p: F.concat(p.gap, p.text)), "").alias("text"))
-    owners = rows.where("owner_id IS NOT NULL").select("case_id", "role", "owner_id", F.expr(f"s - {_SHIFT_START}").alias("start_byte"), F.expr(f"s + octet_length(text) + {_SHIFT_END}").alias("end_byte"))
-    return written(sources, "sources"), written(owners, "owners")
+    # Text and owners of a source come from one shuffle and lie in one table.
+    rows = rows.withColumns({"start_byte": F.expr(f"s - {_SHIFT_START}"), "end_byte": F.expr(f"s + octet_length(text) + {_SHIFT_END}")})
+    parts = rows.groupBy("case_id", "role").agg(F.sort_array(F.collect_list(F.struct("pos", "gap", "text", "owner_id", "start_byte", "end_byte"))).alias("ps"))
+    text = F.array_join(F.transform("ps", lambda p: F.concat(p.gap, p.text)), "")
+    owned = F.transform(F.filter("ps", lambda p: p.owner_id.isNotNull()), lambda p: F.struct(p.owner_id.alias("owner_id"), p.start_byte.alias("start_byte"), p.end_byte.alias("end_byte")))
+    both = written(parts.select("case_id", "role", text.alias("text"), owned.alias("owners")), "revisions")
+    return both.select("case_id", "role", "text"), both.select("case_id", "role", F.inline("owners"))
 
 
 def merge_with_layout(spark: SparkSession, sf_dir: str) -> DataFrame:

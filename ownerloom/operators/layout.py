@@ -98,14 +98,16 @@ def _membership(decisions: DataFrame) -> DataFrame:
     return member.join(order, "case_id", "left").fillna(0, ["out_of_order", "reordered"])
 
 
-def _layout(pieces: DataFrame, decisions: DataFrame, member: DataFrame) -> DataFrame:
+def _layout(pieces: DataFrame, member: DataFrame) -> DataFrame:
     """case_id, shares_line, layout_differs of cases without conflicts.
 
     Where all lists of owners agree, gaps are compared place by place. Else what lies on lines without an owner is compared between
     neighbouring stable owners; behind the last of them, if other owners follow, only what follows the last owner."""
     cases = member.where("conflicts = 0").select("case_id", (F.col("changed") > 0).alias("changed"), (F.col("reordered") > 0).alias("reordered"))
-    firm = decisions.where("base_pos IS NOT NULL AND ours_pos IS NOT NULL AND theirs_pos IS NOT NULL").select("case_id", "owner_id", F.lit(1).alias("firm"))
-    rows = pieces.select(*_SOURCE, "pos", "owner_id", "gap", "between", "shares_line").join(cases, "case_id").join(firm, ["case_id", "owner_id"], "left")
+    rows = pieces.select(*_SOURCE, "pos", "owner_id", "gap", "between", "shares_line").join(cases, "case_id")
+    # No source has an owner twice. All windows and groups lie within a case, as the join left them.
+    owned, sources_with = F.col("owner_id").isNotNull(), F.count("*").over(Window.partitionBy("case_id", "owner_id"))
+    rows = rows.withColumn("firm", F.when(owned & (sources_with == len(ROLES)), 1))
     by_pos = Window.partitionBy(*_SOURCE).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     passed, all_firm = F.count("firm").over(by_pos), F.count("firm").over(Window.partitionBy(*_SOURCE))
     rows = rows.withColumns({"slot": F.when(F.col("changed"), passed).otherwise(F.col("pos")), "part": F.when(F.col("changed"), F.col("between")).otherwise(F.col("gap")), "all_firm": all_firm})
@@ -152,21 +154,26 @@ def merge_with_layout(sources: DataFrame, owners: DataFrame) -> tuple[DataFrame,
     out_end (bytes), sha256, text. Gaps come from the baseline, owners from the chosen revision, and what theirs adds to ours
     follows as whole lines in theirs' order. Empty pieces are no segments. Null texts count as empty."""
     misfits = written(source_faults(sources, owners), "faults")
-    pieces = written(source_pieces(sources, owners, misfits), "pieces")
+    pieces = source_pieces(sources, owners, misfits)
+    given = "fingerprint" in owners.columns
+    pieces = written(pieces if given else pieces.drop("fingerprint"), "pieces")
     torn = pieces.where("torn").select(*_SOURCE, F.lit("owner_range").alias("fault"))
     rank = F.when(F.col("role") == "base", 0).when(F.col("role") == "ours", 1).otherwise(2)
     faults = misfits.unionByName(torn).groupBy("case_id").agg(F.min_by("fault", rank).alias("fault"))
     state = written(_whole(sources).join(faults, "case_id", "left"), "state")
     open_cases = state.where("NOT missing AND fault IS NULL AND whole IS NULL").select("case_id")
     pieces_open = pieces.join(open_cases, "case_id", "left_semi")
-    decisions = written(three_way_classify(pieces_open.where("owner_id IS NOT NULL").withColumn("path", F.lit(None).cast("string"))).drop("alternatives"), "decisions")
+    # A text that is shorter than its digest stands for itself.
+    mark = F.col("fingerprint") if given else F.when(F.octet_length("text") < 64, F.concat(F.lit("="), "text")).otherwise(F.sha2("text", 256))
+    compared = pieces_open.where("owner_id IS NOT NULL").withColumns({"fingerprint": mark, "path": F.lit(None).cast("string")})
+    decisions = written(three_way_classify(compared).drop("alternatives"), "decisions")
     member = written(_membership(decisions), "membership")
     kept = lambda r: (F.col(f"beyond_{r}") == 0) & (F.col(f"lost_{r}") == 0)
     baseline = F.when(kept("ours"), "ours").when(kept("theirs"), "theirs").when(F.col("lost_ours") == 0, "ours")
     plan = member.select("*", baseline.alias("baseline"), (~kept("ours") & ~kept("theirs")).alias("additions"))
     changed = plan.where("conflicts = 0 AND changed > 0 AND baseline IS NOT NULL")
     rendered = _render_faults(pieces_open, decisions, changed).withColumn("bad_render", F.lit(True))
-    judged = state.join(plan, "case_id", "left").join(_layout(pieces_open, decisions, member), "case_id", "left").join(rendered, "case_id", "left")
+    judged = state.join(plan, "case_id", "left").join(_layout(pieces_open, member), "case_id", "left").join(rendered, "case_id", "left")
     why = (
         F.when(F.col("missing"), "missing_revision").when(F.col("fault").isNotNull(), F.col("fault")).when(F.col("whole").isNotNull(), "whole_source").when(F.col("conflicts") > 0, "owner_conflict")
         .when(F.col("conflicts").isNull(), "layout").when(F.col("baseline").isNull(), "membership").when(F.col("out_of_order") > 0, "owner_order")
