@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ownerloom.llm._common import materialize
+from ownerloom.llm._common import discard, materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         near = large.join(least, "a")
         small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        pairs = materialize(small, f"cc-{k + 1}")
+        before, pairs = pairs, materialize(small, f"cc-{k + 1}")
+        discard(before)
         now = digest(pairs)
         if now == seen:
             break

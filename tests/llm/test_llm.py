@@ -582,6 +582,42 @@ def test_near_copies_against_all_pairs(spark, cell_limit):
     assert told == _jaccard_groups(texts) and 80 < len(set(told)) < len(texts) - 20
 
 
+def _just_unlike(spark, bases=3, copies=50):
+    """Texts whose pairs lie about the least similarity: of 110 words, one or two of them changed where no other copy's are."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for base in range(bases):
+        words = [f"b{base}w{i}" for i in range(110)]
+        for copy in range(copies):
+            changed = list(words)
+            for at in rng.choice(np.arange(5, 105, 6), 1 + copy % 2, replace=False):
+                changed[at] = f"c{base}x{copy}y{at}"
+            rows.append(" ".join(changed))
+    return rows, spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("block_rows", [1024, 16])
+def test_near_copies_of_one_shingle_in_blocks(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(nearcopies, "BLOCK_ROWS", block_rows)
+    texts, docs = _just_unlike(spark)
+    prints = materialize(nearcopies.sets(docs, nearcopies.frequent_shingles(docs)), "prints")
+    found = nearcopies.links(prints, docs, cell_limit=3, stars=0)
+    groups = {r["node"]: r["component"] for r in components.connected_components(found).collect()}
+    names = {r["doc_id"]: groups.get(r["fp"], r["fp"]) for r in prints.select("doc_id", "fp").collect()}
+    first: dict = {}
+    told = [first.setdefault(names[i], i) for i in range(len(texts))]
+    assert told == _jaccard_groups(texts) and 3 < len(set(told)) < len(texts)
+
+
+def test_crowded_shingle_gives_a_forest(spark):
+    texts, docs = _just_unlike(spark, bases=1, copies=120)
+    prints = materialize(nearcopies.sets(docs, nearcopies.frequent_shingles(docs)), "prints")
+    crowded = prints.select(F.lit(1).alias("shingle"), "fp", "n", F.col("fp").alias("component"), F.lit(len(texts)).cast("long").alias("members"))
+    pairs = [(r["a"], r["b"]) for r in nearcopies.across(crowded, prints).collect()]
+    # Sets meet in two classes of size each; all pairs would be thousands.
+    assert 0 < len(pairs) <= 3 * len(texts) and all(a < b for a, b in pairs)
+
+
 def test_pipeline_drops_languages_not_learned(spark):
     import corpus_pipeline
 
