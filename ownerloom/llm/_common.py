@@ -104,6 +104,32 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_back_on_driver(spark: SparkSession) -> bool:
+    """Free memory of the driver goes back to the system: what its JVM's compiler and libraries leave in the C library's
+    heaps, outside the Java heap. False where the JVM does not know how."""
+    from py4j.protocol import Py4JError
+
+    give_back()
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+
+    def array(kind, *values):
+        out = new(kind, len(values))
+        for k, value in enumerate(values):
+            out[k] = value
+        return out
+
+    try:
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # The server's class is not open to reflection; its public interface is.
+        kinds = [jvm.java.lang.Class.forName(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        call = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", array(jvm.java.lang.Class, *kinds))
+        call.invoke(server, array(jvm.java.lang.Object, name, "systemTrimNativeHeap", new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0)))
+    except Py4JError:
+        return False
+    return True
+
+
 def as_uri(path: str) -> str:
     """pyarrow wants a scheme; Spark's local paths may come without one."""
     return path if "://" in path else f"file://{path.removeprefix('file:')}"

@@ -711,6 +711,25 @@ def test_worker_keeps_one_operators_memory_at_a_time():
     assert encoding.encoder(path) is not first
 
 
+def test_each_stage_begins_with_the_drivers_free_memory_given_back(spark, monkeypatch):
+    import corpus_pipeline
+
+    from ownerloom.llm import _common
+
+    assert _common.give_back_on_driver(spark)
+
+    class GivenBack(Exception):
+        pass
+
+    def told(session):
+        raise GivenBack
+
+    monkeypatch.setattr(corpus_pipeline, "give_back_on_driver", told)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(GivenBack):
+            stage(spark, None, "")
+
+
 def test_bundler_makes_room_in_steps():
     import numpy as np
 
