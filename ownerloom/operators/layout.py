@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ownerloom.operators.merging import ROLES, three_way_classify
-from ownerloom.sources.scratch import written
+from ownerloom.sources.scratch import shuffled, written
 
 _SOURCE = ["case_id", "role"]
 
@@ -21,7 +21,7 @@ def cut_ranges(sources: DataFrame, rows: DataFrame, keys: list[str], ranges: dic
 
     The rows of a source are gathered to one list beside it and cut in one pass. Ranges must lie in the text; a null place gives null."""
     listed = rows.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in keys])).alias("rs"))
-    both = listed.join(sources.select(*keys, F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw")), keys)
+    both = shuffled(listed).join(sources.select(*keys, F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw")), keys)
     piece = lambda r, s, e: F.substring("raw", (r[s] + 1).cast("int"), (r[e] - r[s]).cast("int"))
     out = F.explode(F.transform("rs", lambda r: F.struct(r.alias("r"), *[piece(r, s, e).alias(name) for name, (s, e) in ranges.items()])))
     return both.select(*keys, out.alias("x")).select(*keys, "x.r.*", *[f"x.{name}" for name in ranges])
@@ -33,7 +33,7 @@ def source_faults(sources: DataFrame, owners: DataFrame) -> DataFrame:
     size = sources.select(*_SOURCE, F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
     start, end = F.col("start_byte"), F.col("end_byte")
     by_place = Window.partitionBy(*_SOURCE).orderBy("start_byte", "end_byte", "owner_id")
-    rows = owners.join(size, _SOURCE).withColumns({"copies": F.count("*").over(Window.partitionBy(*_SOURCE, "owner_id")), "above": F.max("end_byte").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), "nth": F.row_number().over(by_place)})
+    rows = owners.join(shuffled(size), _SOURCE).withColumns({"copies": F.count("*").over(Window.partitionBy(*_SOURCE, "owner_id")), "above": F.max("end_byte").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), "nth": F.row_number().over(by_place)})
     fault = (
         F.when(F.coalesce(F.col("owner_id").cast("string"), F.lit("")).eqNullSafe("") | (F.col("copies") > 1), "owner_identity")
         .when(F.coalesce((start < 0) | (start >= end) | (end > F.col("size")), F.lit(True)), "owner_range")
@@ -50,14 +50,14 @@ def source_pieces(sources: DataFrame, owners: DataFrame, faults: DataFrame | Non
     lines without an owner; line_rest is the rest of the owner's own last line. shares_line: two owners on one line. torn: a place within a
     character. Sources with faults (source_faults(), if not given) are left out; fingerprint is the digest of the text where owners bring none."""
     faults = source_faults(sources, owners) if faults is None else faults
-    good = sources.join(faults.select(*_SOURCE), _SOURCE, "left_anti")
+    good = sources.join(shuffled(faults.select(*_SOURCE)), _SOURCE, "left_anti")
     size = good.select(*_SOURCE, F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
     printed = F.col("fingerprint").cast("string") if "fingerprint" in owners.columns else F.lit(None).cast("string")
     spans = owners.select(*_SOURCE, "owner_id", printed.alias("fingerprint"), F.col("start_byte").cast("long"), F.col("end_byte").cast("long"))
     suffix = size.select(*_SOURCE, F.lit(None).cast(owners.schema["owner_id"].dataType).alias("owner_id"), F.lit(None).cast("string").alias("fingerprint"), F.col("size").alias("start_byte"), F.col("size").alias("end_byte"), F.lit(1).alias("is_suffix"))
     # An owner ends behind its start, so the suffix is last even where an owner ends with the text.
     w = Window.partitionBy(*_SOURCE).orderBy(F.coalesce("is_suffix", F.lit(0)), "start_byte")
-    rows = spans.join(size.select(*_SOURCE), _SOURCE, "left_semi").unionByName(suffix, allowMissingColumns=True)
+    rows = spans.join(shuffled(size.select(*_SOURCE)), _SOURCE, "left_semi").unionByName(suffix, allowMissingColumns=True)
     rows = rows.withColumns({"pos": F.row_number().over(w) - 1, "gap_start": F.coalesce(F.lag("end_byte").over(w), F.lit(0).cast("long"))}).drop("is_suffix")
     rows = cut_ranges(good, rows, _SOURCE, {"gap_raw": ("gap_start", "start_byte"), "text_raw": ("start_byte", "end_byte")})
     gap, text = F.col("gap_raw").cast("string"), F.col("text_raw").cast("string")
@@ -95,7 +95,7 @@ def _membership(decisions: DataFrame) -> DataFrame:
     above = lambda role: F.lag("owner_id").over(Window.partitionBy("case_id").orderBy(f"{role}_pos"))
     b, o, t = (F.col(r) for r in ROLES)
     order = decisions.where(stable).select("case_id", *[above(r).alias(r) for r in ROLES]).groupBy("case_id").agg(F.count_if(~o.eqNullSafe(t)).alias("out_of_order"), F.count_if(~b.eqNullSafe(o)).alias("reordered"))
-    return member.join(order, "case_id", "left").fillna(0, ["out_of_order", "reordered"])
+    return member.join(shuffled(order), "case_id", "left").fillna(0, ["out_of_order", "reordered"])
 
 
 def _layout(pieces: DataFrame, member: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def _layout(pieces: DataFrame, member: DataFrame) -> DataFrame:
     Where all lists of owners agree, gaps are compared place by place. Else what lies on lines without an owner is compared between
     neighbouring stable owners; behind the last of them, if other owners follow, only what follows the last owner."""
     cases = member.where("conflicts = 0").select("case_id", (F.col("changed") > 0).alias("changed"), (F.col("reordered") > 0).alias("reordered"))
-    rows = pieces.select(*_SOURCE, "pos", "owner_id", "gap", "between", "shares_line").join(cases, "case_id")
+    rows = pieces.select(*_SOURCE, "pos", "owner_id", "gap", "between", "shares_line").join(shuffled(cases), "case_id")
     # No source has an owner twice. All windows and groups lie within a case, as the join left them.
     owned, sources_with = F.col("owner_id").isNotNull(), F.count("*").over(Window.partitionBy("case_id", "owner_id"))
     rows = rows.withColumn("firm", F.when(owned & (sources_with == len(ROLES)), 1))
@@ -124,7 +124,7 @@ def _layout(pieces: DataFrame, member: DataFrame) -> DataFrame:
 def _chosen(pieces: DataFrame, decisions: DataFrame) -> DataFrame:
     """case_id, owner_id, selected and the places, text and line parts of the revision that a kept owner is taken from."""
     taken = pieces.select("case_id", "owner_id", F.col("role").alias("selected"), "start_byte", "end_byte", "text", "indent", "line_rest")
-    return decisions.where("selected IS NOT NULL").select("case_id", "owner_id", "selected", "ours_pos", "theirs_pos").join(taken, ["case_id", "owner_id", "selected"])
+    return decisions.where("selected IS NOT NULL").select("case_id", "owner_id", "selected", "ours_pos", "theirs_pos").join(shuffled(taken), ["case_id", "owner_id", "selected"])
 
 
 def _render_faults(pieces: DataFrame, decisions: DataFrame, plan: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def _render_faults(pieces: DataFrame, decisions: DataFrame, plan: DataFrame) ->
     base = pieces.withColumns({"next_gap": F.lead("gap").over(w), "next_owner": F.lead("owner_id").over(w), "last_gap": F.col("gap")}).join(plan.select("case_id", F.col("baseline").alias("role"), "additions"), _SOURCE)
     ends = lambda c: F.endswith(c, F.lit("\n"))
     turned = base.where("owner_id IS NOT NULL").select("case_id", "owner_id", ends("text").alias("was"), (F.col("next_gap") != "").alias("follows"), F.col("next_owner").isNotNull().alias("more"), "additions")
-    turned = turned.join(chosen.select("case_id", "owner_id", ends("text").alias("is")), ["case_id", "owner_id"])
+    turned = shuffled(turned).join(chosen.select("case_id", "owner_id", ends("text").alias("is")), ["case_id", "owner_id"])
     moved = turned.where("was <> is AND (follows OR more)")
     unended = turned.where("additions AND NOT more AND NOT follows AND NOT is")
     suffix = base.where("owner_id IS NULL AND additions").where((F.col("between") != "") | ((F.col("gap") != "") & ~ends("gap")))
@@ -160,7 +160,7 @@ def merge_with_layout(sources: DataFrame, owners: DataFrame) -> tuple[DataFrame,
     torn = pieces.where("torn").select(*_SOURCE, F.lit("owner_range").alias("fault"))
     rank = F.when(F.col("role") == "base", 0).when(F.col("role") == "ours", 1).otherwise(2)
     faults = misfits.unionByName(torn).groupBy("case_id").agg(F.min_by("fault", rank).alias("fault"))
-    state = written(_whole(sources).join(faults, "case_id", "left"), "state")
+    state = written(_whole(sources).join(shuffled(faults), "case_id", "left"), "state")
     open_cases = state.where("NOT missing AND fault IS NULL AND whole IS NULL").select("case_id")
     pieces_open = pieces.join(open_cases, "case_id", "left_semi")
     # A text that is shorter than its digest stands for itself.
@@ -173,7 +173,7 @@ def merge_with_layout(sources: DataFrame, owners: DataFrame) -> tuple[DataFrame,
     plan = member.select("*", baseline.alias("baseline"), (~kept("ours") & ~kept("theirs")).alias("additions"))
     changed = plan.where("conflicts = 0 AND changed > 0 AND baseline IS NOT NULL")
     rendered = _render_faults(pieces_open, decisions, changed).withColumn("bad_render", F.lit(True))
-    judged = state.join(plan, "case_id", "left").join(_layout(pieces_open, member), "case_id", "left").join(rendered, "case_id", "left")
+    judged = state.join(plan, "case_id", "left").join(shuffled(_layout(pieces_open, member)), "case_id", "left").join(shuffled(rendered), "case_id", "left")
     why = (
         F.when(F.col("missing"), "missing_revision").when(F.col("fault").isNotNull(), F.col("fault")).when(F.col("whole").isNotNull(), "whole_source").when(F.col("conflicts") > 0, "owner_conflict")
         .when(F.col("conflicts").isNull(), "layout").when(F.col("baseline").isNull(), "membership").when(F.col("out_of_order") > 0, "owner_order")

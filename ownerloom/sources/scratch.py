@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table that was written and is read back: cuts the lineage and survives lost executors.
 
-    Where spark.checkpoint.dir is unset a local session gets a fresh folder; on a cluster that is an error."""
+    It is joined as shuffled() says. Where spark.checkpoint.dir is unset a local session gets a fresh folder; on a cluster that is an error."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -21,7 +21,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return shuffled(spark.read.schema(df.schema).parquet(path))
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, whose next join is one of shuffles and sorts.
+
+    Else Spark tells a table's size by the packed bytes of its files, and sends rows that take many times those through the driver's
+    memory to all executors. A side that is small at any size of the input is told by F.broadcast(), which goes before this."""
+    return df.hint("merge")
 
 
 #: Rows of a partition that windows and sorts hold at once in one task.

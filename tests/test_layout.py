@@ -3,6 +3,9 @@
 import hashlib
 import random
 
+import pytest
+
+from ownerloom.jobs import layout as queries
 from ownerloom.operators import layout
 
 SOURCES = "case_id int, role string, text string"
@@ -257,3 +260,19 @@ def test_check_of_segments_deals_them_once(spark):
     plan = told._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning(case_id") <= 5
     assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(case_id")
+
+
+@pytest.mark.parametrize("name", ["merge_with_layout"])
+def test_no_table_of_cases_goes_through_the_driver(spark, monkeypatch, name):
+    """Tables between steps pack well, so Spark takes them for small at sizes at which their rows fill the driver."""
+    first_plans, written = [], layout.written
+
+    def noted(df, label):
+        first_plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, label)
+
+    monkeypatch.setattr(layout, "written", noted)
+    monkeypatch.setattr(queries, "written", noted)
+    noted(queries.QUERIES[name](spark, "/root/testdata/sf0.001"), "result")
+    assert len(first_plans) >= 8 and sum("SortMergeJoin" in plan for _, plan in first_plans) >= 6
+    assert [label for label, plan in first_plans if "Broadcast" in plan] == []
