@@ -196,7 +196,7 @@ def _segments(sources: DataFrame, pieces: DataFrame, decisions: DataFrame, verdi
     none = F.lit(None).cast(owner_type).alias("owner_id")
     lines = pieces.join(merged.withColumnRenamed("baseline", "role"), _SOURCE)
     gaps = lines.select("case_id", at(0, "pos", 0), F.col("role").alias("revision"), none, F.col("gap_start").alias("src_start"), F.col("start_byte").alias("src_end"), F.col("gap").alias("text"))
-    placed = lines.where("owner_id IS NOT NULL").select("case_id", "owner_id", "pos").join(chosen, ["case_id", "owner_id"])
+    placed = lines.where("owner_id IS NOT NULL").select("case_id", "owner_id", "pos").join(shuffled(chosen), ["case_id", "owner_id"])
     kept = placed.select("case_id", at(0, "pos", 1), F.col("selected").alias("revision"), "owner_id", F.col("start_byte").alias("src_start"), F.col("end_byte").alias("src_end"), "text")
     extra = chosen.where("ours_pos IS NULL").join(merged.where("baseline = 'ours'"), "case_id", "left_semi")
     added = extra.select("case_id", at(1, "theirs_pos", 1), F.col("selected").alias("revision"), "owner_id", (F.col("start_byte") - F.octet_length("indent")).alias("src_start"), (F.col("end_byte") + F.octet_length("line_rest")).alias("src_end"), F.concat("indent", "text", "line_rest").alias("text"))
