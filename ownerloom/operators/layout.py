@@ -213,7 +213,7 @@ def render_segments(verdicts: DataFrame, segments: DataFrame) -> DataFrame:
     """case_id, output of clean cases; a case without segments is an empty output. One document is one row, as in the input."""
     parts = segments.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "text"))).alias("ps"))
     text = F.array_join(F.transform("ps", lambda p: p.text), "")
-    return verdicts.where("outcome = 'clean'").select("case_id").join(parts, "case_id", "left").select("case_id", F.coalesce(text, F.lit("")).alias("output"))
+    return verdicts.where("outcome = 'clean'").select("case_id").join(shuffled(parts), "case_id", "left").select("case_id", F.coalesce(text, F.lit("")).alias("output"))
 
 
 def verify_segments(sources: DataFrame, outputs: DataFrame, segments: DataFrame) -> DataFrame:
