@@ -236,7 +236,7 @@ def verify_segments(sources: DataFrame, outputs: DataFrame, segments: DataFrame)
     source = lambda r: F.get(F.filter("given", lambda g: g.role == r.role), 0).raw
     pieces = F.transform("rs", lambda r: F.struct(r.alias("r"), cut(source(r), r.src_start, r.src_end).alias("src"), cut(F.col("made"), r.out_start, r.out_end).alias("out")))
     # A case's texts, segments and places all lie by case: each is shuffled once at most.
-    both = listed.join(given, "case_id", "left").join(made, "case_id", "left")
+    both = shuffled(listed).join(given, "case_id", "left").join(shuffled(made), "case_id", "left")
     rows = both.select("case_id", F.octet_length("made").cast("long").alias("out_size"), F.explode(pieces).alias("p")).select("case_id", "out_size", "p.r.*", "p.src", "p.out")
     w = Window.partitionBy("case_id").orderBy("out_start", "ordinal")
     rows = rows.withColumns({

@@ -262,7 +262,7 @@ def test_check_of_segments_deals_them_once(spark):
     assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(case_id")
 
 
-@pytest.mark.parametrize("name", ["merge_with_layout", "layout_segments", "render_with_layout"])
+@pytest.mark.parametrize("name", ["merge_with_layout", "layout_segments", "render_with_layout", "verify_merged_bytes"])
 def test_no_table_of_cases_goes_through_the_driver(spark, monkeypatch, name):
     """Tables between steps pack well, so Spark takes them for small at sizes at which their rows fill the driver."""
     first_plans, written = [], layout.written
