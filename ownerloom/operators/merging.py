@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ownerloom.sources.scratch import spread
+from ownerloom.sources.scratch import shuffled, spread
 
 ROLES = ("base", "ours", "theirs")
 
@@ -25,7 +25,7 @@ def match_by_path(template: DataFrame, destination: DataFrame, key: str = "path"
     the other side; one side is null where it has none. Occurrence numbers make the join one to one."""
     order = Window.partitionBy("case_id", key).orderBy("pos")
     side = lambda df, name: df.select("case_id", key, F.row_number().over(order).alias("occurrence"), F.col("pos").alias(name))
-    return side(template, "template_pos").join(side(destination, "destination_pos"), ["case_id", key, "occurrence"], "full_outer")
+    return side(template, "template_pos").join(shuffled(side(destination, "destination_pos")), ["case_id", key, "occurrence"], "full_outer")
 
 
 def match_text_exact(template: DataFrame, destination: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def match_identities(template: DataFrame, destination: DataFrame) -> DataFrame:
     named = lambda df: df.where("primary_key IS NOT NULL").select("case_id", "primary_key", "pos")
     first = match_by_path(named(t), named(d), "primary_key")
     sure = first.where("template_pos IS NOT NULL AND destination_pos IS NOT NULL").select("case_id", "template_pos", "destination_pos")
-    left = lambda df, name: df.join(sure.select("case_id", F.col(name).alias("pos")), ["case_id", "pos"], "left_anti").select("case_id", "pos", "primary_key", F.transform("aliases", lambda a: F.to_json(a)).alias("aliases"))
+    left = lambda df, name: df.join(shuffled(sure.select("case_id", F.col(name).alias("pos"))), ["case_id", "pos"], "left_anti").select("case_id", "pos", "primary_key", F.transform("aliases", lambda a: F.to_json(a)).alias("aliases"))
 
     @F.arrow_udf("array<struct<template_pos:long,destination_pos:long>>")
     def greedy(template: pa.Array, destination: pa.Array) -> pa.Array:
@@ -74,7 +74,7 @@ def match_identities(template: DataFrame, destination: DataFrame) -> DataFrame:
 
     # A case whose other side has nothing left needs no step; many small cases share a batch.
     listed = lambda df, name: df.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.array_compact(F.concat(F.array("primary_key"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("names")))).alias(name))
-    both = listed(left(t, "template_pos"), "a").join(listed(left(d, "destination_pos"), "b"), "case_id")
+    both = shuffled(listed(left(t, "template_pos"), "a")).join(listed(left(d, "destination_pos"), "b"), "case_id")
     rest = both.select("case_id", F.explode(greedy("a", "b")).alias("m")).select("case_id", *[F.col(f"m.{c}").cast(sure.schema[c].dataType).alias(c) for c in ("template_pos", "destination_pos")])
     return sure.unionByName(rest)
 

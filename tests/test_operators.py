@@ -702,3 +702,19 @@ def test_keyed_members_have_a_bounded_number_of_rows_a_task(spark, monkeypatch):
     rows = merging.merge_keyed_members(members)
     assert rows.rdd.getNumPartitions() >= 40
     assert {(r.key, r.value, r["rank"], r.resolved) for r in rows.collect()} == {("0", "2", 0, True), ("1", "3", 1, True)} and rows.count() == 200
+
+
+def test_json_merge_sends_no_table_through_the_driver(spark, monkeypatch):
+    """Tables between steps pack well, so Spark takes them for small at sizes at which their rows fill the driver."""
+    from ownerloom.jobs import documents as queries
+
+    first_plans, written = [], documents.written
+
+    def noted(df, label):
+        first_plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, label)
+
+    monkeypatch.setattr(documents, "written", noted)
+    noted(queries.merge_json_three_way(spark, "/root/testdata/sf0.001"), "result")
+    assert {"array-to-o", "array-to-t", "json-arrays", "result"} <= {label for label, plan in first_plans if "SortMergeJoin" in plan}
+    assert [label for label, plan in first_plans if "Broadcast" in plan] == []
